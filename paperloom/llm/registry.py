@@ -6,7 +6,11 @@ from importlib import import_module
 
 #: operator number: module, query name.
 OPERATORS = {
+    3: ("quality", "op3_quality"),
+    4: ("line_dedup", "op4_line_dedup"),
+    7: ("media", "op7_media"),
     8: ("packing", "op8_packing"),
+    9: ("mixing", "op9_mixing"),
 }
 
 
