@@ -1,16 +1,70 @@
-"""The training-data pipeline over ``documents``."""
+"""The training-data pipeline over ``documents``: reject low quality, drop repeated
+lines, keep one of each near-duplicate class, mix the sources, pack the windows.
+
+Each stage takes ``(spark, docs, sf_dir)`` and works on all that the stage before
+it kept. All but the last return the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from paperloom.llm import line_dedup, minhash, mixing, packing, quality
+from paperloom.llm.common import cut, table
+
+#: Lines in fewer documents than this are left alone; of the others the first stays.
+LINE_DOCS = 10
+
+
+def _with_length(docs: DataFrame) -> DataFrame:
+    return docs.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else docs
+
+
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the compression classifier accepts."""
+    model = quality.fit(docs, table(spark, sf_dir, "labels"))
+    return quality.score(docs, model, score_col="__score").filter(F.col("__score") >= quality.ACCEPT).select(*docs.columns)
+
+
+def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the repeats of lines; the first occurrence stays. All documents stay."""
+    return _with_length(line_dedup.dedup_lines(docs, min_docs=LINE_DOCS, keep="first").select(*docs.columns))
+
+
+def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate class. Rows are numbered first, so null and repeated ids are told apart."""
+    row = "__near_row"
+    numbered = cut(docs.withColumn(row, F.monotonically_increasing_id()), "numbered-documents")
+    dropped = cut(minhash.near_duplicates(numbered, id_col=row).filter("doc_id != class_id").select(F.col("doc_id").alias(row)), "near-duplicates")
+    side = F.broadcast(dropped) if dropped.count() <= minhash.BROADCAST_KEYS else dropped
+    return numbered.join(side, row, "left_anti").select(*docs.columns)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it."""
+    return mixing.mix(docs).filter("times > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("times")))).select(*docs.columns)
+
+
+def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The placed pieces of all documents, with their ids."""
+    return packing.pack(docs)
 
-from paperloom.llm import packing
 
 STAGES = [
-    ("packing", lambda spark, docs, sf_dir: packing.pack(docs)),
+    ("quality", keep_quality),
+    ("line_dedup", drop_lines),
+    ("near_duplicates", keep_one),
+    ("mixing", mix_sources),
+    ("packing", pack_windows),
 ]
+
+#: The stages' methods aren't SQL; tests hold them against brute-force versions.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = cut(stage(spark, docs, sf_dir), f"stage-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

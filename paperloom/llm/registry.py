@@ -11,6 +11,7 @@ OPERATORS = {
     7: ("media", "op7_media"),
     8: ("packing", "op8_packing"),
     9: ("mixing", "op9_mixing"),
+    10: ("minhash", "op10_near_duplicates"),
 }
 
 
