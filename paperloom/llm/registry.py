@@ -9,6 +9,7 @@ OPERATORS = {
     2: ("ann", "op2_multi_index_hashing"),
     3: ("quality", "op3_quality"),
     4: ("line_dedup", "op4_line_dedup"),
+    5: ("url_filter", "op5_url_templates"),
     7: ("media", "op7_media"),
     8: ("packing", "op8_packing"),
     9: ("mixing", "op9_mixing"),
