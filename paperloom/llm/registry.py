@@ -6,6 +6,7 @@ from importlib import import_module
 
 #: operator number: module, query name.
 OPERATORS = {
+    1: ("warc", "op1_warc_revisits"),
     2: ("ann", "op2_multi_index_hashing"),
     3: ("quality", "op3_quality"),
     4: ("line_dedup", "op4_line_dedup"),
