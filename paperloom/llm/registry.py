@@ -11,6 +11,7 @@ OPERATORS = {
     3: ("quality", "op3_quality"),
     4: ("line_dedup", "op4_line_dedup"),
     5: ("url_filter", "op5_url_templates"),
+    6: ("chat", "op6_chat_windows"),
     7: ("media", "op7_media"),
     8: ("packing", "op8_packing"),
     9: ("mixing", "op9_mixing"),
