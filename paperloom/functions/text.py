@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: A text budget of 2048 tokens, three quarters of it used, at three quarters of a word each.
 MAX_WORDS = int(int(2048 * 0.75) * 0.75)
@@ -138,7 +139,7 @@ def reconstruct_abstract(inverted: Column) -> Column:
 TEX_ACCENTS = {"'": "\u0301", "`": "\u0300", "^": "\u0302", '"': "\u0308", "~": "\u0303", "=": "\u0304", ".": "\u0307", "c": "\u0327"}
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def decode_tex(texts: pd.Series) -> pd.Series:
     """TeX accents, braced or not, become letters (NFC, which Spark has no function for); other backslashes before letters go."""
     import re
