@@ -96,7 +96,7 @@ def index_volumes(spark: SparkSession, path: str, slug: str, prefix: str | None
     first = years.groupBy("file", "year").agg(F.min(F.struct("pos", "block")).alias("f")).select("file", F.col("year").cast("int").alias("year"), "f.pos", "f.block")
     proceedings = F.regexp_extract_all("block", F.lit(r'<proceedings[^>]*key="(conf/[^"]+)"'), F.lit(1))
     y4, y2 = F.col("year").cast("string"), F.substring(F.col("year").cast("string"), 3, 2)
-    main = F.filter(proceedings, lambda k: k.rlike(F.concat(F.lit(f"^conf/{slug}/("), y4, F.lit("|"), y2, F.lit(")(-[0-9]+)?$"))))
+    main = F.filter(proceedings, lambda k: F.regexp_like(k, F.concat(F.lit(f"^conf/{slug}/("), y4, F.lit("|"), y2, F.lit(")(-[0-9]+)?$"))))
     found = F.transform(main, lambda k: F.concat(F.lit("db/"), k, F.lit(".bht")))
     if prefix:
         issues = F.regexp_extract_all("block", F.lit(r'<issue[^>]*>(?:(?!</issue>)[\s\S])*</issue>|<issue[^>]*/>'), F.lit(0))
