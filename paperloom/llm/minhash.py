@@ -218,9 +218,11 @@ def _verified(pairs: DataFrame, bags: DataFrame, threshold: float) -> DataFrame:
 
 def compare_blocks(outside: pd.DataFrame, members: pd.DataFrame, threshold: float) -> pd.DataFrame:
     """Links between components: for each outside node at most one for each other component. Overlaps are counted by posting lists."""
+    if outside.empty or members.empty:  # a block may have no rows on one side
+        return pd.DataFrame({"a": [], "b": []})
     bags = [np.frombuffer(b, np.uint32) for b in members["bag"]]
     size = np.array([len(b) for b in bags])
-    element = np.concatenate(bags) if bags else np.zeros(0, np.uint32)
+    element = np.concatenate(bags)
     order = np.argsort(element, kind="stable")
     element, holder = element[order], np.repeat(np.arange(len(bags)), size)[order]
     labels, names = members["label"].to_numpy(), members["digest"].to_numpy()
