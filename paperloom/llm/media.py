@@ -66,7 +66,7 @@ def band_peaks(samples: bytes) -> tuple[np.ndarray, np.ndarray]:
     for start in range(0, n, BLOCK_FRAMES):
         count = min(BLOCK_FRAMES, n - start)
         part = data[start * HOP : (start + count - 1) * HOP + FRAME].astype(np.float64)
-        part = np.pad(part, (0, (count - 1) * HOP + FRAME - len(part)), constant_values=128)
+        part = np.pad(part, (0, (count - 1) * HOP + FRAME - len(part)), mode="edge")
         frames = np.lib.stride_tricks.sliding_window_view(part / 128 - 1, FRAME)[::HOP]
         spectrum = np.abs(np.fft.rfft((frames - frames.mean(axis=1, keepdims=True)) * _WINDOW, axis=1))
         for k, (a, b) in enumerate(zip(BANDS, BANDS[1:])):
