@@ -27,6 +27,8 @@ MOST_TIMES = 2
 SEED = 42
 #: Words that the dynamic programme covers at most; the greedy step before it gets the rest below this.
 PROGRAMME_WORDS = 1 << 15
+#: Bits that the programme's table takes at most.
+MOST_BITS = 1 << 29
 CELLS = 1024
 WORD = "[^\\x20\\x09-\\x0D]+"
 
@@ -63,29 +65,36 @@ def targets(totals: DataFrame, weights=WEIGHTS, share_percent: int = SHARE_PERCE
 
 
 def fill(lengths: np.ndarray, free: np.ndarray, budget: int) -> np.ndarray:
-    """How many of the free documents of each length to take so that their words come nearest to, and never over, the budget.
+    """How many of the free documents of each length to take so that their words come nearest to the budget; of two as near, the fewer words.
 
     Bounded knapsack by binary splitting: bit w of ``reach`` says whether w words can be made.
     """
-    taken = np.zeros(len(lengths), np.int64)
-    items = []
-    for k in np.flatnonzero((lengths > 0) & (lengths <= budget)):
-        count, part = min(int(free[k]), budget // int(lengths[k])), 1
-        while count > 0:
-            part = min(part, count)
-            items.append((int(k), part, int(lengths[k]) * part))
-            count -= part
-            part *= 2
-    mask, reach, before = (1 << (budget + 1)) - 1, 1, []
-    used = []
-    for item in items:
-        before.append(reach)
-        used.append(item)
-        reach |= (reach << item[2]) & mask
-        if reach >> budget & 1:
-            break
+
+    def programme(limit: int) -> tuple[int, list[tuple], list[int]]:
+        mask, reach, items, before = (1 << (limit + 1)) - 1, 1, [], []
+        for k in np.flatnonzero((lengths > 0) & (lengths <= limit)):
+            count, part = min(int(free[k]), limit // int(lengths[k])), 1
+            while count > 0:
+                part = min(part, count)
+                items.append((int(k), part, int(lengths[k]) * part))
+                before.append(reach)
+                reach |= (reach << items[-1][2]) & mask
+                if reach >> budget & 1:
+                    return reach, items, before
+                count -= part
+                part *= 2
+        return reach, items, before
+
+    reach, items, before = programme(budget)
     words = reach.bit_length() - 1
-    for (k, part, weight), old in zip(reversed(used), reversed(before)):
+    if words < budget:
+        over = programme(2 * budget - words - 1)
+        above = over[0] >> (budget + 1)
+        if above:
+            reach, items, before = over
+            words = budget + 1 + (above & -above).bit_length() - 1
+    taken = np.zeros(len(lengths), np.int64)
+    for (k, part, weight), old in zip(reversed(items), reversed(before)):
         if not old >> words & 1:
             taken[k] += part
             words -= weight
@@ -109,7 +118,9 @@ def plan_source(lengths: np.ndarray, counts: np.ndarray, target: float, programm
         if lengths[k] and more > 0:
             once[k] += more
             left -= more * int(lengths[k])
-    once += fill(lengths, counts - once, int(min(left, programme_words)))
+    # More than the programme covers is left only if the free documents are few and longer than it.
+    cover = max(programme_words, MOST_BITS // max(1, 2 * int(np.log2(counts - once + 1).sum() + len(counts))))
+    once += fill(lengths, counts - once, int(min(left, cover)))
     return passes, once
 
 
