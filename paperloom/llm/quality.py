@@ -29,6 +29,7 @@ SAMPLE_CHARS = 20_000
 DICTIONARY_BYTES = 110 * 1024
 PIECE_BYTES = 4096
 LEVEL = 3
+MOST_DEVIATIONS = 3.0
 ACCEPT = 0.3
 
 
@@ -81,7 +82,9 @@ def score_texts(model: Model, texts) -> np.ndarray:
     if model.weights is None:
         return np.full(len(texts), model.prior)
     x = np.array([features(model, t) for t in texts]).reshape(len(texts), -1)
-    z = model.weights[0] + ((x - np.array(model.mean)) / np.array(model.scale)) @ np.array(model.weights[1:])
+    # A text that repeats a dictionary's is far outside what calibration saw; its features count up to the edge of that.
+    x = np.clip((x - np.array(model.mean)) / np.array(model.scale), -MOST_DEVIATIONS, MOST_DEVIATIONS)
+    z = model.weights[0] + x @ np.array(model.weights[1:])
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
