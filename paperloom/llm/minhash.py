@@ -40,7 +40,7 @@ BANDS = 20
 ROWS = 4
 #: Rows of a block that one task compares with another in an open bucket.
 OUTSIDE_BLOCK = 512
-MEMBER_BLOCK = 1024
+MEMBER_BLOCK = 512
 BROADCAST_KEYS = 1_000_000
 SLICE_BYTES = 2 << 20
 

@@ -63,7 +63,7 @@ def found(df):
     return sorted((tuple(sorted((d for d, _ in g), key=str)) for g in groups.values()), key=str)
 
 
-@pytest.mark.parametrize("blocks", [(512, 1024), (2, 3)])
+@pytest.mark.parametrize("blocks", [(512, 512), (2, 3)])
 def test_against_all_pairs(spark, blocks, monkeypatch):
     monkeypatch.setattr(M, "OUTSIDE_BLOCK", blocks[0])
     monkeypatch.setattr(M, "MEMBER_BLOCK", blocks[1])
