@@ -270,3 +270,43 @@ def events_per_hour(spark, sf):
 def projection_pca(spark, sf):
     """Component signs are arbitrary, so there is no SQL."""
     return A.project(embedding(spark, sf))
+
+_D = "(DATE '2001-08-01' - update_date)"
+_P = lambda n, unit: f"({n}) || ' {unit}' || CASE WHEN ({n}) = 1 THEN '' ELSE 's' END"
+_scalar("age_label_long", f"CASE WHEN {_D} // 365 = 0 AND ({_D} % 365) // 30 = 0 THEN {_P(_D + ' % 30', 'day')} ELSE concat_ws(', ', CASE WHEN {_D} // 365 > 0 THEN {_P(_D + ' // 365', 'year')} END, CASE WHEN ({_D} % 365) // 30 > 0 THEN {_P('(' + _D + ' % 365) // 30', 'month')} END) END", lambda: D.age_label_long(F.col("update_date"), as_of()))
+_scalar("dehyphenate", "md5(regexp_replace(replace(abstract, 'a', '-' || chr(10) || ' a'), '-\\n\\s*([a-z])', '\\1', 'g'))", lambda: F.md5(X.dehyphenate(F.replace("abstract", F.lit("a"), F.lit("-\n a")))))
+_CITED = "regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(abstract, '-\\n\\s*([a-z])', '\\1', 'g'), '\\n', ' ', 'g'), '\\[[0-9]+(\\s*[,–-]\\s*[0-9]+)*\\]', '', 'g'), '\\s+([.,;:!?)])', '\\1', 'g'), '\\(\\s+', '(', 'g')"
+_scalar("clean_text", f"md5(trim(regexp_replace({_CITED}, '\\s+', ' ', 'g')))", lambda: F.md5(X.clean_text(F.col("abstract"))))
+_NORM = "list_filter(string_split(trim(regexp_replace(lower(title), '[^a-z0-9]+', ' ', 'g')), ' '), lambda w: w <> '')"
+_scalar("title_prefix", f"CASE WHEN len({_NORM}) >= 3 THEN array_to_string(list_filter({_NORM}, lambda w: NOT list_contains([{', '.join(repr(w) for w in X.STOPWORDS)}], w))[1:3], ' ') END", lambda: X.title_prefix(F.col("title")))
+
+
+@query("wrap_label")
+def wrap_label(spark, sf):
+    """A greedy fold over words: no SQL."""
+    return paper(spark, sf).select("paper_id", X.wrap_label(F.col("title")).alias("value"))
+
+
+@query("chunked", ", o AS (SELECT paper_id, row_number() OVER (PARTITION BY source ORDER BY paper_id) AS rn FROM paper) SELECT paper_id, (rn - 1) // 10 AS chunk FROM o")
+def chunked(spark, sf):
+    """Each source's papers in chunks of ten."""
+    from pyspark.sql import Window
+
+    order = Window.partitionBy("source").orderBy("paper_id")
+    return paper(spark, sf).select("paper_id", F.floor((F.row_number().over(order) - 1) / 10).cast("long").alias("chunk"))
+
+
+@query("cluster_labels")
+def cluster_labels(spark, sf):
+    """Class-based term weights of each source's bigrams."""
+    from ..operators.labels import top_terms
+
+    return top_terms(paper(spark, sf).select(F.col("source").alias("cluster"), F.col("abstract").alias("text")))
+
+
+@query("cluster_boxes", ", c AS (SELECT r.x, r.y, e.label AS cluster FROM projection r JOIN embeddings e ON CAST(e.vec_id AS VARCHAR) = r.paper_id) SELECT cluster, round(avg(x), 6) AS cx, round(avg(y), 6) AS cy, round(quantile_cont(x, 0.05), 6) AS x_low, round(quantile_cont(x, 0.95), 6) AS x_high FROM c GROUP BY cluster")
+def cluster_boxes(spark, sf):
+    from ..operators.labels import boxes
+
+    rows = read(spark, sf, "embeddings").select(F.col("label").alias("cluster"), F.get("embedding", F.lit(0)).cast("double").alias("x"), F.get("embedding", F.lit(1)).cast("double").alias("y"))
+    return rounded(boxes(rows).select("cluster", "cx", "cy", "x_low", "x_high"), "cx", "cy", "x_low", "x_high")

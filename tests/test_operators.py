@@ -190,3 +190,16 @@ def test_stream_sync(spark, stored, batch, tmp_path):
     assert {r["title"] for r in spark.read.parquet(state["at"]).collect()} == {"A2", "B", "C", "D1"}
     counts = Y.rolling_counts(stored.withColumn("ts", F.col("update_date").cast("timestamp")))
     assert counts.count() == 7
+
+
+def test_embedding_provider(spark):
+    from paperloom.functions.embed import embed, hashing_provider
+
+    papers = spark.createDataFrame([("a", "one two"), ("b", "one two"), ("c", None)], "paper_id string, abstract string")
+    rows = {r["paper_id"]: r for r in embed(papers, hashing_provider(8)).collect()}
+    assert rows["a"]["embedding"] == rows["b"]["embedding"] and len(rows["c"]["embedding"]) == 8
+
+    def broken(texts):
+        raise OSError("down")
+
+    assert {(r["embedding"], r["error"]) for r in embed(papers, broken).collect()} == {(None, "OSError: down")}
