@@ -45,8 +45,10 @@ def reviewed(spark: SparkSession, path: str, version: int | None = None) -> Data
     named = F.regexp_extract("path", r"_v([0-9]+)\.json$", 1)
     of = F.lit(str(version)) if version else F.when(named.isin("1", "2"), named).otherwise(F.raise_error(F.concat(F.lit("unknown version: "), "path")))
     rows = rows.withColumn("__v", of)
+    # The venue's name and date stand in the one top-level object whose key ends in _metadata.
+    tagged = F.get(F.filter(F.map_entries(F.from_json("document", "map<string,string>")), lambda e: e["key"].endswith("_metadata")), F.lit(0))["value"]
     field = lambda name: F.when(F.col("__v") == "2", _get(f"$.content.{name}.value")).otherwise(_get(f"$.content.{name}"))
-    return _papers(rows, _get("$.id"), field("title"), field("abstract"), _get("$.oversight_metadata.conference_date"), _get("$.oversight_metadata.conference_name"), F.concat(F.lit(REVIEW_LINK), _get("$.id")))
+    return _papers(rows, _get("$.id"), field("title"), field("abstract"), F.get_json_object(tagged, "$.conference_date"), F.get_json_object(tagged, "$.conference_name"), F.concat(F.lit(REVIEW_LINK), _get("$.id")))
 
 
 def accepted(notes: DataFrame) -> DataFrame:
@@ -56,7 +58,7 @@ def accepted(notes: DataFrame) -> DataFrame:
 
 
 def tag_notes(notes: DataFrame, name: str, date: str) -> DataFrame:
-    return notes.withColumn("oversight_metadata", F.struct(F.lit(name).alias("conference_name"), F.lit(date).alias("conference_date")))
+    return notes.withColumn("conference_metadata", F.struct(F.lit(name).alias("conference_name"), F.lit(date).alias("conference_date")))
 
 
 _OAI = "header struct<datestamp:string,_status:string,setSpec:array<string>,identifier:string>, metadata struct<arXivRaw:struct<id:string,title:string,abstract:string,authors:string>>"

@@ -136,8 +136,8 @@ def test_readers(spark, tmp_path):
     assert rows["T"]["paper_id"] == "u1" and rows["T"]["institutions"] == ["U1"] and rows["T"]["update_date"] == D("2001-01-02")
     assert len(rows["no id"]["paper_id"]) == 36
     meta = {"conference_name": "ICLR", "conference_date": "2001-05-01"}
-    (tmp_path / "iclr_v1.json").write_text(json.dumps([{"id": "x", "content": {"title": "V1", "abstract": "a", "authors": ["Ann"]}, "oversight_metadata": meta}]))
-    (tmp_path / "iclr_v2.json").write_text(json.dumps([{"id": "y", "content": {"title": {"value": "V2"}, "abstract": {"value": "a"}, "authors": {"value": ["Bo"]}}, "oversight_metadata": meta}]))
+    (tmp_path / "iclr_v1.json").write_text(json.dumps([{"id": "x", "content": {"title": "V1", "abstract": "a", "authors": ["Ann"]}, "conference_metadata": meta}]))
+    (tmp_path / "iclr_v2.json").write_text(json.dumps([{"id": "y", "content": {"title": {"value": "V2"}, "abstract": {"value": "a"}, "authors": {"value": ["Bo"]}}, "conference_metadata": meta}]))
     for v, name, author in ((1, "V1", "Ann"), (2, "V2", "Bo")):
         row = R.reviewed(spark, str(tmp_path / f"iclr_v{v}.json")).first()
         assert (row["title"], row["authors"], row["source"]) == (name, [author], "ICLR")
