@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import cut, lean, table
 
 NEAREST = 10
 BITS = 128
@@ -160,7 +160,7 @@ def build_index(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "e
                 codes = rotation.codes(_matrix(batch.column(1)).astype(np.float64))
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([c.tobytes() for c in codes], pa.binary())], names=["id", "vector", "code"])
 
-    return cut(rows.mapInArrow(encode, f"id long, vector {rows.schema['vector'].dataType.simpleString()}, code binary"), "codes"), rotation
+    return cut(rows.mapInArrow(lean(encode), f"id long, vector {rows.schema['vector'].dataType.simpleString()}, code binary"), "codes"), rotation
 
 
 def search(index: DataFrame, rotation: Rotation, queries: DataFrame, k: int = NEAREST) -> DataFrame:
@@ -201,7 +201,7 @@ def search(index: DataFrame, rotation: Rotation, queries: DataFrame, k: int = NE
             if held:
                 yield answer(held)
 
-        return index.mapInArrow(probe, "query_id long, vec_id long, score double")
+        return index.mapInArrow(lean(probe), "query_id long, vec_id long, score double")
 
     def best(found: DataFrame) -> DataFrame:
         order = Window.partitionBy("query_id").orderBy("score", "vec_id")

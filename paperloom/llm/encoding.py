@@ -39,7 +39,7 @@ def _byte_letters() -> dict[int, str]:
 class CachedEncoder:
     """ids(text) equals ``Tokenizer.encode(text, add_special_tokens=False).ids``."""
 
-    def __init__(self, path: str, most: int = 300_000):
+    def __init__(self, path: str, most: int = 200_000):
         """most: entries in each of the cache's two generations; what is in use survives when the older one goes."""
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ASCII_SPACE, cut, table, tune
+from .common import ASCII_SPACE, cut, lean, table, tune
 
 MIN_DOCS = 10
 MIN_CHARS = 1
@@ -124,7 +124,7 @@ def twice_filter(docs: DataFrame, text_col: str = "text", min_chars: int = MIN_C
 
     schema = "segment long, task long, once binary, twice binary"
     # A first merge of at most 64 tasks at a time bounds the second one's groups.
-    parts = docs.select(text_col).mapInArrow(build, schema).withColumn("task", F.floor(F.col("task") / 64))
+    parts = docs.select(text_col).mapInArrow(lean(build), schema).withColumn("task", F.floor(F.col("task") / 64))
     merged = parts.groupBy("segment", "task").applyInPandas(_merge, schema).groupBy("segment").applyInPandas(_merge, schema)
     cells = np.zeros(bits // 8, np.uint8)
     for row in merged.filter(F.length("twice") > 0).select("segment", "twice").toLocalIterator():
@@ -162,7 +162,7 @@ def repeated_keys(docs: DataFrame, shared, id_col: str = "doc_id", text_col: str
                 order = order[head]
                 yield pa.RecordBatch.from_pydict({"key": distinct.take(pa.array(key[order])), "n": pa.array(counts, pa.int64()), "id": pa.array(ids[order], pa.int64()), "pos": pa.array(at[order], pa.int64())})
 
-    found = docs.select(F.col(id_col).cast("long").alias("id"), text_col).mapInArrow(suspects, "key string, n long, id long, pos long")
+    found = docs.select(F.col(id_col).cast("long").alias("id"), text_col).mapInArrow(lean(suspects), "key string, n long, id long, pos long")
     return found.groupBy("key").agg(F.sum("n").alias("docs"), F.min(F.struct("id", "pos")).alias("first")).filter(F.col("docs") >= min_docs).select("key", "docs", F.col("first.id").alias("first_id"), F.col("first.pos").alias("first_pos"))
 
 
@@ -217,7 +217,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 columns = [text if k == at_text else c for k, c in enumerate(batch.columns)]
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(n, pa.int64()), pa.array(dropped, pa.int64())], names=schema.names)
 
-        return docs.mapInArrow(apply, schema)
+        return docs.mapInArrow(lean(apply), schema)
 
     row, gone = "__line_dedup_row", "__line_dedup_gone"
     numbered = cut(docs.withColumn(row, F.monotonically_increasing_id()), "numbered-documents")
@@ -231,7 +231,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             line = np.flatnonzero(suspected)
             yield pa.RecordBatch.from_pydict({"key": keys.take(pa.array(line)), "row": batch.column(0).take(pa.array(parent[line])), "id": pc.fill_null(batch.column(2), _LAST).take(pa.array(parent[line])), "pos": pa.array(line - start[parent[line]], pa.int64())})
 
-    lines_at = numbered.select(row, text_col, F.col(id_col).cast("long").alias("id")).mapInArrow(positions, "key string, row long, id long, pos long")
+    lines_at = numbered.select(row, text_col, F.col(id_col).cast("long").alias("id")).mapInArrow(lean(positions), "key string, row long, id long, pos long")
     dropped = lines_at.join(repeated, "key")
     if keep == "first":
         dropped = dropped.filter((F.col("id") != F.col("first_id")) | (F.col("pos") != F.col("first_pos")))
@@ -250,7 +250,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             columns = [text if k == at_text else c for k, c in enumerate(batch.columns[:-1])]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(n, pa.int64()), pa.array(gone_n, pa.int64())], names=schema.names)
 
-    return numbered.join(dropped, row, "left").select(*docs.columns, gone).mapInArrow(remove, schema)
+    return numbered.join(dropped, row, "left").select(*docs.columns, gone).mapInArrow(lean(remove), schema)
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, text_or_empty, tune
+from .common import lean, table, text_or_empty, tune
 
 RATE = 8000
 FRAME = 256
@@ -116,7 +116,7 @@ def to_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
             n, media, payload, times, codes, feature = zip(*rows) if rows else [()] * 6
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(media, pa.binary()), pa.array(payload, pa.binary()), pa.array(times, pa.list_(pa.int32())), pa.array(codes, pa.list_(pa.int32())), pa.array(feature, pa.string())], names=["doc_id", "n_bytes", "media", "payload", "times", "codes", "feature"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text")).mapInArrow(run, SCHEMA)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text")).mapInArrow(lean(run), SCHEMA)
 
 
 def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:

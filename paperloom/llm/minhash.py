@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, table, tune
+from .common import cut, lean, table, tune
 from .components import components
 
 WORDS = 5
@@ -42,7 +42,7 @@ ROWS = 4
 OUTSIDE_BLOCK = 512
 MEMBER_BLOCK = 512
 BROADCAST_KEYS = 1_000_000
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 
 _U = np.uint64
 #: The multipliers of the 64-bit finaliser of splitmix.
@@ -197,7 +197,7 @@ def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 ends = np.r_[0, np.cumsum(np.where(counts > 0, bands, 0))].astype(np.int32)
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digests, pa.binary()), pa.ListArray.from_arrays(pa.array(ends), pa.array(keys[counts > 0].ravel())), pa.array(occurrences(*bags, n), pa.binary())], names=["doc_id", "digest", "keys", "bag"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, digest binary, keys array<long>, bag binary")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(lean(run), "doc_id long, digest binary, keys array<long>, bag binary")
 
 
 def _among(rows: DataFrame, wanted: DataFrame, column: str) -> DataFrame:
@@ -213,7 +213,7 @@ def _verified(pairs: DataFrame, bags: DataFrame, threshold: float) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(linked, pa.bool_()))
 
     full = pairs.join(bags.select(F.col("digest").alias("a"), F.col("bag").alias("x")), "a").join(bags.select(F.col("digest").alias("b"), F.col("bag").alias("y")), "b")
-    return full.select("a", "b", "x", "y").mapInArrow(run, "a binary, b binary")
+    return full.select("a", "b", "x", "y").mapInArrow(lean(run), "a binary, b binary")
 
 
 def compare_blocks(outside: pd.DataFrame, members: pd.DataFrame, threshold: float) -> pd.DataFrame:

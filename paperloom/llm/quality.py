@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import table, tune
+from .common import lean, table, tune
 
 #: Bounds of the labelled sample: rows of each class for the dictionaries and for calibration, and a sampled text's length.
 DICTIONARY_ROWS = 1000
@@ -167,7 +167,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", score_col: str
             scores = score_texts(shared.value, batch.column(at).to_pylist())
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], names=schema.names)
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(lean(run), schema)
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
