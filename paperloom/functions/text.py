@@ -117,6 +117,14 @@ def hex_rgba(colour: Column, alpha: int = 255) -> Column:
     return F.array(part(2), part(4), part(6), F.lit(alpha))
 
 
+def percentile_label(value: Column, breaks: dict[str, Column]) -> Column:
+    """The label of the last break, in rising order, that the value reaches; ``<50th`` below all."""
+    label = F.lit("<50th")
+    for name, at in breaks.items():
+        label = F.when(value >= at, name).otherwise(label)
+    return label
+
+
 def display_join(authors: Column, institutions: Column) -> Column:
     return F.concat_ws(" | ", F.array_join(authors, ", "), F.array_join(institutions, " · "))
 

@@ -225,11 +225,9 @@ _scalar("month_year", "strftime(update_date, '%b %Y')", lambda: D.month_year(F.d
 _scalar("normalise_date", "CASE WHEN year(update_date) = 1998 THEN update_date ELSE DATE '1998-01-01' END", lambda: D.normalise_date(F.date_format("update_date", "yyyy-MM-dd"), F.lit(1998)))
 _scalar("citation_label", "CASE WHEN length(title) > 14 THEN substr(title, 1, 14) || '…' ELSE title END", lambda: X.citation_label(F.array().cast("array<string>"), F.year("update_date"), F.col("title")))
 _scalar("display_join", "source || ', ' || category || ' | ' || source", lambda: X.display_join(F.array("source", "category"), F.array("source")))
-_scalar("percentile_label", "CASE WHEN CAST(paper_id AS INT) % 100 < 50 THEN '<50th' WHEN CAST(paper_id AS INT) % 100 < 90 THEN '50th' ELSE '90th' END", lambda: F.when(F.col("paper_id").cast("int") % 100 < 50, "<50th").when(F.col("paper_id").cast("int") % 100 < 90, "50th").otherwise("90th"))
 _scalar("ef_slider", "CAST(round(10 * pow(50, (CAST(paper_id AS INT) % 101) / 100.0)) AS INT)", lambda: F.round(10 * F.pow(F.lit(50.0), (F.col("paper_id").cast("int") % 101) / 100.0)).cast("int"))
 _scalar("hex_rgba", "array_to_string([(CAST(paper_id AS INT) % 256), 16, 255], ',')", lambda: F.array_join(F.slice(X.hex_rgba(F.concat(F.lit("#"), F.lpad(F.hex(F.col("paper_id").cast("long") % 256), 2, "0"), F.lit("10ff"))), 1, 3).cast("array<string>"), ","))
 _scalar("window_label", "CASE WHEN d >= 365 THEN CAST(round(d / 365.0) AS INT) || ' year' || CASE WHEN round(d / 365.0) = 1 THEN '' ELSE 's' END WHEN d >= 30 THEN CAST(round(d / 30.0) AS INT) || ' month' || CASE WHEN round(d / 30.0) = 1 THEN '' ELSE 's' END ELSE d || ' day' || CASE WHEN d = 1 THEN '' ELSE 's' END END".replace("d ", "(DATE '2001-08-01' - update_date) "), lambda: D.window_label(F.datediff(as_of(), F.col("update_date"))))
-_scalar("wrap_label_lines", "1", lambda: (F.size(F.split(X.wrap_label(F.substring("title", 1, 12)), "\n")) >= 1).cast("int"))
 _scalar("xml_attrs", "source", lambda: F.get(F.map_values(F.map_filter(X.xml_attrs(F.concat(F.lit('<a key="k" src="'), "source", F.lit('">'))), lambda k, v: k == "src")), F.lit(0)))
 _scalar("reconstruct_abstract", "source || ' ' || category || ' ' || source", lambda: X.reconstruct_abstract(F.create_map(F.col("category"), F.array(F.lit(1)), F.col("source"), F.array(F.lit(2), F.lit(0)))))
 

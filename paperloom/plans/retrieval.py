@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import text as X
 from ..operators import graph as G
 from ..operators import search as S
 from ..operators import upsert as U
@@ -73,7 +74,7 @@ def metadata_filter(spark, sf):
     return paper(spark, sf).filter((F.col("category") == "de") & (F.length("title") > 40)).select("paper_id", "source")
 
 
-@query("source_group_filter", f", g AS (SELECT unnest(['src0','src1','src2']) AS source), t AS (SELECT s, NOT (list_contains(['src0','src1','src2'], s) AND false) AS x FROM (SELECT unnest([{', '.join(repr(s) for s in GROUPS['A'])}]) AS s)) SELECT paper_id, source FROM paper WHERE source IN (SELECT s FROM t WHERE x)")
+@query("source_group_filter", f"SELECT paper_id, source FROM paper WHERE source IN ({', '.join(repr(s) for s in GROUPS['A'])})")
 def source_group_filter(spark, sf):
     """Toggling a group whose members aren't all selected selects them all."""
     dim = spark.createDataFrame([(s, g, s in ("src0", "src1", "src2")) for g, members in GROUPS.items() for s in members], "source string, grp string, selected boolean")
@@ -185,6 +186,16 @@ def similarity_distribution(spark, sf):
     return rounded(found, *found.columns)
 
 
+_BREAKS = {"p50": "50th", "p90": "90th", "p95": "95th", "p99": "99th", "p99_5": "99.5th", "p99_9": "99.9th"}
+
+
+@query("percentile_label", f", {_PAIRS}, q AS ({_POINTS.replace('round(', '(').replace(', 6)', ')')}) SELECT a, b, CASE {' '.join(f"WHEN s >= {p} THEN '{label}'" for p, label in reversed(_BREAKS.items()))} ELSE '<50th' END AS label FROM pairs, q")
+def percentile_label(spark, sf):
+    pairs = S.sampled_pairs(embedding(spark, sf), 10_000, F.md5("paper_id"))
+    joined = pairs.join(F.broadcast(S.distribution(pairs)), F.lit(True))  # one row
+    return joined.select("a", "b", X.percentile_label(F.col("similarity"), {label: F.col(p) for p, label in _BREAKS.items()}).alias("label"))
+
+
 @query("similarity_over_time", ", f AS (SELECT p.paper_id, p.update_date, CAST(1 - list_cosine_similarity(e.v, q) < 0.95 AS INT) AS h FROM paper p JOIN embedding e USING (paper_id), probe) SELECT update_date, paper_id, CAST(sum(h) OVER w AS BIGINT) AS cumulative, round(CAST(sum(h) OVER w AS DOUBLE) / row_number() OVER w, 6) AS ratio FROM f WINDOW w AS (ORDER BY update_date, paper_id ROWS UNBOUNDED PRECEDING)")
 def similarity_over_time(spark, sf):
     return rounded(S.over_time(paper(spark, sf), embedding(spark, sf), probe(spark, sf), 0.95), "ratio")
