@@ -15,6 +15,8 @@ from paperloom.llm.common import cut, table
 
 #: Lines in fewer documents than this are left alone; of the others the first stays.
 LINE_DOCS = 10
+#: Of lines of more words than this the first stays from two documents on, once near-duplicates are gone.
+LONG_WORDS = 50
 
 
 def _with_length(docs: DataFrame) -> DataFrame:
@@ -32,13 +34,24 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return _with_length(line_dedup.dedup_lines(docs, min_docs=LINE_DOCS, keep="first").select(*docs.columns))
 
 
+def _drop_long_lines(docs: DataFrame, row: str) -> DataFrame:
+    """Only after near-duplicates: a copy that loses its long lines wouldn't be found, and its rest would stay. Rows without such lines stay as they are, null texts too."""
+    empty = "__text_null"
+    found = line_dedup.dedup_lines(docs.withColumn(empty, F.col("text").isNull()), id_col=row, min_docs=2, min_words=LONG_WORDS + 1, keep="first")
+    changed = {"text": F.when(~F.col(empty), F.col("text"))}
+    if "n_chars" in docs.columns:
+        changed["n_chars"] = F.when(F.col("n_dropped") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
+    return found.withColumns(changed)
+
+
 def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate class. Rows are numbered first, so null and repeated ids are told apart."""
+    """One document of each near-duplicate class, without the long lines that an earlier one of them holds. Rows are numbered first, so null and repeated ids are told apart."""
     row = "__near_row"
     numbered = cut(docs.withColumn(row, F.monotonically_increasing_id()), "numbered-documents")
     dropped = cut(minhash.near_duplicates(numbered, id_col=row).filter("doc_id != class_id").select(F.col("doc_id").alias(row)), "near-duplicates")
-    side = F.broadcast(dropped) if dropped.count() <= minhash.BROADCAST_KEYS else dropped
-    return numbered.join(side, row, "left_anti").select(*docs.columns)
+    few = dropped.count() <= minhash.BROADCAST_KEYS
+    kept = numbered.join(F.broadcast(dropped) if few else dropped, row, "left_anti")
+    return _drop_long_lines(kept if few else cut(kept, "kept-documents"), row).select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -81,11 +81,13 @@ def _hashes(keys: pa.Array) -> np.ndarray:
     return np.fromiter((digest(k) for k in keys.to_pylist()), np.uint64, len(keys))
 
 
-def _by_document(keys: pa.Array, parent: np.ndarray, min_chars: int) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
+def _by_document(keys: pa.Array, parent: np.ndarray, min_chars: int, min_words: int = 0) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
     """The distinct keys, each line's number in them, and the distinct (text, key) pairs as two arrays. Too short keys have no pair."""
     coded = pc.dictionary_encode(keys)
     distinct, code = coded.dictionary, coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
     long_enough = (pc.utf8_length(distinct).to_numpy(zero_copy_only=False) >= min_chars) if len(distinct) else np.zeros(0, bool)
+    if min_words > 1 and len(distinct):
+        long_enough &= pc.count_substring_regex(distinct, f"[^{ASCII_SPACE}]+").to_numpy(zero_copy_only=False) >= min_words
     pair = np.unique((parent * max(len(distinct), 1) + code)[long_enough[code]])
     return distinct, code, pair // max(len(distinct), 1), pair % max(len(distinct), 1)
 
@@ -104,7 +106,7 @@ def _merge(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"segment": [pdf.segment.iloc[0]], "task": [0], "once": [zlib.compress(once.tobytes(), 1)], "twice": [zlib.compress(twice.tobytes(), 1) if twice.any() else b""]})
 
 
-def twice_filter(docs: DataFrame, text_col: str = "text", min_chars: int = MIN_CHARS, most_bits: int = MOST_BITS) -> Bloom:
+def twice_filter(docs: DataFrame, text_col: str = "text", min_chars: int = MIN_CHARS, most_bits: int = MOST_BITS, min_words: int = 0) -> Bloom:
     """The merged filter of keys that two documents or more hold (and false positives)."""
     n = docs.agg(F.sum(F.coalesce(F.length(F.col(text_col)) - F.length(F.replace(F.col(text_col), F.lit("\n"), F.lit(""))), F.lit(0)) + 1).alias("n")).first()["n"] or 1
     bits = min(most_bits, max(1 << 12, 1 << (10 * int(n) - 1).bit_length()))
@@ -113,7 +115,7 @@ def twice_filter(docs: DataFrame, text_col: str = "text", min_chars: int = MIN_C
         once, twice = Bloom(bits), Bloom(bits)
         for batch in batches:
             _, keys, parent = split_lines(batch.column(0))
-            distinct, _, _, key = _by_document(keys, parent, min_chars)
+            distinct, _, _, key = _by_document(keys, parent, min_chars, min_words)
             used, counts = np.unique(key, return_counts=True)
             hashes = _hashes(distinct.take(pa.array(used)))
             twice.add(hashes[(counts > 1) | once.has(hashes)])
@@ -140,13 +142,13 @@ def _load(shared) -> Bloom:
     return shared.bloom
 
 
-def repeated_keys(docs: DataFrame, shared, id_col: str = "doc_id", text_col: str = "text", min_docs: int = MIN_DOCS, min_chars: int = MIN_CHARS) -> DataFrame:
+def repeated_keys(docs: DataFrame, shared, id_col: str = "doc_id", text_col: str = "text", min_docs: int = MIN_DOCS, min_chars: int = MIN_CHARS, min_words: int = 0) -> DataFrame:
     """``key, docs, first_id, first_pos``: the keys of at least ``min_docs`` documents; the first is that of the smallest id, a null id last."""
 
     def suspects(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             _, keys, parent = split_lines(batch.column(1))
-            distinct, code, doc, key = _by_document(keys, parent, min_chars)
+            distinct, code, doc, key = _by_document(keys, parent, min_chars, min_words)
             suspected = _load(shared).has(_hashes(distinct))
             doc, key = doc[suspected[key]], key[suspected[key]]
             if len(key):
@@ -173,13 +175,13 @@ def _kept(texts: pa.Array, drop: np.ndarray, lines: pa.Array, parent: np.ndarray
     return text, np.bincount(parent, minlength=n), np.bincount(parent[drop], minlength=n)
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = MIN_DOCS, min_chars: int = MIN_CHARS, keep: str = "none", most_bits: int = MOST_BITS, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = MIN_DOCS, min_chars: int = MIN_CHARS, keep: str = "none", most_bits: int = MOST_BITS, broadcast_bytes: int = BROADCAST_BYTES, min_words: int = 0) -> DataFrame:
     """``docs`` with the lines of repeated keys dropped from ``text``, and ``n_lines``
     (before) and ``n_dropped``.
 
     A key is a line without ASCII white space at its ends, A-Z in lower case. A
-    key of at least ``min_chars`` code points in at least ``min_docs`` documents
-    is repeated. keep="none" drops all its lines; keep="first" leaves the first
+    key of at least ``min_chars`` code points and ``min_words`` words in at least
+    ``min_docs`` documents is repeated. keep="none" drops all its lines; keep="first" leaves the first
     line in the document of the smallest id (a null id counts as the largest;
     rows that repeat that id keep it too). Each row is a document. A null text
     becomes an empty one. Columns named n_lines or n_dropped are replaced; other
@@ -190,9 +192,9 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     spark = docs.sparkSession
     tune(spark)
     docs = docs.drop("n_lines", "n_dropped")
-    bloom = twice_filter(docs, text_col, min_chars, most_bits)
+    bloom = twice_filter(docs, text_col, min_chars, most_bits, min_words)
     shared = spark.sparkContext.broadcast((bloom.bits, zlib.compress(bloom.cells.tobytes(), 1)))
-    repeated = cut(repeated_keys(docs, shared, id_col, text_col, min_docs, min_chars), "repeated-lines")
+    repeated = cut(repeated_keys(docs, shared, id_col, text_col, min_docs, min_chars, min_words), "repeated-lines")
     size = repeated.agg(F.sum(F.octet_length("key") + 64).alias("n")).first()["n"] or 0
     schema = T.StructType([*docs.schema.fields, T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])
     at_id, at_text = docs.columns.index(id_col), docs.columns.index(text_col)

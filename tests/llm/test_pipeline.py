@@ -63,6 +63,23 @@ def test_near_stage_keeps_one_of_each(spark, tables):
     assert sorted(by_text[r[1]] for r in kept) == sorted(want)
 
 
+@pytest.mark.parametrize("broadcast_keys, broadcast_bytes", [(None, None), (0, 0)])
+def test_near_stage_drops_long_lines_from_two_documents_on(spark, tables, monkeypatch, broadcast_keys, broadcast_bytes):
+    """The first of two documents that are no near-duplicates keeps the line; short lines, null texts and lines of 50 words stay."""
+    if broadcast_keys is not None:
+        monkeypatch.setattr(CP.minhash, "BROADCAST_KEYS", broadcast_keys)
+        monkeypatch.setattr(CP.line_dedup.dedup_lines, "__defaults__", tuple(broadcast_bytes if d == CP.line_dedup.BROADCAST_BYTES else d for d in CP.line_dedup.dedup_lines.__defaults__))
+    rng = random.Random(3)
+    long, fifty = prose(rng, 51), prose(rng, 50)
+    own = [prose(rng, 150) for _ in range(4)]
+    texts = [f"{own[0]}\n{long}\nshort line\n{fifty}", f"{own[1]}\n {long.upper()} \nshort line\n{fifty}", f"{long}\n{own[2]}", own[3], None, f"{own[0]}\n{long}\nshort line\n{fifty}"]
+    rows = [((1, 1, None, 4, None, 6)[k], t, "en", "s", -1) for k, t in enumerate(texts)]
+    got = rows_of(CP.keep_one(spark, frame(spark, rows).coalesce(1), tables))
+    without = [f"{own[1]}\nshort line\n{fifty}", own[2]]
+    want = [rows[0], (1, without[0], "en", "s", len(without[0])), (None, without[1], "en", "s", len(without[1])), rows[3], rows[4]]
+    assert collections.Counter(got) == collections.Counter(want)
+
+
 def test_mixing_stage_repeats_rows(spark, tables):
     docs = spark.read.parquet(f"{tables}/documents.parquet")
     times = collections.Counter(rows_of(CP.mix_sources(spark, docs, tables)))
