@@ -1,122 +1,148 @@
 """Approximate nearest neighbours by multi-index hashing of learned rotated binary codes.
 
 Rotations are learned on a bounded sample by iterative quantisation: centre,
-project on the principal axes, then turn so that the signs lose least. A code is
-cut into 16-bit substrings, each indexed by value. Codes within a Hamming radius
-R of a query agree with it in at least one of m substrings up to R // m bits: so
-the values that near each of the query's substrings are probed, what they hold
-is checked against R, and what remains is ranked by its vectors. The radius is
-the one within which the sample's own neighbours lie; a query that finds too few
-is asked again with a larger one, up to all bits.
-
-Index rows stay where they are written; every task indexes blocks of its rows
-and answers bounded blocks of queries, so neither a common code nor a common
-vector makes one task larger.
+project on the principal axes, then turn so that the signs lose least; turns from
+other beginnings give as many bits as wanted. A code is cut into m substrings of
+16 bits, each indexed by its value. A query enumerates the 137 values within
+RADIUS = 2 bits of each of its substrings and looks them up. By the pigeonhole
+principle that retrieves every code within a Hamming radius of m * (RADIUS + 1) - 1
+bits; codes beyond it are found if one substring of theirs is near, and nothing
+retrieved is dropped before its vector is ranked. m is the least number of
+substrings by which the farther of the sample's own neighbours are retrieved at the
+wanted rate. Queries that find fewer than k are asked again with a larger radius, up to
+all bits.
+
+The index is a table of blocks: a bounded number of rows with their vectors and
+codes, each of one vector length, which has rotations of its own. Queries are blocks
+too. Query blocks are sent to every block of rows; a task holds one block's
+substring tables and streams the queries past them. Nothing is broadcast but the
+rotations and a counted list of block numbers, and nothing but the sample comes to the driver.
 """
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, lean, table
+from .common import cut, lean, table, tune
 
 NEAREST = 10
-BITS = 128
 SUBSTRING_BITS = 16
-#: Bounds: sampled rows and components the rotations are learned on, index rows of a block, queries of a block.
+#: Bits in which a probed value may differ from the query's substring; the larger radii are for queries that found too few.
+RADIUS = 2
+WIDER = (4, SUBSTRING_BITS)
+#: Share of the farther half of the sample's neighbour pairs that the substrings have to retrieve, and the most substrings.
+COVERED = 0.9
+MOST_SUBSTRINGS = 256
+#: Bounds: sampled rows and components the rotations are learned on, rows of a block, queries of a block.
 SAMPLE_ROWS = 8192
 SAMPLE_VALUES = 4_000_000
-BLOCK_ROWS = 32_768
-QUERY_BLOCK = 4096
-#: Share of the sample's neighbour pairs that lie within the radius.
-COVERED = 0.985
-ROUNDS = 30
+BLOCK_ROWS = 4096
+QUERY_ROWS = 512
+LISTED_BLOCKS = 1_000_000
+ROUNDS = 15
+
+_BLOCK = "block long, d int, ids binary, vectors binary, codes binary"
+_FOUND = "query_id long, vec_id long, score double"
 
 
 @dataclass(frozen=True)
 class Rotation:
     mean: np.ndarray
     axes: np.ndarray  # (dimensions, bits)
-    radius: int
-
-    @property
-    def bits(self) -> int:
-        return self.axes.shape[1]
 
     def codes(self, vectors: np.ndarray) -> np.ndarray:
-        """Packed codes, (n, substrings) of 16 bits."""
+        """(n, substrings) of 16 bits."""
         return np.packbits((vectors - self.mean) @ self.axes > 0, axis=1).view(np.uint16)
 
 
-def hamming(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Of codes (n, m) with one code (m,)."""
-    return np.bitwise_count(a ^ b).sum(axis=1, dtype=np.int64)
+@functools.lru_cache(maxsize=4)
+def masks(radius: int) -> np.ndarray:
+    """All 16-bit values of at most ``radius`` bits."""
+    every = np.arange(1 << SUBSTRING_BITS, dtype=np.uint32)
+    return every[np.bitwise_count(every) <= radius].astype(np.uint16)
+
 
+def learn(sample: np.ndarray, k: int = NEAREST, covered: float = COVERED, most: int = MOST_SUBSTRINGS, seed: int = 7) -> Rotation:
+    """Rotations from sampled vectors (n, d): as many as retrieve the share ``covered`` of the farther half of the sample's neighbours.
 
-def learn(sample: np.ndarray, bits: int = BITS, k: int = NEAREST, covered: float = COVERED, seed: int = 7) -> Rotation:
-    """Rotations and radius from sampled vectors (n, d)."""
+    Copies don't count, and near copies, which any rotation finds, don't stand for the others.
+    """
     n, d = sample.shape
     rng = np.random.default_rng(seed)
     mean = sample.mean(axis=0)
     centred = sample - mean
     axes = np.linalg.eigh(centred.T @ centred + 1e-9 * np.eye(d))[1][:, ::-1]
-    parts, missing = [], bits
-    while missing:
-        c = min(d, missing)
+    probes = rng.choice(n, min(n, 256), replace=False)
+    near = np.empty((len(probes), min(k, n - 1)), np.int64)
+    apart = np.empty(near.shape)
+    for at, q in enumerate(probes):
+        distance = ((sample - sample[q]) ** 2).sum(axis=1)
+        distance[q] = np.inf
+        near[at] = np.argpartition(distance, max(near.shape[1] - 1, 0))[: near.shape[1]]
+        apart[at] = distance[near[at]]
+    far = apart > 0
+    far &= apart >= np.median(apart[far]) if far.any() else False
+    found = np.zeros(near.shape, bool)
+    parts, bits, used = [], np.zeros((n, 0), bool), 0
+    while True:
+        c = min(d, 1024)
         projected = centred @ axes[:, :c]
         turn = np.linalg.qr(rng.standard_normal((c, c)))[0]
         for _ in range(ROUNDS):
             u, _, v = np.linalg.svd(np.sign(projected @ turn).T @ projected)
             turn = (u @ v).T
         parts.append(axes[:, :c] @ turn)
-        missing -= c
-    rotation = Rotation(mean, np.concatenate(parts, axis=1), bits)
-    codes = rotation.codes(sample)
-    probes = rng.choice(n, min(n, 256), replace=False)
-    seen = []
-    for q in probes:
-        distance = ((sample - sample[q]) ** 2).sum(axis=1)
-        distance[q] = np.inf
-        near = np.argpartition(distance, min(k, n - 1) - 1)[: min(k, n - 1)] if n > 1 else []
-        seen.append(hamming(codes[near], codes[q]))
-    seen = np.concatenate(seen) if seen else np.zeros(0)
-    radius = int(np.quantile(seen, covered, method="higher")) if len(seen) else bits
-    return Rotation(mean, rotation.axes, radius)
+        bits = np.c_[bits, projected @ turn > 0]
+        while bits.shape[1] >= SUBSTRING_BITS:
+            code = np.packbits(bits[:, :SUBSTRING_BITS], axis=1).view(np.uint16)[:, 0]
+            found |= np.bitwise_count(code[near] ^ code[probes][:, None]) <= RADIUS
+            bits, used = bits[:, SUBSTRING_BITS:], used + 1
+            if used >= most or not far.any() or found[far].mean() >= covered:
+                return Rotation(mean, np.concatenate(parts, axis=1)[:, : used * SUBSTRING_BITS])
 
 
 class Block:
-    """The substring indexes of some rows."""
-
-    def __init__(self, ids: np.ndarray, codes: np.ndarray, vectors: np.ndarray):
-        self.ids, self.codes, self.vectors = ids, codes, vectors
-        self.index = []
+    """Some rows and their substring tables, which are made when first asked for."""
+
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, codes: np.ndarray):
+        self.ids, self.vectors, self.codes = ids, vectors, codes
+        self.tables: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+    def table(self, j: int) -> tuple[np.ndarray, np.ndarray]:
+        """The rows in order of their j-th substring, and where each value's rows begin."""
+        if j not in self.tables:
+            values = self.codes[:, j]
+            first = np.zeros((1 << SUBSTRING_BITS) + 1, np.int32)
+            np.cumsum(np.bincount(values, minlength=1 << SUBSTRING_BITS), out=first[1:])
+            self.tables[j] = np.argsort(values, kind="stable").astype(np.int32), first
+        return self.tables[j]
+
+    def retrieve(self, codes: np.ndarray, radius: int) -> np.ndarray:
+        """(queries, rows): which rows have a substring within ``radius`` bits of the query's."""
+        hit = np.zeros((len(codes), len(self.ids)), bool)
+        if radius >= SUBSTRING_BITS:
+            return ~hit
         for j in range(codes.shape[1]):
-            order = np.argsort(codes[:, j], kind="stable")
-            values, first = np.unique(codes[order, j], return_index=True)
-            self.index.append((values, np.r_[first, len(order)], order))
-
-    def within(self, code: np.ndarray, radius: int) -> np.ndarray:
-        """Rows whose code differs in at most ``radius`` bits. All of them: by the pigeonhole principle one substring differs in at most radius // m."""
-        each = radius // len(self.index)
-        found = np.zeros(len(self.ids), bool)
-        for j, (values, first, order) in enumerate(self.index):
-            near = np.bitwise_count(values ^ code[j]) <= each
-            edges = np.zeros(len(order) + 1, np.int8)
-            edges[first[:-1][near]] += 1
-            edges[first[1:][near]] -= 1
-            found[order[np.cumsum(edges[:-1], dtype=np.int8) > 0]] = True
-        rows = np.flatnonzero(found)
-        return rows[hamming(self.codes[rows], code) <= radius]
-
-    def nearest(self, own: int, vector: np.ndarray, code: np.ndarray, radius: int, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """ids and distances of the k nearest ids within the radius, ties to smaller ids; an id counts once."""
-        rows = self.within(code, radius)
+            order, first = self.table(j)
+            values = (codes[:, j][:, None] ^ masks(radius)).astype(np.int32)
+            begin, count = first[values], first[values + 1] - first[values]
+            query, at = np.nonzero(count)
+            begin, count = begin[query, at], count[query, at]
+            place = np.repeat(begin - np.r_[0, np.cumsum(count)[:-1]], count) + np.arange(count.sum())
+            hit[np.repeat(query, count), order[place]] = True
+        return hit
+
+    def nearest(self, hit: np.ndarray, own: int, vector: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """ids and distances of the k nearest of the retrieved rows, ties to smaller ids; an id counts once, the query's own never."""
+        rows = np.flatnonzero(hit)
         rows = rows[self.ids[rows] != own]
         distance = np.sqrt(((self.vectors[rows].astype(np.float64) - vector) ** 2).sum(axis=1))
         ids = self.ids[rows]
@@ -126,114 +152,128 @@ class Block:
 
 
 def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    """``id, vector`` of rows with an id and a vector of finite components that isn't zero, of the most frequent length (the shorter of two)."""
+    """``id, vector, d``: rows with an id and a vector of finite components that isn't zero, and the vector's length."""
     v = F.col(vector_col)
     bad = F.exists(v, lambda x: F.coalesce(F.isnan(x) | (F.abs(x) == float("inf")), F.lit(True)))
-    rows = vectors.filter(F.col(id_col).isNotNull() & v.isNotNull() & ~bad & F.exists(v, lambda x: x != 0)).select(F.col(id_col).cast("long").alias("id"), v.alias("vector"))
-    common = rows.groupBy(F.size("vector").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    return rows.filter(F.size("vector") == (common["d"] if common else 0))
+    rows = vectors.filter(F.col(id_col).isNotNull() & v.isNotNull() & ~bad & F.exists(v, lambda x: x != 0))
+    return rows.select(F.col(id_col).cast("long").alias("id"), v.alias("vector"), F.size(v).alias("d"))
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
 
 
-def build_index(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", bits: int = BITS, k: int = NEAREST, sample_rows: int = SAMPLE_ROWS) -> tuple[DataFrame, Rotation | None]:
-    """Every usable row with its code, as a written table ``id, vector, code``, and the rotations. None without rows.
+def _blocks(rows: DataFrame, rotations: dict[int, Rotation], most: int) -> DataFrame:
+    """rows ``id, vector, d`` as blocks of at most ``most`` rows of one length. No shuffle; a block is numbered by its task."""
+    shared = rows.sparkSession.sparkContext.broadcast(rotations)
+    kind = np.float64 if "double" in rows.schema["vector"].dataType.simpleString() else np.float32
 
-    The sample: the rows of the smallest hashes of their ids, at most
-    ``sample_rows`` and SAMPLE_VALUES components.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = TaskContext.get().partitionId() << 32
+        held: dict[int, list[pa.RecordBatch]] = {}
+
+        def block(d: int) -> pa.RecordBatch:
+            nonlocal number
+            part = pa.Table.from_batches(held.pop(d)).combine_chunks()
+            vectors = _matrix(part["vector"].combine_chunks()).astype(kind)
+            codes = shared.value[d].codes(vectors.astype(np.float64))
+            number += 1
+            made = [[number], [d], [part["id"].to_numpy().tobytes()], [vectors.tobytes()], [codes.tobytes()]]
+            return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(made, (pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary()))], names=["block", "d", "ids", "vectors", "codes"])
+
+        for batch in batches:
+            lengths = batch.column(2).to_numpy()
+            for d in np.unique(lengths).tolist():
+                part = batch.filter(pa.array(lengths == d))
+                while len(part):
+                    room = most - sum(map(len, held.setdefault(d, [])))
+                    held[d].append(part.slice(0, room))
+                    part = part.slice(room)
+                    if sum(map(len, held[d])) == most:
+                        yield block(d)
+        for d in list(held):
+            if held[d]:
+                yield block(d)
+
+    return rows.mapInArrow(lean(run), _BLOCK)
+
+
+@dataclass(frozen=True)
+class Index:
+    blocks: DataFrame
+    rotations: dict[int, Rotation]
+
+
+def build_index(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", k: int = NEAREST, covered: float = COVERED, sample_rows: int = SAMPLE_ROWS) -> Index:
+    """Every usable row, with its code, in a written table of blocks, and the rotations of each vector length.
+
+    The sample of a length: the rows of the smallest hashes of their ids, at most
+    ``sample_rows`` and SAMPLE_VALUES components. Lengths are learned one by one.
     """
-    if bits % SUBSTRING_BITS:
-        raise ValueError(f"bits is a multiple of {SUBSTRING_BITS}")
     rows = usable(vectors, id_col, vector_col)
-    first = rows.select(F.size("vector").alias("d")).first()
-    if first is None:
-        return rows.withColumn("code", F.lit(None).cast("binary")), None
-    n = max(1, min(sample_rows, SAMPLE_VALUES // first["d"]))
-    sample = rows.orderBy(F.xxhash64("id"), "id").limit(n).select(F.col("vector").cast("array<double>").alias("vector")).toArrow()
-    rotation = learn(_matrix(sample["vector"].combine_chunks()), bits, k)
-
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    tune(rows.sparkSession)
+    rotations = {}
+    for d in sorted(r["d"] for r in rows.select("d").distinct().collect()):
+        n = max(1, min(sample_rows, SAMPLE_VALUES // d))
+        sample = rows.filter(F.col("d") == d).orderBy(F.xxhash64("id"), "id").limit(n).select(F.col("vector").cast("array<double>").alias("vector")).toArrow()
+        rotations[d] = learn(_matrix(sample["vector"].combine_chunks()), k, covered)
+    return Index(cut(_blocks(rows, rotations, BLOCK_ROWS), "index-blocks"), rotations)
+
+
+def _ask(index: Index, listed: DataFrame, n_blocks: int, queries: DataFrame, radius: int, k: int) -> DataFrame:
+    """queries ``id, vector, d`` against all blocks of their length: each block's k nearest of what it retrieves."""
+    asked = cut(_blocks(queries, index.rotations, QUERY_ROWS), "query-blocks")
+    sent = asked.drop("block").join(F.broadcast(listed) if n_blocks <= LISTED_BLOCKS else listed, "d").select(listed["block"], F.lit(1).alias("asks"), asked["d"], "ids", "vectors", "codes")
+    held = index.blocks.select("block", F.lit(0).alias("asks"), "d", "ids", "vectors", "codes")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block = None
         for batch in batches:
-            if len(batch):
-                codes = rotation.codes(_matrix(batch.column(1)).astype(np.float64))
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([c.tobytes() for c in codes], pa.binary())], names=["id", "vector", "code"])
+            for row in batch.to_pylist():
+                d, ids = row["d"], np.frombuffer(row["ids"], np.int64)
+                vectors = np.frombuffer(row["vectors"], np.float32 if len(row["vectors"]) == 4 * d * len(ids) else np.float64).reshape(-1, d)
+                codes = np.frombuffer(row["codes"], np.uint16).reshape(len(ids), -1)
+                if not row["asks"]:
+                    block = Block(ids, vectors, codes)
+                    continue
+                hit = block.retrieve(codes, radius)
+                found = [(own, *block.nearest(h, own, v, k)) for own, h, v in zip(ids, hit, vectors.astype(np.float64))]
+                yield pa.RecordBatch.from_pydict({"query_id": np.concatenate([np.full(len(i), own) for own, i, _ in found]), "vec_id": np.concatenate([i for _, i, _ in found]), "score": np.concatenate([s for _, _, s in found])})
 
-    return cut(rows.mapInArrow(lean(encode), f"id long, vector {rows.schema['vector'].dataType.simpleString()}, code binary"), "codes"), rotation
+    dealt = held.union(sent).repartition(max(1, min(n_blocks, 20_000)), "block").sortWithinPartitions("block", "asks")
+    return dealt.mapInArrow(lean(run), _FOUND)
 
 
-def search(index: DataFrame, rotation: Rotation, queries: DataFrame, k: int = NEAREST) -> DataFrame:
-    """``query_id, rank, vec_id, score`` of each query (rows of the index): its k nearest found, all candidates if fewer.
+def search(index: Index, queries: DataFrame, k: int = NEAREST, radius: int = RADIUS) -> DataFrame:
+    """``query_id, rank, vec_id, score`` of each query (``id, vector, d``, as ``usable`` gives them): its k nearest found, all candidates if fewer.
 
-    A query's own id is no candidate; ids that repeat count once, by their
-    nearest vector, and as queries by one of theirs.
+    Null ids and vectors that are null, zero or hold null or non-finite
+    components are no queries and no candidates. A vector meets those of its own
+    length; a length without rows answers nothing. A query's own id is no
+    candidate; ids that repeat count once, by their nearest vector, and as queries
+    by the smallest of theirs. Ties go to smaller ids. Very long vectors make
+    blocks of as many bytes more; other columns are not read; an empty table
+    gives no rows.
     """
-    spark = index.sparkSession
-    queries = cut(queries.groupBy("id").agg(F.min("vector").alias("vector"), F.min("code").alias("code")), "queries")
-    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
-    everything = index.select("id").distinct().limit(k + 1).count() - 1
-
-    def ask(asked: DataFrame, radius: int) -> DataFrame:
-        rows = asked.select("id", F.col("vector").cast("array<double>").alias("vector")).toArrow()  # at most about QUERY_BLOCK
-        if not len(rows):
-            return spark.createDataFrame([], "query_id long, vec_id long, score double")
-        vectors = _matrix(rows["vector"].combine_chunks())
-        shared = spark.sparkContext.broadcast((rows["id"].to_numpy(), vectors, rotation.codes(vectors)))
-
-        def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            def answer(held: list[pa.RecordBatch]) -> pa.RecordBatch:
-                rows = pa.Table.from_batches(held).combine_chunks()
-                codes = np.frombuffer(b"".join(rows["code"].to_pylist()), np.uint16).reshape(len(rows), -1)
-                block = Block(rows["id"].to_numpy(), codes, _matrix(rows["vector"].combine_chunks()))
-                found = [(own, *block.nearest(own, v, c, radius, k)) for own, v, c in zip(*shared.value)]
-                return pa.RecordBatch.from_pydict({"query_id": np.concatenate([np.full(len(i), own) for own, i, _ in found]), "vec_id": np.concatenate([i for _, i, _ in found]), "score": np.concatenate([s for _, _, s in found])})
-
-            held, n = [], 0
-            for batch in batches:
-                if not len(batch):
-                    continue
-                held.append(batch)
-                n += len(batch)
-                if n >= BLOCK_ROWS:
-                    yield answer(held)
-                    held, n = [], 0
-            if held:
-                yield answer(held)
-
-        return index.mapInArrow(lean(probe), "query_id long, vec_id long, score double")
-
-    def best(found: DataFrame) -> DataFrame:
-        order = Window.partitionBy("query_id").orderBy("score", "vec_id")
-        once = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
-        return once.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
-
-    done, radius = [], min(rotation.radius, rotation.bits)
-    left = queries
-    while True:
-        parts = [ask(left.filter(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b) if blocks > 1 else left, radius) for b in range(blocks)]
-        found = parts[0]
-        for part in parts[1:]:
-            found = found.union(part)
-        found = cut(best(found), "neighbours")
-        enough = found.groupBy("query_id").count().filter(F.col("count") >= min(k, everything)).select("query_id")
-        if radius >= rotation.bits:
-            done.append(found)
-            break
-        done.append(found.join(enough, "query_id", "left_semi"))
-        left = cut(left.join(enough, left["id"] == enough["query_id"], "left_anti"), "short-queries")
-        blocks = max(1, -(-left.count() // QUERY_BLOCK))
-        if not left.limit(1).count():
-            break
-        radius = min(2 * max(radius, 1), rotation.bits)
-    result = done[0]
-    for part in done[1:]:
-        result = result.union(part)
+    known = queries.filter(F.col("d").isin(list(index.rotations)))
+    left = cut(known.groupBy("id").agg(F.min(F.struct("d", "vector")).alias("q")).select("id", "q.vector", "q.d"), "queries")
+    listed = cut(index.blocks.select("block", "d"), "block-list")
+    n_blocks = listed.count()
+    order = Window.partitionBy("query_id").orderBy("score", "vec_id")
+    result = None
+    for each in (radius, *(w for w in WIDER if w > radius)):
+        found = _ask(index, listed, n_blocks, left, each, k).groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
+        found = cut(found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score"), "neighbours")
+        enough = found.filter(F.col("rank") == k).select("query_id")
+        done = found if each >= SUBSTRING_BITS else found.join(enough, "query_id", "left_semi")
+        result = done if result is None else result.union(done)
+        if each < SUBSTRING_BITS:
+            left = cut(left.join(enough, left["id"] == enough["query_id"], "left_anti"), "short-queries")
+            if not left.limit(1).count():
+                break
     return result
 
 
 def op2_multi_index_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    index, rotation = build_index(table(spark, sf_dir, "embeddings"))
-    if rotation is None:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    return search(index, rotation, index.filter("id % 100 = 0"))
+    vectors = table(spark, sf_dir, "embeddings")
+    return search(build_index(vectors), usable(vectors, "vec_id", "embedding").filter("id % 100 = 0"))

@@ -71,7 +71,8 @@ class Windows:
         marked, start = format_turn(role, text)
         tokens = self.count(marked)
         out = []
-        room = self.budget - (self.system[1] if self.system else 0) - sum(n for _, n in self.history)
+        repeated = self.system[1] if self.system and self.span and self.span[0][4] > 0 else 0  # the first span holds the system turn itself
+        room = self.budget - repeated - sum(n for _, n in self.history)
         # The span ends before the turn that would pass the room; a lone turn of more tokens is a window over the budget.
         if self.span and bisect_right(self.prefix, room - tokens) < len(self.prefix):
             out.append(self.close())
@@ -118,18 +119,18 @@ def format_chat(turns: DataFrame, budget: int = BUDGET, history: int = HISTORY,
     conversation. Turns come by number (null first), then role, then text; rows
     that repeat a number are turns each. The system turn is a first turn of that
     role. A turn that with the system turn is over the budget is a
-    window of its own, marked over_budget, never cut. Other columns are not read; an empty table gives no rows.
+    window of its own, marked over_budget, never cut. ``tokens`` are those of
+    the window's marked turns, each encoded by itself. Very long texts and
+    conversations are streamed turn by turn. Other columns are not read, so their
+    names can't clash; an empty table gives no rows.
     """
     tune(turns.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, marker_tokens = encoder(tokenizer), {}
+        encode = encoder(tokenizer)
 
         def count(marked: str) -> int:
-            head, _, rest = marked.partition("[/INST]")
-            if head not in marker_tokens and len(marker_tokens) < 1000:
-                marker_tokens[head] = len(encode.raw(head + "[/INST]")) // 4
-            return marker_tokens.get(head, 8) + len(encode.raw(rest)) // 4
+            return len(encode.raw(marked)) // 4
 
         def pack(rows: list[tuple]) -> pa.RecordBatch:
             columns = list(zip(*rows))
@@ -192,5 +193,5 @@ def op6_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_back(format_chat(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").union(own)))
 
 
-#: All but formatted_chars, which is the template's: that of each turn is its text's and the markers', escaped, plus what windows repeat.
+#: None: digests over all turns of a conversation could be SQL, but ``formatted_chars`` depends on the windows, which only the tokenizer's counts decide.
 ORACLE_SQL = None

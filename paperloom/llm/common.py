@@ -18,6 +18,9 @@ from pyspark.sql import functions as F
 
 #: The white space of the line and word contracts: space and the bytes 09 to 0D.
 ASCII_SPACE = " \t\n\x0b\x0c\r"
+#: Rows of one key that a join leaves to one task, and keys of more rows that are broadcast.
+HOT_ROWS = 20_000
+HOT_KEYS = 100_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,19 +34,24 @@ def tune(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; where it is unset, as in tests, a temporary one is set."""
+    """This application's part of the cluster's shared folder. Where that is unset a local master gets a temporary one; a cluster's executors couldn't see it, so there it is an error."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="paperloom-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return f"{folder.rstrip('/')}/paperloom-{spark.sparkContext.applicationId}"
 
 
 def cut(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back. ``cleanup`` removes what was written."""
+    """Write ``df`` to the shared folder and read it back. What was written goes when the driver's JVM ends, or by ``cleanup``."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    folder = shared_dir(spark)
+    path = f"{folder}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    parent = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    parent.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(parent)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -53,6 +61,39 @@ def cleanup(spark: SparkSession) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def fresh(name: str, *taken: str) -> str:
+    """``name``, with underscores before it until none of ``taken`` is the same but for case."""
+    known = {t.lower() for t in taken}
+    while name.lower() in known:
+        name = f"_{name}"
+    return name
+
+
+def hot_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner", hot_rows: int | None = None, counted: DataFrame | None = None, deal_by: tuple[str, ...] = ()) -> DataFrame:
+    """``left`` joined with ``right``, whose ``keys`` are unique and not null; as ``join(right, keys, how)``.
+
+    A key that more than ``hot_rows`` (HOT_ROWS) rows of ``left`` hold is dealt to several
+    tasks, and its row of ``right`` is repeated for each. Rows are dealt by a hash of
+    ``deal_by``, or by their number where ``left`` is read from files, so that a
+    task run again deals alike. Counting combines before it shuffles. Such keys are at most one in ``hot_rows`` rows; up to
+    HOT_KEYS of them are broadcast, of more the commonest, by a higher limit.
+    Without ``counted`` (``keys, count`` of ``left``) it is read twice: it should be a written table or cheap.
+    """
+    hot_rows = HOT_ROWS if hot_rows is None else hot_rows
+    counted = left.groupBy(*keys).count() if counted is None else counted
+    hot = counted.filter(F.col("count") > hot_rows).select(*keys, F.ceil(F.col("count") / hot_rows).cast("int").alias("__parts"))
+    n = hot.count()
+    if not n:
+        return left.join(right, keys, how)
+    hot = cut(hot, "hot-keys")
+    if n > HOT_KEYS:
+        hot = hot.orderBy(F.desc("__parts"), *keys).limit(HOT_KEYS)
+    parts, n_parts = "__parts", F.coalesce("__parts", F.lit(1))
+    dealt = left.join(F.broadcast(hot), keys, "left").withColumn("__deal", F.pmod(F.xxhash64(*deal_by) if deal_by else F.monotonically_increasing_id(), n_parts).cast("int")).drop(parts)
+    copied = right.join(F.broadcast(hot), keys, "left").withColumn("__deal", F.explode(F.sequence(F.lit(0), n_parts - 1))).drop(parts)
+    return dealt.join(copied, [*keys, "__deal"], how).drop("__deal")
+
+
 def lean(work):
     """A function on batches that hands its worker's free memory back to the system at its end: workers are kept for later tasks."""
 

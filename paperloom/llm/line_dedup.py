@@ -1,22 +1,21 @@
 """Line-level de-duplication with two Bloom filters.
 
-1. Every task adds the keys of its lines, once for each document, to a filter of
-   keys seen once and, if they were there, to one of keys seen twice. The tasks'
-   filters are merged segment by segment: twice = both ``twice`` filters and
-   what is in both ``once`` filters. All keys of two documents or more are in
-   the merged filter, whatever else its false positives add.
-2. Only lines whose key the merged filter suspects are shuffled, pre-counted by
-   task, and confirmed by their exact keys.
-3. Confirmed keys are few; if their size, which is measured, allows it they are
-   broadcast. Otherwise line positions are joined with them by key.
-
-The filters' size follows the number of lines up to ``most_bits``. Beyond that
-more lines are suspected and confirmed exactly; results are the same.
+1. Every task sends the hashes of its lines' keys, once for each document and
+   counted, to the part of the hash range that they belong to. A part passes
+   them through two filters: a hash that the first one, of hashes seen once, already
+   holds enters the second one, of hashes seen twice. What the second one then holds,
+   with its false positives, are the suspects. A part has about ``part_lines``
+   lines and filters of ten bits a line, so parts grow in number with the input
+   and the filters never fill up: about one line in a hundred that is seen once is suspected.
+2. Suspects are few: their hashes are broadcast if their counted size allows it,
+   otherwise lines' hashes and places are joined with them. Only suspected lines are shuffled with
+   their keys, pre-counted by task, and confirmed by the exact keys.
+3. Confirmed keys are broadcast if their size, which is measured, allows it.
+   Otherwise suspected lines' places are joined with them by key.
 """
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,20 +23,27 @@ import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ASCII_SPACE, cut, lean, table, tune
+from .common import ASCII_SPACE, cut, fresh, hot_join, lean, table, tune
 
 MIN_DOCS = 10
 MIN_CHARS = 1
-MOST_BITS = 1 << 28
-SEGMENT_BYTES = 1 << 15
+#: Lines of one part of the hash range, and the filters' bits for each. A part's two filters take 2 x 1.25 to 2.5 MB.
+PART_LINES = 1 << 20
+BITS_A_LINE = 10
 HASHES = 4
+#: Hashes that a task holds before it sends them, and that pass the filters at a time.
+HELD_HASHES = 1 << 20
+BATCH_HASHES = 1 << 16
+#: Broadcast up to these sizes: suspects' hashes, confirmed keys.
+SUSPECT_BYTES = 64 << 20
 BROADCAST_BYTES = 8 << 20
 _LAST = (1 << 63) - 1
+#: An odd multiplier: the part of a hash doesn't depend on the bits that choose its places in the filters.
+_SPREAD = np.uint64(0x9E3779B97F4A7C15)
 
 ORACLE_SQL = """
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
@@ -59,9 +65,11 @@ def split_lines(texts: pa.Array) -> tuple[pa.Array, pa.Array, np.ndarray]:
 
 
 class Bloom:
-    def __init__(self, bits: int, cells: np.ndarray | None = None):
-        self.bits = bits
-        self.cells = np.zeros(bits // 8, np.uint8) if cells is None else cells
+    """A filter of 64-bit hashes with HASHES bits for each."""
+
+    def __init__(self, lines: int):
+        self.bits = 1 << max(12, (BITS_A_LINE * max(lines, 1) - 1).bit_length())
+        self.cells = np.zeros(self.bits // 8, np.uint8)
 
     def _at(self, hashes: np.ndarray) -> np.ndarray:
         step = (hashes >> np.uint64(32)) | np.uint64(1)
@@ -92,80 +100,135 @@ def _by_document(keys: pa.Array, parent: np.ndarray, min_chars: int, min_words:
     return distinct, code, pair // max(len(distinct), 1), pair % max(len(distinct), 1)
 
 
-def _pieces(bloom: Bloom) -> dict[int, bytes]:
-    cells = bloom.cells.reshape(-1, min(SEGMENT_BYTES, len(bloom.cells)))
-    return {int(k): zlib.compress(cells[k].tobytes(), 1) for k in np.flatnonzero(cells.any(axis=1))}
-
+def _suspected(pdf: pd.DataFrame, lines: int) -> pd.DataFrame:
+    """A part's rows ``hash, docs`` → its suspects. Each row goes past the filters in turn, in batches whose hashes are told apart."""
+    once, twice = Bloom(lines), Bloom(lines)
+    hashes, docs = pdf["hash"].to_numpy().view(np.uint64), pdf["docs"].to_numpy()
+    for at in range(0, len(hashes), BATCH_HASHES):
+        used, where = np.unique(hashes[at : at + BATCH_HASHES], return_inverse=True)
+        counts = np.bincount(where, weights=docs[at : at + BATCH_HASHES])
+        twice.add(used[(counts > 1) | once.has(used)])
+        once.add(used)
+    distinct = np.unique(hashes)
+    return pd.DataFrame({"hash": distinct[twice.has(distinct)].view(np.int64)})
 
-def _merge(pdf: pd.DataFrame) -> pd.DataFrame:
-    once = twice = None
-    for a, b in zip(pdf.once, pdf.twice):
-        a = np.frombuffer(zlib.decompress(a), np.uint8)
-        b = np.frombuffer(zlib.decompress(b), np.uint8) if b else np.zeros_like(a)
-        once, twice = (a, b) if once is None else (once | a, twice | b | (once & a))
-    return pd.DataFrame({"segment": [pdf.segment.iloc[0]], "task": [0], "once": [zlib.compress(once.tobytes(), 1)], "twice": [zlib.compress(twice.tobytes(), 1) if twice.any() else b""]})
 
-
-def twice_filter(docs: DataFrame, text_col: str = "text", min_chars: int = MIN_CHARS, most_bits: int = MOST_BITS, min_words: int = 0) -> Bloom:
-    """The merged filter of keys that two documents or more hold (and false positives)."""
+def suspects(docs: DataFrame, text_col: str = "text", min_chars: int = MIN_CHARS, min_words: int = 0, part_lines: int = PART_LINES) -> DataFrame:
+    """``hash``, once each: those of all keys that two documents or more hold, and false positives. A written table."""
     n = docs.agg(F.sum(F.coalesce(F.length(F.col(text_col)) - F.length(F.replace(F.col(text_col), F.lit("\n"), F.lit(""))), F.lit(0)) + 1).alias("n")).first()["n"] or 1
-    bits = min(most_bits, max(1 << 12, 1 << (10 * int(n) - 1).bit_length()))
+    parts = -(-int(n) // part_lines)
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        once, twice = Bloom(bits), Bloom(bits)
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        size = 0
+
+        def counted() -> pa.RecordBatch:
+            # A task that holds a line often sends it once.
+            used, where = np.unique(np.concatenate([h for h, _ in held]), return_inverse=True)
+            docs = np.minimum(np.bincount(where, weights=np.concatenate([c for _, c in held])), 2).astype(np.int8)
+            return pa.RecordBatch.from_pydict({"part": pa.array((used * _SPREAD >> np.uint64(33)) % np.uint64(parts), pa.int64()), "hash": used.view(np.int64), "docs": docs})
+
         for batch in batches:
             _, keys, parent = split_lines(batch.column(0))
             distinct, _, _, key = _by_document(keys, parent, min_chars, min_words)
             used, counts = np.unique(key, return_counts=True)
-            hashes = _hashes(distinct.take(pa.array(used)))
-            twice.add(hashes[(counts > 1) | once.has(hashes)])
-            once.add(hashes)
-        first, second = _pieces(once), _pieces(twice)
-        if first:
-            yield pa.RecordBatch.from_pydict({"segment": pa.array(list(first), pa.int64()), "task": pa.array([TaskContext.get().partitionId()] * len(first), pa.int64()), "once": pa.array(list(first.values()), pa.binary()), "twice": pa.array([second.get(k, b"") for k in first], pa.binary())})
-
-    schema = "segment long, task long, once binary, twice binary"
-    # A first merge of at most 64 tasks at a time bounds the second one's groups.
-    parts = docs.select(text_col).mapInArrow(lean(build), schema).withColumn("task", F.floor(F.col("task") / 64))
-    merged = parts.groupBy("segment", "task").applyInPandas(_merge, schema).groupBy("segment").applyInPandas(_merge, schema)
-    cells = np.zeros(bits // 8, np.uint8)
-    for row in merged.filter(F.length("twice") > 0).select("segment", "twice").toLocalIterator():
-        found = np.frombuffer(zlib.decompress(bytes(row["twice"])), np.uint8)
-        cells[row["segment"] * len(found) : (row["segment"] + 1) * len(found)] = found
-    return Bloom(bits, cells)
-
-
-def _load(shared) -> Bloom:
-    bits, packed = shared.value
-    if not hasattr(shared, "bloom"):
-        shared.bloom = Bloom(bits, np.frombuffer(zlib.decompress(packed), np.uint8))
-    return shared.bloom
+            if len(used):
+                held.append((_hashes(distinct.take(pa.array(used))), counts))
+                size += len(used)
+            if size >= HELD_HASHES:
+                yield counted()
+                held, size = [], 0
+        if held:
+            yield counted()
 
+    sent = docs.select(text_col).mapInArrow(lean(build), "part long, hash long, docs tinyint")
+    return cut(sent.groupBy("part").applyInPandas(lambda pdf: _suspected(pdf[["hash", "docs"]], part_lines), "hash long"), "suspected-lines")
 
-def repeated_keys(docs: DataFrame, shared, id_col: str = "doc_id", text_col: str = "text", min_docs: int = MIN_DOCS, min_chars: int = MIN_CHARS, min_words: int = 0) -> DataFrame:
+
+class Suspects:
+    """Broadcast suspects: sorted hashes."""
+
+    def __init__(self, hashes: np.ndarray):
+        self.hashes = np.sort(hashes.view(np.uint64))
+
+    def has(self, hashes: np.ndarray) -> np.ndarray:
+        if not len(self.hashes):
+            return np.zeros(len(hashes), bool)
+        at = np.searchsorted(self.hashes, hashes)
+        return self.hashes[np.minimum(at, len(self.hashes) - 1)] == hashes
+
+
+def _places(batch: pa.RecordBatch, min_chars: int, min_words: int, suspected=None) -> tuple:
+    """The first line of each (text, key): keys, text's number, key's number, place in the text. suspected: hashes → which ones count."""
+    _, keys, parent = split_lines(batch.column(1))
+    distinct, code, doc, key = _by_document(keys, parent, min_chars, min_words)
+    if suspected is not None:
+        some = suspected(_hashes(distinct))
+        doc, key = doc[some[key]], key[some[key]]
+        line = np.flatnonzero(some[code])
+    else:
+        line = np.arange(len(code))
+    if not len(doc):
+        return distinct, doc, key, doc
+    start = np.flatnonzero(np.r_[True, parent[1:] != parent[:-1]])
+    pair, first = np.unique(parent[line] * len(distinct) + code[line], return_index=True)
+    return distinct, doc, key, line[first[np.searchsorted(pair, doc * len(distinct) + key)]] - start[doc]
+
+
+def _counted(distinct: pa.Array, doc: np.ndarray, key: np.ndarray, at: np.ndarray, ids: pa.Array) -> pa.RecordBatch:
+    """Suspected lines by key: in how many texts, and the first place."""
+    ids = pc.fill_null(ids, _LAST).to_numpy(zero_copy_only=False)[doc]
+    order = np.lexsort((at, ids, key))
+    head = np.r_[True, key[order][1:] != key[order][:-1]]
+    counts = np.diff(np.r_[np.flatnonzero(head), len(order)])
+    order = order[head]
+    return pa.RecordBatch.from_pydict({"key": distinct.take(pa.array(key[order])), "n": pa.array(counts, pa.int64()), "id": pa.array(ids[order], pa.int64()), "pos": pa.array(at[order], pa.int64())})
+
+
+def _confirmed(found: DataFrame, min_docs: int) -> DataFrame:
     """``key, docs, first_id, first_pos``: the keys of at least ``min_docs`` documents; the first is that of the smallest id, a null id last."""
+    keys = found.groupBy("key").agg(F.sum("n").alias("docs"), F.min(F.struct("id", "pos")).alias("first")).filter(F.col("docs") >= min_docs)
+    return cut(keys.select("key", "docs", F.col("first.id").alias("first_id"), F.col("first.pos").alias("first_pos")), "repeated-lines")
+
+
+def repeated_keys(docs: DataFrame, shared, id_col: str = "doc_id", text_col: str = "text", min_docs: int = MIN_DOCS, min_chars: int = MIN_CHARS, min_words: int = 0) -> DataFrame:
+    """Repeated keys by broadcast suspects."""
 
-    def suspects(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            _, keys, parent = split_lines(batch.column(1))
-            distinct, code, doc, key = _by_document(keys, parent, min_chars, min_words)
-            suspected = _load(shared).has(_hashes(distinct))
-            doc, key = doc[suspected[key]], key[suspected[key]]
-            if len(key):
-                ids = pc.fill_null(batch.column(0), _LAST).to_numpy(zero_copy_only=False)[doc]
-                start = np.flatnonzero(np.r_[True, parent[1:] != parent[:-1]])
-                # The first line of each (text, key) pair.
-                line = np.flatnonzero(suspected[code])
-                pair, first = np.unique(parent[line] * len(distinct) + code[line], return_index=True)
-                at = line[first[np.searchsorted(pair, doc * len(distinct) + key)]] - start[doc]
-                order = np.lexsort((at, ids, key))
-                head = np.r_[True, key[order][1:] != key[order][:-1]]
-                counts = np.diff(np.r_[np.flatnonzero(head), len(order)])
-                order = order[head]
-                yield pa.RecordBatch.from_pydict({"key": distinct.take(pa.array(key[order])), "n": pa.array(counts, pa.int64()), "id": pa.array(ids[order], pa.int64()), "pos": pa.array(at[order], pa.int64())})
-
-    found = docs.select(F.col(id_col).cast("long").alias("id"), text_col).mapInArrow(lean(suspects), "key string, n long, id long, pos long")
-    return found.groupBy("key").agg(F.sum("n").alias("docs"), F.min(F.struct("id", "pos")).alias("first")).filter(F.col("docs") >= min_docs).select("key", "docs", F.col("first.id").alias("first_id"), F.col("first.pos").alias("first_pos"))
+            found = _places(batch, min_chars, min_words, shared.value.has)
+            if len(found[1]):
+                yield _counted(*found, batch.column(0))
+
+    return _confirmed(docs.select(F.col(id_col).cast("long").alias("id"), text_col).mapInArrow(lean(run), "key string, n long, id long, pos long"), min_docs)
+
+
+def suspected_places(numbered: DataFrame, row: str, text_col: str, suspected: DataFrame, min_chars: int, min_words: int) -> DataFrame:
+    """``row`` and ``places``, the numbers of its suspected lines: hashes and places of all lines, without texts, are joined with the suspects."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            distinct, doc, key, at = _places(batch, min_chars, min_words)
+            hashes = _hashes(distinct).view(np.int64)
+            yield pa.RecordBatch.from_pydict({"row": batch.column(0).take(pa.array(doc)), "hash": hashes[key], "pos": pa.array(at, pa.int64())})
+
+    sent = cut(numbered.select(row, text_col).mapInArrow(lean(run), "row long, hash long, pos long"), "line-hashes")
+    met = hot_join(sent, suspected, ["hash"])
+    return met.groupBy("row").agg(F.collect_list("pos").alias("places"))  # bounded by a text's lines
+
+
+def _flat(places: pa.Array, start: np.ndarray) -> np.ndarray:
+    """Line numbers in the batch of each text's places; null: none."""
+    counts = pc.fill_null(pc.list_value_length(places), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    return np.repeat(start, counts) + places.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def _among(places: pa.Array, doc: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Whether a place is one of its text's."""
+    counts = pc.fill_null(pc.list_value_length(places), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    flat = places.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+    most = max(at.max(initial=0), flat.max(initial=0)) + 1
+    return np.isin(doc * most + at, np.repeat(np.arange(len(counts)), counts) * most + flat)
 
 
 def _kept(texts: pa.Array, drop: np.ndarray, lines: pa.Array, parent: np.ndarray) -> tuple[pa.Array, np.ndarray, np.ndarray]:
@@ -175,7 +238,7 @@ def _kept(texts: pa.Array, drop: np.ndarray, lines: pa.Array, parent: np.ndarray
     return text, np.bincount(parent, minlength=n), np.bincount(parent[drop], minlength=n)
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = MIN_DOCS, min_chars: int = MIN_CHARS, keep: str = "none", most_bits: int = MOST_BITS, broadcast_bytes: int = BROADCAST_BYTES, min_words: int = 0) -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = MIN_DOCS, min_chars: int = MIN_CHARS, keep: str = "none", broadcast_bytes: int = BROADCAST_BYTES, min_words: int = 0, suspect_bytes: int = SUSPECT_BYTES, part_lines: int = PART_LINES) -> DataFrame:
     """``docs`` with the lines of repeated keys dropped from ``text``, and ``n_lines``
     (before) and ``n_dropped``.
 
@@ -184,17 +247,34 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     ``min_docs`` documents is repeated. keep="none" drops all its lines; keep="first" leaves the first
     line in the document of the smallest id (a null id counts as the largest;
     rows that repeat that id keep it too). Each row is a document. A null text
-    becomes an empty one. Columns named n_lines or n_dropped are replaced; other
-    columns pass through. An empty table stays empty.
+    becomes an empty one; a very long one is split whole. Columns named n_lines or n_dropped are replaced; other
+    columns pass through, whatever their names. An empty table stays empty.
     """
     if keep not in ("none", "first"):
         raise ValueError("keep is none or first")
     spark = docs.sparkSession
     tune(spark)
     docs = docs.drop("n_lines", "n_dropped")
-    bloom = twice_filter(docs, text_col, min_chars, most_bits, min_words)
-    shared = spark.sparkContext.broadcast((bloom.bits, zlib.compress(bloom.cells.tobytes(), 1)))
-    repeated = cut(repeated_keys(docs, shared, id_col, text_col, min_docs, min_chars, min_words), "repeated-lines")
+    suspected = suspects(docs, text_col, min_chars, min_words, part_lines)
+    row, places, gone = (fresh(n, *docs.columns) for n in ("__line_row", "__line_places", "__line_gone"))
+    numbered = None
+    if suspected.count() * 8 <= suspect_bytes:
+        shared = spark.sparkContext.broadcast(Suspects(suspected.toArrow()["hash"].to_numpy()))
+        repeated = repeated_keys(docs, shared, id_col, text_col, min_docs, min_chars, min_words)
+    else:
+        plain = cut(docs.withColumn(row, F.monotonically_increasing_id()), "numbered-documents")
+        found = suspected_places(plain, row, text_col, suspected, min_chars, min_words)
+        numbered = cut(plain.join(found.withColumnsRenamed({"row": row, "places": places}), row, "left"), "suspected-documents")
+        shared = None
+
+        def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                distinct, doc, key, at = _places(batch, min_chars, min_words)
+                keep = _among(batch.column(2), doc, at)
+                if keep.any():
+                    yield _counted(distinct, doc[keep], key[keep], at[keep], batch.column(0))
+
+        repeated = _confirmed(numbered.select(F.col(id_col).cast("long").alias("id"), text_col, places).mapInArrow(lean(confirm), "key string, n long, id long, pos long"), min_docs)
     size = repeated.agg(F.sum(F.octet_length("key") + 64).alias("n")).first()["n"] or 0
     schema = T.StructType([*docs.schema.fields, T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])
     at_id, at_text = docs.columns.index(id_col), docs.columns.index(text_col)
@@ -221,20 +301,26 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
         return docs.mapInArrow(lean(apply), schema)
 
-    row, gone = "__line_dedup_row", "__line_dedup_gone"
-    numbered = cut(docs.withColumn(row, F.monotonically_increasing_id()), "numbered-documents")
+    if numbered is None:
+        numbered = cut(docs.withColumn(row, F.monotonically_increasing_id()).withColumn(places, F.lit(None).cast("array<long>")), "numbered-documents")
 
     def positions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             _, keys, parent = split_lines(batch.column(1))
             coded = pc.dictionary_encode(keys)
-            suspected = _load(shared).has(_hashes(coded.dictionary))[coded.indices.to_numpy(zero_copy_only=False)]
+            code = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
             start = np.flatnonzero(np.r_[True, parent[1:] != parent[:-1]])
-            line = np.flatnonzero(suspected)
+            if shared is not None:
+                line = np.flatnonzero(shared.value.has(_hashes(coded.dictionary))[code])
+            else:  # all lines of a text whose key is that of a suspected place
+                place = _flat(batch.column(3), start)
+                wanted = np.unique(parent[place] * len(coded.dictionary) + code[place])
+                line = np.flatnonzero(np.isin(parent * len(coded.dictionary) + code, wanted))
             yield pa.RecordBatch.from_pydict({"key": keys.take(pa.array(line)), "row": batch.column(0).take(pa.array(parent[line])), "id": pc.fill_null(batch.column(2), _LAST).take(pa.array(parent[line])), "pos": pa.array(line - start[parent[line]], pa.int64())})
 
-    lines_at = numbered.select(row, text_col, F.col(id_col).cast("long").alias("id")).mapInArrow(lean(positions), "key string, row long, id long, pos long")
-    dropped = lines_at.join(repeated, "key")
+    lines_at = numbered.select(row, text_col, F.col(id_col).cast("long").alias("id"), places).mapInArrow(lean(positions), "key string, row long, id long, pos long")
+    # The commonest lines meet their keys in several tasks.
+    dropped = hot_join(cut(lines_at, "suspected-places"), repeated, ["key"])
     if keep == "first":
         dropped = dropped.filter((F.col("id") != F.col("first_id")) | (F.col("pos") != F.col("first_pos")))
     dropped = dropped.groupBy(F.col("row").alias(row)).agg(F.collect_list("pos").alias(gone))  # bounded by a text's lines

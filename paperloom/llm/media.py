@@ -99,7 +99,9 @@ def to_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
     A null or empty text is 64 zero bytes; such constant media have no peaks.
     Equal texts have equal values. Rows are taken one by one, so repeated rows,
-    ties and null ids need no rule; other columns are not read. No shuffle.
+    ties and null ids need no rule; other columns are not read, so their names
+    can't clash. An empty table gives no rows. A very long text is one recording,
+    transformed in blocks. No shuffle.
     """
     tune(docs.sparkSession)
 

@@ -10,13 +10,21 @@ weighted Jaccard similarity. Points come in order of time and are drawn only up
 to a horizon at which all registers are filled (it is moved until they are), so
 a text costs its shingles and a fixed number of points, not their product.
 
+Of the method's hierarchy this keeps the dyadic intervals of discretised weights,
+one process for each, and its purpose, that the cost doesn't grow with the
+weight; the horizon, common to a text's registers, stands for the register's
+maximum at which a process stops. Processes aren't split into halves by a queue:
+only the interval that holds the weight is drawn in vain, for half its points at most.
+
 Registers are banded. Texts with the same words are one node. In each bucket the
-node with the most copies is compared with all others, by exact multiset
-overlap, and components are formed. Where a bucket still spans components, the
-nodes outside its largest one are compared with all its others, block by block
-in numpy; only links between components are returned. So any two nodes that
+node with the most copies, the leader, is compared with all others, by exact
+multiset overlap (of 48-bit hashes: two texts of a million shingles each lose or gain about
+one in a hundred times), and components are formed. Where a bucket still
+spans components, the nodes outside its largest one are compared with all its
+others, block by block in numpy; only links between components are returned. So any two nodes that
 share a bucket are in one component or have been compared, and no pairs of a
-dense group are listed.
+dense group are listed. Leaders, texts, buckets and classes that very many rows
+share are dealt to several tasks (``common.hot_join``).
 """
 
 from __future__ import annotations
@@ -31,7 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, lean, table, tune
+from .common import cut, hot_join, lean, table, tune
 from .components import components
 
 WORDS = 5
@@ -39,8 +47,8 @@ SIMILARITY = 0.8
 BANDS = 20
 ROWS = 4
 #: Rows of a block that one task compares with another in an open bucket.
-OUTSIDE_BLOCK = 512
-MEMBER_BLOCK = 512
+OUTSIDE_BLOCK = 256
+MEMBER_BLOCK = 256
 BROADCAST_KEYS = 1_000_000
 SLICE_BYTES = 1 << 20
 
@@ -150,19 +158,25 @@ def band_keys(registers: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np
 
 
 def occurrences(doc: np.ndarray, element: np.ndarray, weight: np.ndarray, n: int) -> list[bytes]:
-    """Each multiset as sorted distinct 32-bit hashes of (shingle, occurrence): set overlap is multiset overlap."""
+    """Each multiset as sorted distinct 48-bit hashes of (shingle, occurrence), six bytes each: set overlap is multiset overlap. At most 65,536 texts."""
     of = np.repeat(np.arange(len(doc)), weight)
     nth = np.arange(len(of)) - np.repeat(np.cumsum(weight) - weight, weight)
     with np.errstate(over="ignore"):
-        hashed = mix64(element[of] * _GOLDEN + nth.astype(_U)) >> _U(32)
-    keys = np.unique((doc[of].astype(_U) << _U(32)) | hashed)
-    ends = np.searchsorted(keys, np.arange(n + 1, dtype=_U) << _U(32))
-    low = keys.astype(np.uint32)
-    return [low[a:b].tobytes() for a, b in zip(ends, ends[1:])]
+        hashed = mix64(element[of] * _GOLDEN + nth.astype(_U)) >> _U(16)
+    keys = np.unique((doc[of].astype(_U) << _U(48)) | hashed)
+    ends = np.searchsorted(keys >> _U(48), np.arange(n + 1, dtype=_U))
+    packed = np.ascontiguousarray(keys.astype("<u8").view("<u2").reshape(-1, 4)[:, :3])
+    return [packed[a:b].tobytes() for a, b in zip(ends, ends[1:])]
+
+
+def unpacked(bag: bytes) -> np.ndarray:
+    parts = np.zeros((len(bag) // 6, 4), "<u2")
+    parts[:, :3] = np.frombuffer(bag, "<u2").reshape(-1, 3)
+    return parts.view("<u8")[:, 0]
 
 
 def similarity(a: np.ndarray, b: np.ndarray) -> float:
-    """Of two multisets as ``occurrences`` gives them."""
+    """Of two multisets as ``unpacked`` gives them."""
     if len(a) > len(b):
         a, b = b, a
     if not len(b):
@@ -201,26 +215,35 @@ def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def _among(rows: DataFrame, wanted: DataFrame, column: str) -> DataFrame:
-    """Semi-join; the wanted side is broadcast only if its counted rows are few."""
-    return rows.join(F.broadcast(wanted) if wanted.count() <= BROADCAST_KEYS else wanted, column, "left_semi")
+    """Semi-join with unique keys; they are broadcast only if they are counted few."""
+    if wanted.count() <= BROADCAST_KEYS:
+        return rows.join(F.broadcast(wanted), column, "left_semi")
+    return hot_join(rows, wanted, [column], "left_semi")
+
 
+def _verified(pairs: DataFrame, bags: DataFrame, threshold: float, hot_rows: int | None) -> DataFrame:
+    """pairs ``leader, other``, a written table → those that are alike, as ``a, b``. The other's bag comes first; a leader of many is dealt by the others."""
 
-def _verified(pairs: DataFrame, bags: DataFrame, threshold: float) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, bag = None, None
         for batch in batches:
-            x, y = (batch.column(k).to_pylist() for k in (2, 3))
-            linked = [similarity(np.frombuffer(a, np.uint32), np.frombuffer(b, np.uint32)) >= threshold - 1e-9 for a, b in zip(x, y)]
+            linked = []
+            for a, x, y in zip(*(batch.column(k).to_pylist() for k in (0, 2, 3))):
+                if a != last:
+                    last, bag = a, unpacked(x)
+                linked.append(similarity(bag, unpacked(y)) >= threshold - 1e-9)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(linked, pa.bool_()))
 
-    full = pairs.join(bags.select(F.col("digest").alias("a"), F.col("bag").alias("x")), "a").join(bags.select(F.col("digest").alias("b"), F.col("bag").alias("y")), "b")
-    return full.select("a", "b", "x", "y").mapInArrow(lean(run), "a binary, b binary")
+    others = pairs.join(bags.select(F.col("digest").alias("other"), F.col("bag").alias("y")), "other")
+    full = hot_join(others, bags.select(F.col("digest").alias("leader"), F.col("bag").alias("x")), ["leader"], "inner", hot_rows, pairs.groupBy("leader").count(), ("other",))
+    return full.select("leader", "other", "x", "y").mapInArrow(lean(run), "a binary, b binary")
 
 
 def compare_blocks(outside: pd.DataFrame, members: pd.DataFrame, threshold: float) -> pd.DataFrame:
     """Links between components: for each outside node at most one for each other component. Overlaps are counted by posting lists."""
     if outside.empty or members.empty:  # a block may have no rows on one side
         return pd.DataFrame({"a": [], "b": []})
-    bags = [np.frombuffer(b, np.uint32) for b in members["bag"]]
+    bags = [unpacked(b) for b in members["bag"]]
     size = np.array([len(b) for b in bags])
     element = np.concatenate(bags)
     order = np.argsort(element, kind="stable")
@@ -228,7 +251,7 @@ def compare_blocks(outside: pd.DataFrame, members: pd.DataFrame, threshold: floa
     labels, names = members["label"].to_numpy(), members["digest"].to_numpy()
     found = []
     for name, label, bag in zip(outside["digest"], outside["label"], outside["bag"]):
-        bag = np.frombuffer(bag, np.uint32)
+        bag = unpacked(bag)
         first, last = np.searchsorted(element, bag, "left"), np.searchsorted(element, bag, "right")
         runs = last - first
         at = np.repeat(first - np.r_[0, np.cumsum(runs)[:-1]], runs) + np.arange(runs.sum())
@@ -252,7 +275,7 @@ def _open_links(members: DataFrame, labels: DataFrame, bags: DataFrame, threshol
     blocks = F.greatest(F.lit(1), F.ceil(F.col("n") / MEMBER_BLOCK)).cast("int")
     outer = F.greatest(F.lit(1), F.ceil((F.col("n") - F.col("largest.n")) / OUTSIDE_BLOCK)).cast("int")
     buckets = cut(buckets.select("key", F.col("largest.label").alias("most"), blocks.alias("blocks"), outer.alias("outer")), "open-buckets")
-    held = held.join(buckets, "key")
+    held = held.join(F.broadcast(buckets), "key") if buckets.count() <= BROADCAST_KEYS else hot_join(cut(held, "held-members"), buckets, ["key"])
     deal = F.xxhash64("digest")
     outside = held.filter("label != most").select("key", F.pmod(deal, F.col("outer")).cast("int").alias("o"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("m"), "digest", "label")
     inside = held.select("key", F.explode(F.sequence(F.lit(0), F.col("outer") - 1)).alias("o"), F.pmod(deal, F.col("blocks")).cast("int").alias("m"), "digest", "label")
@@ -265,14 +288,15 @@ def _open_links(members: DataFrame, labels: DataFrame, bags: DataFrame, threshol
     return left.groupBy("key", "o", "m").cogroup(right.groupBy("in_key", "in_o", "in_m")).applyInPandas(compare, "a binary, b binary")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = SIMILARITY, words: int = WORDS, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = SIMILARITY, words: int = WORDS, bands: int = BANDS, rows: int = ROWS, hot_rows: int | None = None) -> DataFrame:
     """``doc_id, class_id`` (the smallest id of the class) and ``class_docs``, one row for each row.
 
     A class is a component of texts whose weighted Jaccard similarity of
     five-word shingles is at least ``threshold``. Words are lower-case runs
     between white space. Texts with the same words, null and empty ones too, are
     in one class; rows that repeat an id count each. A null id stays null and is
-    a class_id only where a class has no other. Other columns are not read. An
+    a class_id only where a class has no other. Very long texts are read whole, in
+    one task each. Other columns are not read, so their names can't clash. An
     empty table gives no rows. At a similarity of 0.8 two texts share no bucket
     with a probability of 3 in 100,000.
     """
@@ -282,19 +306,23 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     members = cut(_among(slots, shared, "key").groupBy("key", "digest").agg(F.count("*").alias("copies")), "members")
     nodes = cut(members.select("digest").distinct(), "nodes")
     bags = cut(_among(signed.select("digest", "bag"), nodes, "digest").groupBy("digest").agg(F.first("bag").alias("bag")), "bags")
-    leaders = members.groupBy("key").agg(F.max(F.struct("copies", "digest")).alias("leader")).select("key", F.col("leader.digest").alias("a"))
-    pairs = members.select("key", F.col("digest").alias("b")).join(leaders, "key").filter("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    links = cut(_verified(pairs, bags, threshold), "links")
-    first = components(links)
+    leaders = members.groupBy("key").agg(F.max(F.struct("copies", "digest")).alias("leader")).select("key", F.col("leader.digest").alias("leader"))
+    led = hot_join(members.select("key", F.col("digest").alias("other")), leaders, ["key"], "inner", hot_rows).filter("leader != other")
+    # Two texts may lead each other in different buckets: one comparison is enough.
+    pairs = led.groupBy(F.least("leader", "other").alias("a"), F.greatest("leader", "other").alias("b")).agg(F.max("leader").alias("leader"))
+    pairs = cut(pairs.select("leader", F.when(F.col("leader") == F.col("a"), F.col("b")).otherwise(F.col("a")).alias("other")), "pairs")
+    links = cut(_verified(pairs, bags, threshold, hot_rows), "links")
+    first = components(links, hot_rows)
     more = cut(_open_links(members, first, bags, threshold), "open-links")
-    labels = components(links.union(more)) if more.limit(1).count() else first
+    labels = components(links.union(more), hot_rows) if more.limit(1).count() else first
     texts = signed.groupBy("digest").agg(F.min("doc_id").alias("least"), F.count("*").alias("n"))
-    labelled = texts.join(labels.withColumnRenamed("node", "digest"), "digest", "left").withColumn("label", F.coalesce("label", "digest"))
-    labelled = cut(labelled, "labelled-texts")
+    labelled = cut(texts.join(labels.withColumnRenamed("node", "digest"), "digest", "left"), "labelled-texts")
     # Most texts are alone in their class; only the others are summed.
-    joined = labelled.join(labels.select(F.col("label")).distinct(), "label", "left_semi").groupBy("label").agg(F.min("least").alias("class_id"), F.sum("n").alias("class_docs"))
-    of_text = labelled.join(joined, "label", "left").select("digest", F.coalesce("class_id", "least").alias("class_id"), F.coalesce("class_docs", "n").alias("class_docs"))
-    return signed.select("doc_id", "digest").join(of_text, "digest").select("doc_id", "class_id", "class_docs")
+    classed = labelled.filter("label IS NOT NULL")
+    joined = classed.groupBy("label").agg(F.min("least").alias("class_id"), F.sum("n").alias("class_docs"))
+    alone = labelled.filter("label IS NULL").select("digest", F.col("least").alias("class_id"), F.col("n").alias("class_docs"))
+    of_text = hot_join(classed.select("digest", "label"), joined, ["label"], "inner", hot_rows).select("digest", "class_id", "class_docs").union(alone)
+    return hot_join(signed.select("doc_id", "digest"), of_text, ["digest"], "inner", hot_rows, labelled.select("digest", F.col("n").alias("count"))).select("doc_id", "class_id", "class_docs")
 
 
 def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

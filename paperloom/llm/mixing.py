@@ -8,17 +8,21 @@ each length a source gives; which ones a seeded hash decides.
 
 Only counts by (source, length) are planned, one source in a task. Documents are
 chosen without a window over a whole length group: hash cells are counted, cells
-below the limit are taken whole and only the cell on the limit is ranked.
+below the limit are taken whole and only the hashes of the cell on the limit are
+ranked. The plan holds the hash up to which documents are taken, so the texts are
+passed once more, by a broadcast join.
 """
 
 from __future__ import annotations
 
+import operator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import cut, fresh, hot_join, table
 
 #: Weights of the sources in code-point order, repeating; a null source comes last.
 WEIGHTS = (5, 2, 1)
@@ -30,6 +34,8 @@ PROGRAMME_WORDS = 1 << 15
 #: Bits that the programme's table takes at most.
 MOST_BITS = 1 << 29
 CELLS = 1024
+#: Rows of a plan that are broadcast.
+BROADCAST_ROWS = 200_000
 WORD = "[^\\x20\\x09-\\x0D]+"
 
 
@@ -101,15 +107,20 @@ def fill(lengths: np.ndarray, free: np.ndarray, budget: int) -> np.ndarray:
     return taken
 
 
+def _words(lengths: np.ndarray, counts: np.ndarray) -> int:
+    return sum(map(operator.mul, lengths.tolist(), counts.tolist()))
+
+
 def plan_source(lengths: np.ndarray, counts: np.ndarray, target: float, programme_words: int = PROGRAMME_WORDS) -> tuple[int, np.ndarray]:
     """Whole passes, and how many documents of each length are taken once more."""
-    size = int((lengths * counts).sum())
+    size = _words(lengths, counts)
     if not size:
         return 0, np.zeros(len(lengths), np.int64)
     words = int(round(target))
     passes, left = divmod(words, size)
-    once = (counts * left) // size
-    left -= int((once * lengths).sum())
+    # Python's integers: counts times words pass 64 bits in a large source.
+    once = np.array([n * left // size for n in counts.tolist()], np.int64)
+    left -= _words(lengths, once)
     # Longest first, one more document of each length while more words are missing than the programme covers.
     for k in np.argsort(-lengths, kind="stable"):
         if left <= programme_words:
@@ -121,60 +132,89 @@ def plan_source(lengths: np.ndarray, counts: np.ndarray, target: float, programm
     # More than the programme covers is left only if the free documents are few and longer than it.
     cover = max(programme_words, MOST_BITS // max(1, 2 * int(np.log2(counts - once + 1).sum() + len(counts))))
     once += fill(lengths, counts - once, int(min(left, cover)))
+    if (once < 0).any() or (once > counts).any():
+        raise ArithmeticError("a source's plan takes more documents than there are")
     return passes, once
 
 
+def _key(source):
+    """A source as a key that isn't null."""
+    return F.coalesce(F.concat(F.lit("s"), source), F.lit("n"))
+
+
 def plan(sized: DataFrame, weights=WEIGHTS, share_percent: int = SHARE_PERCENT, most_times: int = MOST_TIMES) -> DataFrame:
-    """sized: ``source, size, cell``. For each (source, size): ``source_size, target, passes`` and
-    the documents taken once more: all of cells below ``edge``, and ``edge_n`` of that cell."""
-    cells = cut(sized.groupBy("source", "size", "cell").count(), "mix-cells")
-    lengths = cells.groupBy("source", "size").agg(F.sum("count").alias("n"))
+    """sized, a written table: ``key`` (of the source), ``source, size, hash, tie``. For each (source, size): ``n, source_size, target, passes`` and
+    which documents are taken once more: all of cells below ``edge``, in that cell those before (``at_hash, at_tie``), and ``at_take`` of the ``at_n`` rows there."""
+    cell = F.pmod("hash", F.lit(CELLS))
+    cells = cut(sized.groupBy("key", "source", "size", cell.alias("cell")).count(), "mix-cells")
+    lengths = cells.groupBy("key", "source", "size").agg(F.sum("count").alias("n"))
     totals = lengths.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"))
-    goals = targets(totals, weights, share_percent, most_times).withColumnRenamed("source", "goal_source")
-    counted = lengths.join(goals, F.col("source").eqNullSafe(F.col("goal_source"))).drop("goal_source")
+    goals = targets(totals, weights, share_percent, most_times).select(_key(F.col("source")).alias("key"), "source_size", "target")
+    counted = lengths.join(goals, "key")
 
     def decide(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("size", ignore_index=True)
         passes, once = plan_source(pdf["size"].to_numpy(), pdf["n"].to_numpy(), float(pdf["target"].iloc[0]))
         return pdf.assign(passes=max(passes, 0), once=once)
 
-    decided = counted.groupBy("source").applyInPandas(decide, "source string, size long, n long, source_size long, target double, passes long, once long")
+    decided = counted.groupBy("key").applyInPandas(decide, "key string, source string, size long, n long, source_size long, target double, passes long, once long")
     # Where the running count of a length's cells passes ``once`` is the edge. At most CELLS rows in a window.
-    order = Window.partitionBy("source", "size").orderBy("cell")
-    running = cells.withColumn("upto", F.sum("count").over(order)).withColumnsRenamed({"source": "c_source", "size": "c_size"})
-    met = decided.join(running, F.col("source").eqNullSafe(F.col("c_source")) & (F.col("size") == F.col("c_size")) & (F.col("upto") > F.col("once")) & (F.col("upto") - F.col("count") <= F.col("once")), "left")
-    return cut(met.select("source", "size", "source_size", "target", "passes", F.coalesce("cell", F.lit(CELLS)).alias("edge"), F.coalesce(F.col("once") - F.col("upto") + F.col("count"), F.lit(0)).alias("edge_n")), "mix-plan")
-
-
-def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", size_col: str | None = None, weights=WEIGHTS, share_percent: int = SHARE_PERCENT, most_times: int = MOST_TIMES, seed: int = SEED, broadcast_rows: int = 200_000) -> DataFrame:
+    order = Window.partitionBy("key", "size").orderBy("cell")
+    running = cells.select("key", F.col("size").alias("c_size"), "cell", "count", F.sum("count").over(order).alias("upto")).withColumnRenamed("key", "c_key")
+    met = decided.join(running, (F.col("key") == F.col("c_key")) & (F.col("size") == F.col("c_size")) & (F.col("upto") > F.col("once")) & (F.col("upto") - F.col("count") <= F.col("once")), "left")
+    made = cut(met.select("key", "size", "n", "source_size", "target", "passes", F.coalesce("cell", F.lit(CELLS)).alias("edge"), F.coalesce(F.col("once") - F.col("upto") + F.col("count"), F.lit(0)).alias("edge_n")), "mix-plan")
+    # Rows of equal hashes are counted first, so a window holds the distinct ones of one cell.
+    side = made.filter("edge_n > 0").select("key", "size", "edge", "edge_n")
+    inside = sized.withColumn("edge", cell).join(F.broadcast(side) if side.count() <= BROADCAST_ROWS else side, ["key", "size", "edge"])
+    points = inside.groupBy("key", "size", "hash", "tie").agg(F.count("*").alias("at_n"), F.first("edge_n").alias("edge_n"))
+    points = points.withColumn("upto", F.sum("at_n").over(Window.partitionBy("key", "size").orderBy("hash", "tie"))).filter("upto > edge_n AND upto - at_n <= edge_n")
+    points = points.select("key", "size", F.col("hash").alias("at_hash"), F.col("tie").alias("at_tie"), (F.col("edge_n") - F.col("upto") + F.col("at_n")).alias("at_take"), "at_n")
+    return cut(made.drop("edge_n").join(points, ["key", "size"], "left"), "mix-limits")
+
+
+def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", size_col: str | None = None, weights=WEIGHTS, share_percent: int = SHARE_PERCENT, most_times: int = MOST_TIMES, seed: int = SEED, broadcast_rows: int = BROADCAST_ROWS, names: dict[str, str] | None = None) -> DataFrame:
     """``docs`` with ``size, source_size, target, times, taken``: ``times`` is how often the
     mix holds the document, ``taken`` its words there. size_col: a column of
-    words already counted, else they are counted in ``text``.
+    words already counted, else they are counted in ``text``. names: other names for some of the five.
 
-    A null text has no words. A null source is a source of its own, after the
+    A null text has no words; a very long one is counted whole. A null source is a source of its own, after the
     others. Documents of one source and length are chosen by a seeded hash of
-    the id, then the id, a null id first; rows that repeat an id count each. In a
+    the id, then a hash of the row; of rows that are the same in all columns any. Rows
+    that repeat an id count each. In a
     source without words all documents are taken 0 times. An empty table stays
-    empty. Columns with these five names are replaced; others pass through.
+    empty. Columns with the five names are replaced; others pass through, whatever their names.
     Reruns on the same rows agree. The plan, one row for each (source, length),
-    is broadcast up to ``broadcast_rows``; a larger one is joined by shuffle.
+    is broadcast up to ``broadcast_rows``; a larger one is joined by shuffle, common lengths dealt to several tasks.
     """
+    named = {n: (names or {}).get(n, n) for n in ("size", "source_size", "target", "times", "taken")}
+    replaced = {n.lower() for n in named.values()}
+    others = [c for c in docs.columns if c.lower() not in replaced]
+    size, hashed, tie, key, more = (fresh(n, *docs.columns) for n in ("__mix_size", "__mix_hash", "__mix_tie", "__mix_key", "__mix_more"))
+    planned = {c: fresh(f"__plan_{c}", *docs.columns) for c in ("n", "source_size", "target", "passes", "edge", "at_hash", "at_tie", "at_take", "at_n")}
     words = F.coalesce(F.col(size_col).cast("long"), F.lit(0)) if size_col else sizes(docs, text_col)
-    hashed = F.xxhash64(F.lit(seed), F.col(id_col))
-    added = ["size", "source_size", "target", "times", "taken"]
-    others = [c for c in docs.columns if c not in added]
-    tagged = docs.withColumns({"__mix_size": words, "__mix_hash": hashed, "__mix_cell": F.pmod(hashed, F.lit(CELLS))})
-    made = plan(tagged.select(F.col(source_col).cast("string").alias("source"), F.col("__mix_size").alias("size"), F.col("__mix_cell").alias("cell")), weights, share_percent, most_times)
-    made = made.select(*(F.col(c).alias(f"__plan_{c}") for c in made.columns))
-    if made.count() <= broadcast_rows:
-        made = F.broadcast(made)
-    joined = tagged.join(made, F.col(source_col).cast("string").eqNullSafe(F.col("__plan_source")) & (F.col("__mix_size") == F.col("__plan_size")), "left")
-    on_edge = F.col("__mix_cell") == F.col("__plan_edge")
-    off = joined.filter(~on_edge | on_edge.isNull()).withColumn("__mix_more", (F.col("__mix_cell") < F.col("__plan_edge")).cast("int"))
-    order = Window.partitionBy(source_col, "__mix_size").orderBy("__mix_hash", F.col(id_col))
-    edge = joined.filter(on_edge).withColumn("__mix_more", (F.row_number().over(order) <= F.col("__plan_edge_n")).cast("int"))
-    times = F.col("__plan_passes") + F.col("__mix_more")
-    return off.unionByName(edge).select(*others, F.col("__mix_size").alias("size"), F.col("__plan_source_size").alias("source_size"), F.col("__plan_target").alias("target"), times.cast("int").alias("times"), (F.col("__mix_size") * times).cast("long").alias("taken"))
+    comparable = [f.name for f in docs.schema if not any(t in f.dataType.simpleString() for t in ("map<", "variant"))]
+    tagged = docs.withColumns({size: words, hashed: F.xxhash64(F.lit(seed), F.col(id_col)), tie: F.xxhash64(*comparable), key: _key(F.col(source_col).cast("string"))})
+    sized = cut(tagged.select(F.col(key).alias("key"), F.col(source_col).cast("string").alias("source"), F.col(size).alias("size"), F.col(hashed).alias("hash"), F.col(tie).alias("tie")), "mix-sizes")
+    made = plan(sized, weights, share_percent, most_times)
+    split = made.filter("at_take > 0").limit(1).count() > 0
+    small = made.count() <= broadcast_rows
+    counted = made.select(F.col("key").alias(key), F.col("size").alias(size), F.col("n").alias("count"))
+    made = made.select(F.col("key").alias(key), F.col("size").alias(size), *(F.col(c).alias(n) for c, n in planned.items()))
+    joined = tagged.join(F.broadcast(made), [key, size]) if small else hot_join(tagged, made, [key, size], counted=counted)
+    p = {c: F.col(n) for c, n in planned.items()}
+    cell = F.pmod(hashed, F.lit(CELLS))
+    before = F.coalesce((F.col(hashed) < p["at_hash"]) | ((F.col(hashed) == p["at_hash"]) & (F.col(tie) < p["at_tie"])), F.lit(False))
+    at = F.coalesce((F.col(hashed) == p["at_hash"]) & (F.col(tie) == p["at_tie"]), F.lit(False))
+    whole = joined.withColumn(more, ((cell < p["edge"]) | ((cell == p["edge"]) & before)).cast("int"))
+    if split:
+        # Of rows with equal hashes only some are taken: those few are numbered.
+        apart = at & (p["at_take"] > 0)
+        order = Window.partitionBy(key, size).orderBy(hashed, *(c for c in comparable if c == id_col))
+        limit = whole.filter(apart).withColumn(more, (F.row_number().over(order) <= p["at_take"]).cast("int"))
+        whole = whole.filter(~apart).unionByName(limit)
+    times = p["passes"] + F.col(more)
+    made_of = {"size": F.col(size), "source_size": p["source_size"], "target": p["target"], "times": times.cast("int"), "taken": (F.col(size) * times).cast("long")}
+    return whole.select(*others, *(c.alias(named[n]) for n, c in made_of.items()))
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

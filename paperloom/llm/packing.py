@@ -9,8 +9,8 @@ exactly full. Windows are ordered by size into step groups of equal tokens.
 
 Each task packs the rows of its own input partition: no shuffle, and no key can
 be hot. Pools hold at most ``pool_tokens`` ids, so memory doesn't grow with the
-input. A retried task reads the same rows in the same order and returns the
-same sequences.
+input. A task that is run again returns the same sequences where its rows come
+from files, in the same order; rows that come out of a shuffle should be written first.
 """
 
 from __future__ import annotations
@@ -117,10 +117,16 @@ class Packer:
         self.pooled = sum(p[0] for pool in self.pools for p in pool)
 
     def flush(self, last: bool = False) -> pa.RecordBatch:
-        """Step groups: windows by falling size fill each group to exactly step_tokens, as all sizes divide it; a flush starts a new group."""
+        """Step groups: windows by falling size fill each group to exactly step_tokens, as all sizes divide it. The windows of a group
+        that isn't full wait for the next flush; only a task's last group may have fewer."""
         self._pack(last)
-        rows, filled = [], 0
-        for size, pieces in sorted(self.windows, key=lambda w: -w[0]):
+        rows, filled, ready = [], 0, sorted(self.windows, key=lambda w: -w[0])
+        keep = 0 if last else sum(size for size, _ in ready) % self.step_tokens
+        self.windows = []
+        while keep:  # the shortest windows, which add up to what is over, as sizes divide one another
+            keep -= ready[-1][0]
+            self.windows.append(ready.pop())
+        for size, pieces in ready:
             if filled + size > self.step_tokens:
                 self.next_step, filled = self.next_step + 1, 0
             filled, offset = filled + size, 0
@@ -128,8 +134,7 @@ class Packer:
                 rows.append((doc_id, start, len(ids), total, ids.astype("<u4").tobytes(), self.next_sequence, offset, size, self.next_step))
                 offset += len(ids)
             self.next_sequence += 1
-        self.next_step += bool(self.windows)
-        self.windows = []
+        self.next_step += bool(ready)
         return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows), _ARROW.types)] if rows else [pa.array([], t) for t in _ARROW.types], schema=_ARROW)
 
 
@@ -138,7 +143,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokeni
     unsigned 32-bit), ``sequence_id, offset, tier, step_id``.
 
     A null or empty text is one end id. A null id stays null. Repeated rows are
-    packed each. Other columns are not read, so their names can't clash. An
+    packed each; pieces of equal length are taken in the order they came. Other columns are not read, so their names can't clash. An
     empty table gives no rows. Texts of any length are cut into whole windows.
     Each task may leave one sequence that its ids don't fill. tokenizer: a path
     that executors can open; None takes the installed word BPE file.

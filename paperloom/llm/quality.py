@@ -155,7 +155,11 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", score_col: str = "score") -> DataFrame:
-    """``docs`` with a column ``score`` (replaced if there); all rows, nulls as empty texts."""
+    """``docs`` with a column ``score`` (replaced if there); all rows, nulls as empty texts, very long texts whole, in pieces.
+
+    Rows are scored one by one: repeated rows score alike, ties need no rule, an
+    empty table stays empty. Other columns pass through, whatever their names.
+    """
     tune(docs.sparkSession)
     docs = docs.drop(score_col)
     shared = docs.sparkSession.sparkContext.broadcast(model)

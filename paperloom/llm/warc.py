@@ -9,7 +9,7 @@ The as-of join runs over the distinct (URL, date) points, pre-aggregated, and in
 two steps, so that a URL that holds a third of all captures is spread: dates are
 cut into slices at quantiles; the newest response of each (URL, slice) is carried
 over the few slices of a URL, and inside a slice a window finds the nearest. Only
-references move; headers and payloads are joined at the end, by record id.
+references move; of resolved revisits headers and payloads are joined at the end, by record id.
 """
 
 from __future__ import annotations
@@ -17,10 +17,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import cut, hot_join, table
 
 SLICES = 256
 TRACKING_PREFIX = "utm_"
+HEADERS = "array<struct<name:string,value:string>>"
 #: Header fields that a 304 response sends to update a stored one.
 PERMITTED = ("cache-control", "content-location", "date", "etag", "expires", "last-modified", "set-cookie", "vary")
 
@@ -42,7 +43,7 @@ def header(headers: Column, name: str) -> Column:
 def merge_headers(stored: Column, sent: Column, permitted=PERMITTED) -> Column:
     """The stored fields, those that ``sent`` may update replaced by its own, which follow."""
     allowed = F.array(*map(F.lit, permitted))
-    update = F.filter(F.coalesce(sent, F.array().cast("array<struct<name:string,value:string>>")), lambda h: F.array_contains(allowed, F.lower(h["name"])))
+    update = F.filter(F.coalesce(sent, F.array().cast(HEADERS)), lambda h: F.array_contains(allowed, F.lower(h["name"])))
     kept = F.filter(stored, lambda h: ~F.coalesce(F.array_contains(F.transform(update, lambda u: F.lower(u["name"])), F.lower(h["name"])), F.lit(False)))
     return F.concat(kept, update)
 
@@ -62,7 +63,7 @@ def latest_earlier(points: DataFrame, slices: int = SLICES) -> DataFrame:
     return sliced.withColumn("inside", F.last("full", ignorenulls=True).over(inside)).join(carried, ["url", "slice"]).select("url", "at", F.coalesce("inside", "carried").alias("full"))
 
 
-def resolve_revisits(records: DataFrame, permitted=PERMITTED, slices: int = SLICES) -> DataFrame:
+def resolve_revisits(records: DataFrame, permitted=PERMITTED, slices: int = SLICES, hot_rows: int | None = None) -> DataFrame:
     """records: ``record_id, warc_type, target_uri, warc_date, http_status, headers``
     (array of name and value) and ``payload`` → one row for each not-modified
     revisit: ``record_id, url, status, response_id, headers, payload``.
@@ -73,29 +74,39 @@ def resolve_revisits(records: DataFrame, permitted=PERMITTED, slices: int = SLIC
     (weakly compared) or, where one is missing, the last-modified values; else
     ``mismatch``; ``unverified`` without a common validator; ``orphan`` without an
     earlier response, a URL or a date. Only resolved rows have a payload and
-    merged headers; others keep the revisit's headers. Record ids are unique
-    among responses; other records may repeat and are resolved each. A null
-    payload of the response stays null. Other columns are not read; an empty
-    table gives no rows.
+    merged headers; others keep the revisit's headers. Revisits that repeat are
+    resolved each. Of responses that repeat a record id and are chosen, the greatest
+    (headers, payload) counts. A null payload of the response stays null. URLs,
+    headers and payloads may be of any length. Other columns are not read, so
+    their names can't clash; an empty table gives no rows. A capture point or a
+    response that more than ``hot_rows`` revisits share is dealt to several tasks.
     """
     at = F.unix_micros(F.col("warc_date").cast("timestamp"))
     seen = records.select("record_id", "warc_type", canonical_url(F.col("target_uri")).alias("url"), at.alias("at"), "http_status", "headers")
     tags = (F.regexp_replace(header(F.col("headers"), "etag"), r"^W/", "").alias("etag"), header(F.col("headers"), "last-modified").alias("modified"))
-    known = F.col("url").isNotNull() & F.col("at").isNotNull()
     is_full = (F.col("warc_type") == "response") & (F.col("http_status") == 200)
     is_revisit = (F.col("warc_type") == "revisit") & (F.col("http_status") == 304)
     refs = seen.filter(is_full | is_revisit).select("url", "at", F.when(is_full, F.struct("record_id", *tags)).alias("full"))
-    points = cut(refs.filter(known).groupBy("url", "at").agg(F.max("full").alias("full")), "capture-points")
-    found = latest_earlier(points, slices).select("url", "at", "full")
+    dated = refs.filter(F.col("url").isNotNull() & F.col("at").isNotNull())
+    points = cut(dated.groupBy("url", "at").agg(F.max("full").alias("full"), F.count_if(F.col("full").isNull()).alias("revisits")), "capture-points")
+    found = latest_earlier(points.select("url", "at", "full"), slices).filter(F.col("full").isNotNull())
+    # A point that many revisits share is dealt to several tasks; those without a URL or date need no join.
+    asked = points.filter("revisits > 0").select("url", "at", F.col("revisits").alias("count"))
     revisits = seen.filter(is_revisit).select("record_id", "url", "at", "headers", *tags)
-    met = revisits.join(found, ["url", "at"], "left")
+    met = hot_join(revisits.filter(F.col("url").isNotNull() & F.col("at").isNotNull()), found, ["url", "at"], "left", hot_rows, asked)
     agree = F.coalesce(F.col("etag") == F.col("full.etag"), F.col("modified") == F.col("full.modified"))
     status = F.when(F.col("full").isNull(), "orphan").when(agree.isNull(), "unverified").when(agree, "resolved").otherwise("mismatch")
-    met = met.select("record_id", "url", status.alias("status"), F.col("full.record_id").alias("response_id"), "headers")
-    stored = records.filter(is_full).select(F.col("record_id").alias("stored_id"), F.col("headers").alias("stored"), "payload")
-    joined = met.join(stored, (F.col("status") == "resolved") & (F.col("response_id") == F.col("stored_id")), "left")
-    merged = F.when(F.col("stored_id").isNotNull(), merge_headers(F.coalesce("stored", F.array().cast("array<struct<name:string,value:string>>")), F.col("headers"), permitted)).otherwise(F.col("headers"))
-    return joined.select("record_id", "url", "status", "response_id", merged.alias("headers"), "payload")
+    met = cut(met.select("record_id", "url", status.alias("status"), F.col("full.record_id").alias("response_id"), "headers"), "met-revisits")
+    resolved = met.filter("status = 'resolved'")
+    # A record id that repeats among responses counts once, by the greatest headers and payload.
+    stored = records.filter(is_full).groupBy(F.col("record_id").alias("response_id")).agg(F.max(F.struct(F.col("headers").alias("stored"), "payload")).alias("kept"))
+    joined = hot_join(resolved, stored, ["response_id"], "inner", hot_rows)
+    merged = merge_headers(F.coalesce("kept.stored", F.array().cast(HEADERS)), F.col("headers"), permitted)
+    full = joined.select("record_id", "url", "status", "response_id", merged.alias("headers"), F.col("kept.payload").alias("payload"))
+    missing = {n: F.lit(None).cast(full.schema[n].dataType).alias(n) for n in ("response_id", "payload")}
+    bare = met.filter("status <> 'resolved'").select("record_id", "url", "status", "response_id", "headers", missing["payload"])
+    lone = revisits.filter(F.col("url").isNull() | F.col("at").isNull()).select("record_id", "url", F.lit("orphan").alias("status"), missing["response_id"], "headers", missing["payload"])
+    return full.union(bare).union(lone)
 
 
 def captures(pages: DataFrame) -> DataFrame:

@@ -62,6 +62,57 @@ def test_windows(spark, budget, history):
             assert targets == [t for role, t in span if role == "assistant"]
 
 
+def brute_windows(turns, budget, history, count):
+    """(first turn, last turn, turns of history) of each window, by trying ever longer spans."""
+    tokens = [count(C.format_turn(role, text)[0]) for role, text in turns]
+    system = tokens[0] if turns[0][0] == "system" else 0
+    windows, first, before = [], 0, 0
+    while first < len(turns):
+        head = system if first else 0
+        fits = lambda h, last: head + sum(tokens[first - h : last + 1]) <= budget
+        while before and not fits(before, first):
+            before -= 1
+        last = first
+        while last + 1 < len(turns) and fits(before, last + 1):
+            last += 1
+        windows.append((first, last, before))
+        before, left = 0, min(history, budget // 2)
+        while last - before >= (1 if system else 0) and tokens[last - before] <= left:
+            left -= tokens[last - before]
+            before += 1
+        first = last + 1
+    return windows
+
+
+@pytest.mark.parametrize("budget, history", [(1024, 256), (96, 32), (64, 0), (200, 90)])
+def test_windows_hold_all_that_fits(spark, budget, history):
+    from paperloom.llm.encoding import encoder
+
+    got = {}
+    for r in C.format_chat(spark.createDataFrame(turns(), SCHEMA).repartition(3), budget, history).collect():
+        got.setdefault(r["conv_id"], []).append((r["window"], r["first_turn"], r["last_turn"], r["history_turns"]))
+    count = lambda text: len(encoder(None).ids(text))
+    for c, said in ordered(turns()).items():
+        assert [w[1:] for w in sorted(got[c])] == brute_windows(said, budget, history, count)
+
+
+def test_tokens_do_not_depend_on_what_a_task_saw_before(spark):
+    """Long roles, each met once: every turn counts its own markers."""
+    from paperloom.llm.encoding import encoder
+
+    rows = [(k, 0, f"role {k} " + "long " * 100, "text") for k in range(1200)]
+    got = C.format_chat(spark.createDataFrame(rows, SCHEMA).coalesce(1), 400, 0).select("text", "tokens").collect()
+    assert all(r["tokens"] == len(encoder(None).ids(r["text"])) > 100 for r in got)
+
+
+def test_other_columns_and_their_names_do_not_matter(spark):
+    from pyspark.sql import functions as F
+
+    df = spark.createDataFrame(turns(), SCHEMA)
+    plain = sorted(map(str, C.read_back(C.format_chat(df, 96, 32)).collect()))
+    assert sorted(map(str, C.read_back(C.format_chat(df.withColumns({n: F.lit("mine") for n in ("window", "tokens", "loss", "system")}), 96, 32)).collect())) == plain
+
+
 def test_read_back(spark):
     convs = ordered(turns())
     got = C.read_back(C.format_chat(spark.createDataFrame(turns(), SCHEMA).repartition(3), 96, 32)).collect()

@@ -63,7 +63,7 @@ def found(df):
     return sorted((tuple(sorted((d for d, _ in g), key=str)) for g in groups.values()), key=str)
 
 
-@pytest.mark.parametrize("blocks", [(512, 512), (2, 3)])
+@pytest.mark.parametrize("blocks", [(256, 256), (2, 3)])
 def test_against_all_pairs(spark, blocks, monkeypatch):
     monkeypatch.setattr(M, "OUTSIDE_BLOCK", blocks[0])
     monkeypatch.setattr(M, "MEMBER_BLOCK", blocks[1])
@@ -71,6 +71,20 @@ def test_against_all_pairs(spark, blocks, monkeypatch):
     assert found(M.near_duplicates(frame(spark, rows).repartition(3).withColumn("digest", F.lit(1)))) == classes(rows)
 
 
+def test_hot_text_leader_and_class(spark):
+    """A third of all rows are one text and as many are near it; every key of more than two rows is dealt out."""
+    rows, base = near_rows(), prose(random.Random(4), 60).split()
+    rows += [(5000 + k, " ".join(base), "en", "s", 1) for k in range(20)]
+    rows += [(6000 + k, " ".join([*base[:58], f"end{k}"]), "en", "s", 1) for k in range(20)]
+    assert found(M.near_duplicates(frame(spark, rows).repartition(3), hot_rows=2)) == classes(rows)
+
+
+def test_bags_keep_every_shingle():
+    element = np.random.default_rng(3).integers(0, 2**48, 200_000, dtype=np.uint64)
+    (packed,) = M.occurrences(np.zeros(len(element), np.int64), element, np.ones(len(element), np.int64), 1)
+    assert len(packed) == 6 * len(np.unique(element)) and (np.diff(M.unpacked(packed).astype(np.int64)) > 0).all()
+
+
 def test_without_broadcasts_and_empty(spark, monkeypatch):
     monkeypatch.setattr(M, "BROADCAST_KEYS", 0)
     rows = near_rows()[30:]
@@ -98,12 +112,12 @@ def test_signature_does_not_depend_on_company():
 
 def test_similarity_is_multiset_overlap():
     doc, element, weight = np.array([0, 0, 1, 1]), np.array([1, 2, 1, 3], np.uint64), np.array([3, 1, 2, 2])
-    a, b = (np.frombuffer(x, np.uint32) for x in M.occurrences(doc, element, weight, 2))
+    a, b = (M.unpacked(x) for x in M.occurrences(doc, element, weight, 2))
     assert M.similarity(a, b) == pytest.approx(2 / 6) and M.similarity(a, a) == 1
 
 
 def test_compare_blocks_links_each_component_once():
-    as_bag = lambda *v: np.array(v, np.uint32).tobytes()
+    as_bag = lambda *v: b"".join(int(x).to_bytes(6, "little") for x in v)
     outer = pd.DataFrame({"digest": [b"a"], "label": [b"a"], "bag": [as_bag(1, 2, 3, 4)]})
     inner = pd.DataFrame({"digest": [b"b", b"c", b"d", b"a"], "label": [b"m", b"m", b"d", b"a"], "bag": [as_bag(1, 2, 3, 4), as_bag(1, 2, 3, 4), as_bag(1, 9), as_bag(1, 2, 3, 4)]})
     assert M.compare_blocks(outer, inner, 0.8).values.tolist() == [[b"a", b"b"]]
@@ -115,3 +129,9 @@ def test_components(spark):
     got = {r["node"]: r["label"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {k: 0 for k in range(41)} | {98: 98, 99: 98, 100: 98}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_components_around_a_hub(spark):
+    edges = [(k, 500) for k in range(60)] + [(500, 501), (501, 502)]
+    got = {r["node"]: r["label"] for r in components(spark.createDataFrame(edges, "a long, b long"), hot_rows=3).collect()}
+    assert got == {k: 0 for k in [*range(60), 500, 501, 502]}

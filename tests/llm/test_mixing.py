@@ -53,6 +53,16 @@ def test_plan_never_takes_more_than_there_is():
         assert abs(passes * size + int(once @ lengths) - target) <= lengths.max()
 
 
+def test_plan_of_a_source_past_64_bits():
+    """Counts times words pass 64 bits; the plan still stays within what there is and meets its target."""
+    lengths, counts = np.array([10, 100, 1000]), np.array([10**8, 10**9, 10**9])
+    size = sum(a * b for a, b in zip(lengths.tolist(), counts.tolist()))
+    for share in (0.3, 0.77, 1.999):
+        passes, once = M.plan_source(lengths, counts, size * share)
+        assert (once >= 0).all() and (once <= counts).all()
+        assert abs(passes * size + sum(a * b for a, b in zip(once.tolist(), lengths.tolist())) - size * share) <= 10
+
+
 @pytest.mark.parametrize("broadcast_rows", [200_000, 0])
 def test_mix(spark, broadcast_rows):
     docs = frame(spark).withColumn("target", F.lit("mine"))
@@ -79,3 +89,22 @@ def test_empty_and_wordless(spark):
     assert M.mix(frame(spark, [], SCHEMA)).count() == 0
     rows = M.mix(frame(spark, [(1, None, "en", "s", 0), (2, "", "en", "s", 0)])).collect()
     assert [(r["times"], r["taken"], r["target"]) for r in rows] == [(0, 0, 0.0)] * 2
+
+
+def test_repeated_rows_and_clashing_names(spark):
+    """A third of all rows are one row, most of one length; names that the operator uses inside pass through."""
+    rows = [(7, "a b c", "en", "s", 1)] * 40 + [(k, f"w{k} x", "en", "s", 1) for k in range(60)] + [(k, "p q r s", "en", "t", 1) for k in range(30)]
+    docs = frame(spark, rows).withColumns({n: F.lit("mine") for n in ("__plan_edge", "__mix_size", "__mix_hash", "key", "hash", "Taken")})
+    for limit in (200_000, 0):
+        got = M.mix(docs.repartition(3), broadcast_rows=limit).collect()
+        assert len(got) == len(rows) and {r["__plan_edge"] for r in got} == {r["__mix_size"] for r in got} == {r["key"] for r in got} == {"mine"}
+        for source in "st":
+            of = [r for r in got if r["source"] == source]
+            assert abs(sum(r["taken"] for r in of) - of[0]["target"]) <= 3
+            assert len({r["taken"] for r in of if r["text"] == "a b c"}) <= 2
+
+
+def test_rows_of_one_id_are_told_apart(spark):
+    rows = [(1, f"text {k} end", "en", "s", 1) for k in range(40)]
+    chosen = [sorted((r["text"], r["times"]) for r in M.mix(frame(spark, rows).repartition(n)).collect()) for n in (1, 3)]
+    assert chosen[0] == chosen[1]
