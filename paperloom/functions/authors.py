@@ -9,6 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import split_name, strip_disambiguator
+
+#: The sources of each format, and JSON keys below.
 REVIEWED = ("ICLR", "NeurIPS", "ICML")
 GROUPED = ("OSDI", "NSDI", "ATC")
 PARENTHESISED = ("SOSP", "ASPLOS", "EuroSys")
@@ -57,17 +60,48 @@ def grouped(text: Column) -> Column:
 
 
 def parenthesised(text: Column) -> Column:
-    """``A (Where), B (There)``."""
-    pattern = F.lit(r"([^(,]+?)\s*\(([^)]+)\)")
-    return _info(_clean(F.regexp_extract_all(text, pattern, F.lit(1))), F.regexp_extract_all(text, pattern, F.lit(2)))
+    """``A (Where), B (There)``: what stands before each closing bracket is a name, from the last comma to the first opening
+    bracket, and a place. A name's `` AND `` is written small. Pieces without an opening bracket, a name or a place don't count."""
+    pieces = F.split(text, r"\)")
+    closed = F.slice(pieces, F.lit(1), F.size(pieces) - 1)
+    head = lambda p: F.substring_index(p, "(", 1)
+    place = lambda p: F.substr(p, F.length(head(p)) + 2)
+    whole = F.filter(closed, lambda p: p.contains("(") & (head(p) != "") & (place(p) != ""))
+    names = F.transform(whole, lambda p: F.replace(F.trim(F.substring_index(head(p), ",", -1)), F.lit(" AND "), F.lit(" and ")))
+    return _info(_clean(names), F.transform(whole, place))
 
 
 def dict_list(items: Column) -> Column:
-    """Entries with Name and Affiliation, or first_name, last_name and institution; others are skipped."""
-    entries = F.from_json(items, "array<struct<Name:string,Affiliation:string,first_name:string,last_name:string,institution:string>>")
-    known = F.filter(entries, lambda e: e.isNotNull())
-    names = F.transform(known, lambda e: F.coalesce(e["Name"], F.trim(F.concat_ws(" ", e["first_name"], e["last_name"]))))
-    return _info(_clean(names), F.transform(known, lambda e: F.coalesce(e["Affiliation"], e["institution"], F.lit(""))))
+    """Objects with Name and Affiliation, if they have either key, else with first_name, last_name and institution; other entries are skipped."""
+    entries = F.filter(F.try_variant_get(F.try_parse_json(items), "$", "array<variant>"), lambda e: F.schema_of_variant(e).startswith("OBJECT"))
+    field = lambda e, name: F.trim(F.coalesce(F.try_variant_get(e, f"$.{name}", "string"), F.lit("")))
+    named = lambda e: F.try_variant_get(e, "$.Name", "variant").isNotNull() | F.try_variant_get(e, "$.Affiliation", "variant").isNotNull()
+    names = F.transform(entries, lambda e: F.when(named(e), field(e, "Name")).otherwise(F.trim(F.concat_ws(" ", field(e, "first_name"), field(e, "last_name")))))
+    return _info(_clean(names), F.transform(entries, lambda e: F.when(named(e), field(e, "Affiliation")).otherwise(field(e, "institution"))))
+
+
+PERSON = "array<struct<first_name:string,last_name:string,institution:string>>"
+
+
+def _person(name: Column, institution: Column) -> Column:
+    first, last = split_name(name)
+    return F.struct(first.alias("first_name"), last.alias("last_name"), institution.alias("institution"))
+
+
+def work_authors(authorships: Column) -> Column:
+    """authorships: ``array<struct<author:struct<display_name>,institutions:array<struct<display_name>>>>`` of a work → persons with
+    their first institution; blank names are left out. Null: none."""
+    some = lambda c: F.trim(F.coalesce(c, F.lit("")))
+    named = F.filter(authorships, lambda a: some(a["author"]["display_name"]) != "")
+    return F.coalesce(F.transform(named, lambda a: _person(some(a["author"]["display_name"]), some(F.get(a["institutions"], F.lit(0))["display_name"]))), F.array().cast(PERSON))
+
+
+def hit_authors(info: Column) -> Column:
+    """info: JSON text of a search hit, whose ``authors.author`` is an object or a list of them → persons without institution, disambiguating numbers dropped."""
+    raw = F.try_variant_get(F.try_parse_json(info), "$.authors.author", "variant")
+    listed = F.coalesce(F.try_variant_get(raw, "$", "array<variant>"), F.when(raw.isNotNull(), F.array(raw)))
+    texts = F.transform(listed, lambda a: F.trim(strip_disambiguator(F.trim(F.coalesce(F.try_variant_get(a, "$.text", "string"), F.lit(""))))))
+    return F.coalesce(F.transform(F.filter(texts, lambda t: t != ""), lambda t: _person(t, F.lit(""))), F.array().cast(PERSON))
 
 
 def _strings(value: Column) -> Column:

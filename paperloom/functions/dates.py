@@ -10,18 +10,22 @@ def plural(n: Column, unit: str) -> Column:
     return F.concat(n.cast("string"), F.lit(f" {unit}"), F.when(n == 1, "").otherwise("s"))
 
 
+def _units(n: Column, unit: str) -> Column:
+    return F.concat(n.cast("string"), F.lit(f" {unit}s "))
+
+
 def age_label(date: Column, as_of: Column) -> Column:
-    """Days below 30, months of 30 days below a year, years of 365."""
+    """``N days ago`` below 30, months of 30 days below a year, years of 365; never a singular."""
     d = F.datediff(as_of, date)
-    return F.when(d < 30, plural(d, "day")).when(d < 365, plural(F.floor(d / 30), "month")).otherwise(plural(F.floor(d / 365), "year"))
+    return F.concat(F.when(d < 30, _units(d, "day")).when(d < 365, _units(F.floor(d / 30), "month")).otherwise(_units(F.floor(d / 365), "year")), F.lit("ago"))
 
 
 def age_label_long(date: Column, as_of: Column) -> Column:
-    """Years and months of what they leave; days, of the whole age modulo 30, only where both are zero."""
+    """``1 years 2 months ago``: months of what the years leave; days, of the whole age modulo 30, only where both are zero."""
     d = F.datediff(as_of, date)
     years, months, days = F.floor(d / 365), F.floor((d % 365) / 30), d % 30
-    parts = F.concat_ws(", ", F.when(years > 0, plural(years, "year")), F.when(months > 0, plural(months, "month")))
-    return F.when((years == 0) & (months == 0), plural(days, "day")).otherwise(parts)
+    larger = F.concat(F.when(years > 0, _units(years, "year")).otherwise(""), F.when(months > 0, _units(months, "month")).otherwise(""))
+    return F.concat(F.when((years <= 0) & (months <= 0), _units(days, "day")).otherwise(larger), F.lit("ago"))
 
 
 def next_date(last: Column, today: Column) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
 import pandas as pd
@@ -11,12 +12,17 @@ from pyspark.sql import types as T
 
 #: A text budget of 2048 tokens, three quarters of it used, at three quarters of a word each.
 MAX_WORDS = int(int(2048 * 0.75) * 0.75)
-STOPWORDS = ("a", "an", "and", "as", "at", "by", "for", "from", "in", "of", "on", "or", "the", "to", "via", "with")
+#: Words that are left out of a title's prefix.
+STOPWORDS = ("a", "an", "the", "for", "of", "in", "with", "on", "to")
+#: A bracket of digits, commas, blanks, hyphens, en and em dashes.
+CITATION = r"(?U)\[[\d,\s\u2013\u2014-]+\]"
+#: White space but the line feed.
+_BLANK = r"[\s\x1c-\x1f&&[^\n]]"
 
 
 def strip_null_bytes(text: Column) -> Column:
-    """NUL characters go, also where raw JSON spells them out."""
-    return F.replace(F.replace(text, F.lit("\x00"), F.lit("")), F.lit("\\u0000"), F.lit(""))
+    """NUL characters go, also where raw JSON spells them out: behind an escaped backslash the letters are text and stay."""
+    return F.regexp_replace(F.replace(text, F.lit("\x00"), F.lit("")), r"(?<!\\)((?:\\\\)*)\\u0000", "$1")
 
 
 def truncate_words(text: Column, most: int = MAX_WORDS) -> Column:
@@ -34,19 +40,21 @@ def normalize_title(text: Column) -> Column:
 
 
 def dehyphenate(text: Column) -> Column:
-    """A line's final hyphen goes if the next line that isn't blank begins in lower case."""
-    return F.regexp_replace(text, r"-\n\s*(?=[a-z])", "")
+    """Lines lose the blanks at their ends. A line's final hyphen goes, with the blank lines behind it, if the next line that isn't blank begins in lower case."""
+    bare = F.regexp_replace(text, rf"(?U){_BLANK}+(?=\n|\z)", "")
+    return F.regexp_replace(bare, r"(?U)-\n[\s\x1c-\x1f]*(?=\p{IsLowercase})", "")
 
 
 def strip_citations(text: Column) -> Column:
     """Bracketed reference numbers go, and the space they leave before punctuation and after an opening bracket."""
-    bare = F.regexp_replace(text, r"\[[0-9]+(?:\s*[,\u2013-]\s*[0-9]+)*\]", "")
-    return F.regexp_replace(F.regexp_replace(bare, r"\s+([.,;:!?)])", "$1"), r"\(\s+", "(")
+    bare = F.regexp_replace(text, CITATION, "")
+    return F.regexp_replace(F.regexp_replace(bare, r"(?U)\s+([.,;:!?)])", "$1"), r"(?U)\(\s+", "(")
 
 
 def clean_text(text: Column) -> Column:
-    flat = strip_citations(F.regexp_replace(dehyphenate(text), r"\n", " "))
-    return F.trim(F.regexp_replace(flat, r"\s+", " "))
+    """Without hyphens at line ends, line breaks, citations and repeated blanks."""
+    flat = strip_citations(F.regexp_replace(dehyphenate(text), r"(?U)\s*\n\s*", " "))
+    return F.trim(F.regexp_replace(flat, r"(?U)\s+", " "))
 
 
 def title_prefix(title: Column, words: int = 3) -> Column:
@@ -90,12 +98,15 @@ def split_name(name: Column) -> tuple[Column, Column]:
     return (F.when(many, F.array_join(F.slice(words, F.lit(1), F.size(words) - 1), " ")).otherwise(F.trim(name)), F.when(many, F.element_at(words, -1)).otherwise(F.lit("")))
 
 
-def citation_label(authors: Column, year: Column, title: Column) -> Column:
-    """``Surname et al., 2001``; without authors the title, cut to 14 characters and an ellipsis."""
-    surname = F.element_at(F.split(F.trim(F.get(authors, F.lit(0))), r"\s+"), -1)
-    rest = F.when(F.size(authors) > 1, " et al.").otherwise("")
-    short = F.when(F.length(title) > 14, F.concat(F.substring(title, 1, 14), F.lit("…"))).otherwise(title)
-    return F.when(F.size(F.coalesce(authors, F.array().cast("array<string>"))) > 0, F.concat(surname, rest, F.lit(", "), year.cast("string"))).otherwise(short)
+def citation_label(authors: Column, year: Column, title: Column, paper_id: Column) -> Column:
+    """``Surname et al., 2001``, TeX accents decoded; without a year the name alone. Without a first author the title, or
+    where that is null the id, cut to 14 characters and an ellipsis."""
+    first = F.nullif(F.get(authors, F.lit(0)), F.lit(""))
+    surname = F.element_at(F.split(F.trim(decode_tex(first)), r"\s+"), -1)
+    name = F.concat(surname, F.when(F.size(authors) > 1, " et al.").otherwise(""))
+    shown = decode_tex(F.coalesce(title, paper_id))
+    short = F.when(F.length(shown) > 14, F.concat(F.substring(shown, 1, 14), F.lit("…"))).otherwise(shown)
+    return F.when(first.isNotNull(), F.concat(name, F.coalesce(F.concat(F.lit(", "), year.cast("string")), F.lit("")))).otherwise(short)
 
 
 def wrap_label(text: Column, width: int = 12) -> Column:
@@ -118,11 +129,11 @@ def hex_rgba(colour: Column, alpha: int = 255) -> Column:
 
 
 def percentile_label(value: Column, breaks: dict[str, Column]) -> Column:
-    """The label of the last break, in rising order, that the value reaches; ``<50th`` below all."""
+    """The value, and the last break, in rising order, that it reaches; ``<50th`` below all."""
     label = F.lit("<50th")
     for name, at in breaks.items():
         label = F.when(value >= at, name).otherwise(label)
-    return label
+    return F.format_string("T = %.3f (≈ %s percentile of corpus)", value, label)
 
 
 def display_join(authors: Column, institutions: Column) -> Column:
@@ -143,21 +154,22 @@ def reconstruct_abstract(inverted: Column) -> Column:
     return F.array_join(F.transform(F.array_sort(placed), lambda s: s["w"]), " ")
 
 
-#: TeX accents and the combining characters they stand for.
+#: TeX accents and the combining characters they stand for.
 TEX_ACCENTS = {"'": "\u0301", "`": "\u0300", "^": "\u0302", '"': "\u0308", "~": "\u0303", "=": "\u0304", ".": "\u0307", "c": "\u0327"}
+_LETTER = "[A-Za-z]"
+_TEX = re.compile(r"\\([" + re.escape("".join(TEX_ACCENTS)) + r"])(\{" + _LETTER + r"\}|" + _LETTER + ")")
+_STRAY = re.compile(rf"\\(?={_LETTER})")
 
 
-@F.pandas_udf(T.StringType())
-def decode_tex(texts: pd.Series) -> pd.Series:
-    """TeX accents, braced or not, become letters (NFC, which Spark has no function for); other backslashes before letters go."""
-    import re
+def _decoded(text: str) -> str:
+    def letter(m: re.Match) -> str:
+        return unicodedata.normalize("NFC", m[2].strip("{}") + TEX_ACCENTS[m[1]])
 
-    accent = re.compile(r"""\\(?:(['`^"~=.])\s*\{?([A-Za-z])\}?|c\s*\{([A-Za-z])\}|c\s+([A-Za-z]))""")
+    return _STRAY.sub("", _TEX.sub(letter, text))
 
-    def one(text: str | None) -> str | None:
-        if text is None:
-            return None
-        composed = accent.sub(lambda m: (m[2] + TEX_ACCENTS[m[1]]) if m[1] else (m[3] or m[4]) + TEX_ACCENTS["c"], text)
-        return re.sub(r"\\(?=[A-Za-z])", "", unicodedata.normalize("NFC", composed))
 
-    return texts.map(one, na_action="ignore")
+@F.pandas_udf(T.StringType())
+def decode_tex(texts: pd.Series) -> pd.Series:
+    """An accent and its letter, in braces or right behind it, become one character (NFC, which Spark has no function for); other
+    backslashes before letters go. The rest of the text stays as it is."""
+    return texts.map(_decoded, na_action="ignore")

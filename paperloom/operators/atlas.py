@@ -26,8 +26,19 @@ def header(found: DataFrame) -> DataFrame:
     return found.agg(F.count("*").alias("total"), zero(F.min("x")).alias("x_min"), zero(F.min("y")).alias("y_min"), zero(F.max("x")).alias("x_max"), zero(F.max("y")).alias("y_max"))
 
 
+def _six(name: str) -> Column:
+    """Six places, so that every engine prints the same digits."""
+    return F.col(name).cast("decimal(20,6)").alias(name)
+
+
+def header_line(box: DataFrame) -> DataFrame:
+    """The feed's first line, with a null ``paper_id``."""
+    return box.select(F.lit(None).cast("string").alias("paper_id"), F.to_json(F.struct("total", *map(_six, ("x_min", "y_min", "x_max", "y_max")))).alias("line"))
+
+
 def ndjson(found: DataFrame) -> DataFrame:
-    return found.select("paper_id", F.to_json(F.struct("paper_id", "x", "y", "title", "source", F.date_format("update_date", "yyyy-MM-dd").alias("update_date"))).alias("line"))
+    """The points' lines; a writer puts ``header_line`` before them."""
+    return found.select("paper_id", F.to_json(F.struct("paper_id", _six("x"), _six("y"), "title", "source", F.date_format("update_date", "yyyy-MM-dd").alias("update_date"))).alias("line"))
 
 
 def _spans() -> tuple[Column, Column]:
@@ -53,19 +64,31 @@ def palette(found: DataFrame) -> DataFrame:
     return first.select("source", (F.row_number().over(Window.partitionBy().orderBy("first", "source")) - 1).alias("colour"))  # one row for each source
 
 
-def density(found: DataFrame, cells: int = 64, radius: float = 2.0, weight: float = 1.0, cap: float = 3.0, low: float = -1.0, high: float = 1.0) -> DataFrame:
-    """``px, py, amount, brightness``: each point covers the pixels around it, with a soft edge, and amounts add up."""
+#: The grey of the one large source, which would drown the others' colours.
+GREY = (0.6, 0.6, 0.6)
+
+
+def source_colour(source: Column, of_source: Column, grey_source: str) -> Column:
+    """Red, green and blue from 0 to 1; one source is grey."""
+    return F.when(source == grey_source, F.array(*map(F.lit, GREY))).otherwise(of_source)
+
+
+def density(found: DataFrame, colour: Column, cells: int = 64, radius: float = 2.0, weight: float = 1.0, cap: float = 3.0, low: float = -1.0, high: float = 1.0) -> DataFrame:
+    """``px, py, amount, brightness, r, g, b``: each point covers the pixels around it, with a soft edge, and amounts add up.
+    A pixel has the mean colour of what covers it, times the brightness. colour: three numbers of a point."""
     reach = int(radius)
     at = lambda c: (F.col(c) - low) / (high - low) * cells
     offsets = F.sequence(F.lit(-reach), F.lit(reach))
-    placed = found.select(at("x").alias("gx"), at("y").alias("gy")).withColumns({"dx": F.explode(offsets)}).withColumn("dy", F.explode(offsets))
+    placed = found.select(at("x").alias("gx"), at("y").alias("gy"), colour.alias("rgb")).withColumns({"dx": F.explode(offsets)}).withColumn("dy", F.explode(offsets))
     pixel = placed.withColumns({"px": (F.floor("gx") + F.col("dx")).cast("int"), "py": (F.floor("gy") + F.col("dy")).cast("int")})
     pixel = pixel.filter(F.col("px").between(0, cells - 1) & F.col("py").between(0, cells - 1))
     away = F.sqrt(F.pow(F.col("px") + 0.5 - F.col("gx"), 2) + F.pow(F.col("py") + 0.5 - F.col("gy"), 2)) / radius
     soft = min(1.0, 2.0 / max(radius, 1.0))
     covered = (1 - smoothstep(F.lit(1 - soft), F.lit(1.0), away)) * weight
-    summed = pixel.withColumn("covered", covered).filter("covered > 0").groupBy("px", "py").agg(F.sum("covered").alias("amount"))
-    return summed.withColumn("brightness", F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.log1p("amount") / F.log1p(F.lit(cap)))))
+    sums = (F.sum(F.get("rgb", F.lit(k)) * F.col("covered")).alias(c) for k, c in enumerate("rgb"))
+    summed = pixel.withColumn("covered", covered).filter("covered > 0").groupBy("px", "py").agg(F.sum("covered").alias("amount"), *sums)
+    bright = summed.withColumn("brightness", F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.log1p("amount") / F.log1p(F.lit(cap)))))
+    return bright.select("px", "py", "amount", "brightness", *((F.col(c) / F.col("amount") * F.col("brightness")).alias(c) for c in "rgb"))
 
 
 def project(embedding: DataFrame, name: str = "pca_v1", first: int = 50) -> DataFrame:

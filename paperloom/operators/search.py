@@ -1,9 +1,9 @@
 """Similarity search over ``paper`` and ``embedding`` tables.
 
 A single probe is a literal array, so scoring is a projection and the top k a
-TakeOrderedAndProject. All-pairs neighbours are exact and run in blocks: a block
-of probes of bounded size is broadcast, every task scores its rows against it by
-one matrix product, and only each task's best k per probe are shuffled.
+TakeOrderedAndProject. All-pairs neighbours are exact and run in blocks: groups of
+probes are sent to blocks of rows, a task scores a group against its block by
+one matrix product, and only each block's best k per probe are shuffled.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,7 +23,9 @@ KNOWN_SOURCES = tuple(f"src{k}" for k in range(20))
 ARXIV = "src0"
 #: Horizons in days (None: all) and their limits.
 HORIZONS = ((30, 10), (180, 15), (365, 20), (None, 30))
-PROBE_BLOCK = 8192
+#: Rows of a block and, about, probes of a group.
+ROW_BLOCK = 8192
+PROBE_BLOCK = 512
 
 
 def vector_literal(values: list[float]) -> Column:
@@ -89,47 +92,54 @@ def neighbours(embedding: DataFrame, seed: str, k: int) -> DataFrame:
 def knn_graph(embedding: DataFrame, k: int, probes: DataFrame | None = None) -> DataFrame:
     """``src, dst, similarity, rank``: each probe's k most similar others (all rows are probes by default).
 
-    Exact. Null and zero vectors take no part. Probes go block by block through
-    the driver, PROBE_BLOCK rows at a time.
+    Exact. Null and zero vectors take no part. Rows are dealt to blocks by a hash
+    of their id; probes, gathered in groups of bounded size, are sent to every
+    block. A task holds one block's matrix, streams the probes past it and returns
+    the best k of each, with all that tie with the last. Only counts come to the driver.
     """
-    spark = embedding.sparkSession
     usable = embedding.filter(F.col("embedding").isNotNull() & F.exists("embedding", lambda x: x != 0)).select("paper_id", F.col("embedding").cast("array<double>").alias("embedding"))
     asked = usable if probes is None else usable.join(probes.select("paper_id").distinct(), "paper_id", "left_semi")
-    n = asked.count()
-    blocks = max(1, math.ceil(n / PROBE_BLOCK))
-
-    def scored(block: int) -> DataFrame:
-        part = asked if blocks == 1 else asked.filter(F.pmod(F.xxhash64("paper_id"), F.lit(blocks)) == block)
-        rows = part.toArrow()
-        names = rows["paper_id"].to_pylist()
-        matrix = np.stack(rows["embedding"].to_numpy()) if names else np.zeros((0, 1))
-        shared = spark.sparkContext.broadcast((names, matrix / np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-300)))
-
-        def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            probe_names, probe = shared.value
-            for batch in batches:
-                if not len(batch) or not probe_names:
+    n = usable.count()
+    blocks = max(math.ceil(n / ROW_BLOCK), min(8, math.ceil(n / 256)), 1)
+    groups = max(1, math.ceil((n if probes is None else asked.count()) / PROBE_BLOCK))
+    hashed = F.xxhash64("paper_id")
+    rows = usable.select(F.pmod(hashed, F.lit(blocks)).cast("int").alias("block"), F.lit(0).alias("asks"), F.array("paper_id").alias("ids"), F.col("embedding").alias("vectors"))
+    # The group's hash differs from the block's. A group has about PROBE_BLOCK rows.
+    grouped = asked.groupBy(F.pmod(F.xxhash64(F.lit(1), "paper_id"), F.lit(groups)).alias("g")).agg(F.collect_list(F.struct("paper_id", "embedding")).alias("p"))
+    sent = grouped.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.lit(1).alias("asks"), F.col("p.paper_id").alias("ids"), F.flatten("p.embedding").alias("vectors"))
+
+    def unit(values: np.ndarray) -> np.ndarray:
+        return values / np.maximum(np.linalg.norm(values, axis=1, keepdims=True), 1e-300)
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, ids, vectors, matrix = None, [], [], None
+        for batch in batches:
+            numbers, asks = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            for at in range(len(batch)):
+                if numbers[at] != block:
+                    block, ids, vectors, matrix = numbers[at], [], [], None
+                names = batch.column(2)[at].values
+                values = batch.column(3)[at].values.to_numpy(zero_copy_only=False).reshape(len(names), -1)
+                if not asks[at]:
+                    ids.append(names)
+                    vectors.append(values)
                     continue
-                ids = np.array(batch.column(0).to_pylist(), object)
-                vectors = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1)
-                similarity = probe @ (vectors / np.linalg.norm(vectors, axis=1, keepdims=True)).T
-                for at in range(0, len(probe_names), 1024):
-                    part = similarity[at : at + 1024]
-                    take = min(k + 1, part.shape[1])
-                    near = np.argpartition(-part, take - 1, axis=1)[:, :take]
-                    # All that tie with the last one stay; ranks are settled after the shuffle.
-                    floor = np.take_along_axis(part, near, axis=1).min(axis=1) - 1e-12
-                    row, column = np.nonzero(part >= floor[:, None])
-                    src = [probe_names[at + r] for r in row]
-                    keep = np.array([s != d for s, d in zip(src, ids[column])], bool)
-                    yield pa.RecordBatch.from_pydict({"src": pa.array(np.array(src, object)[keep], pa.string()), "dst": pa.array(ids[column][keep], pa.string()), "similarity": part[row, column][keep]})
-
-        return usable.mapInArrow(best, "src string, dst string, similarity double")
-
-    edges = scored(0)
-    for block in range(1, blocks):
-        edges = edges.union(scored(block))
+                if not ids:
+                    continue
+                if matrix is None:
+                    matrix, held = unit(np.concatenate(vectors)), pa.concat_arrays(ids)
+                similarity = unit(values) @ matrix.T
+                take = min(k + 1, similarity.shape[1])
+                near = np.argpartition(-similarity, take - 1, axis=1)[:, :take]
+                # All that tie with the last one stay; ranks are settled after the shuffle.
+                floor = np.take_along_axis(similarity, near, axis=1).min(axis=1) - 1e-12
+                row, column = np.nonzero(similarity >= floor[:, None])
+                found = pa.RecordBatch.from_pydict({"src": names.take(pa.array(row)), "dst": held.take(pa.array(column)), "similarity": similarity[row, column]})
+                yield found.filter(pc.not_equal(found.column(0), found.column(1)))
+
+    dealt = rows.union(sent).repartition(blocks, "block").sortWithinPartitions("block", "asks")
     order = Window.partitionBy("src").orderBy(F.col("similarity").desc(), "dst")
+    edges = dealt.mapInArrow(best, "src string, dst string, similarity double")
     return edges.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 

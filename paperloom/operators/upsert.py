@@ -38,15 +38,22 @@ def invalidate_embeddings(embedding: DataFrame, stored: DataFrame, incoming: Dat
     return embedding.join(updated, "paper_id", "left").select("paper_id", F.when(F.col("__updated").isNull(), F.col("embedding")).alias("embedding"))
 
 
+def _last(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Of rows of one key the last in the order they are read in."""
+    numbered = rows.withColumn("__at", F.monotonically_increasing_id())
+    order = Window.partitionBy(*keys).orderBy(F.col("__at").desc())
+    return numbered.withColumn("__rn", F.row_number().over(order)).filter("__rn = 1").drop("__rn", "__at")
+
+
 def put_embeddings(embedding: DataFrame, incoming: DataFrame) -> DataFrame:
-    """The last write of a vector wins, whatever its date."""
-    return embedding.join(incoming.select("paper_id"), "paper_id", "left_anti").unionByName(incoming)
+    """The last write of a vector wins, whatever its date; of an id's repeats in ``incoming`` the last."""
+    return embedding.join(incoming.select("paper_id"), "paper_id", "left_anti").unionByName(_last(incoming, ["paper_id"]))
 
 
 def put_projections(stored: DataFrame, incoming: DataFrame) -> DataFrame:
-    """Rows of (paper, projection) are replaced; those that the new run lacks stay."""
+    """Rows of (paper, projection) are replaced, by the last of their repeats; those that the new run lacks stay."""
     keys = ["paper_id", "projection"]
-    return stored.join(incoming.select(*keys), keys, "left_anti").unionByName(incoming)
+    return stored.join(incoming.select(*keys), keys, "left_anti").unionByName(_last(incoming, keys))
 
 
 def replace_categories(stored: DataFrame, incoming: DataFrame) -> DataFrame:

@@ -103,9 +103,15 @@ def atlas_points_json(spark, sf):
     return _points(spark, sf).select("paper_id", F.to_json(F.struct("paper_id", "title", "source", F.date_format("update_date", "yyyy-MM-dd").alias("update_date"))).alias("line"))
 
 
-@query("atlas_ndjson")
+_NUMBER = lambda c: f"printf('%.6f', {c})"
+
+
+@query("atlas_ndjson", f""", {_POINTS}, {_BOX} SELECT NULL AS paper_id, '{{"total":' || total || ',"x_min":' || {_NUMBER("x_min")} || ',"y_min":' || {_NUMBER("y_min")} || ',"x_max":' || {_NUMBER("x_max")} || ',"y_max":' || {_NUMBER("y_max")} || '}}' AS line FROM box
+UNION ALL SELECT paper_id, '{{"paper_id":"' || paper_id || '","x":' || {_NUMBER("x")} || ',"y":' || {_NUMBER("y")} || ',"title":' || to_json(title) || ',"source":"' || source || '","update_date":"' || strftime(update_date, '%Y-%m-%d') || '"}}' FROM pts""")
 def atlas_ndjson(spark, sf):
-    return A.ndjson(_points(spark, sf))
+    """The header's line, whose paper_id is null, and the points'."""
+    found = _points(spark, sf)
+    return A.header_line(A.header(found)).unionByName(A.ndjson(found))
 
 
 @query("atlas_camera", f", {_POINTS}, {_BOX}, s AS (SELECT *, greatest(x_max - x_min, y_max - y_min) AS span FROM box) SELECT round(log2(800 / CASE WHEN span = 0 THEN 1 ELSE span END), 6) AS zoom, round((x_min + x_max) / 2, 6) AS cx, round((y_min + y_max) / 2, 6) AS cy FROM s")
@@ -124,9 +130,15 @@ def source_palette(spark, sf):
     return A.palette(_points(spark, sf))
 
 
-@query("density_grid", f", {_POINTS}, g AS (SELECT (x + 1.0) / 2.0 * 64 AS gx, (y + 1.0) / 2.0 * 64 AS gy FROM pts), o AS (SELECT unnest(range(-2, 3)) AS d), c AS (SELECT CAST(floor(gx) + a.d AS INT) AS px, CAST(floor(gy) + b.d AS INT) AS py, gx, gy FROM g, o a, o b), w AS (SELECT px, py, sqrt(pow(px + 0.5 - gx, 2) + pow(py + 0.5 - gy, 2)) / 2.0 AS r FROM c WHERE px BETWEEN 0 AND 63 AND py BETWEEN 0 AND 63), t AS (SELECT px, py, greatest(0.0, least(1.0, r)) AS t FROM w), v AS (SELECT px, py, 1 - t * t * (3 - 2 * t) AS cov FROM t) SELECT px, py, round(sum(cov), 6) AS amount, round(least(1.0, greatest(0.0, ln(1 + sum(cov)) / ln(4.0))), 6) AS brightness FROM v WHERE cov > 0 GROUP BY px, py")
+_SPREAD = "g AS (SELECT (x + 1.0) / 2.0 * 64 AS gx, (y + 1.0) / 2.0 * 64 AS gy, CASE WHEN source = 'src0' THEN [0.6, 0.6, 0.6] ELSE [(CAST(substr(source, 4) AS INT) % 3) / 2.0, (CAST(substr(source, 4) AS INT) % 5) / 4.0, (CAST(substr(source, 4) AS INT) % 7) / 6.0] END AS rgb FROM pts), o AS (SELECT unnest(range(-2, 3)) AS d), c AS (SELECT CAST(floor(gx) + a.d AS INT) AS px, CAST(floor(gy) + b.d AS INT) AS py, gx, gy, rgb FROM g, o a, o b), w AS (SELECT px, py, rgb, sqrt(pow(px + 0.5 - gx, 2) + pow(py + 0.5 - gy, 2)) / 2.0 AS r FROM c WHERE px BETWEEN 0 AND 63 AND py BETWEEN 0 AND 63), t AS (SELECT px, py, rgb, greatest(0.0, least(1.0, r)) AS t FROM w), v AS (SELECT px, py, rgb, 1 - t * t * (3 - 2 * t) AS cov FROM t), m AS (SELECT px, py, sum(cov) AS amount, least(1.0, greatest(0.0, ln(1 + sum(cov)) / ln(4.0))) AS brightness, sum(rgb[1] * cov) / sum(cov) AS r, sum(rgb[2] * cov) / sum(cov) AS g, sum(rgb[3] * cov) / sum(cov) AS b FROM v WHERE cov > 0 GROUP BY px, py)"
+
+
+@query("density_grid", f", {_POINTS}, {_SPREAD} SELECT px, py, round(amount, 6) AS amount, round(brightness, 6) AS brightness, round(r * brightness, 5) AS r, round(g * brightness, 5) AS g, round(b * brightness, 5) AS b FROM m")
 def density_grid(spark, sf):
-    return rounded(A.density(_points(spark, sf)), "amount", "brightness")
+    number = F.substring("source", 4, 9).cast("int")
+    of_source = F.array((number % 3) / 2, (number % 5) / 4, (number % 7) / 6)
+    found = A.density(_points(spark, sf), A.source_colour(F.col("source"), of_source, S.ARXIV))
+    return rounded(found, "amount", "brightness").withColumns({c: F.round(c, 5) for c in "rgb"})
 
 
 # Writes. The batch: German papers a year later, French ones as they are, Spanish ones a year older, and half as many new ones.
@@ -173,6 +185,20 @@ def sync_increment(spark, sf):
     return rows.join(F.broadcast(since), F.col("update_date") >= F.col("since")).select("paper_id", "update_date")
 
 
+@query("ingest_state", f", {_BATCH}, u AS (SELECT *, 0 AS inc FROM stored UNION ALL SELECT *, 1 FROM batch), p AS (SELECT paper_id, title, source FROM (SELECT *, row_number() OVER (PARTITION BY paper_id ORDER BY update_date DESC, inc) AS rn FROM u) WHERE rn = 1), c AS (SELECT paper_id, category FROM paper WHERE category NOT IN ('de', 'fr', 'es') UNION ALL SELECT paper_id, 'new' FROM paper WHERE category IN ('de', 'fr', 'es') UNION ALL SELECT 'n' || paper_id, 'new' FROM paper WHERE category = 'en') SELECT p.source, count(*) AS papers, count(*) FILTER (p.source <> 'src0' OR c.category = 'new' OR (e.paper_id IS NOT NULL)) AS embedded FROM p LEFT JOIN c USING (paper_id) LEFT JOIN (SELECT paper_id FROM embedding WHERE paper_id NOT IN (SELECT b.paper_id FROM batch b JOIN stored s USING (paper_id) WHERE s.update_date < b.update_date)) e USING (paper_id) GROUP BY p.source")
+def ingest_state(spark, sf):
+    """Papers and vectors by source after a pull whose papers all have the category ``new``, the one that is embedded."""
+    from ..functions.embed import hashing_provider
+    from ..streaming.sync import Corpus, ingest
+
+    stored, batch = _batch(spark, sf)
+    with_text = lambda rows: rows.withColumn("abstract", F.col("title"))
+    held = Corpus(with_text(stored), paper(spark, sf).select("paper_id", "category"), embedding(spark, sf))
+    after, _ = ingest(held, with_text(batch).withColumn("categories", F.array(F.lit("new"))), hashing_provider(), S.ARXIV, ("new",))
+    joined = after.paper.join(after.embedding, "paper_id", "left")
+    return joined.groupBy("source").agg(F.count("*").alias("papers"), F.count("embedding").alias("embedded"))
+
+
 @query("dblp_dedupe", ", k AS (SELECT paper_id, CASE WHEN category = 'es' THEN NULL ELSE title END AS key FROM paper) SELECT min(paper_id) AS paper_id FROM k WHERE key IS NOT NULL GROUP BY key UNION ALL SELECT paper_id FROM k WHERE key IS NULL")
 def dblp_dedupe(spark, sf):
     key = F.when(F.col("category") != "es", F.col("title"))
@@ -219,11 +245,18 @@ _scalar("name_cache_key", "sha256(lower(trim(title)))", lambda: X.name_cache_key
 _scalar("strip_version", "regexp_replace('http://x/abs/' || paper_id || 'v2', 'v[0-9]+$', '')", lambda: X.strip_version(F.concat(F.lit("http://x/abs/"), "paper_id", F.lit("v2"))))
 _scalar("doi_link", "'https://doi.org/10.1/' || paper_id", lambda: X.doi_link(F.concat(F.lit("10.1/"), "paper_id")))
 _scalar("doi_from_link", "'10.1/' || paper_id", lambda: X.doi_from_link(F.concat(F.lit("https://host/doi/10.1/"), "paper_id", F.lit("/")), "https://host/doi/"))
-_scalar("strip_citations", "md5(regexp_replace(regexp_replace(regexp_replace(title || ' [1, 2] . ( x [3]', '\\[[0-9]+(\\s*[,–-]\\s*[0-9]+)*\\]', '', 'g'), '\\s+([.,;:!?)])', '\\1', 'g'), '\\(\\s+', '(', 'g'))", lambda: F.md5(X.strip_citations(F.concat("title", F.lit(" [1, 2] . ( x [3]")))))
-_scalar("age_label", "CASE WHEN d < 30 THEN d || ' day' || CASE WHEN d = 1 THEN '' ELSE 's' END WHEN d < 365 THEN (d // 30) || ' month' || CASE WHEN d // 30 = 1 THEN '' ELSE 's' END ELSE (d // 365) || ' year' || CASE WHEN d // 365 = 1 THEN '' ELSE 's' END END".replace("d ", "(DATE '2001-08-01' - update_date) "), lambda: D.age_label(F.col("update_date"), as_of()))
+_scalar("age_label", "CASE WHEN d < 30 THEN d || ' days ago' WHEN d < 365 THEN (d // 30) || ' months ago' ELSE (d // 365) || ' years ago' END".replace("d ", "(DATE '2001-08-01' - update_date) "), lambda: D.age_label(F.col("update_date"), as_of()))
 _scalar("month_year", "strftime(update_date, '%b %Y')", lambda: D.month_year(F.date_format("update_date", "yyyy-MM-dd")))
 _scalar("normalise_date", "CASE WHEN year(update_date) = 1998 THEN update_date ELSE DATE '1998-01-01' END", lambda: D.normalise_date(F.date_format("update_date", "yyyy-MM-dd"), F.lit(1998)))
-_scalar("citation_label", "CASE WHEN length(title) > 14 THEN substr(title, 1, 14) || '…' ELSE title END", lambda: X.citation_label(F.array().cast("array<string>"), F.year("update_date"), F.col("title")))
+_AUTHORS = {"en": ["Ann Lee", "Bo Ash"], "fr": ['Kurt G\\"odel'], "de": [""]}
+_scalar(
+    "citation_label",
+    "CASE category WHEN 'en' THEN 'Lee et al., ' || year(update_date) WHEN 'fr' THEN CASE WHEN source = 'src1' THEN 'Gödel' ELSE 'Gödel, ' || year(update_date) END ELSE CASE WHEN length(coalesce(CASE WHEN source <> 'src2' THEN title END, paper_id)) > 14 THEN substr(coalesce(CASE WHEN source <> 'src2' THEN title END, paper_id), 1, 14) || '…' ELSE coalesce(CASE WHEN source <> 'src2' THEN title END, paper_id) END END",
+    lambda: X.citation_label(
+        F.coalesce(*(F.when(F.col("category") == c, F.array(*map(F.lit, names))) for c, names in _AUTHORS.items()), F.array().cast("array<string>")),
+        F.when(~((F.col("category") == "fr") & (F.col("source") == "src1")), F.year("update_date")), F.when(F.col("source") != "src2", F.col("title")), F.col("paper_id"),
+    ),
+)
 _scalar("display_join", "source || ', ' || category || ' | ' || source", lambda: X.display_join(F.array("source", "category"), F.array("source")))
 _scalar("ef_slider", "CAST(round(10 * pow(50, (CAST(paper_id AS INT) % 101) / 100.0)) AS INT)", lambda: F.round(10 * F.pow(F.lit(50.0), (F.col("paper_id").cast("int") % 101) / 100.0)).cast("int"))
 _scalar("hex_rgba", "array_to_string([(CAST(paper_id AS INT) % 256), 16, 255], ',')", lambda: F.array_join(F.slice(X.hex_rgba(F.concat(F.lit("#"), F.lpad(F.hex(F.col("paper_id").cast("long") % 256), 2, "0"), F.lit("10ff"))), 1, 3).cast("array<string>"), ","))
@@ -270,21 +303,75 @@ def projection_pca(spark, sf):
     return A.project(embedding(spark, sf))
 
 _D = "(DATE '2001-08-01' - update_date)"
-_P = lambda n, unit: f"({n}) || ' {unit}' || CASE WHEN ({n}) = 1 THEN '' ELSE 's' END"
-_scalar("age_label_long", f"CASE WHEN {_D} // 365 = 0 AND ({_D} % 365) // 30 = 0 THEN {_P(_D + ' % 30', 'day')} ELSE concat_ws(', ', CASE WHEN {_D} // 365 > 0 THEN {_P(_D + ' // 365', 'year')} END, CASE WHEN ({_D} % 365) // 30 > 0 THEN {_P('(' + _D + ' % 365) // 30', 'month')} END) END", lambda: D.age_label_long(F.col("update_date"), as_of()))
-_scalar("dehyphenate", "md5(regexp_replace(replace(abstract, 'a', '-' || chr(10) || ' a'), '-\\n\\s*([a-z])', '\\1', 'g'))", lambda: F.md5(X.dehyphenate(F.replace("abstract", F.lit("a"), F.lit("-\n a")))))
-_CITED = "regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(abstract, '-\\n\\s*([a-z])', '\\1', 'g'), '\\n', ' ', 'g'), '\\[[0-9]+(\\s*[,–-]\\s*[0-9]+)*\\]', '', 'g'), '\\s+([.,;:!?)])', '\\1', 'g'), '\\(\\s+', '(', 'g')"
-_scalar("clean_text", f"md5(trim(regexp_replace({_CITED}, '\\s+', ' ', 'g')))", lambda: F.md5(X.clean_text(F.col("abstract"))))
+_scalar(
+    "age_label_long",
+    f"CASE WHEN {_D} // 365 <= 0 AND ({_D} % 365) // 30 <= 0 THEN ({_D} % 30) || ' days ' ELSE CASE WHEN {_D} // 365 > 0 THEN ({_D} // 365) || ' years ' ELSE '' END || CASE WHEN ({_D} % 365) // 30 > 0 THEN (({_D} % 365) // 30) || ' months ' ELSE '' END END || 'ago'",
+    lambda: D.age_label_long(F.col("update_date"), as_of()),
+)
+# Line ends in every branch: a hyphen before a blank line, blanks behind the hyphen, a capital after it.
+_BROKEN = "replace(replace(replace(abstract, 'a', '-  ' || chr(10) || chr(10) || ' a'), 'E', '-' || chr(10) || 'E'), 't', 't ' || chr(10))"
+_JOINED = f"regexp_replace(regexp_replace({_BROKEN}, '[^\\S\\n]+(\\n|$)', '\\1', 'g'), '-\\n\\s*(\\p{{Ll}})', '\\1', 'g')"
+_UNCITED = lambda t: f"regexp_replace(regexp_replace(regexp_replace({t}, '\\[[0-9,\\s–—-]+\\]', '', 'g'), '\\s+([.,;:!?)])', '\\1', 'g'), '\\(\\s+', '(', 'g')"
+_CITED = "abstract || ' [1, 2] . ( x [3—5] [ 7 ] [a1]'"
+
+
+def _broken():
+    return F.replace(F.replace(F.replace("abstract", F.lit("a"), F.lit("-  \n\n a")), F.lit("E"), F.lit("-\nE")), F.lit("t"), F.lit("t \n"))
+
+
+_scalar("dehyphenate", f"md5({_JOINED})", lambda: F.md5(X.dehyphenate(_broken())))
+_scalar("strip_citations", f"md5({_UNCITED(_CITED)})", lambda: F.md5(X.strip_citations(F.concat("abstract", F.lit(" [1, 2] . ( x [3—5] [ 7 ] [a1]")))))
+_FLAT = f"regexp_replace({_JOINED} || ' [1,' || chr(10) || ' 2] .', '\\s*\\n\\s*', ' ', 'g')"
+_scalar("clean_text", f"md5(trim(regexp_replace({_UNCITED(_FLAT)}, '\\s+', ' ', 'g')))", lambda: F.md5(X.clean_text(F.concat(_broken(), F.lit(" [1,\n 2] .")))))
 _NORM = "list_filter(string_split(trim(regexp_replace(lower(title), '[^a-z0-9]+', ' ', 'g')), ' '), lambda w: w <> '')"
-_scalar("title_prefix", f"CASE WHEN len({_NORM}) >= 3 THEN array_to_string(list_filter({_NORM}, lambda w: NOT list_contains([{', '.join(repr(w) for w in X.STOPWORDS)}], w))[1:3], ' ') END", lambda: X.title_prefix(F.col("title")))
+_scalar("title_prefix", f"CASE WHEN len({_NORM}) >= 3 THEN array_to_string(list_filter({_NORM}, lambda w: NOT list_contains(['a', 'an', 'the', 'for', 'of', 'in', 'with', 'on', 'to'], w))[1:3], ' ') END", lambda: X.title_prefix(F.col("title")))
+
 
+_WORDS = "list_filter(regexp_split_to_array(title, '\\s+'), lambda w: w <> '')"
 
-@query("wrap_label")
+
+@query("wrap_label", f"SELECT paper_id, CASE WHEN len({_WORDS}) = 0 THEN '' ELSE list_reduce({_WORDS}, lambda a, w: CASE WHEN length(string_split(a, chr(10))[-1]) + 1 + length(w) <= 12 THEN a || ' ' || w ELSE a || chr(10) || w END) END AS value FROM paper")
 def wrap_label(spark, sf):
-    """A greedy fold over words: no SQL."""
     return paper(spark, sf).select("paper_id", X.wrap_label(F.col("title")).alias("value"))
 
 
+#: case: (expression, what the reference's rules give for it, worked out by hand).
+TEXT_CASES = {
+    "lines: hyphen, blank line, small letter": (lambda: X.dehyphenate(F.lit("exam- \n\n  ple")), "example"),
+    "lines: hyphen, capital": (lambda: X.dehyphenate(F.lit("Sub-  \nTree")), "Sub-\nTree"),
+    "lines: hyphen at the end": (lambda: X.dehyphenate(F.lit("open-\n \n")), "open-\n\n"),
+    "lines: two joins": (lambda: X.dehyphenate(F.lit("a-\nb-\nc \nd")), "abc\nd"),
+    "citations: dashes and blanks": (lambda: X.strip_citations(F.lit("x [1—2] y [ 3 ] , ( z [4,5–6]")), "x  y, (z "),
+    "citations: letters stay": (lambda: X.strip_citations(F.lit("x [a1]")), "x [a1]"),
+    "clean": (lambda: X.clean_text(F.lit(" one-\n two [1,\n2] .  three ")), "onetwo. three"),
+    "prefix: via and by count": (lambda: X.title_prefix(F.lit("Scaling via Design by Contract")), "scaling via design"),
+    "prefix: short title": (lambda: X.title_prefix(F.lit("Of Mice")), None),
+    "age: one day": (lambda: D.age_label(F.lit("2001-07-31").cast("date"), as_of()), "1 days ago"),
+    "age: a month": (lambda: D.age_label(F.lit("2001-07-01").cast("date"), as_of()), "1 months ago"),
+    "age: a year": (lambda: D.age_label(F.lit("2000-08-01").cast("date"), as_of()), "1 years ago"),
+    "long age": (lambda: D.age_label_long(F.lit("2000-06-01").cast("date"), as_of()), "1 years 2 months ago"),
+    "long age: days": (lambda: D.age_label_long(F.lit("2001-07-30").cast("date"), as_of()), "2 days ago"),
+    "long age: a whole year": (lambda: D.age_label_long(F.lit("2000-08-01").cast("date"), as_of()), "1 years ago"),
+    "label: one author, no year": (lambda: X.citation_label(F.array(F.lit("Ann van Lee")), F.lit(None).cast("int"), F.lit("t"), F.lit("p")), "Lee"),
+    "label: no author, no title": (lambda: X.citation_label(F.array().cast("array<string>"), F.lit(2001), F.lit(None).cast("string"), F.lit("10.1/abcdefghijklmn")), "10.1/abcdefghi…"),
+    "tex": (lambda: X.decode_tex(F.lit("\\c{c} \\cc \\'{e}\\\"o \\~n \\alpha e\u0301")), "ç ç éö ñ alpha e\u0301"),
+    "percentile": (lambda: X.percentile_label(F.lit(0.51234), {"50th": F.lit(0.5), "90th": F.lit(0.6)}), "T = 0.512 (≈ 50th percentile of corpus)"),
+    "percentile: below": (lambda: X.percentile_label(F.lit(0.1), {"50th": F.lit(0.5)}), "T = 0.100 (≈ <50th percentile of corpus)"),
+    "nul behind a backslash": (lambda: X.strip_null_bytes(F.lit('a\\u0000b\\\\u0000c')), 'ab\\\\u0000c'),
+}
+
+
+def _quoted(text):
+    return "NULL" if text is None else "'" + text.replace("'", "''") + "'"
+
+
+@query("text_cases", " UNION ALL ".join(f"SELECT {_quoted(name)} AS name, {_quoted(want)} AS value" for name, (_, want) in TEXT_CASES.items()))
+def text_cases(spark, sf):
+    """Literal inputs that reach every branch of the text functions."""
+    made = spark.range(1).select(*(build().alias(f"c{k}") for k, (build, _) in enumerate(TEXT_CASES.values())))
+    return made.select(F.explode(F.array(*(F.struct(F.lit(name).alias("name"), F.col(f"c{k}").alias("value")) for k, name in enumerate(TEXT_CASES)))).alias("r")).select("r.*")
+
+
 @query("chunked", ", o AS (SELECT paper_id, row_number() OVER (PARTITION BY source ORDER BY paper_id) AS rn FROM paper) SELECT paper_id, (rn - 1) // 10 AS chunk FROM o")
 def chunked(spark, sf):
     """Each source's papers in chunks of ten."""

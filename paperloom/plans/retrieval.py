@@ -137,8 +137,8 @@ def legacy_l2_topk(spark, sf):
     return rounded(S.l2_top(joined, probe(spark, sf), F.col("category") == "en").select("paper_id", "distance"), "distance")
 
 
-_PAIR = "pair AS (SELECT a.paper_id AS src, b.paper_id AS dst, list_cosine_similarity(a.v, b.v) AS s FROM embedding a JOIN embedding b ON a.paper_id <> b.paper_id)"
-_KNN = f"{_PAIR}, knn AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY s DESC, dst) AS rank FROM pair) WHERE rank <= 20)"
+_PAIR = "pair AS MATERIALIZED (SELECT a.paper_id AS src, b.paper_id AS dst, list_cosine_similarity(a.v, b.v) AS s FROM embedding a JOIN embedding b ON a.paper_id <> b.paper_id)"
+_KNN = f"{_PAIR}, knn AS MATERIALIZED (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY s DESC, dst) AS rank FROM pair) WHERE rank <= 20)"
 
 
 @query("knn_topk", ", s AS (SELECT e.paper_id, list_cosine_similarity(e.v, q) AS s FROM embedding e, probe WHERE e.paper_id <> '0') SELECT paper_id, round(s, 6) AS similarity FROM s ORDER BY s DESC, paper_id LIMIT 20")
@@ -189,7 +189,7 @@ def similarity_distribution(spark, sf):
 _BREAKS = {"p50": "50th", "p90": "90th", "p95": "95th", "p99": "99th", "p99_5": "99.5th", "p99_9": "99.9th"}
 
 
-@query("percentile_label", f", {_PAIRS}, q AS ({_POINTS.replace('round(', '(').replace(', 6)', ')')}) SELECT a, b, CASE {' '.join(f"WHEN s >= {p} THEN '{label}'" for p, label in reversed(_BREAKS.items()))} ELSE '<50th' END AS label FROM pairs, q")
+@query("percentile_label", f", {_PAIRS}, q AS ({_POINTS.replace('round(', '(').replace(', 6)', ')')}), n AS (SELECT a, b, s, CASE {' '.join(f"WHEN s >= {p} THEN '{label}'" for p, label in reversed(_BREAKS.items()))} ELSE '<50th' END AS name FROM pairs, q) SELECT a, b, printf('T = %.3f (≈ %s percentile of corpus)', s, name) AS label FROM n")
 def percentile_label(spark, sf):
     pairs = S.sampled_pairs(embedding(spark, sf), 10_000, F.md5("paper_id"))
     joined = pairs.join(F.broadcast(S.distribution(pairs)), F.lit(True))  # one row
@@ -207,8 +207,9 @@ _TOP = _EDGES.format(w="k.rank <= 15")
 
 
 def _graph(spark, sf, mode="topk", **options):
-    cache = S.knn_graph(embedding(spark, sf), 20)
+    """The neighbours of the clicked papers alone."""
     clicked = G.clicked_table(spark, CLICKED)
+    cache = S.knn_graph(embedding(spark, sf), 20, clicked.select(F.col("src").alias("paper_id")))
     return cache, clicked, G.edges(cache, clicked, mode, **options)
 
 
@@ -225,8 +226,9 @@ def graph_threshold(spark, sf):
 
 @query("graph_mutual", f", {_KNN}, {_CLICKED}, near AS (SELECT k.*, c.click, least(k.src, k.dst) AS a, greatest(k.src, k.dst) AS b FROM knn k JOIN clicked c USING (src) JOIN knn r ON r.src = k.dst AND r.dst = k.src WHERE k.rank <= 15 AND r.rank <= 15) SELECT src, dst, round(s, 6) AS similarity FROM (SELECT *, row_number() OVER (PARTITION BY a, b ORDER BY click, rank) AS rn FROM near) WHERE rn = 1")
 def graph_mutual(spark, sf):
-    cache, clicked, _ = _graph(spark, sf)
-    # The reverse edge has to be in the cache: it's of all papers.
+    near, clicked, _ = _graph(spark, sf)
+    # The reverse edge has to be in the cache: that of the clicked papers' neighbours.
+    cache = S.knn_graph(embedding(spark, sf), 20, near.select(F.col("dst").alias("paper_id")).union(near.select("src")))
     return rounded(G.edges(cache, clicked, "mutual", 15).select("src", "dst", "similarity"), "similarity")
 
 

@@ -22,7 +22,12 @@ def write_listing(papers: DataFrame, path: str, suffix: str) -> None:
 
 
 def write_venue_years(papers: DataFrame, path: str) -> None:
-    """A folder for each (venue, year); existing ones stay, and nothing new writes nothing."""
+    """A folder for each (venue, year). One that is there stays as it is, so only its new neighbours are written; nothing new writes nothing."""
+    spark = papers.sparkSession
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+        there = spark.read.schema(papers.schema).json(path).select("venue", "year").distinct()
+        papers = papers.join(F.broadcast(there), ["venue", "year"], "left_anti")  # a row for each folder
     papers.write.mode("append").partitionBy("venue", "year").json(path)
 
 

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.upsert import upsert_latest
+from ..functions.embed import Provider, embed
+from ..operators.upsert import counts, invalidate_embeddings, replace_categories, upsert_latest
 
 SCHEMA = "paper_id string, title string, source string, update_date date"
 
@@ -26,6 +28,34 @@ def sync(spark: SparkSession, landing: str, read: Callable[[], DataFrame], write
     return spark.readStream.schema(SCHEMA).parquet(landing).writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+@dataclass(frozen=True)
+class Corpus:
+    """paper: ``paper_id, title, abstract, source, update_date``; categories: ``paper_id, category``; embedding: ``paper_id, embedding``."""
+
+    paper: DataFrame
+    categories: DataFrame
+    embedding: DataFrame
+
+
+def ingest(stored: Corpus, incoming: DataFrame, provider: Provider, feed: str, embeddable: tuple[str, ...], set_col: str = "categories") -> tuple[Corpus, DataFrame]:
+    """The corpus after a pull, and its counts (updated, new, skipped). incoming: papers with a list of categories.
+
+    Newer papers replace stored ones and lose their vectors; categories are
+    replaced by those of the pull; then what has no vector is embedded: papers of
+    the ``feed`` in an embeddable category, and all of other sources. Texts whose
+    embedding failed stay without one, for the next run.
+    """
+    papers = incoming.drop(set_col)
+    paper = upsert_latest(stored.paper, papers)
+    named = incoming.select("paper_id", F.explode(set_col).alias("category")).distinct()
+    categories = replace_categories(stored.categories, named)
+    kept = invalidate_embeddings(stored.embedding, stored.paper, papers).filter(F.col("embedding").isNotNull())
+    of_feed = categories.filter(F.col("category").isin(*embeddable)).select("paper_id").distinct()
+    wanted = paper.filter(F.col("source") == feed).join(of_feed, "paper_id", "left_semi").unionByName(paper.filter(F.col("source") != feed))
+    made = embed(wanted.join(kept, "paper_id", "left_anti"), provider).filter(F.col("embedding").isNotNull()).select("paper_id", "embedding")
+    return Corpus(paper, categories, kept.unionByName(made)), counts(stored.paper, papers)
+
+
 def rolling_counts(papers: DataFrame, window: str = "7 days", slide: str = "1 day", late: str = "1 day") -> DataFrame:
     """Counts by source in sliding windows; works on streams and tables. papers: ``ts, source``."""
     return papers.withWatermark("ts", late).groupBy(F.window("ts", window, slide), "source").agg(F.count("*").alias("n"))

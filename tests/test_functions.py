@@ -34,8 +34,8 @@ def day(text):
         (lambda: X.strip_disambiguator(F.lit("Ann B 0001")), "Ann B"),
         (lambda: X.split_name(F.lit("Ann Bo C"))[1], "C"),
         (lambda: X.split_name(F.lit("Plato"))[0], "Plato"),
-        (lambda: X.citation_label(F.array(F.lit("Ann A"), F.lit("Bo B")), F.lit(2001), F.lit("t")), "A et al., 2001"),
-        (lambda: X.citation_label(F.array().cast("array<string>"), F.lit(2001), F.lit("a title that is long")), "a title that i…"),
+        (lambda: X.citation_label(F.array(F.lit("Ann A"), F.lit("Bo B")), F.lit(2001), F.lit("t"), F.lit("p")), "A et al., 2001"),
+        (lambda: X.citation_label(F.array().cast("array<string>"), F.lit(2001), F.lit("a title that is long"), F.lit("p")), "a title that i…"),
         (lambda: X.wrap_label(F.lit("one two three extraordinarily")), "one two\nthree\nextraordinarily"),
         (lambda: X.hex_rgba(F.lit("#0a10ff")), [10, 16, 255, 255]),
         (lambda: X.xml_attrs(F.lit('<a k="1" b="2" k="3">')), {"b": "2", "k": "3"}),
@@ -44,10 +44,10 @@ def day(text):
         (lambda: D.normalise_date(F.lit("2017-12-27"), F.lit(2018)), dt.date(2018, 1, 1)),
         (lambda: D.normalise_date(F.lit("2018-06-01"), F.lit(2018)), dt.date(2018, 6, 1)),
         (lambda: D.normalise_date(F.lit(None).cast("string"), F.lit(2018)), dt.date(2018, 1, 1)),
-        (lambda: D.age_label(day("2001-07-31"), day("2001-08-01")), "1 day"),
-        (lambda: D.age_label(day("2001-05-01"), day("2001-08-01")), "3 months"),
-        (lambda: D.age_label_long(day("2000-05-01"), day("2001-08-01")), "1 year, 3 months"),
-        (lambda: D.age_label_long(day("2001-08-01"), day("2001-08-01")), "0 days"),
+        (lambda: D.age_label(day("2001-07-31"), day("2001-08-01")), "1 days ago"),
+        (lambda: D.age_label(day("2001-05-01"), day("2001-08-01")), "3 months ago"),
+        (lambda: D.age_label_long(day("2000-05-01"), day("2001-08-01")), "1 years 3 months ago"),
+        (lambda: D.age_label_long(day("2001-08-01"), day("2001-08-01")), "0 days ago"),
         (lambda: D.next_date(day("2000-02-29"), day("2001-08-01")), dt.date(2002, 2, 28)),
         (lambda: D.next_date(day("2001-08-01"), day("2001-08-01")), dt.date(2002, 8, 1)),
         (lambda: D.month_year(F.lit("2001-08-01")), "Aug 2001"),

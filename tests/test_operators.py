@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from paperloom.operators import atlas as A
 from paperloom.operators import graph as G
+from paperloom.operators import requests as Q
 from paperloom.operators import search as S
 from paperloom.operators import upsert as U
 from paperloom.sources import readers as R
@@ -31,8 +32,9 @@ def test_knn_graph_is_exact(spark, vectors, monkeypatch):
         unit = {k: v / np.linalg.norm(v) for k, v in rows.items()}
         return [j for _, j in sorted((-round(float(unit[i] @ unit[j]), 9), j) for j in rows if j != i)[:5]]
 
-    for block in (8192, 10):  # one block of probes, and several
+    for block in (8192, 10):  # one block of rows and group of probes, and several
         monkeypatch.setattr(S, "PROBE_BLOCK", block)
+        monkeypatch.setattr(S, "ROW_BLOCK", block)
         got = {}
         for r in S.knn_graph(vectors, 5).orderBy("src", "rank").collect():
             got.setdefault(r["src"], []).append(r["dst"])
@@ -96,10 +98,10 @@ def test_upsert(stored, batch):
 def test_embedding_and_projection_writes(spark, stored, batch):
     e = spark.createDataFrame([("a", [1.0]), ("b", [2.0])], "paper_id string, embedding array<double>")
     assert {r["paper_id"]: r["embedding"] for r in U.invalidate_embeddings(e, stored, batch).collect()} == {"a": None, "b": [2.0]}
-    put = U.put_embeddings(e, spark.createDataFrame([("a", [9.0])], e.schema))
+    put = U.put_embeddings(e, spark.createDataFrame([("a", [8.0]), ("a", [9.0])], e.schema).coalesce(1))
     assert {r["paper_id"]: r["embedding"] for r in put.collect()} == {"a": [9.0], "b": [2.0]}
     p = spark.createDataFrame([("a", "p", 0.0), ("b", "p", 0.0)], "paper_id string, projection string, x double")
-    assert U.put_projections(p, spark.createDataFrame([("a", "p", 5.0)], p.schema).union(p.limit(0))).count() == 2
+    assert U.put_projections(p, spark.createDataFrame([("a", "p", 5.0), ("a", "p", 6.0)], p.schema).union(p.limit(0))).count() == 2
 
 
 def test_first_wins_keeps_rows_without_key(spark):
@@ -157,6 +159,72 @@ def test_readers(spark, tmp_path):
     assert len(flat) == 1 and flat[0]["year"] == 2025 and flat[0]["conferences"] == ["EuroSys", "SOSP"]
 
 
+def test_harvest_readers(spark, tmp_path):
+    reply = lambda *decisions: [("x/Comment", None), *(("x/-/Decision", d) for d in decisions)]
+    notes = spark.createDataFrame([("yes", reply("Reject", "Accept (oral)")), ("no", reply("Accept", "Reject")), ("none", reply())], "id string, replies array<struct<invitation:string,decision:string>>")
+    kept = R.tag_notes(R.accepted(notes), "ICML", "2001-05-01").collect()
+    assert [(r["id"], tuple(r["conference_metadata"])) for r in kept] == [("yes", ("ICML", "2001-05-01"))]
+    hits = lambda total, *infos: json.dumps({"result": {"hits": {"@total": str(total), "@sent": str(len(infos)), "hit": [{"info": i} for i in infos]}}})
+    bodies = spark.createDataFrame([(hits(2, {"key": "a", "title": "One.", "number": "POPL"}, {"key": "b", "title": "Two", "type": "Editorship"}),)], "body string")
+    assert [(r["key"], r["title"]) for r in R.search_hits(bodies).collect()] == [("a", "One")] == [(r["key"], r["title"]) for r in R.search_hits(bodies, "POPL").collect()]
+    with pytest.raises(Exception, match="only a part"):
+        R.search_hits(spark.createDataFrame([(hits(9, {"key": "a"}),)], "body string")).collect()
+    (tmp_path / "feed.xml").write_text('<feed xmlns="http://www.w3.org/2005/Atom"><entry><id>http://x/abs/2101.1v3</id><title>A\n  b</title><summary> s </summary><published>2001-02-03T00:00:00Z</published></entry></feed>')
+    assert [tuple(r) for r in R.atom_entries(spark, str(tmp_path / "feed.xml")).collect()] == [("2101.1", "A b", "s", D("2001-02-03"))]
+    doc = lambda text, model: {"page_content": text, "metadata": {"title": text, "year": 2001}, "embedding_metadata": {"embedding": [1.0, 2.0], "embedding_model": model}}
+    (tmp_path / "one.json").write_text(json.dumps([doc("a", "m"), doc("b", "m")]))
+    (tmp_path / "two.json").write_text(json.dumps([doc("a", "m"), doc("b", "other")]))
+    assert {(r["page_content"], r["model"], tuple(r["embedding"])) for r in R.embedded_documents(spark, str(tmp_path / "one.json")).collect()} == {("a", "m", (1.0, 2.0)), ("b", "m", (1.0, 2.0))}
+    with pytest.raises(ValueError):
+        R.embedded_documents(spark, str(tmp_path / "two.json"))
+    docs, held = spark.createDataFrame([("x",), ("y",)], "paper_id string"), spark.createDataFrame([("y", [1.0])], "paper_id string, embedding array<double>")
+    assert {r["paper_id"]: r["embedding"] for r in R.attach_embeddings(docs, held).collect()} == {"x": None, "y": [1.0]}
+
+
+def test_tables_that_are_written(spark, tmp_path):
+    rows = lambda *r: spark.createDataFrame(list(r), "title string, venue string, year int")
+    path = str(tmp_path / "venues")
+    K.write_venue_years(rows(("old", "A", 2001)), path)
+    K.write_venue_years(rows(("again", "A", 2001), ("new", "A", 2002)), path)
+    K.write_venue_years(rows(("again", "A", 2002)), path)
+    assert {(r["title"], r["year"]) for r in spark.read.json(path).collect()} == {("old", 2001), ("new", 2002)}
+    K.write_snapshot(rows(("s", "A", 1)), str(tmp_path / "snapshot"))
+    assert spark.read.parquet(str(tmp_path / "snapshot")).first()["title"] == "s"
+    with pytest.raises(Exception, match="already exists"):
+        K.write_snapshot(rows(("s", "A", 1)), str(tmp_path / "snapshot"))
+    points = spark.createDataFrame([("p", "one", 0.5, 1.0), ("q", "two", 0.1, 2.0)], "paper_id string, projection string, x double, y double")
+    K.write_atlas(points, str(tmp_path / "atlas"))
+    assert {(r["paper_id"], r["projection"]) for r in spark.read.parquet(str(tmp_path / "atlas")).collect()} == {("p", "one"), ("q", "two")}
+    assert sorted(r["paper_id"] for r in K.rows(points)) == ["p", "q"]
+
+
+def test_requests():
+    assert Q.search({"text": " q ", "limit": 500, "ef_search": "3", "sources": {"src1": True, "none": True}}) == Q.Search("q", 36_500, 100, 10, ("src1",))
+    assert Q.search({"text": "q"}).sources == S.KNOWN_SOURCES
+    assert Q.neighbours({"k": "7", "mutual": "YES"}) == Q.Neighbours(7, True) and Q.neighbours({}) == Q.Neighbours(20, False)
+    assert Q.atlas({"viewport": "0,1,2,3.5", "format": "ndjson"}) == Q.Atlas((0.0, 1.0, 2.0, 3.5), 1_000_000, "ndjson")
+    for check, bad in [(Q.search, {"text": "  "}), (Q.search, {"text": 3}), (Q.search, {"text": "q", "limit": "x"}), (Q.search, {"text": "q", "time_window_days": []}), (Q.neighbours, {"k": "51"}), (Q.neighbours, {"k": "abc"}), (Q.neighbours, {"mutual": "maybe"}), (Q.atlas, {"limit": "0"}), (Q.atlas, {"viewport": "1,2,3"}), (Q.atlas, {"viewport": "a,b,c,d"}), (Q.atlas, {"format": "xml"})]:
+        with pytest.raises(ValueError):
+            check(bad)
+
+
+def test_ingest(spark):
+    paper = "paper_id string, title string, abstract string, source string, update_date date"
+    stored = Y.Corpus(
+        spark.createDataFrame([("a", "A", "one", "feed", D("2001-01-01")), ("b", "B", "two", "conf", D("2001-01-01"))], paper),
+        spark.createDataFrame([("a", "cs"), ("a", "math")], "paper_id string, category string"),
+        spark.createDataFrame([("a", [1.0]), ("b", [2.0])], "paper_id string, embedding array<float>"),
+    )
+    pull = spark.createDataFrame([("a", "A2", "three", "feed", D("2001-02-01"), ["cs"]), ("c", "C", "four", "feed", D("2001-02-01"), ["math"]), ("b", "old", "x", "conf", D("2000-01-01"), ["cs"])], f"{paper}, categories array<string>")
+    from paperloom.functions.embed import hashing_provider
+
+    after, counted = Y.ingest(stored, pull, hashing_provider(4), "feed", ("cs",))
+    assert tuple(counted.first()) == (1, 1, 1)
+    assert {(r["paper_id"], r["title"]) for r in after.paper.collect()} == {("a", "A2"), ("b", "B"), ("c", "C")}
+    assert {tuple(r) for r in after.categories.collect()} == {("a", "cs"), ("c", "math"), ("b", "cs")}
+    assert {r["paper_id"]: len(r["embedding"]) for r in after.embedding.collect()} == {"a": 4, "b": 1}  # c isn't in an embeddable category
+
+
 def test_build_papers(spark):
     entries = spark.createDataFrame([("10.1/a", "A", 2018, ["Ann"]), ("10.1/b", "B", 2018, ["Bo"]), ("10.1/c", "C", 2018, ["Cy"]), (None, "D", 2018, [])], "doi string, title string, year int, authors array<string>")
     works = spark.createDataFrame([("10.1/a", {"x": [0]}, "2017-12-27", ["Ann Full"])], "doi string, abstract_inverted_index map<string,array<int>>, publication_date string, authors array<string>")
