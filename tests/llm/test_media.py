@@ -44,3 +44,29 @@ def test_fingerprint_is_found_in_a_longer_recording(monkeypatch):
     monkeypatch.setattr(M, "BLOCK_FRAMES", 7)  # blocks don't change the result
     again = M.fingerprint(clip)
     assert (again[0] == t).all() and (again[1] == c).all()
+
+
+def test_fingerprint_by_brute_force():
+    """A transform summed term by term, peaks and pairs found by plain loops, give the same times and codes."""
+    import cmath
+    import math
+
+    rng = np.random.default_rng(4)
+    samples = bytes(rng.integers(0, 256, 1400, dtype=np.uint8))
+    frames = []
+    for start in range(0, len(samples) - 256 + 128, 128):
+        part = [samples[min(start + k, len(samples) - 1)] / 128 - 1 for k in range(256)]
+        mean = sum(part) / 256
+        shaped = [(v - mean) * (0.5 - 0.5 * math.cos(2 * math.pi * k / 255)) for k, v in enumerate(part)]
+        frames.append([abs(sum(v * cmath.exp(-2j * math.pi * f * k / 256) for k, v in enumerate(shaped))) for f in range(129)])
+    tops = [[max((frame[f], -f) for f in range(a, b)) for a, b in zip(M.BANDS, M.BANDS[1:])] for frame in frames]
+    peaks = []
+    for t, bands in enumerate(tops):
+        for k, (strength, f) in enumerate(bands):
+            before = tops[t - 1][k][0] if t else 0
+            after = tops[t + 1][k][0] if t + 1 < len(tops) else 0
+            if strength > 1e-3 and strength >= before and strength > after:
+                peaks.append((t, -f))
+    pairs = sorted((t, (f << 14) | (g << 6) | (u - t)) for i, (t, f) in enumerate(peaks) for u, g in peaks[i + 1 : i + 1 + M.FAN_OUT] if u - t <= 63)
+    times, codes = M.fingerprint(samples)
+    assert list(zip(times.tolist(), codes.tolist())) == pairs

@@ -65,7 +65,7 @@ def test_packer_balances_steps_and_keeps_all():
     made.append(packer.flush(last=True).to_pandas())
     check(pieces := pd.concat(made), ids_of, {})
     steps = pieces.drop_duplicates("sequence_id").groupby("step_id").tier.sum()
-    assert (steps == P.STEP_TOKENS).mean() > 0.8 and (steps <= P.STEP_TOKENS).all()
+    assert (steps.sort_index()[:-1] == P.STEP_TOKENS).all() and steps.max() <= P.STEP_TOKENS and len(steps) > 20
     assert (pieces.sequence_id >= 3 << 36).all()
 
 
@@ -75,6 +75,14 @@ def test_query_crc(spark, tmp_path):
     assert [(r["length"], r["ids_crc32"]) for r in rows] == [(1, zlib.crc32(np.array([1], "<u4").tobytes()))]
 
 
+def test_clashing_names(spark):
+    from pyspark.sql import functions as F
+
+    plain = P.pack(frame(spark).coalesce(1)).drop("ids").collect()
+    other = P.pack(frame(spark).withColumns({n: F.lit("mine") for n in ("length", "ids", "tier", "offset")}).coalesce(1)).drop("ids").collect()
+    assert sorted(map(str, plain)) == sorted(map(str, other))
+
+
 def test_bad_tiers():
     with pytest.raises(ValueError):
         P.Packer(0, tiers=(100, 2048))

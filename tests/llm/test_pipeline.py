@@ -38,6 +38,19 @@ def test_stages_and_columns(spark, tables):
     assert CP.STAGES[-1][1](spark, docs, tables).count() == CP.run(spark, tables).count() > 0
 
 
+def test_own_columns_survive_every_stage(spark, tables):
+    """Columns named like those that an operator adds come out as they went in."""
+    from pyspark.sql import functions as F
+
+    names = ["n_lines", "N_dropped", "size", "source_size", "target", "times", "taken", "score", "__score", "__near_row", "__copy", "class_id", "digest", "key"]
+    docs = spark.read.parquet(f"{tables}/documents.parquet").filter("doc_id < 130 OR doc_id >= 400").withColumns({n: F.lit(77) for n in names})
+    wanted = docs.columns
+    for _, stage in CP.STAGES[:-1]:
+        docs = CP.cut(stage(spark, docs, tables), "t")
+        assert docs.columns == wanted and docs.count() > 0
+        assert docs.filter(" OR ".join(f"`{n}` IS NULL OR `{n}` != 77" for n in names)).count() == 0
+
+
 def test_quality_stage_rejects_junk_and_keeps_prose(spark, tables):
     docs = spark.read.parquet(f"{tables}/documents.parquet")
     model = quality.fit(docs, spark.read.parquet(f"{tables}/labels.parquet"))

@@ -52,3 +52,34 @@ def test_held_out_rows_are_not_learned_from(spark):
     docs = frame(spark, rows)
     a, b = (Q.fit(docs, spark.createDataFrame(x, LABELS)) for x in (labels, flipped))
     assert a == b and a.weights is not None
+
+
+def test_scores_by_brute_force(spark):
+    """Compressed sizes measured one by one with plain compressors, and the stated formula."""
+    import math
+
+    import zstandard
+    from helpers import frame
+
+    good, bad = [f"alpha beta gamma delta number {k} and more of the same prose " * 3 for k in range(40)], [f"$$$ ### {k * 7919} !!! " * 9 for k in range(40)]
+    model = Q.train(good, bad, 0.5)
+
+    def size(data, content):
+        kind = {"dict_data": zstandard.ZstdCompressionDict(content)} if content else {}
+        return len(zstandard.ZstdCompressor(level=3, write_content_size=False, write_checksum=False, write_dict_id=False, **kind).compress(data))
+
+    def score(text):
+        data = (text or "").encode()
+        parts = -(-len(data) // 4096) or 1
+        step = -(-len(data) // parts) or 1
+        pieces = [data[k : k + step] for k in range(0, len(data), step)] or [b""]
+        g, b, p = ([size(x, c) for x in pieces] for c in (model.good, model.bad, b""))
+        n, each = len(data) + 32, [(y - x) / (y + x) for x, y in zip(g, b)]
+        d, sizes, length = (sum(b) - sum(g)) / (sum(b) + sum(g)), [math.log(sum(v) / n) for v in (g, b, p)], math.log(len(data) + 32)
+        x = [d, min(each), max(each), *sizes, length, d * length, min(each) * length, *(v * length for v in sizes)]
+        z = model.weights[0] + sum(w * max(-3, min(3, (v - m) / s)) for v, m, s, w in zip(x, model.mean, model.scale, model.weights[1:]))
+        return 1 / (1 + math.exp(-z))
+
+    rows = [(k, t, "en", "s", 0) for k, t in enumerate([good[0], bad[0], "", None, "word " * 5000, "mixed $$$ prose"])]
+    for r in Q.score(frame(spark, rows), model).collect():
+        assert r["score"] == pytest.approx(score(r["text"]), abs=1e-9)

@@ -84,3 +84,16 @@ def test_query_matches_sql(spark, tmp_path):
     want = con.execute(W.ORACLE_SQL).df()[list(got.columns)]
     text = lambda df: sorted(map(str, df.astype(object).where(df.notna(), None).values.tolist()))
     assert text(got) == text(want)
+
+
+@pytest.mark.parametrize("hot_rows", [None, 2])
+def test_repeated_responses_and_a_hot_point(spark, hot_rows):
+    """One response, its record twice; a third of all rows ask for it at one moment, others have no URL at all."""
+    stored = [(1, "response", "http://h/a", at(0), 200, etag('"1"'), p) for p in ("x", "y")] + [(2, "response", "http://h/b", at(0), 200, etag('"1"'), "b")]
+    asks = [(100 + k, "revisit", "http://h/a", at(5), 304, etag('"1"'), None) for k in range(30)]
+    lost = [(200 + k, "revisit", None, at(5), 304, etag('"1"'), None) for k in range(20)] + [(300 + k, "revisit", "http://h/none", at(5), 304, [], None) for k in range(20)]
+    records = spark.createDataFrame(stored + asks + lost, SCHEMA).withColumns({n: F.lit("mine") for n in ("url", "at", "full", "status", "kept")})
+    got = {r["record_id"]: r for r in W.resolve_revisits(records.repartition(3), hot_rows=hot_rows).collect()}
+    assert len(got) == 70 == W.resolve_revisits(records, hot_rows=hot_rows).count()
+    assert {(got[100 + k]["status"], got[100 + k]["response_id"], got[100 + k]["payload"]) for k in range(30)} == {("resolved", 1, "y")}
+    assert {(r["status"], r["response_id"], r["payload"]) for i, r in got.items() if i >= 200} == {("orphan", None, None)}
