@@ -84,7 +84,8 @@ def score_texts(model: Model, texts) -> np.ndarray:
     x = np.array([features(model, t) for t in texts]).reshape(len(texts), -1)
     # A text that repeats a dictionary's is far outside what calibration saw; its features count up to the edge of that.
     x = np.clip((x - np.array(model.mean)) / np.array(model.scale), -MOST_DEVIATIONS, MOST_DEVIATIONS)
-    z = model.weights[0] + x @ np.array(model.weights[1:])
+    # Summed row by row: a matrix product's last digit depends on where in the batch a row stands.
+    z = model.weights[0] + (x * np.array(model.weights[1:])).sum(axis=1)
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
