@@ -57,6 +57,30 @@ def clean_text(text: Column) -> Column:
     return F.trim(F.regexp_replace(flat, r"(?U)\s+", " "))
 
 
+def column_start(lines: Column, votes: int = 3, most: int = 30) -> Column:
+    """Where the right column of a page begins: behind each of the first lines' first gap of three blanks or more; the commonest place
+    if ``votes`` lines agree, of ties the first seen, else the first. Null without gaps. Places count from 0."""
+    gap = lambda t: F.regexp_extract(t, r"^(.*?\S\s{3,})\S", 1)
+    places = F.filter(F.transform(F.slice(lines, 1, most), lambda t: F.length(gap(t))), lambda n: n > 0)
+    counted = F.transform(F.array_distinct(places), lambda p, i: F.struct(F.size(F.filter(places, lambda q: q == p)).alias("n"), (-i).alias("i"), p.alias("place")))
+    best = F.array_max(counted)
+    return F.when(best["n"] >= votes, best["place"]).otherwise(F.get(places, F.lit(0)))
+
+
+def split_columns(lines: Column, start: Column, slack: int = 4) -> Column:
+    """Left and right part of each line: at its own gap if that ends at most ``slack`` behind ``start``, else at ``start``; blanks at their ends go."""
+    before, gap = (lambda t: F.regexp_extract(t, r"^(.*?\S)\s{3,}\S", 1)), (lambda t: F.length(F.regexp_extract(t, r"^(.*?\S\s{3,})\S", 1)))
+    own = lambda t: (gap(t) > 0) & (gap(t) <= start + slack)
+    left = lambda t: F.when(own(t), before(t)).otherwise(F.substr(t, F.lit(1), start))
+    right = lambda t: F.substr(t, F.when(own(t), gap(t)).otherwise(start) + 1)
+    return F.transform(lines, lambda t: F.struct(F.regexp_replace(left(t), r"\s+$", "").alias("left"), F.regexp_replace(right(t), r"\s+$", "").alias("right")))
+
+
+def fill_missing(text: Column, found: Column) -> Column:
+    """``found`` where there is no text, or an empty one."""
+    return F.coalesce(F.nullif(text, F.lit("")), found, text)
+
+
 def title_prefix(title: Column, words: int = 3) -> Column:
     """The first distinctive words of a normalised title; null if it has fewer than three words."""
     split = F.split(normalize_title(title), " ")
@@ -122,6 +146,23 @@ def wrap_label(text: Column, width: int = 12) -> Column:
     return F.array_join(F.aggregate(words, F.array().cast("array<string>"), fold), "\n")
 
 
+def digest_entry(title: Column, listener: Column, similarity: Column, abstract: Column, link: Column, summary: Column | None = None) -> Column:
+    """One paper of a digest's text, closed by a rule; ``summary`` stands before it if there is one."""
+    shown = F.concat(title, F.lit(" (most related to "), listener, F.lit("): "), F.format_string("%.3f", similarity), F.lit("\n\n"), abstract, F.lit("\n"), link, F.lit("\n\n"))
+    told = F.lit("") if summary is None else F.coalesce(F.concat(summary, F.lit("\n\n")), F.lit(""))
+    return F.concat(shown, told, F.lit("-" * 48 + "\n\n"))
+
+
+def ef_of_position(position: Column) -> Column:
+    """The exponential slider: position 0 to 100 → 10 to 500."""
+    return F.round(10 * F.pow(F.lit(50.0), position / 100.0)).cast("int")
+
+
+def position_of_ef(ef: Column) -> Column:
+    """The slider's position of an ef, to the nearest whole one."""
+    return F.round(100 * F.ln(ef / 10.0) / F.ln(F.lit(50.0))).cast("int")
+
+
 def hex_rgba(colour: Column, alpha: int = 255) -> Column:
     """``#rrggbb`` as an array of four numbers."""
     part = lambda at: F.conv(F.substring(colour, at, 2), 16, 10).cast("int")

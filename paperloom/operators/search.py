@@ -14,10 +14,13 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.ml.feature import BucketedRandomProjectionLSH
+from pyspark.ml.functions import array_to_vector
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.vectors import cosine_distance, cosine_similarity, l2_distance
+from ..functions.vectors import cosine_distance, cosine_similarity, l2_distance, l2_normalize
 
 KNOWN_SOURCES = tuple(f"src{k}" for k in range(20))
 ARXIV = "src0"
@@ -89,6 +92,39 @@ def neighbours(embedding: DataFrame, seed: str, k: int) -> DataFrame:
     return scored.orderBy(F.col("similarity").desc_nulls_last(), "paper_id").limit(check_k(k))
 
 
+def approximate_neighbours(embedding: DataFrame, probe: list[float], k: int, ef: int = 40) -> DataFrame:
+    """``paper_id, similarity`` of about the k nearest, by random projections of unit vectors: ``ef`` is the recall knob, one hash table for each 5.
+
+    Only rows that share a bucket with the probe are scored, each by its exact similarity. A zero probe finds nothing.
+    """
+    norm = math.sqrt(sum(float(x) ** 2 for x in probe))
+    if not norm:
+        return embedding.sparkSession.createDataFrame([], "paper_id string, similarity double")
+    usable = embedding.filter((F.size("embedding") == len(probe)) & F.exists("embedding", lambda x: x != 0))
+    unit = usable.select("paper_id", array_to_vector(l2_normalize(F.col("embedding")).cast("array<double>")).alias("unit"), "embedding")
+    lsh = BucketedRandomProjectionLSH(inputCol="unit", outputCol="hashes", bucketLength=1.0, numHashTables=math.ceil(clamp(ef, 10, 500) / 5), seed=42)
+    blank = embedding.sparkSession.range(1).select(array_to_vector(vector_literal([0.0] * len(probe))).alias("unit"))  # fitting reads the dimensions alone
+    near = lsh.fit(blank).approxNearestNeighbors(unit, Vectors.dense([float(x) / norm for x in probe]), check_k(k))
+    return near.select("paper_id", cosine_similarity(F.col("embedding"), vector_literal(probe)).alias("similarity")).orderBy(F.col("similarity").desc(), "paper_id")
+
+
+#: The fields of a paper in an answer.
+ANSWER = ("paper_id", "title", "abstract", "source", "link", "authors", "institutions", "paper_date")
+
+
+def answer(paper: DataFrame, *more: str) -> DataFrame:
+    """The fields of an answer, its date as text, and ``more``."""
+    return paper.withColumn("paper_date", F.date_format("update_date", "yyyy-MM-dd")).select(*ANSWER, *more)
+
+
+def require_paper(paper: DataFrame, paper_id: str) -> DataFrame:
+    """The paper's row; one that isn't there is a LookupError. A paper without a vector is there."""
+    found = paper.filter(F.col("paper_id") == paper_id)
+    if not found.limit(1).count():
+        raise LookupError(f"no paper {paper_id!r}")
+    return found
+
+
 def knn_graph(embedding: DataFrame, k: int, probes: DataFrame | None = None) -> DataFrame:
     """``src, dst, similarity, rank``: each probe's k most similar others (all rows are probes by default).
 

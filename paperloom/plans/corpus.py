@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 from ..functions import dates as D
 from ..functions import text as X
 from ..functions import vectors as V
+from ..functions.scoring import rubric_text, rubric_total
 from ..operators import atlas as A
 from ..operators import inventory as I
 from ..operators import search as S
 from ..operators import upsert as U
+from ..sources import readers as R
 from .base import AS_OF, as_of, embedding, paper, projection, query, read, rounded
 
 _YEAR = "CAST(year(update_date) AS INT)"
@@ -211,6 +213,52 @@ def skip_existing_doi(spark, sf):
     return offered.join(paper(spark, sf).select(F.col("paper_id").alias("doi")), "doi", "left_anti")
 
 
+_LINES = "l AS (SELECT paper_id, [repeat('x', 1 + CAST(paper_id AS INT) % k) || repeat(' ', CASE WHEN k % 5 = 0 THEN 2 ELSE 3 + k % 2 END) || 'right  side' FOR k IN range(1, 8)] AS l FROM paper), g AS (SELECT paper_id, list_filter(list_transform(l, lambda t: length(regexp_extract(t, '^(.*?\\S\\s{3,})\\S', 1))), lambda n: n > 0) AS p FROM l), u AS (SELECT paper_id, unnest(p) AS place, generate_subscripts(p, 1) AS i FROM g), c AS (SELECT paper_id, place, count(*) AS n, min(i) AS i FROM u GROUP BY paper_id, place)"
+
+
+@query("column_start", f", {_LINES}, b AS (SELECT *, row_number() OVER (PARTITION BY paper_id ORDER BY n DESC, i) AS rn FROM c) SELECT b.paper_id, CASE WHEN b.n >= 3 THEN b.place ELSE g.p[1] END AS place FROM b JOIN g USING (paper_id) WHERE rn = 1")
+def column_start(spark, sf):
+    """Made lines of two columns; the fifth's gap is too narrow to count."""
+    line = lambda k: F.concat(F.repeat(F.lit("x"), 1 + F.col("paper_id").cast("int") % k), F.lit(" " * (2 if k % 5 == 0 else 3 + k % 2) + "right  side"))
+    return paper(spark, sf).select("paper_id", X.column_start(F.array(*map(line, range(1, 8)))).cast("long").alias("place"))
+
+
+@query("rubric", "SELECT r.r_name AS region, string_agg(n.rn || '. ' || n.n_name || ' [' || n.n_nationkey || ' points]', chr(10) ORDER BY n.rn) AS body, CAST(sum(n.n_nationkey) AS BIGINT) AS total FROM (SELECT *, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_name) AS rn FROM nation) n JOIN region r ON r.r_regionkey = n.n_regionkey GROUP BY r.r_name")
+def rubric(spark, sf):
+    """Numbered aspects and their total: the nations of each region."""
+    nations = read(spark, sf, "nation").groupBy("n_regionkey").agg(F.array_sort(F.collect_list(F.struct(F.col("n_name").alias("aspect"), F.col("n_nationkey").cast("int").alias("points")))).alias("a"))
+    joined = nations.join(read(spark, sf, "region"), F.col("r_regionkey") == F.col("n_regionkey"))
+    return joined.select(F.col("r_name").alias("region"), rubric_text(F.col("a")).alias("body"), rubric_total(F.col("a")).alias("total"))
+
+
+@query("choose_volumes", "SELECT source AS venue, CAST(year(update_date) AS INT) AS year, paper_id AS toc FROM paper WHERE source IN ('src1', 'src3') AND year(update_date) BETWEEN 1995 AND 1998")
+def choose_volumes(spark, sf):
+    volumes = paper(spark, sf).select(F.col("source").alias("venue"), F.year("update_date").alias("year"), F.col("paper_id").alias("toc"))
+    return R.choose_volumes(volumes, list(S.KNOWN_SOURCES), ["SRC1", "src3"], least=1995, most=1998)
+
+
+@query("submissions_fallback", ", n AS (SELECT source, paper_id FROM paper WHERE source IN ('src0', 'src1', 'src2') AND category = 'en') SELECT source AS venue, paper_id AS id, 2 AS version FROM n UNION ALL SELECT source, paper_id, 1 FROM paper WHERE category <> 'de' AND CAST(paper_id AS INT) % 3 = 1 AND source NOT IN (SELECT source FROM n)")
+def submissions_fallback(spark, sf):
+    """Venues without notes of version 2 fall back to their accepted ones of version 1."""
+    rows = paper(spark, sf).select(F.col("source").alias("venue"), F.col("paper_id").alias("id"), F.lit("{}").alias("document"), "category")
+    newer = rows.filter(F.col("venue").isin("src0", "src1", "src2") & (F.col("category") == "en")).drop("category")
+    reply = lambda invitation, text: F.struct(F.lit(invitation).alias("invitation"), text.alias("decision"))
+    number = F.col("id").cast("int") % 3
+    last = reply("v/-/Decision", F.when(number == 1, "Accept (poster)").otherwise("Reject"))
+    replies = F.when(F.col("category") == "de", F.array(reply("v/-/Comment", F.lit("Accept")))).otherwise(F.array(reply("v/-/Decision", F.lit("Accept")), last))
+    return R.submissions(newer, rows.withColumn("replies", replies)).select("venue", "id", "version")
+
+
+@query("answer_cache", ", a AS (SELECT CAST(o_custkey AS VARCHAR) AS key, CASE o_orderpriority[1] WHEN '1' THEN 404 WHEN '2' THEN 429 ELSE 200 END AS status, '{\"o\":' || o_orderkey || '}' AS body, o_orderkey AS asked FROM orders), k AS (SELECT key, arg_max(CASE WHEN status = 404 THEN '{}' ELSE body END, asked) AS body FROM a WHERE status IN (200, 404) GROUP BY key) SELECT CAST(c.c_custkey AS VARCHAR) AS key, nullif(k.body, '{}') AS body, k.key IS NULL AS ask FROM customer c LEFT JOIN k ON k.key = CAST(c.c_custkey AS VARCHAR)")
+def answer_cache(spark, sf):
+    """What is known of each customer from the orders' answers: 404 is a remembered miss, 429 isn't an answer."""
+    first = F.substring("o_orderpriority", 1, 1)
+    status = F.when(first == "1", 404).when(first == "2", 429).otherwise(200)
+    answers = read(spark, sf, "orders").select(F.col("o_custkey").cast("string").alias("key"), status.alias("status"), F.concat(F.lit('{"o":'), F.col("o_orderkey").cast("string"), F.lit("}")).alias("body"), F.col("o_orderkey").alias("at"))
+    nothing = spark.createDataFrame([], "key string, body string")
+    return R.look_up(read(spark, sf, "customer").select(F.col("c_custkey").cast("string").alias("key")), R.cache_answers(nothing, answers))
+
+
 @query("coalesce_chain", ", a AS (SELECT paper_id, CASE WHEN category = 'en' THEN abstract WHEN category = 'fr' THEN ' ' END AS t FROM paper), b AS (SELECT paper_id, CASE WHEN category <> 'es' THEN title END AS t FROM paper) SELECT paper_id, md5(coalesce(nullif(trim(a.t), ''), nullif(trim(b.t), ''))) AS digest FROM a JOIN b USING (paper_id) WHERE coalesce(nullif(trim(a.t), ''), nullif(trim(b.t), '')) IS NOT NULL")
 def coalesce_chain(spark, sf):
     """An abstract from the first service that has one, else from the second; papers without any are dropped."""
@@ -258,7 +306,8 @@ _scalar(
     ),
 )
 _scalar("display_join", "source || ', ' || category || ' | ' || source", lambda: X.display_join(F.array("source", "category"), F.array("source")))
-_scalar("ef_slider", "CAST(round(10 * pow(50, (CAST(paper_id AS INT) % 101) / 100.0)) AS INT)", lambda: F.round(10 * F.pow(F.lit(50.0), (F.col("paper_id").cast("int") % 101) / 100.0)).cast("int"))
+_scalar("ef_slider", "CAST(round(10 * pow(50, (CAST(paper_id AS INT) % 101) / 100.0)) AS INT)", lambda: X.ef_of_position(F.col("paper_id").cast("int") % 101))
+_scalar("ef_position", "CAST(round(100 * ln((10 + CAST(paper_id AS INT) % 491) / 10.0) / ln(50)) AS INT)", lambda: X.position_of_ef(10 + F.col("paper_id").cast("int") % 491))
 _scalar("hex_rgba", "array_to_string([(CAST(paper_id AS INT) % 256), 16, 255], ',')", lambda: F.array_join(F.slice(X.hex_rgba(F.concat(F.lit("#"), F.lpad(F.hex(F.col("paper_id").cast("long") % 256), 2, "0"), F.lit("10ff"))), 1, 3).cast("array<string>"), ","))
 _scalar("window_label", "CASE WHEN d >= 365 THEN CAST(round(d / 365.0) AS INT) || ' year' || CASE WHEN round(d / 365.0) = 1 THEN '' ELSE 's' END WHEN d >= 30 THEN CAST(round(d / 30.0) AS INT) || ' month' || CASE WHEN round(d / 30.0) = 1 THEN '' ELSE 's' END ELSE d || ' day' || CASE WHEN d = 1 THEN '' ELSE 's' END END".replace("d ", "(DATE '2001-08-01' - update_date) "), lambda: D.window_label(F.datediff(as_of(), F.col("update_date"))))
 _scalar("xml_attrs", "source", lambda: F.get(F.map_values(F.map_filter(X.xml_attrs(F.concat(F.lit('<a key="k" src="'), "source", F.lit('">'))), lambda k, v: k == "src")), F.lit(0)))

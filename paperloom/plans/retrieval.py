@@ -168,6 +168,23 @@ def neighbors_hydrated(spark, sf):
     return rounded(full.select("paper_id", "title", "source", F.date_format("update_date", "yyyy-MM-dd").alias("update_date"), "similarity"), "similarity")
 
 
+@query("neighbors_answer", ", s AS (SELECT e.paper_id, list_cosine_similarity(e.v, q) AS s FROM embedding e, probe WHERE e.paper_id <> '0' ORDER BY s DESC, e.paper_id LIMIT 15) SELECT p.paper_id, p.title, md5(p.abstract) AS abstract, p.source, 'https://arxiv.org/abs/' || p.paper_id AS link, p.source || ', ' || p.category AS authors, p.category AS institutions, strftime(p.update_date, '%Y-%m-%d') AS paper_date, round(s.s, 6) AS similarity FROM s JOIN paper p USING (paper_id)")
+def neighbors_answer(spark, sf):
+    """All fields of an answer, authors and institutions joined to be compared."""
+    papers = paper(spark, sf)
+    S.require_paper(papers, "0")
+    near = F.broadcast(S.neighbours(embedding(spark, sf), "0", 15))  # 15 rows
+    full = papers.withColumns({"link": F.concat(F.lit("https://arxiv.org/abs/"), "paper_id"), "authors": F.array("source", "category"), "institutions": F.array("category")}).join(near, "paper_id")
+    shown = S.answer(full, "similarity").withColumns({"abstract": F.md5("abstract"), "authors": F.array_join("authors", ", "), "institutions": F.array_join("institutions", ", ")})
+    return rounded(shown, "similarity")
+
+
+@query("digest_entries", f", s AS (SELECT p.*, {_DIST} AS d FROM paper p JOIN embedding e USING (paper_id), probe WHERE p.source <> 'src0' ORDER BY {_DIST} NULLS LAST, p.paper_id LIMIT 10) SELECT paper_id, md5(title || ' (most related to first): ' || printf('%.3f', 1 - d) || chr(10) || chr(10) || abstract || chr(10) || 'https://x/' || paper_id || chr(10) || chr(10) || repeat('-', 48) || chr(10) || chr(10)) AS entry FROM s")
+def digest_entries(spark, sf):
+    found = S.semantic_search(paper(spark, sf), embedding(spark, sf), probe(spark, sf), as_of(), None, [F.col("source") != S.ARXIV])
+    return found.select("paper_id", F.md5(X.digest_entry(F.col("title"), F.lit("first"), 1 - F.col("distance"), F.col("abstract"), F.concat(F.lit("https://x/"), "paper_id"))).alias("entry"))
+
+
 _ORDERED = "o AS (SELECT paper_id, v, row_number() OVER (ORDER BY md5(paper_id), paper_id) AS rn FROM embedding)"
 _PAIRS = f"{_ORDERED}, pairs AS (SELECT a.paper_id AS a, b.paper_id AS b, list_cosine_similarity(a.v, b.v) AS s FROM o a JOIN o b ON b.rn = a.rn + 1 WHERE a.rn % 2 = 1 AND b.rn <= 20000)"
 

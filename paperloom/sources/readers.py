@@ -3,6 +3,9 @@ abstract, update_date, source, link, authors, institutions, document`` unless sa
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -57,6 +60,16 @@ def accepted(notes: DataFrame) -> DataFrame:
     return notes.filter((F.size(decisions) > 0) & F.lower(F.element_at(decisions, -1)["decision"]).contains("accept"))
 
 
+def submissions(notes: DataFrame, older: DataFrame) -> DataFrame:
+    """``id, document, version``: version 2 notes as they are, or, where a venue has none at all, the accepted ones of its version 1 notes.
+
+    notes: ``venue, id, document``; older: these and ``replies``. Which venues have notes is settled in the plan, by one semi-join.
+    """
+    newer = notes.select("venue", "id", "document", F.lit(2).alias("version"))
+    without = accepted(older).join(notes.select("venue").distinct(), "venue", "left_anti")
+    return newer.union(without.select("venue", "id", "document", F.lit(1).alias("version")))
+
+
 def tag_notes(notes: DataFrame, name: str, date: str) -> DataFrame:
     return notes.withColumn("conference_metadata", F.struct(F.lit(name).alias("conference_name"), F.lit(date).alias("conference_date")))
 
@@ -130,6 +143,57 @@ def search_hits(responses: DataFrame, number: str | None = None) -> DataFrame:
     return rows.filter(F.col("number") == number) if number is not None else rows.filter(F.coalesce("type", F.lit("")) != "Editorship")
 
 
+def choose_volumes(volumes: DataFrame, known: list[str], venues: list[str] = (), year: int | None = None, least: int | None = None, most: int | None = None) -> DataFrame:
+    """volumes ``venue, year, toc``: those of the named venues (all if none is), of the year, or else from ``least`` to ``most``, both included.
+
+    Names are read without case; one that isn't known is an error.
+    """
+    named = [v.lower() for v in venues] or list(known)
+    if unknown := sorted(set(named) - set(known)):
+        raise ValueError(f"unknown venues: {', '.join(unknown)}")
+    if year is not None:
+        least = most = year
+    kept = volumes.filter(F.col("venue").isin(*named))
+    kept = kept if least is None else kept.filter(F.col("year") >= least)
+    return kept if most is None else kept.filter(F.col("year") <= most)
+
+
+def harvest_each(jobs: list[tuple[str, int]], work: Callable[[str, int], None], workers: int = 4) -> list[tuple[str, int, str | None]]:
+    """``work(venue, year)`` of each job, some at once; what one raises is its third field and doesn't stop the others. Jobs start Spark work, they don't hold rows."""
+
+    def one(job: tuple[str, int]) -> tuple[str, int, str | None]:
+        try:
+            work(*job)
+        except Exception as e:  # a job's failure is a result
+            return *job, f"{type(e).__name__}: {e}"
+        return *job, None
+
+    with ThreadPoolExecutor(max(1, workers)) as pool:
+        return list(pool.map(one, jobs))
+
+
+def cache_answers(cache: DataFrame, answers: DataFrame) -> DataFrame:
+    """``key, body`` with the answers put in: status 200 keeps its body, 404 is remembered as a miss (``{}``), others leave no trace. A key's last answer, by ``at``, counts.
+
+    cache: ``key, body``; answers: ``key, status, body, at``.
+    """
+    lasting = answers.filter(F.col("status").isin(200, 404)).withColumn("kept", F.when(F.col("status") == 404, F.lit("{}")).otherwise(F.col("body")))
+    last = lasting.groupBy("key").agg(F.max_by("kept", "at").alias("body"))
+    return cache.join(last.select("key"), "key", "left_anti").select("key", "body").unionByName(last)
+
+
+def look_up(wanted: DataFrame, cache: DataFrame) -> DataFrame:
+    """wanted ``key`` → ``key, body, ask``: a remembered miss has no body and isn't asked again."""
+    found = wanted.join(cache.select("key", "body", F.lit(True).alias("known")), "key", "left")
+    return found.select("key", F.when(F.col("body") != "{}", F.col("body")).alias("body"), F.col("known").isNull().alias("ask"))
+
+
+def atlas_feed(spark: SparkSession, path: str) -> DataFrame:
+    """The points of a written atlas feed. Its header, and a last line that was cut off, are no points."""
+    lines = spark.read.text(path).filter(F.trim("value") != "")
+    return lines.select(F.from_json("value", "paper_id string, title string, source string, x double, y double").alias("p")).filter("p.paper_id IS NOT NULL AND p.x IS NOT NULL AND p.y IS NOT NULL").select("p.*")
+
+
 def build_papers(entries: DataFrame, works: DataFrame, fallback: DataFrame, venue: str) -> DataFrame:
     """Volume entries with the abstract of a work's inverted index, else the fallback's; without either a row is dropped.
 

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+from itertools import islice
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 FORMATS = (".json", ".txt", ".md")
@@ -41,6 +44,30 @@ def write_atlas(points: DataFrame, path: str) -> None:
     points.repartitionByRange("projection", "x").sortWithinPartitions("projection", "x", "y").write.partitionBy("projection").parquet(path)
 
 
+def stored(spark: SparkSession, path: str, make: Callable[[], DataFrame], refresh: bool = False) -> DataFrame:
+    """The table kept under ``path``; made and written if there is none yet or ``refresh`` asks for it.
+
+    Each writing is a folder of its own, numbered, and counts once it is whole, so readers of an
+    older one aren't disturbed and a job that broke off leaves no half table.
+    """
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [s.getPath().getName() for s in files.listStatus(folder)] if files.exists(folder) else []
+    numbers = [int(n[1:]) for n in names if n[:1] == "v" and n[1:].isdigit()]
+    whole = [n for n in numbers if files.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/v{n}/_SUCCESS"))]
+    if refresh or not whole:
+        whole = [max(numbers, default=-1) + 1]
+        make().write.parquet(f"{path}/v{whole[0]}")
+    return spark.read.parquet(f"{path}/v{max(whole)}")
+
+
+def batches(points: DataFrame, size: int = 25_000):
+    """Lists of at most ``size`` rows, one partition at a time in the driver."""
+    found = rows(points)
+    while part := list(islice(found, size)):
+        yield part
+
+
 def rows(papers: DataFrame):
     """Row by row, one partition at a time in the driver."""
     return papers.toLocalIterator(prefetchPartitions=True)

@@ -181,6 +181,98 @@ def test_harvest_readers(spark, tmp_path):
     assert {r["paper_id"]: r["embedding"] for r in R.attach_embeddings(docs, held).collect()} == {"x": None, "y": [1.0]}
 
 
+def test_harvest_jobs(spark, tmp_path):
+    def work(venue, year):
+        if year == 2:
+            raise OSError("down")
+
+    assert R.harvest_each([("a", 1), ("a", 2), ("b", 1)], work) == [("a", 1, None), ("a", 2, "OSError: down"), ("b", 1, None)]
+    volumes = spark.createDataFrame([("a", 1, "t"), ("a", 2, "t"), ("b", 2, "t")], "venue string, year int, toc string")
+    chosen = lambda *v, **k: {(r["venue"], r["year"]) for r in R.choose_volumes(volumes, ["a", "b"], v, **k).collect()}
+    assert chosen() == {("a", 1), ("a", 2), ("b", 2)} and chosen("A", least=2) == {("a", 2)} and chosen(year=1, least=5) == {("a", 1)} and chosen(most=1) == {("a", 1)}
+    with pytest.raises(ValueError, match="unknown venues: c"):
+        chosen("c")
+    cache = spark.createDataFrame([("old", "{}"), ("was", '{"v":0}')], "key string, body string")
+    answers = spark.createDataFrame([("x", 200, '{"v":1}', 1), ("y", 404, "gone", 1), ("z", 429, "slow", 1), ("was", 404, None, 1), ("x", 200, '{"v":2}', 2)], "key string, status int, body string, at int")
+    wanted = spark.createDataFrame([(k,) for k in ("x", "y", "z", "old", "was")], "key string")
+    found = {r["key"]: (r["body"], r["ask"]) for r in R.look_up(wanted, R.cache_answers(cache, answers)).collect()}
+    assert found == {"x": ('{"v":2}', False), "y": (None, False), "z": (None, True), "old": (None, False), "was": (None, False)}
+    (tmp_path / "feed.ndjson").write_text('{"total":2}\n{"paper_id":"a","x":1.0,"y":2.0,"title":"t","source":"s"}\n\n{"paper_id":"b","x":1.')
+    assert [(r["paper_id"], r["y"]) for r in R.atlas_feed(spark, str(tmp_path / "feed.ndjson")).collect()] == [("a", 2.0)]
+
+
+def test_stored_table(spark, tmp_path):
+    made = []
+
+    def make():
+        made.append(1)
+        return spark.createDataFrame([(len(made),)], "n int")
+
+    path = str(tmp_path / "kept")
+    assert [K.stored(spark, path, make, r).first()["n"] for r in (False, False, True, False)] == [1, 1, 2, 2]
+    (tmp_path / "kept" / "v7").mkdir()  # a job that broke off
+    assert K.stored(spark, path, make).first()["n"] == 2 and K.stored(spark, path, make, True).first()["n"] == 3
+    assert [len(b) for b in K.batches(spark.range(7), 3)] == [3, 3, 1]
+
+
+def test_graph_from_a_stored_table(spark, vectors, tmp_path):
+    clicked = G.clicked_table(spark, [r["paper_id"] for r in vectors.orderBy("paper_id").limit(2).collect()])
+    cache = K.stored(spark, str(tmp_path / "near"), lambda: S.knn_graph(vectors, 20))
+    direct = S.knn_graph(vectors, 20, clicked.select(F.col("src").alias("paper_id")))
+    for mode in ("topk", "threshold"):
+        shown = lambda c: {(r["src"], r["dst"]) for r in G.edges(c, clicked, mode, threshold=0.1).collect()}
+        assert shown(cache) == shown(direct)
+    assert {tuple(r) for r in G.edges(cache, clicked, "mutual").select("src", "dst").collect()} <= {tuple(r) for r in G.edges(cache, clicked).select("src", "dst").collect()}
+
+
+def test_recall_knob(spark):
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(20, 16))
+    rows = spark.createDataFrame([(str(k), (centres[k % 20] + 0.3 * rng.normal(size=16)).tolist()) for k in range(600)], "paper_id string, embedding array<double>")
+    probe = rows.filter("paper_id = '3'").first()["embedding"]
+    exact = {r["paper_id"] for r in S.semantic_search(rows.select("paper_id", F.lit(None).cast("date").alias("update_date")), rows, probe, F.current_date()).collect()}
+    found = {ef: S.approximate_neighbours(rows, probe, 10, ef).collect() for ef in (10, 200)}
+    share = {ef: len({r["paper_id"] for r in got} & exact) for ef, got in found.items()}
+    assert share[10] <= share[200] and share[200] >= 9
+    assert S.approximate_neighbours(rows, [0.0] * 16, 10).count() == 0
+
+
+def test_answer_of_unknown_paper(spark):
+    with pytest.raises(LookupError):
+        S.require_paper(spark.createDataFrame([("a",)], "paper_id string"), "b")
+
+
+def test_layout(spark):
+    from paperloom.functions import text as X
+
+    lines = ["Abstract   right one", "left two     right two", "only left", "left 4     right  4", "left four  and a long run on", "ab   x     right"]
+    row = spark.createDataFrame([(lines, ["none"], [], [f"{'a' * k}   b" for k in (3, 5, 5, 1)])], "l array<string>, n array<string>, e array<string>, few array<string>")
+    start = lambda c: X.column_start(F.col(c))
+    assert tuple(row.select(start("l"), start("n"), start("e"), start("few")).first()) == (11, None, None, 6)
+    parts = row.select(X.split_columns(F.col("l"), F.lit(13)).alias("p")).first()["p"]
+    assert [tuple(p) for p in parts] == [("Abstract", "right one"), ("left two", "right two"), ("only left", ""), ("left 4", "right  4"), ("left four  an", "d a long run on"), ("ab", "x     right")]
+    filled = spark.createDataFrame([("kept", "new"), ("", "new"), (None, "new"), (None, None)], "t string, f string").select(X.fill_missing(F.col("t"), F.col("f")).alias("v"))
+    assert [r["v"] for r in filled.collect()] == ["kept", "new", "new", None]
+
+
+def test_scoring(spark):
+    from paperloom.functions import scoring as C
+
+    aspects = F.array(F.struct(F.lit("fast").alias("aspect"), F.lit(20).alias("points")), F.struct(F.lit("sound").alias("aspect"), F.lit(10).alias("points")))
+    papers = spark.createDataFrame([("a", "one"), ("b", None)], "paper_id string, abstract string").withColumn("prompt", C.relatedness_prompt(F.col("abstract"), aspects, "engines"))
+    assert "1. fast [20 points]\n2. sound [10 points]" in papers.first()["prompt"] and papers.first()["prompt"].endswith("/30 points")
+    answered = C.ask(papers, lambda prompts: ["Final score: 3/30 ... Final score: 12.5/30 points" if "Abstract:\none" in p else "no" for p in prompts]).select("id", C.final_score(F.col("answer")).alias("s"), "error")
+    assert {r["id"]: r["s"] and tuple(r["s"]) for r in answered.collect()} == {"a": (12.5, 30.0), "b": None}
+
+    def broken(prompts):
+        raise OSError("down")
+
+    assert {(r["answer"], r["error"]) for r in C.ask(papers, broken).collect()} == {(None, "OSError: down")}
+    assert "SOSP" in papers.select(C.expansion_prompt(F.col("abstract"), "Systems", "Paper")).first()[0]
+    with pytest.raises(ValueError):
+        C.expansion_prompt(F.col("abstract"), "Systems", "Poem")
+
+
 def test_tables_that_are_written(spark, tmp_path):
     rows = lambda *r: spark.createDataFrame(list(r), "title string, venue string, year int")
     path = str(tmp_path / "venues")
