@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import smoothstep
+from .requests import MOST_POINTS
 
 
 def points(projection: DataFrame, paper: DataFrame, name: str, viewport: tuple[float, float, float, float] | None = None, hidden=()) -> DataFrame:
@@ -20,6 +21,11 @@ def points(projection: DataFrame, paper: DataFrame, name: str, viewport: tuple[f
     return joined.select("paper_id", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"), "title", "source", "update_date")
 
 
+def feed(found: DataFrame, limit: int = MOST_POINTS) -> DataFrame:
+    """The points by id, at most ``limit``: each task keeps its first ones, so nothing is sampled or sorted as a whole."""
+    return found.orderBy("paper_id").limit(limit)
+
+
 def header(found: DataFrame) -> DataFrame:
     """Count and bounding box; zeros without points."""
     zero = lambda c: F.coalesce(c, F.lit(0.0))
@@ -91,8 +97,8 @@ def density(found: DataFrame, colour: Column, cells: int = 64, radius: float = 2
     return bright.select("px", "py", "amount", "brightness", *((F.col(c) / F.col("amount") * F.col("brightness")).alias(c) for c in "rgb"))
 
 
-def project(embedding: DataFrame, name: str = "pca_v1", first: int = 50) -> DataFrame:
-    """``paper_id, projection, x, y``: unit vectors, their first principal components, of which the first two are the map."""
+def principal_components(embedding: DataFrame, first: int = 50) -> DataFrame | None:
+    """``paper_id, a``: unit vectors by their first principal components. None without a vector."""
     from pyspark.ml.feature import PCA, Normalizer
     from pyspark.ml.functions import array_to_vector, vector_to_array
 
@@ -100,6 +106,13 @@ def project(embedding: DataFrame, name: str = "pca_v1", first: int = 50) -> Data
     unit = Normalizer(inputCol="v", outputCol="u").transform(vectors)
     size = unit.select(F.size(vector_to_array("u")).alias("d")).first()
     if size is None:
+        return None
+    return PCA(k=min(first, size["d"]), inputCol="u", outputCol="p").fit(unit).transform(unit).select("paper_id", vector_to_array("p").alias("a"))
+
+
+def project(embedding: DataFrame, name: str = "pca_v1", first: int = 50) -> DataFrame:
+    """``paper_id, projection, x, y``: the first two principal components of unit vectors. ``layout.project_map`` goes on from there by neighbourhood."""
+    reduced = principal_components(embedding, first)
+    if reduced is None:
         return embedding.sparkSession.createDataFrame([], "paper_id string, projection string, x float, y float")
-    reduced = PCA(k=min(first, size["d"]), inputCol="u", outputCol="p").fit(unit).transform(unit).withColumn("a", vector_to_array("p"))
     return reduced.select("paper_id", F.lit(name).alias("projection"), F.get("a", F.lit(0)).cast("float").alias("x"), F.coalesce(F.get("a", F.lit(1)), F.lit(0.0)).cast("float").alias("y"))

@@ -12,6 +12,7 @@ from ..operators import atlas as A
 from ..operators import inventory as I
 from ..operators import search as S
 from ..operators import upsert as U
+from ..operators.layout import project_map
 from ..sources import readers as R
 from .base import AS_OF, as_of, embedding, paper, projection, query, read, rounded
 
@@ -79,9 +80,9 @@ def _points(spark, sf, **options):
     return A.points(projection(spark, sf), paper(spark, sf), "pca_v1", **options)
 
 
-@query("atlas_points", f", {_POINTS} SELECT * FROM pts ORDER BY paper_id")
+@query("atlas_points", f", {_POINTS} SELECT * FROM pts ORDER BY paper_id LIMIT 1000000")
 def atlas_points(spark, sf):
-    return _points(spark, sf).orderBy("paper_id")
+    return A.feed(_points(spark, sf))
 
 
 @query("atlas_viewport", f", {_POINTS} SELECT paper_id, x, y FROM pts WHERE x BETWEEN -0.125 AND 0.125 AND y BETWEEN -0.25 AND 0.0625")
@@ -351,6 +352,13 @@ def projection_pca(spark, sf):
     """Component signs are arbitrary, so there is no SQL."""
     return A.project(embedding(spark, sf))
 
+
+@query("projection_map")
+def projection_map(spark, sf):
+    """An iterative layout, so there is no SQL."""
+    return project_map(embedding(spark, sf))
+
+
 _D = "(DATE '2001-08-01' - update_date)"
 _scalar(
     "age_label_long",
@@ -430,7 +438,17 @@ def chunked(spark, sf):
     return paper(spark, sf).select("paper_id", F.floor((F.row_number().over(order) - 1) / 10).cast("long").alias("chunk"))
 
 
-@query("cluster_labels")
+_TERMS = """, w AS (SELECT source AS cluster, list_filter(regexp_split_to_array(lower(abstract), '[^\\p{L}\\p{N}]+'),
+    lambda w: length(w) >= 3 AND NOT regexp_full_match(w, '[0-9]+') AND NOT list_contains(['a', 'an', 'the', 'for', 'of', 'in', 'with', 'on', 'to'], w)) AS ws FROM paper),
+t AS (SELECT cluster, unnest([ws[i] || ' ' || ws[i + 1] FOR i IN range(1, len(ws))]) AS term FROM w WHERE len(ws) > 1),
+c AS (SELECT cluster, term, count(*) AS tf FROM t GROUP BY cluster, term),
+s AS (SELECT term, count(*) AS held_by, sum(tf) AS everywhere FROM c GROUP BY term),
+z AS (SELECT cluster, sum(tf) AS size FROM c GROUP BY cluster), m AS (SELECT avg(size) AS mean, count(*) AS clusters FROM z),
+r AS (SELECT cluster, term, row_number() OVER (PARTITION BY cluster ORDER BY tf / size * ln(1 + mean / everywhere) DESC, term) AS rn FROM c JOIN s USING (term) JOIN z USING (cluster), m WHERE held_by <= 0.95 * clusters OR clusters = 1)
+SELECT cluster, string_agg(term, ' · ' ORDER BY rn) AS label FROM r WHERE rn <= 3 GROUP BY cluster"""
+
+
+@query("cluster_labels", _TERMS)
 def cluster_labels(spark, sf):
     """Class-based term weights of each source's bigrams."""
     from ..operators.labels import top_terms

@@ -363,3 +363,33 @@ def test_embedding_provider(spark):
         raise OSError("down")
 
     assert {(r["embedding"], r["error"]) for r in embed(papers, broken).collect()} == {(None, "OSError: down")}
+
+
+def test_map_by_neighbourhood(spark):
+    """Planted groups stay together in the map, landmarks and others alike, and a second run gives the same places."""
+    from paperloom.operators.layout import lay_out, place, project_map
+
+    rng = np.random.default_rng(3)
+    group = np.arange(180) % 3
+    x = np.eye(3, 20)[group] + rng.normal(0, 0.1, (180, 20))
+    rows = [(str(k), [float(v) for v in row]) for k, row in enumerate(x)] + [("none", None)]
+    vectors = spark.createDataFrame(rows, "paper_id string, embedding array<float>")
+    for landmarks in (10_000, 90):
+        found = project_map(vectors, "m", landmarks=landmarks).toPandas().set_index("paper_id")
+        assert set(found.index) == {str(k) for k in range(180)} and set(found.projection) == {"m"}
+        xy = found.loc[[str(k) for k in range(180)], ["x", "y"]].to_numpy()
+        away = ((xy[:, None] - xy) ** 2).sum(axis=2) + np.diag(np.full(180, np.inf))
+        assert (group[np.argsort(away, axis=1)[:, :5]] == group[:, None]).mean() > 0.95
+        again = project_map(vectors, "m", landmarks=landmarks).toPandas().set_index("paper_id").loc[found.index]
+        assert np.allclose(again[["x", "y"]], found[["x", "y"]], atol=1e-3)
+    assert project_map(vectors.filter("paper_id = 'none'")).count() == 0
+    places = lay_out(x[:90])
+    assert np.allclose(place(x[:90], x[:90], places), places, atol=1e-6)
+    for n in (1, 2, 3, 5):
+        assert np.isfinite(lay_out(x[:n])).all() and lay_out(x[:n]).shape == (n, 2)
+
+
+def test_feed_keeps_the_first_by_id(spark):
+    points = spark.createDataFrame([(str(k), float(k)) for k in (3, 1, 2)], "paper_id string, x double")
+    assert [r.paper_id for r in A.feed(points, 2).collect()] == ["1", "2"]
+    assert [r.paper_id for r in A.feed(points).collect()] == ["1", "2", "3"]
