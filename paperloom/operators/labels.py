@@ -39,3 +39,33 @@ def font_size(n) -> tuple:
     """Size and opacity of a label by the number of members."""
     size = F.greatest(F.lit(10.0), F.least(F.lit(28.0), 8 + 6 * F.log10(n)))
     return size, F.greatest(F.lit(0.35), F.least(F.lit(1.0), size / 28))
+
+
+#: Labels that are wanted if no number is named, and the most; labels that are made at once.
+TARGET, MOST_TARGET, MADE_AT_ONCE = 6, 50, 20
+
+
+def tree_slice(tree: DataFrame, viewport: tuple[float, float, float, float], target: int = TARGET) -> DataFrame:
+    """tree: ``cluster_id, birth, death, x_low, x_high, y_low, y_high`` → the clusters whose box meets the viewport (x0, y0, x1, y1)
+    and that are alive (from birth to before death) at the level, one of the tree's births, at which their number is nearest
+    to ``target``, moved into 1 to MOST_TARGET; of such levels the lowest.
+
+    Numbers are running sums of births and deaths by level, so no level is tried by itself.
+    """
+    x0, y0, x1, y1 = viewport
+    meets = F.coalesce((F.col("x_low") <= x1) & (F.col("x_high") >= x0) & (F.col("y_low") <= y1) & (F.col("y_high") >= y0), F.lit(False))
+    births = tree.select(F.col("birth").alias("level"), meets.cast("int").alias("change"), F.lit(True).alias("is_birth"))
+    deaths = tree.filter(meets).select(F.col("death").alias("level"), F.lit(-1).alias("change"), F.lit(False).alias("is_birth"))
+    changes = births.union(deaths).groupBy("level").agg(F.sum("change").alias("change"), F.max("is_birth").alias("is_birth"))
+    so_far = Window.partitionBy().orderBy("level")  # one row for each level of the tree
+    alive = changes.withColumn("alive", F.sum("change").over(so_far)).filter("is_birth")
+    off = F.abs(F.col("alive") - max(1, min(MOST_TARGET, target)))
+    level = alive.agg(F.min(F.struct(off.alias("off"), "level")).alias("best")).select("best.level")
+    return tree.filter(meets).join(F.broadcast(level), F.expr("birth <= level AND level < death")).drop("level")  # one row
+
+
+def label_page(wanted: DataFrame, cached: DataFrame, at_once: int = MADE_AT_ONCE) -> DataFrame:
+    """``cluster_id, label, pending``: labels that are known; of the others all are pending if they are more than ``at_once``, else they are to be made now."""
+    known = wanted.select("cluster_id").join(cached.select("cluster_id", "label"), "cluster_id", "left")
+    many = known.agg((F.count_if(F.col("label").isNull()) > at_once).alias("many"))
+    return known.join(F.broadcast(many), F.lit(True)).select("cluster_id", "label", (F.col("label").isNull() & F.col("many")).alias("pending"))  # one row

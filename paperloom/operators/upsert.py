@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import normalize_title
+
 
 def _newest(rows: DataFrame) -> DataFrame:
     """Of a batch's rows of one id the newest; equal dates by title. A row with a null id, date or title can't be stored and fails."""
@@ -71,6 +73,18 @@ def first_wins(rows: DataFrame, key, order: list) -> DataFrame:
     return kept.unionByName(ranked.filter(F.col("__key").isNull())).drop("__key")
 
 
+def same_papers(papers: DataFrame, arxiv: str) -> DataFrame:
+    """papers: ``paper_id, title, surnames, source`` → ``paper_id, same_as``: papers of other sources that ``arxiv`` holds too,
+    under the same normalised title and with a surname in common; of several the smallest id.
+
+    Keys are (title, surname), one row each on the arXiv side, so a title that very many papers share makes no pairs. Papers without a title or surnames match none.
+    """
+    surname = F.explode(F.array_distinct(F.transform("surnames", lambda s: F.lower(F.trim(s)))))
+    keyed = papers.select("paper_id", "source", normalize_title(F.col("title")).alias("key"), surname.alias("surname")).filter("key <> '' AND surname <> ''")
+    held = keyed.filter(F.col("source") == arxiv).groupBy("key", "surname").agg(F.min("paper_id").alias("same_as"))
+    return keyed.filter(F.col("source") != arxiv).join(held, ["key", "surname"]).groupBy("paper_id").agg(F.min("same_as").alias("same_as"))
+
+
 def unembedded(paper: DataFrame, embedding: DataFrame, condition) -> DataFrame:
     """Papers without a vector: no row, or a null one."""
     return paper.filter(condition).join(embedding.filter(F.col("embedding").isNotNull()), "paper_id", "left_anti").select("paper_id").distinct()

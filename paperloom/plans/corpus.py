@@ -10,6 +10,7 @@ from ..functions import vectors as V
 from ..functions.scoring import rubric_text, rubric_total
 from ..operators import atlas as A
 from ..operators import inventory as I
+from ..operators import labels as L
 from ..operators import search as S
 from ..operators import upsert as U
 from ..operators.layout import project_map
@@ -451,14 +452,40 @@ SELECT cluster, string_agg(term, ' · ' ORDER BY rn) AS label FROM r WHERE rn <=
 @query("cluster_labels", _TERMS)
 def cluster_labels(spark, sf):
     """Class-based term weights of each source's bigrams."""
-    from ..operators.labels import top_terms
+    return L.top_terms(paper(spark, sf).select(F.col("source").alias("cluster"), F.col("abstract").alias("text")))
 
-    return top_terms(paper(spark, sf).select(F.col("source").alias("cluster"), F.col("abstract").alias("text")))
 
-
-@query("cluster_boxes", ", c AS (SELECT r.x, r.y, e.label AS cluster FROM projection r JOIN embeddings e ON CAST(e.vec_id AS VARCHAR) = r.paper_id) SELECT cluster, round(avg(x), 6) AS cx, round(avg(y), 6) AS cy, round(quantile_cont(x, 0.05), 6) AS x_low, round(quantile_cont(x, 0.95), 6) AS x_high FROM c GROUP BY cluster")
+@query("cluster_boxes", ", c AS (SELECT r.x, r.y, e.label AS cluster FROM projection r JOIN embeddings e ON CAST(e.vec_id AS VARCHAR) = r.paper_id) SELECT cluster, round(avg(x), 6) AS cx, round(avg(y), 6) AS cy, round(quantile_cont(x, 0.05), 6) AS x_low, round(quantile_cont(x, 0.95), 6) AS x_high, round(quantile_cont(y, 0.05), 6) AS y_low, round(quantile_cont(y, 0.95), 6) AS y_high, count(*) AS n FROM c GROUP BY cluster")
 def cluster_boxes(spark, sf):
-    from ..operators.labels import boxes
-
     rows = read(spark, sf, "embeddings").select(F.col("label").alias("cluster"), F.get("embedding", F.lit(0)).cast("double").alias("x"), F.get("embedding", F.lit(1)).cast("double").alias("y"))
-    return rounded(boxes(rows).select("cluster", "cx", "cy", "x_low", "x_high"), "cx", "cy", "x_low", "x_high")
+    return rounded(L.boxes(rows), "cx", "cy", "x_low", "x_high", "y_low", "y_high")
+
+
+_TREE = "m AS (SELECT p_partkey AS cluster_id, p_size AS birth, p_size + 1 + p_partkey % 7 AS death, p_partkey % 100 AS xl, p_partkey % 100 + p_partkey % 5 AS xh, p_partkey % 37 AS yl, p_partkey % 37 + p_partkey % 3 AS yh, p_brand FROM part), o AS (SELECT * FROM m WHERE xl <= 30 AND xh >= 10 AND yl <= 15 AND yh >= 5)"
+_VIEW = (10, 5, 30, 15)
+
+
+def _tree(spark, sf):
+    n = F.col("p_partkey")
+    box = {"x_low": n % 100, "x_high": n % 100 + n % 5, "y_low": n % 37, "y_high": n % 37 + n % 3}
+    return read(spark, sf, "part").select(n.alias("cluster_id"), F.col("p_size").alias("birth"), (F.col("p_size") + 1 + n % 7).alias("death"), *(v.alias(k) for k, v in box.items()), "p_brand")
+
+
+@query("tree_slice", f", {_TREE}, c AS (SELECT l.birth AS level, (SELECT count(*) FROM o WHERE o.birth <= l.birth AND l.birth < o.death) AS n FROM (SELECT DISTINCT birth FROM m) l), p AS (SELECT level FROM c ORDER BY abs(n - 6), level LIMIT 1) SELECT cluster_id, birth FROM o, p WHERE birth <= level AND level < death")
+def tree_slice(spark, sf):
+    return L.tree_slice(_tree(spark, sf), _VIEW).select("cluster_id", "birth")
+
+
+@query("label_page", f", {_TREE}, w AS (SELECT cluster_id, CASE WHEN cluster_id % 3 = 0 THEN p_brand END AS label FROM o) SELECT cluster_id, label, label IS NULL AND (SELECT count(*) FROM w WHERE label IS NULL) > 20 AS pending FROM w")
+def label_page(spark, sf):
+    x0, y0, x1, y1 = _VIEW
+    tree = _tree(spark, sf)
+    wanted = tree.filter((F.col("x_low") <= x1) & (F.col("x_high") >= x0) & (F.col("y_low") <= y1) & (F.col("y_high") >= y0))
+    return L.label_page(wanted, tree.filter("cluster_id % 3 = 0").select("cluster_id", F.col("p_brand").alias("label")))
+
+
+@query("same_papers", ", n AS (SELECT paper_id, source, trim(regexp_replace(lower(substr(title, 1, 12)), '[^a-z0-9]+', ' ', 'g')) AS key, lower(category) AS surname FROM paper) SELECT b.paper_id, min(a.paper_id) AS same_as FROM n b JOIN n a ON a.key = b.key AND a.surname = b.surname WHERE a.source = 'src0' AND b.source <> 'src0' AND b.key <> '' GROUP BY b.paper_id")
+def same_papers(spark, sf):
+    """The view has no authors: its category stands for a surname, the first twelve characters for a title."""
+    rows = paper(spark, sf).select("paper_id", F.substring("title", 1, 12).alias("title"), F.array("category").alias("surnames"), "source")
+    return U.same_papers(rows, S.ARXIV)

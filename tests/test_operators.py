@@ -393,3 +393,33 @@ def test_feed_keeps_the_first_by_id(spark):
     points = spark.createDataFrame([(str(k), float(k)) for k in (3, 1, 2)], "paper_id string, x double")
     assert [r.paper_id for r in A.feed(points, 2).collect()] == ["1", "2"]
     assert [r.paper_id for r in A.feed(points).collect()] == ["1", "2", "3"]
+
+
+def test_tree_slice_is_nearest_to_the_target(spark):
+    from paperloom.operators.labels import tree_slice
+
+    rng = np.random.default_rng(5)
+    rows = [(k, int(b), int(b + d), float(x), float(x + 1), float(y), float(y + 1)) for k, (b, d, x, y) in enumerate(zip(rng.integers(0, 12, 60), rng.integers(0, 5, 60), rng.uniform(0, 9, 60), rng.uniform(0, 9, 60)))]
+    tree = spark.createDataFrame(rows, "cluster_id long, birth int, death int, x_low double, x_high double, y_low double, y_high double")
+    for target in (0, 1, 4, 99):
+        met = [r for r in rows if r[3] <= 6 and r[4] >= 2 and r[5] <= 6 and r[6] >= 2]
+        alive = {level: {r[0] for r in met if r[1] <= level < r[2]} for level in {r[1] for r in rows}}
+        best = min(alive, key=lambda level: (abs(len(alive[level]) - min(max(target, 1), 50)), level))
+        assert {r.cluster_id for r in tree_slice(tree, (2, 2, 6, 6), target).collect()} == alive[best]
+    assert tree_slice(tree.limit(0), (2, 2, 6, 6)).count() == 0
+
+
+def test_label_page(spark):
+    from paperloom.operators.labels import label_page
+
+    wanted = spark.range(5).withColumnRenamed("id", "cluster_id")
+    cached = spark.createDataFrame([(0, "a"), (9, "b")], "cluster_id long, label string")
+    few, many = (label_page(wanted, cached, n).orderBy("cluster_id").collect() for n in (4, 3))
+    assert [r.label for r in few] == ["a", None, None, None, None] and not any(r.pending for r in few)
+    assert [r.pending for r in many] == [False, True, True, True, True]
+
+
+def test_same_papers(spark):
+    rows = [("1", "A Title!", ["Lee", "Ma"], "src0"), ("0", "a title", ["Ma"], "src0"), ("2", "A  title", [" ma "], "doi"), ("3", "a title", ["Noe"], "doi"), ("4", "??", ["Ma"], "doi"), ("5", None, None, "doi"), ("6", "a title", ["Lee", "Lee"], "x")]
+    found = U.same_papers(spark.createDataFrame(rows, "paper_id string, title string, surnames array<string>, source string"), "src0")
+    assert {(r.paper_id, r.same_as) for r in found.collect()} == {("2", "0"), ("6", "1")}
