@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -30,10 +31,10 @@ def hashing_provider(dimensions: int = 64) -> Provider:
     return embed
 
 
-def embed(papers: DataFrame, provider: Provider, text_col: str = "abstract", batch: int = 10, tries: int = 5) -> DataFrame:
+def embed(papers: DataFrame, provider: Provider, text_col: str = "abstract", batch: int = 10, tries: int = 5, pause: float = 0.1) -> DataFrame:
     """``paper_id, embedding, error``: texts cut to the word budget, embedded ``batch`` by batch.
 
-    A batch that fails ``tries`` times gives null vectors and the error, row by
+    Before it is tried again a batch waits ``pause`` seconds, each time twice as long. A batch that fails ``tries`` times gives null vectors and the error, row by
     row; vectors of another batch are never handed on in its place.
     """
 
@@ -43,7 +44,9 @@ def embed(papers: DataFrame, provider: Provider, text_col: str = "abstract", bat
             vectors, errors = [], []
             for at in range(0, len(texts), batch):
                 part, problem, got = texts[at : at + batch], None, None
-                for _ in range(tries):
+                for nth in range(tries):
+                    if nth:
+                        time.sleep(pause * 2 ** (nth - 1))
                     try:
                         got = provider(part)
                         break

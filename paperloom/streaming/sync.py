@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -28,6 +28,18 @@ def sync(spark: SparkSession, landing: str, read: Callable[[], DataFrame], write
     return spark.readStream.schema(SCHEMA).parquet(landing).writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def once_within(pulls: DataFrame, late: str = "1 day") -> DataFrame:
+    """Pulls overlap, so a version of a paper (``paper_id, update_date``) comes again: once for as long as the watermark of ``ts``, the time of the pull, looks back.
+
+    A stream keeps such keys no longer than that; a table drops all repeats, the first pull staying.
+    """
+    keys = ["paper_id", "update_date"]
+    if pulls.isStreaming:
+        return pulls.withWatermark("ts", late).dropDuplicatesWithinWatermark(keys)
+    first = Window.partitionBy(*keys).orderBy("ts")
+    return pulls.withColumn("__rn", F.row_number().over(first)).filter("__rn = 1").drop("__rn")
+
+
 @dataclass(frozen=True)
 class Corpus:
     """paper: ``paper_id, title, abstract, source, update_date``; categories: ``paper_id, category``; embedding: ``paper_id, embedding``."""

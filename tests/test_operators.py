@@ -423,3 +423,38 @@ def test_same_papers(spark):
     rows = [("1", "A Title!", ["Lee", "Ma"], "src0"), ("0", "a title", ["Ma"], "src0"), ("2", "A  title", [" ma "], "doi"), ("3", "a title", ["Noe"], "doi"), ("4", "??", ["Ma"], "doi"), ("5", None, None, "doi"), ("6", "a title", ["Lee", "Lee"], "x")]
     found = U.same_papers(spark.createDataFrame(rows, "paper_id string, title string, surnames array<string>, source string"), "src0")
     assert {(r.paper_id, r.same_as) for r in found.collect()} == {("2", "0"), ("6", "1")}
+
+
+def test_pulls_that_overlap_count_once(spark, tmp_path):
+    schema = "paper_id string, update_date date, ts timestamp"
+    at = lambda day, hour: dt.datetime(2001, 8, day, hour)
+    pulls = [[("a", D("2001-08-01"), at(1, 3)), ("b", D("2001-08-01"), at(1, 3))], [("a", D("2001-08-01"), at(2, 1)), ("a", D("2001-08-02"), at(2, 1))]]
+    landing = str(tmp_path / "pulls")
+    for rows in pulls:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(landing)
+    want = [("a", D("2001-08-01")), ("a", D("2001-08-02")), ("b", D("2001-08-01"))]
+    table = Y.once_within(spark.read.parquet(landing))
+    assert sorted((r.paper_id, r.update_date) for r in table.collect()) == want and table.filter("paper_id = 'a'").agg(F.min("ts")).first()[0] == at(1, 3)
+    stream = Y.once_within(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(landing))
+    query = stream.writeStream.format("memory").queryName("once_within").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    query.awaitTermination(120)
+    assert sorted((r.paper_id, r.update_date) for r in spark.table("once_within").collect()) == want
+
+
+def test_embedding_waits_before_it_tries_again(spark, tmp_path):
+    import time
+
+    from paperloom.functions.embed import embed
+
+    calls = str(tmp_path / "calls")
+
+    def flaky(texts):
+        with open(calls, "a") as f:
+            f.write(f"{time.time()}\n")
+        if len(open(calls).readlines()) < 3:
+            raise OSError("later")
+        return np.ones((len(texts), 2))
+
+    found = embed(spark.createDataFrame([("a", "x")], "paper_id string, abstract string").coalesce(1), flaky, pause=0.2).collect()
+    times = [float(t) for t in open(calls)]
+    assert found[0].error is None and len(times) == 3 and times[1] - times[0] >= 0.2 and times[2] - times[1] >= 0.4
