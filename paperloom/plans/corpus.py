@@ -14,6 +14,7 @@ from ..operators import labels as L
 from ..operators import search as S
 from ..operators import upsert as U
 from ..operators.layout import project_map
+from ..operators.pages import abstracts_of
 from ..sources import readers as R
 from .base import AS_OF, as_of, embedding, paper, projection, query, read, rounded
 
@@ -489,3 +490,16 @@ def same_papers(spark, sf):
     """The view has no authors: its category stands for a surname, the first twelve characters for a title."""
     rows = paper(spark, sf).select("paper_id", F.substring("title", 1, 12).alias("title"), F.array("category").alias("surnames"), "source")
     return U.same_papers(rows, S.ARXIV)
+
+
+_BODY = "'we study ' || repeat(md5(paper_id) || ' ', 4) || 'and more'"
+
+
+@query("page_abstracts", f"SELECT paper_id, {_BODY} AS abstract FROM paper")
+def page_abstracts(spark, sf):
+    """Each paper's own proceedings: a contents line, then a page with its title on two lines, an abstract broken at a hyphen and an introduction."""
+    digest = F.md5("paper_id")
+    title = F.concat(F.lit("The study of "), F.col("paper_id"), F.lit(" by "), digest)
+    shown = [F.lit("Contents"), title, F.lit("\f12 The study of"), F.concat("paper_id", F.lit(" by "), digest), F.lit("Some One"), F.lit(""), F.lit("Abstract"), F.lit("we stu-"), F.concat(F.lit("dy "), F.repeat(F.concat(digest, F.lit(" ")), F.lit(2))), F.repeat(F.concat(digest, F.lit(" ")), F.lit(2)), F.lit("and [1, 2] more"), F.lit("1 Introduction"), F.lit("Other text.")]
+    rows = paper(spark, sf).select("paper_id", title.alias("title"), F.concat_ws("\n", *shown).alias("text"))
+    return abstracts_of(rows.select(F.col("paper_id").alias("doc_id"), "text"), rows.select("paper_id", "title"))

@@ -458,3 +458,16 @@ def test_embedding_waits_before_it_tries_again(spark, tmp_path):
     found = embed(spark.createDataFrame([("a", "x")], "paper_id string, abstract string").coalesce(1), flaky, pause=0.2).collect()
     times = [float(t) for t in open(calls)]
     assert found[0].error is None and len(times) == 3 and times[1] - times[0] >= 0.2 and times[2] - times[1] >= 0.4
+
+
+def test_abstracts_of_two_columns(spark):
+    from paperloom.operators.pages import abstracts_of
+
+    left = ["Abstract", "Storage systems grow without an end, and many of", "them are slow for reasons that nobody has meas-", "ured [3, 7] until now, as far as we know; here they", "1  Introduction", "Not this."]
+    right = ["are measured at last.", "", "CCS Concepts: none", "Not that.", "", ""]
+    page = "\n".join(a.ljust(60) + b if b else a for a, b in zip(left, right))
+    want = "Storage systems grow without an end, and many of them are slow for reasons that nobody has measured until now, as far as we know; here they are measured at last."
+    text = "Contents\nFast Storage Systems for All 12\n" + "\n" * 90 + "\fFast Storage Systems\nfor All\nSome One\n" + page + "\n\fOther page\n" + "Short Title Here\nAbstract\ntoo short"
+    papers = [("whole", "Fast Storage Systems for All"), ("short", "The Fast Storage Systems of Some"), ("none", "Slow Storage Systems for All"), ("two", "Fast Storage"), ("blank", None), ("little", "Short Title Here")]
+    found = abstracts_of(spark.createDataFrame([(1, text), (2, None)], "doc_id int, text string"), spark.createDataFrame(papers, "paper_id string, title string"))
+    assert {r.paper_id: r.abstract for r in found.collect()} == {"whole": want, "short": want}
