@@ -16,6 +16,7 @@ OPERATORS = {
     8: ("packing", "op8_packing"),
     9: ("mixing", "op9_mixing"),
     10: ("minhash", "op10_near_duplicates"),
+    11: ("resample", "op11_importance_resampling"),
 }
 
 
