@@ -17,6 +17,7 @@ OPERATORS = {
     9: ("mixing", "op9_mixing"),
     10: ("minhash", "op10_near_duplicates"),
     11: ("resample", "op11_importance_resampling"),
+    12: ("trees", "op12_jaccard_join"),
     13: ("repair", "op13_conversation_repair"),
 }
 
