@@ -3,9 +3,10 @@
 Texts with the same set of shingles are one leaf. Sets of the sizes a and b that link differ in at
 most (a + b) * (100 - p) / (100 + p) shingles; cut by hash into one part more than that, they agree in some
 part. So each set stands under a root for each part, in the two bands of sizes where it may
-meet a partner: no link is lost, and no pairs across roots need be looked at.
+meet a partner: no link is lost, and no pairs across roots need be looked at. Of a root's leaves the one with the
+most copies is its pivot; all roots of one pivot are one tree.
 
-Under a root the leaves are sorted by component and least hash, over all tasks, and cut into
+A tree's leaves are sorted by component and least hash, over all tasks, and cut into
 subtrees. A node holds the OR of its leaves' token bitmaps, the range of their sizes and the fewest bits
 that one of them has. Two nodes are visited together: their leaves share at most
 
@@ -14,7 +15,7 @@ that one of them has. Two nodes are visited together: their leaves share at most
 shingles, as each bit of a leaf that the other bitmap lacks is a shingle that the other side lacks. Pairs that can't
 reach the overlap that their sizes ask for are pruned, first subtrees in Spark, then
 nodes down to leaves in each task; what is left of leaves is checked exactly, by 48-bit hashes.
-Before that, each root's leaves are compared with one of them, its pivot: node pairs whose leaves all are in one component
+Before that, each tree's leaves are compared with its pivot: node pairs whose leaves all are in one component
 already are pruned too, so a dense group costs little more than its pivot's comparisons.
 """
 
@@ -211,19 +212,19 @@ def traverse(bags_a: list[np.ndarray], labels_a: np.ndarray, bags_b: list[np.nda
     return found
 
 
-_SUBTREE = "key long, tree long, low long, high long, fewest long, bits binary, label binary, digests array<binary>, labels array<binary>, bags array<binary>"
+_SUBTREE = "key binary, tree long, low long, high long, fewest long, bits binary, label binary, digests array<binary>, labels array<binary>, bags array<binary>"
 
 
 def subtrees(held: DataFrame, rows: int = SUBTREE_ROWS) -> DataFrame:
-    """held: ``key, digest, label, bag`` → the roots' subtrees, a table; ``label`` is null unless all leaves have it.
+    """held: ``key, digest, label, bag`` → the trees' subtrees, a table; ``label`` is null unless all leaves have it.
 
-    Rows are sorted by root, label and least hash over all tasks, so a root of any size is spread over many.
+    Rows are sorted by tree, label and least hash over all tasks, so a tree of any size is spread over many.
     """
     parts = int(held.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     order = ["key", "label", "least", "digest"]
     placed = held.withColumn("least", F.substring("bag", 1, 6)).repartitionByRange(parts, *order).sortWithinPartitions(*order)
     placed = placed.select("key", "digest", "label", "bag", F.spark_partition_id().alias("part"))
-    kinds = pa.schema([(n, t) for n, t in zip((f.split(" ")[0] for f in _SUBTREE.split(", ")), [pa.int64()] * 5 + [pa.binary()] * 2 + [pa.list_(pa.binary())] * 3)])
+    kinds = pa.schema([(n, t) for n, t in zip((f.split(" ")[0] for f in _SUBTREE.split(", ")), [pa.binary()] + [pa.int64()] * 4 + [pa.binary()] * 2 + [pa.list_(pa.binary())] * 3)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, weight, seq, key, part = [], 0, 0, None, 0
@@ -267,7 +268,7 @@ def may_link(a: dict, b: dict, percent: int) -> bool:
 
 
 def tree_links(forest: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Links between components (``a, b``, digests) under the roots of ``forest``, a table as ``subtrees`` gives it."""
+    """Links between components (``a, b``, digests) in the trees of ``forest``, a table as ``subtrees`` gives it."""
     light = ["low", "high", "fewest", "bits", "label"]
     one = forest.filter("label IS NULL AND size(digests) > 1").select("key", F.col("tree").alias("x"), F.col("tree").alias("y"))
     left = forest.select("key", F.col("tree").alias("x"), *(F.col(c).alias(f"x_{c}") for c in light))
@@ -279,7 +280,7 @@ def tree_links(forest: DataFrame, percent: int = PERCENT) -> DataFrame:
             keep = [may_link({c: r[f"x_{c}"] for c in light}, {c: r[f"y_{c}"] for c in light}, percent) for r in batch.to_pylist()]
             yield batch.select(["key", "x", "y"]).filter(pa.array(keep, pa.bool_()))
 
-    ways = cut(one.union(pairs.mapInArrow(lean(prune), "key long, x long, y long")), "tree-pairs")
+    ways = cut(one.union(pairs.mapInArrow(lean(prune), "key binary, x long, y long")), "tree-pairs")
     leaves = [F.col("digests"), F.col("labels"), F.col("bags")]
     first = ways.join(forest.select(F.col("tree").alias("x"), F.struct(*leaves).alias("a")), "x")
     # A tree against itself is sent once.
@@ -300,12 +301,13 @@ def tree_links(forest: DataFrame, percent: int = PERCENT) -> DataFrame:
     return both.select("a", "b").mapInArrow(lean(run), "a binary, b binary")
 
 
-def _open_roots(members: DataFrame, labels: DataFrame, bags: DataFrame, hot_rows: int | None) -> DataFrame:
-    """``key, digest, label, bag`` of the roots whose leaves are of several components; of roots with the same leaves one."""
-    held = cut(members.join(labels.withColumnRenamed("node", "digest"), "digest", "left").select("key", "digest", F.coalesce("label", "digest").alias("label")), "labelled-leaves")
-    by_root = held.groupBy("key").agg(F.count("*").alias("n"), F.min("label").alias("from"), F.max("label").alias("to"), F.sum(F.xxhash64("digest").cast("decimal(38,0)")).alias("print"))
+def _open_trees(leaves: DataFrame, labels: DataFrame, bags: DataFrame) -> DataFrame:
+    """leaves: ``leader, other`` → ``key, digest, label, bag`` of the trees whose leaves, the pivot too, are of several components."""
+    every = leaves.select(F.col("leader").alias("key"), F.col("other").alias("digest")).union(leaves.select("leader", "leader").distinct())
+    held = cut(every.join(labels.withColumnRenamed("node", "digest"), "digest", "left").select("key", "digest", F.coalesce("label", "digest").alias("label")), "labelled-leaves")
+    by_tree = held.groupBy("key").agg(F.count("*").alias("n"), F.min("label").alias("from"), F.max("label").alias("to"))
     # Two leaves were compared already.
-    wanted = cut(by_root.filter("`from` != `to` AND n > 2").groupBy("n", "print").agg(F.min("key").alias("key")).select("key"), "open-roots")
+    wanted = cut(by_tree.filter("`from` != `to` AND n > 2").select("key"), "open-trees")
     return _among(held, wanted, "key").join(bags, "digest").select("key", "digest", "label", "bag")
 
 
@@ -322,17 +324,20 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     made = cut(sets(docs, id_col, text_col, words, percent), "sets")
     filled = made.filter("n_shingles > 0")
     slots = filled.select("digest", F.explode("keys").alias("key"))
-    shared = cut(slots.groupBy("key").agg(F.min("digest").alias("x"), F.max("digest").alias("y")).filter("x != y").select("key"), "shared-roots")
+    # 64 bits of a digest tell a root's leaves apart; they make the shuffle of all roots small.
+    brief = filled.select(F.xxhash64("digest").alias("leaf"), F.explode("keys").alias("key"))
+    shared = cut(brief.groupBy("key").agg(F.min("leaf").alias("x"), F.max("leaf").alias("y")).filter("x != y").select("key"), "shared-roots")
     members = cut(_among(slots, shared, "key").groupBy("key", "digest").agg(F.count("*").alias("copies")), "leaves")
     nodes = cut(members.select("digest").distinct(), "nodes")
     bags = cut(_among(filled.select("digest", "bag"), nodes, "digest").groupBy("digest").agg(F.first("bag").alias("bag")), "bags")
     pivots = members.groupBy("key").agg(F.max(F.struct("copies", "digest")).alias("pivot")).select("key", F.col("pivot.digest").alias("leader"))
     met = hot_join(members.select("key", F.col("digest").alias("other")), pivots, ["key"], "inner", hot_rows).filter("leader != other")
+    met = cut(met.select("leader", "other").distinct(), "tree-leaves")
     pairs = met.groupBy(F.least("leader", "other").alias("a"), F.greatest("leader", "other").alias("b")).agg(F.max("leader").alias("leader"))
     pairs = cut(pairs.select("leader", F.when(F.col("leader") == F.col("a"), F.col("b")).otherwise(F.col("a")).alias("other")), "pivot-pairs")
     links = cut(_verified(pairs, bags, percent / 100, hot_rows), "pivot-links")
     first = components(links, hot_rows)
-    more = cut(tree_links(subtrees(_open_roots(members, first, bags, hot_rows), subtree_rows), percent), "tree-links")
+    more = cut(tree_links(subtrees(_open_trees(met, first, bags), subtree_rows), percent), "tree-links")
     labels = components(links.union(more), hot_rows)
     texts = filled.groupBy("digest").agg(F.min("doc_id").alias("least"), F.count("*").alias("count"))
     labelled = cut(texts.join(labels.withColumnRenamed("node", "digest"), "digest", "left"), "labelled-sets")
