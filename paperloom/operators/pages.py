@@ -8,13 +8,15 @@ no paper is searched for line by line.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import STOPWORDS, clean_text, column_start, normalize_title, split_columns, title_prefix
 
 #: Lines a title may take, words of its beginning, characters before it, lines to its heading and of an abstract, the column where none is seen, and the least characters.
 TITLE_LINES, PREFIX_LINES, PREFIX_WORDS, BEFORE, HEADING_LINES, BLOCK_LINES, COLUMN, LEAST = 4, 3, 3, 50, 80, 200, 80, 100
+#: Lines that a window of followers spans.
+CHUNK_LINES = 1000
 #: What ends an abstract, in each column and in the left one alone, and the words a sentence goes on with at the top of the right one.
 ENDS = r"^\s*(CCS Concepts|Keywords|ACM Reference Format|1\s+Introduction|References|Categories and Subject|Introduction\s*$)"
 LEFT_ENDS = r"^\s*(∗|† |This work is licensed)"
@@ -43,24 +45,36 @@ def block_abstracts(blocks: DataFrame) -> DataFrame:
     return rows.withColumn("abstract", F.when(runs_on, F.trim(F.concat_ws(" ", "left", "right"))).otherwise(F.col("left"))).drop("left", "right")
 
 
+def lines_of(proceedings: DataFrame) -> DataFrame:
+    """``doc_id, at, line``: one row for each line, so that a volume of any length is rows and never carried whole behind its lines."""
+    return proceedings.select("doc_id", F.posexplode(F.split("text", "\n")).alias("at", "line"))
+
+
 def headings(proceedings: DataFrame) -> DataFrame:
-    """``doc_id, at, abstract``: each heading's line and the abstract under it, if that has over LEAST characters."""
-    lines = F.split("text", "\n")
-    each = proceedings.select("doc_id", lines.alias("lines")).select("doc_id", "lines", F.posexplode("lines").alias("at", "line"))
+    """``doc_id, at, abstract``: each heading's line and the abstract under it, if that has over LEAST characters. Headings fetch the lines under them by number."""
+    each = lines_of(proceedings)
     headed = each.filter((F.trim(F.regexp_replace("line", r"\s+$", "")) == "Abstract") | F.regexp_replace("line", r"^\s+", "").startswith("Abstract  "))
-    page = F.split(F.substring_index(F.array_join(F.slice("lines", F.col("at") + 1, F.lit(BLOCK_LINES)), "\n"), "\f", 1), "\n")
-    found = block_abstracts(headed.select("doc_id", "at", page.alias("block")))
+    wanted = headed.select("doc_id", F.col("at").alias("heading"), F.explode(F.sequence(F.col("at"), F.col("at") + BLOCK_LINES - 1)).alias("at"))
+    blocks = each.join(wanted, ["doc_id", "at"]).groupBy("doc_id", F.col("heading").alias("at")).agg(F.array_sort(F.collect_list(F.struct("at", "line"))).alias("under"))
+    page = F.split(F.substring_index(F.array_join("under.line", "\n"), "\f", 1), "\n")
+    found = block_abstracts(blocks.select("doc_id", "at", page.alias("block")))
     # Exploded, as a filter on the abstract would be pushed through all its steps and repeat them.
     long = F.explode_outer(F.filter(F.array("abstract"), lambda a: F.length(a) > LEAST))
     return found.select("doc_id", "at", long.alias("abstract")).filter("abstract IS NOT NULL")
 
 
 def title_places(proceedings: DataFrame) -> DataFrame:
-    """``doc_id, at, kind, key, rest``: for each line the first words at and near its beginning (kind 0, with what follows), and its first distinctive words (kind 1, one to three of them, with all)."""
-    plain = F.transform(F.split("text", "\n"), normalize_title)
-    each = proceedings.select("doc_id", plain.alias("plain")).select("doc_id", "plain", F.posexplode("plain").alias("at", "own")).filter("own <> ''")
-    joined = lambda n: _words(F.array_join(F.slice("plain", F.col("at") + 1, F.lit(n)), " "))
-    some = each.select("doc_id", "at", joined(TITLE_LINES).alias("w"), F.filter(joined(PREFIX_LINES), lambda t: ~t.isin(*STOPWORDS)).alias("d"))
+    """``doc_id, at, kind, key, rest``: for each line the first words at and near its beginning (kind 0, with what follows), and its first distinctive words (kind 1, one to three of them, with all).
+
+    A line meets its followers in a window over a chunk of lines; a chunk's first ones go to the chunk before it as well.
+    """
+    chunk = F.floor(F.col("at") / CHUNK_LINES)
+    overlap = F.when((F.col("at") % CHUNK_LINES < TITLE_LINES - 1) & (chunk > 0), F.array(chunk, chunk - 1)).otherwise(F.array(chunk))
+    each = lines_of(proceedings).select("doc_id", "at", normalize_title(F.col("line")).alias("own"), F.explode(overlap).alias("chunk"))
+    order = Window.partitionBy("doc_id", "chunk").orderBy("at")
+    joined = lambda n: _words(F.concat_ws(" ", "own", *(F.lead("own", k).over(order) for k in range(1, n))))
+    met = each.withColumns({"w": joined(TITLE_LINES), "d": joined(PREFIX_LINES)}).filter((F.col("own") != "") & (F.col("chunk") == chunk))
+    some = met.select("doc_id", "at", "w", F.filter("d", lambda t: ~t.isin(*STOPWORDS)).alias("d"))
     near = F.filter(F.sequence(F.lit(1), F.least(F.size("w"), F.lit(BEFORE // 2 + 1))), lambda k: F.length(F.array_join(F.slice("w", F.lit(1), k - 1), " ")) < BEFORE)
     whole = some.withColumn("k", F.explode(near)).select("doc_id", "at", F.lit(0).alias("kind"), F.array_join(F.slice("w", F.col("k"), F.lit(PREFIX_WORDS)), " ").alias("key"), F.array_join(F.slice("w", F.col("k"), F.size("w")), " ").alias("rest"))
     short = some.filter(F.size("d") > 1).withColumn("k", F.explode(F.sequence(F.lit(1), F.least(F.size("d") - 1, F.lit(PREFIX_WORDS)))))

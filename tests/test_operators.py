@@ -471,3 +471,21 @@ def test_abstracts_of_two_columns(spark):
     papers = [("whole", "Fast Storage Systems for All"), ("short", "The Fast Storage Systems of Some"), ("none", "Slow Storage Systems for All"), ("two", "Fast Storage"), ("blank", None), ("little", "Short Title Here")]
     found = abstracts_of(spark.createDataFrame([(1, text), (2, None)], "doc_id int, text string"), spark.createDataFrame(papers, "paper_id string, title string"))
     assert {r.paper_id: r.abstract for r in found.collect()} == {"whole": want, "short": want}
+
+
+def test_abstracts_of_a_whole_volume(spark):
+    """200,000 lines in one document, with a paper every 500 lines; one spans two chunks of lines."""
+    from paperloom.operators.pages import abstracts_of
+
+    body = ["This abstract number {k} tells of storage and of networks, of clocks", "that differ and of what is done about it in such cases."]
+    lines = ["Some filler words of a page that tells nothing, though at length"] * 200_000
+    titles = {}
+    for k in range(0, 400):
+        at = k * 500 + (498 if k % 2 else 100)
+        titles[str(k)] = f"Engine Number {k} For Very Long Volumes"
+        lines[at : at + 7] = [f"Engine Number {k}", "For Very Long Volumes", "Some One", "Abstract", body[0].format(k=k), body[1], "1 Introduction"]
+    volume = spark.createDataFrame([("v", "\n".join(lines))], "doc_id string, text string").repartition(1)
+    papers = spark.createDataFrame(list(titles.items()), "paper_id string, title string")
+    found = {r.paper_id: r.abstract for r in abstracts_of(volume, papers).collect()}
+    want = {str(k): " ".join(body).format(k=k) for k in range(400)}
+    assert {k: (found.get(k), v) for k, v in want.items() if found.get(k) != v} == {}
