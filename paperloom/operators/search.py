@@ -14,13 +14,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.ml.feature import BucketedRandomProjectionLSH
-from pyspark.ml.functions import array_to_vector
-from pyspark.ml.linalg import Vectors
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.vectors import cosine_distance, cosine_similarity, l2_distance, l2_normalize
+from ..functions.vectors import cosine_distance, cosine_similarity, l2_distance
+from . import probes as probing
 
 KNOWN_SOURCES = tuple(f"src{k}" for k in range(20))
 ARXIV = "src0"
@@ -92,22 +90,6 @@ def neighbours(embedding: DataFrame, seed: str, k: int) -> DataFrame:
     return scored.orderBy(F.col("similarity").desc_nulls_last(), "paper_id").limit(check_k(k))
 
 
-def approximate_neighbours(embedding: DataFrame, probe: list[float], k: int, ef: int = 40) -> DataFrame:
-    """``paper_id, similarity`` of about the k nearest, by random projections of unit vectors: ``ef`` is the recall knob, one hash table for each 5.
-
-    Only rows that share a bucket with the probe are scored, each by its exact similarity. A zero probe finds nothing.
-    """
-    norm = math.sqrt(sum(float(x) ** 2 for x in probe))
-    if not norm:
-        return embedding.sparkSession.createDataFrame([], "paper_id string, similarity double")
-    usable = embedding.filter((F.size("embedding") == len(probe)) & F.exists("embedding", lambda x: x != 0))
-    unit = usable.select("paper_id", array_to_vector(l2_normalize(F.col("embedding")).cast("array<double>")).alias("unit"), "embedding")
-    lsh = BucketedRandomProjectionLSH(inputCol="unit", outputCol="hashes", bucketLength=1.0, numHashTables=math.ceil(clamp(ef, 10, 500) / 5), seed=42)
-    blank = embedding.sparkSession.range(1).select(array_to_vector(vector_literal([0.0] * len(probe))).alias("unit"))  # fitting reads the dimensions alone
-    near = lsh.fit(blank).approxNearestNeighbors(unit, Vectors.dense([float(x) / norm for x in probe]), check_k(k))
-    return near.select("paper_id", cosine_similarity(F.col("embedding"), vector_literal(probe)).alias("similarity")).orderBy(F.col("similarity").desc(), "paper_id")
-
-
 #: The fields of a paper in an answer.
 ANSWER = ("paper_id", "title", "abstract", "source", "link", "authors", "institutions", "paper_date")
 
@@ -231,20 +213,20 @@ def over_time(paper: DataFrame, embedding: DataFrame, probe: list[float], thresh
     return joined.select("update_date", "paper_id", cumulative, ((F.col("hits0") + F.coalesce("h", F.lit(0))) / (F.col("n0") + F.col("i"))).alias("ratio"))
 
 
-def listener_digest(paper: DataFrame, embedding: DataFrame, listeners: list[tuple[str, list[float]]], as_of: Column, days: int = 7, each: int = 10, limit: int = 10) -> DataFrame:
-    """Each listener's digest, joined; of a title's copies the nearest stays."""
-    parts = None
-    for name, probe in listeners:
-        part = digest(paper, embedding, probe, as_of, days, each).withColumn("listener", F.lit(name))
-        parts = part if parts is None else parts.unionByName(part)
+def listener_digest(paper: DataFrame, embedding: DataFrame, listeners: DataFrame, as_of: Column, days: int | None = 7, each: int = 10, limit: int = 10) -> DataFrame:
+    """listeners: ``listener, embedding``, any number → their digests of ``each``, joined; of a title's copies the nearest stays. One scan scores all listeners."""
+    since = F.lit(None).cast("date") if days is None else F.date_sub(as_of, days)
+    probes = listeners.select(F.col("listener").alias("probe"), "embedding", since.alias("since"), F.lit(each).alias("limit"))
+    found = probing.digests(paper, embedding, probes).withColumnRenamed("probe", "listener")
+    parts = found.join(paper, "paper_id")
     first = Window.partitionBy("title").orderBy(F.col("distance").asc_nulls_last(), "listener", "paper_id")
     once = parts.withColumn("rn", F.row_number().over(first)).filter("rn = 1").drop("rn")
     return once.orderBy(F.col("distance").asc_nulls_last(), "listener", "paper_id").limit(limit)
 
 
 def horizon_digests(paper: DataFrame, embedding: DataFrame, probe: list[float], as_of: Column, horizons=HORIZONS) -> DataFrame:
-    parts = None
-    for days, limit in horizons:
-        part = digest(paper, embedding, probe, as_of, days, limit).withColumn("horizon", F.lit("all" if days is None else str(days)))
-        parts = part if parts is None else parts.unionByName(part)
-    return parts
+    """``paper_id, horizon, distance`` of each horizon's nearest; horizons are probes that differ in their dates, so one scan serves all."""
+    spark = paper.sparkSession
+    named = spark.createDataFrame([("all" if days is None else str(days), days, limit) for days, limit in horizons], "probe string, days int, `limit` int")
+    probes = named.select("probe", vector_literal(probe).alias("embedding"), F.date_sub(as_of, F.col("days")).alias("since"), "limit")
+    return probing.digests(paper, embedding, probes).withColumnRenamed("probe", "horizon")

@@ -8,6 +8,8 @@ from ..functions import text as X
 from ..operators import graph as G
 from ..operators import search as S
 from ..operators import upsert as U
+from ..operators import vector_index
+from ..sources.shared import scratch
 from .base import as_of, embedding, paper, probe, projection, query, rounded
 
 SIM = "list_cosine_similarity"
@@ -113,13 +115,13 @@ def horizon_digests(spark, sf):
     return rounded(found.select("paper_id", "horizon", "distance"), "distance")
 
 
-_LISTENERS = {"first": "0", "second": "5"}
+_LISTENERS = {"0": "first", "5": "second"}
 
 
 @query("digest_multi", ", l AS (SELECT 'first' AS listener, v AS q FROM embedding WHERE paper_id = '0' UNION ALL SELECT 'second', v FROM embedding WHERE paper_id = '5'), s AS (SELECT l.listener, p.paper_id, p.title, CASE WHEN e.v IS NULL THEN NULL ELSE 1 - list_cosine_similarity(e.v, l.q) END AS d FROM paper p LEFT JOIN embedding e USING (paper_id), l WHERE p.update_date > DATE '2001-08-01' - 60), r AS (SELECT *, row_number() OVER (PARTITION BY listener ORDER BY d NULLS LAST, paper_id) AS rn FROM s), o AS (SELECT *, row_number() OVER (PARTITION BY title ORDER BY d NULLS LAST, listener, paper_id) AS t FROM r WHERE rn <= 10) SELECT paper_id, title, listener, round(d, 6) AS distance FROM o WHERE t = 1 ORDER BY d NULLS LAST, listener, paper_id LIMIT 10")
 def digest_multi(spark, sf):
     vectors = embedding(spark, sf)
-    listeners = [(name, vectors.filter(F.col("paper_id") == i).first()["embedding"]) for name, i in _LISTENERS.items()]
+    listeners = vectors.filter(F.col("paper_id").isin(*_LISTENERS)).replace(_LISTENERS, subset=["paper_id"]).withColumnRenamed("paper_id", "listener")
     found = S.listener_digest(paper(spark, sf), vectors, listeners, as_of(), 60)
     return rounded(found.select("paper_id", "title", "listener", "distance"), "distance")
 
@@ -151,7 +153,7 @@ def knn_graph_topk(spark, sf):
     return rounded(S.knn_graph(embedding(spark, sf), 20), "similarity").withColumn("rank", F.col("rank").cast("long"))
 
 
-@query("mutual_knn", f", {_KNN} SELECT a.src, a.dst, round(a.s, 6) AS similarity FROM knn a JOIN knn b ON a.src = b.dst AND a.dst = b.src")
+@query("mutual_knn", f", {_KNN} SELECT src, dst, round(s, 6) AS similarity FROM (SELECT *, count(*) OVER (PARTITION BY least(src, dst), greatest(src, dst)) AS ways FROM knn) WHERE ways = 2")
 def mutual_knn(spark, sf):
     return rounded(S.mutual(S.knn_graph(embedding(spark, sf), 20)).select("src", "dst", "similarity"), "similarity")
 
@@ -292,3 +294,10 @@ def search_on_atlas(spark, sf):
     shown = projection(spark, sf).filter(F.col("x").cast("double").between(-0.2, 0.2)).select("paper_id")
     found = S.semantic_search(paper(spark, sf).join(shown, "paper_id", "left_semi"), embedding(spark, sf), probe(spark, sf), as_of(), None, (), 50)
     return rounded(found.select("paper_id", "distance"), "distance")
+
+
+@query("indexed_neighbours", ", s AS (SELECT e.paper_id, list_cosine_similarity(e.v, q) AS s FROM embedding e, probe WHERE e.paper_id <> '0') SELECT paper_id, round(s, 6) AS similarity FROM s ORDER BY s DESC, paper_id LIMIT 20")
+def indexed_neighbours(spark, sf):
+    """An inverted-file index of all vectors, built and searched with all its lists: the exact neighbours."""
+    index = vector_index.build(embedding(spark, sf), scratch(spark, "vector-index"))
+    return rounded(index.search(probe(spark, sf), 20, ef=None, but="0"), "similarity")

@@ -225,18 +225,6 @@ def test_graph_from_a_stored_table(spark, vectors, tmp_path):
     assert {tuple(r) for r in G.edges(cache, clicked, "mutual").select("src", "dst").collect()} <= {tuple(r) for r in G.edges(cache, clicked).select("src", "dst").collect()}
 
 
-def test_recall_knob(spark):
-    rng = np.random.default_rng(5)
-    centres = rng.normal(size=(20, 16))
-    rows = spark.createDataFrame([(str(k), (centres[k % 20] + 0.3 * rng.normal(size=16)).tolist()) for k in range(600)], "paper_id string, embedding array<double>")
-    probe = rows.filter("paper_id = '3'").first()["embedding"]
-    exact = {r["paper_id"] for r in S.semantic_search(rows.select("paper_id", F.lit(None).cast("date").alias("update_date")), rows, probe, F.current_date()).collect()}
-    found = {ef: S.approximate_neighbours(rows, probe, 10, ef).collect() for ef in (10, 200)}
-    share = {ef: len({r["paper_id"] for r in got} & exact) for ef, got in found.items()}
-    assert share[10] <= share[200] and share[200] >= 9
-    assert S.approximate_neighbours(rows, [0.0] * 16, 10).count() == 0
-
-
 def test_answer_of_unknown_paper(spark):
     with pytest.raises(LookupError):
         S.require_paper(spark.createDataFrame([("a",)], "paper_id string"), "b")
