@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import normalize_title
 
 
-def _newest(rows: DataFrame) -> DataFrame:
+def newest(rows: DataFrame) -> DataFrame:
     """Of a batch's rows of one id the newest; equal dates by title. A row with a null id, date or title can't be stored and fails."""
     checked = rows.withColumn("paper_id", F.when(F.col("paper_id").isNull() | F.col("update_date").isNull() | F.col("title").isNull(), F.raise_error(F.lit("a paper needs an id, a date and a title"))).otherwise(F.col("paper_id")))
     order = Window.partitionBy("paper_id").orderBy(F.col("update_date").desc(), "title")
@@ -17,7 +17,7 @@ def _newest(rows: DataFrame) -> DataFrame:
 
 def upsert_latest(stored: DataFrame, incoming: DataFrame) -> DataFrame:
     """The stored rows, replaced by strictly newer incoming ones, and the new ones. One shuffle of both sides by id."""
-    both = stored.withColumn("__in", F.lit(0)).unionByName(_newest(incoming).withColumn("__in", F.lit(1)))
+    both = stored.withColumn("__in", F.lit(0)).unionByName(newest(incoming).withColumn("__in", F.lit(1)))
     order = Window.partitionBy("paper_id").orderBy(F.col("update_date").desc(), "__in")
     return both.withColumn("__rn", F.row_number().over(order)).filter("__rn = 1").drop("__rn", "__in")
 
@@ -25,7 +25,7 @@ def upsert_latest(stored: DataFrame, incoming: DataFrame) -> DataFrame:
 def outcomes(stored: DataFrame, incoming: DataFrame) -> DataFrame:
     """``paper_id, outcome`` of each incoming id: updated, new or skipped."""
     old = stored.select("paper_id", F.col("update_date").alias("stored_date"))
-    joined = _newest(incoming).select("paper_id", "update_date").join(old, "paper_id", "left")
+    joined = newest(incoming).select("paper_id", "update_date").join(old, "paper_id", "left")
     return joined.select("paper_id", F.when(F.col("stored_date").isNull(), "new").when(F.col("stored_date") < F.col("update_date"), "updated").otherwise("skipped").alias("outcome"))
 
 
@@ -40,22 +40,23 @@ def invalidate_embeddings(embedding: DataFrame, stored: DataFrame, incoming: Dat
     return embedding.join(updated, "paper_id", "left").select("paper_id", F.when(F.col("__updated").isNull(), F.col("embedding")).alias("embedding"))
 
 
-def _last(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Of rows of one key the last in the order they are read in."""
-    numbered = rows.withColumn("__at", F.monotonically_increasing_id())
-    order = Window.partitionBy(*keys).orderBy(F.col("__at").desc())
+def _last(rows: DataFrame, keys: list[str], at: Column | None) -> DataFrame:
+    """Of rows of one key the one with the greatest ``at``, which isn't stored; ties, or without ``at``, by the greatest of the other columns: a rerun picks alike."""
+    values = [c for c in rows.columns if c not in keys]
+    order = Window.partitionBy(*keys).orderBy(*([] if at is None else [F.col("__at").desc()]), *(F.col(c).desc() for c in values))
+    numbered = rows if at is None else rows.withColumn("__at", at)
     return numbered.withColumn("__rn", F.row_number().over(order)).filter("__rn = 1").drop("__rn", "__at")
 
 
-def put_embeddings(embedding: DataFrame, incoming: DataFrame) -> DataFrame:
-    """The last write of a vector wins, whatever its date; of an id's repeats in ``incoming`` the last."""
-    return embedding.join(incoming.select("paper_id"), "paper_id", "left_anti").unionByName(_last(incoming, ["paper_id"]))
+def put_embeddings(embedding: DataFrame, incoming: DataFrame, at: Column | None = None) -> DataFrame:
+    """A written vector wins, whatever its date; of an id's repeats in ``incoming`` the last by ``at``, a column or expression of it."""
+    return embedding.join(incoming.select("paper_id"), "paper_id", "left_anti").unionByName(_last(incoming, ["paper_id"], at).select(*embedding.columns))
 
 
-def put_projections(stored: DataFrame, incoming: DataFrame) -> DataFrame:
-    """Rows of (paper, projection) are replaced, by the last of their repeats; those that the new run lacks stay."""
+def put_projections(stored: DataFrame, incoming: DataFrame, at: Column | None = None) -> DataFrame:
+    """Rows of (paper, projection) are replaced, by the last of their repeats by ``at``; those that the new run lacks stay."""
     keys = ["paper_id", "projection"]
-    return stored.join(incoming.select(*keys), keys, "left_anti").unionByName(_last(incoming, keys))
+    return stored.join(incoming.select(*keys), keys, "left_anti").unionByName(_last(incoming, keys, at).select(*stored.columns))
 
 
 def replace_categories(stored: DataFrame, incoming: DataFrame) -> DataFrame:

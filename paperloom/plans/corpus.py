@@ -16,6 +16,8 @@ from ..operators import upsert as U
 from ..operators.layout import project_map
 from ..operators.pages import abstracts_of
 from ..sources import readers as R
+from ..sources.buckets import BucketTable
+from ..sources.shared import scratch
 from .base import AS_OF, as_of, embedding, paper, projection, query, read, rounded
 
 _YEAR = "CAST(year(update_date) AS INT)"
@@ -164,6 +166,17 @@ def upsert_latest(spark, sf):
     return U.upsert_latest(*_batch(spark, sf))
 
 
+@query("upsert_buckets", f", {_BATCH}, u AS (SELECT *, 0 AS inc FROM stored UNION ALL SELECT *, 1 FROM batch) SELECT paper_id, title, source, update_date FROM (SELECT *, row_number() OVER (PARTITION BY paper_id ORDER BY update_date DESC, inc) AS rn FROM u) WHERE rn = 1")
+def upsert_buckets(spark, sf):
+    """The same by a table in hash buckets: the stored papers go in as batch 0, the incoming ones as batch 1, which comes twice."""
+    stored, incoming = _batch(spark, sf)
+    table = BucketTable(spark, scratch(spark, "paper-buckets"), stored.schema, 16)
+    table.upsert(stored, 0)
+    table.upsert(incoming, 1)
+    table.upsert(incoming, 1)
+    return table.read()
+
+
 @query("upsert_counts", f", {_BATCH} SELECT count(*) FILTER (s.update_date < b.update_date) AS updated, count(*) FILTER (s.paper_id IS NULL) AS new, count(*) FILTER (s.update_date >= b.update_date) AS skipped FROM batch b LEFT JOIN stored s USING (paper_id)")
 def upsert_counts(spark, sf):
     return U.counts(*_batch(spark, sf))

@@ -9,7 +9,8 @@ from ..operators import graph as G
 from ..operators import search as S
 from ..operators import upsert as U
 from ..operators import vector_index
-from ..sources.shared import scratch
+from ..operators.neighbour_table import upkeep
+from ..sources.shared import scratch, written
 from .base import as_of, embedding, paper, probe, projection, query, rounded
 
 SIM = "list_cosine_similarity"
@@ -301,3 +302,15 @@ def indexed_neighbours(spark, sf):
     """An inverted-file index of all vectors, built and searched with all its lists: the exact neighbours."""
     index = vector_index.build(embedding(spark, sf), scratch(spark, "vector-index"))
     return rounded(index.search(probe(spark, sf), 20, ef=None, but="0"), "similarity")
+
+
+@query("knn_upkeep", f", {_KNN} SELECT src, dst, round(s, 6) AS similarity, rank FROM knn")
+def knn_upkeep(spark, sf):
+    """The table of 20 neighbours as it was when some papers had no vector and others the opposite one, kept up to the present ones."""
+    now = embedding(spark, sf)
+    number = F.col("paper_id").cast("long")
+    other = (number % 97 == 3) | (number % 89 == 5)
+    before = now.filter(number % 97 != 3).withColumn("embedding", F.when(number % 89 == 5, F.transform("embedding", lambda x: -x)).otherwise(F.col("embedding")))
+    then = written(S.knn_graph(before, 20), "neighbours-before")
+    found, _ = upkeep(then, now, now.filter(other).select("paper_id"), 20)
+    return rounded(found, "similarity").withColumn("rank", F.col("rank").cast("long"))

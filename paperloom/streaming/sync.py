@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions.embed import Provider, embed
 from ..operators.upsert import counts, invalidate_embeddings, replace_categories, upsert_latest
+from ..sources.buckets import BucketTable
 
 SCHEMA = "paper_id string, title string, source string, update_date date"
 
@@ -28,6 +31,41 @@ def sync(spark: SparkSession, landing: str, read: Callable[[], DataFrame], write
     return spark.readStream.schema(SCHEMA).parquet(landing).writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def sync_table(spark: SparkSession, landing: str, table: BucketTable, checkpoint: str, writer: str = "sync") -> StreamingQuery:
+    """As ``sync``, into a table in buckets: a batch rewrites the buckets that it changes, and one that runs again, which its number tells, changes nothing."""
+
+    def merge(batch: DataFrame, number: int) -> None:
+        table.upsert(batch, number, writer)
+
+    return spark.readStream.schema(table.schema).parquet(landing).writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def newer_versions(pulls: DataFrame, late: str = "1 day") -> DataFrame:
+    """A stream ``paper_id, title, source, update_date, ts`` of overlapping pulls → the versions newer than any that came before, one a paper and batch.
+
+    Each paper's state is its newest date; it goes once the watermark of ``ts``, the time of the pull, has passed the last version by
+    ``late``, as pulls don't look back further. An older version within that time is dropped, a later one is left to the upsert.
+    """
+    wait = int(pulls.sparkSession.sql(f"SELECT CAST(INTERVAL '{late}' AS INTERVAL DAY TO SECOND) AS i").first()["i"].total_seconds() * 1000)
+
+    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        rows = pd.concat(list(frames))  # one paper's versions of one batch
+        newest = rows.sort_values(["update_date", "title"], ascending=[False, True]).iloc[:1]
+        day = newest["update_date"].iloc[0].toordinal()
+        seen = state.get[0] if state.exists else -1
+        if day > seen:
+            yield newest
+        state.update((max(day, seen),))
+        state.setTimeoutTimestamp(max(int(rows["ts"].max().timestamp() * 1000), state.getCurrentWatermarkMs()) + wait)
+
+    out = f"{SCHEMA}, ts timestamp"
+    kept = pulls.filter("paper_id IS NOT NULL AND update_date IS NOT NULL AND ts IS NOT NULL").withWatermark("ts", late).select("paper_id", "title", "source", "update_date", "ts")
+    return kept.groupBy("paper_id").applyInPandasWithState(run, out, "day int", "append", GroupStateTimeout.EventTimeTimeout)
+
+
 def once_within(pulls: DataFrame, late: str = "1 day") -> DataFrame:
     """Pulls overlap, so a version of a paper (``paper_id, update_date``) comes again: once for as long as the watermark of ``ts``, the time of the pull, looks back.
 
