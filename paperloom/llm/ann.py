@@ -9,7 +9,8 @@ principle that retrieves every code within a Hamming radius of m * (RADIUS + 1)
 bits; codes beyond it are found if one substring of theirs is near, and nothing
 retrieved is dropped before its vector is ranked. m is the least number of
 substrings by which the farther of the sample's own neighbours are retrieved at the
-wanted rate. Queries that find fewer than k are asked again with a larger radius, up to
+wanted rate; where MOST_SUBSTRINGS don't, as of long vectors without structure, the radius is raised
+until they do. Queries that find fewer than k are asked again with a larger radius, up to
 all bits.
 
 The index is a table of blocks: a bounded number of rows with their vectors and
@@ -57,6 +58,7 @@ _FOUND = "query_id long, vec_id long, score double"
 class Rotation:
     mean: np.ndarray
     axes: np.ndarray  # (dimensions, bits)
+    radius: int = RADIUS
 
     def codes(self, vectors: np.ndarray) -> np.ndarray:
         """(n, substrings) of 16 bits."""
@@ -71,7 +73,7 @@ def masks(radius: int) -> np.ndarray:
 
 
 def learn(sample: np.ndarray, k: int = NEAREST, covered: float = COVERED, most: int = MOST_SUBSTRINGS, seed: int = 7) -> Rotation:
-    """Rotations from sampled vectors (n, d): as many as retrieve the share ``covered`` of the farther half of the sample's neighbours.
+    """Rotations from sampled vectors (n, d): as many as retrieve the share ``covered`` of the farther half of the sample's neighbours, and a larger radius where ``most`` don't.
 
     Copies don't count, and near copies, which any rotation finds, don't stand for the others.
     """
@@ -91,7 +93,7 @@ def learn(sample: np.ndarray, k: int = NEAREST, covered: float = COVERED, most:
     far = apart > 0
     far &= apart >= np.median(apart[far]) if far.any() else False
     found = np.zeros(near.shape, bool)
-    parts, bits, used = [], np.zeros((n, 0), bool), 0
+    parts, bits, used, codes = [], np.zeros((n, 0), bool), 0, []
     while True:
         c = min(d, 1024)
         projected = centred @ axes[:, :c]
@@ -103,10 +105,13 @@ def learn(sample: np.ndarray, k: int = NEAREST, covered: float = COVERED, most:
         bits = np.c_[bits, projected @ turn > 0]
         while bits.shape[1] >= SUBSTRING_BITS:
             code = np.packbits(bits[:, :SUBSTRING_BITS], axis=1).view(np.uint16)[:, 0]
-            found |= np.bitwise_count(code[near] ^ code[probes][:, None]) <= RADIUS
+            codes.append(np.bitwise_count(code[near] ^ code[probes][:, None]))
+            found |= codes[-1] <= RADIUS
             bits, used = bits[:, SUBSTRING_BITS:], used + 1
             if used >= most or not far.any() or found[far].mean() >= covered:
-                return Rotation(mean, np.concatenate(parts, axis=1)[:, : used * SUBSTRING_BITS])
+                least = np.min(codes, axis=0)  # each pair's nearest substring
+                radius = next(r for r in range(RADIUS, SUBSTRING_BITS + 1) if r == SUBSTRING_BITS or not far.any() or (least[far] <= r).mean() >= covered)
+                return Rotation(mean, np.concatenate(parts, axis=1)[:, : used * SUBSTRING_BITS], radius)
 
 
 class Block:
@@ -221,7 +226,8 @@ def build_index(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "e
 
 
 def _ask(index: Index, listed: DataFrame, n_blocks: int, queries: DataFrame, radius: int, k: int) -> DataFrame:
-    """queries ``id, vector, d`` against all blocks of their length: each block's k nearest of what it retrieves."""
+    """queries ``id, vector, d`` against all blocks of their length: each block's k nearest of what it retrieves within ``radius``, or the length's own if that is larger."""
+    own_radius = {d: r.radius for d, r in index.rotations.items()}
     asked = cut(_blocks(queries, index.rotations, QUERY_ROWS), "query-blocks")
     sent = asked.drop("block").join(F.broadcast(listed) if n_blocks <= LISTED_BLOCKS else listed, "d").select(listed["block"], F.lit(1).alias("asks"), asked["d"], "ids", "vectors", "codes")
     held = index.blocks.select("block", F.lit(0).alias("asks"), "d", "ids", "vectors", "codes")
@@ -236,7 +242,7 @@ def _ask(index: Index, listed: DataFrame, n_blocks: int, queries: DataFrame, rad
                 if not row["asks"]:
                     block = Block(ids, vectors, codes)
                     continue
-                hit = block.retrieve(codes, radius)
+                hit = block.retrieve(codes, max(radius, own_radius[d]))
                 found = [(own, *block.nearest(h, own, v, k)) for own, h, v in zip(ids, hit, vectors.astype(np.float64))]
                 yield pa.RecordBatch.from_pydict({"query_id": np.concatenate([np.full(len(i), own) for own, i, _ in found]), "vec_id": np.concatenate([i for _, i, _ in found]), "score": np.concatenate([s for _, _, s in found])})
 

@@ -71,7 +71,7 @@ def test_ties_repeats_lengths_and_unusable_vectors(spark, block_rows, query_rows
         want = exact([(i, x) for i, x in pairs if (len(x) == 2) == (q >= 400)], q, 10)
         hits, total = hits + len(set(want) & set(got[q])), total + len(want)
         assert len(got[q]) == len(want) and got[q] == sorted(got[q]) and q not in {i for _, i in got[q]}
-    assert hits >= 0.8 * total  # sixty random points are all far apart, and the substrings end at MOST_SUBSTRINGS
+    assert hits >= 0.8 * total  # sixty random points are all far apart
     assert [i for _, i in got[0]] == list(range(200, 210))  # ties to smaller ids
 
 
@@ -95,3 +95,22 @@ def test_probing_finds_every_code_in_the_radius():
             apart = np.bitwise_count(codes ^ codes[q])
             assert (row == (apart <= each).any(axis=1)).all()
             assert row[apart.sum(axis=1) <= 6 * (each + 1) - 1].all()
+
+
+@pytest.mark.parametrize("d, n, most", [(64, 1500, 40), (256, 1500, 64)])
+def test_radius_is_raised_where_the_substrings_end(d, n, most):
+    """Vectors without structure: the substrings don't reach the wanted cover, so more bits may differ."""
+    rng = np.random.default_rng(d)
+    vectors = rng.normal(size=(n, d))
+    vectors /= np.linalg.norm(vectors, axis=1, keepdims=True)
+    rotation = A.learn(vectors[:1000], most=most)
+    assert rotation.axes.shape[1] == most * A.SUBSTRING_BITS and rotation.radius > A.RADIUS
+    codes = rotation.codes(vectors)
+    asked = np.arange(1000, n, 10)
+    hit = A.Block(np.arange(n), vectors, codes).retrieve(codes[asked], rotation.radius)
+    found = []
+    for q, h in zip(asked, hit):
+        distance = ((vectors - vectors[q]) ** 2).sum(axis=1)
+        distance[q] = np.inf
+        found.append(h[np.argsort(distance)[:10]].mean())
+    assert np.mean(found) >= 0.9
