@@ -21,6 +21,8 @@ ASCII_SPACE = " \t\n\x0b\x0c\r"
 #: Rows of one key that a join leaves to one task, and keys of more rows that are broadcast.
 HOT_ROWS = 20_000
 HOT_KEYS = 100_000
+#: The temporary folder of each local application, where the cluster's setting is unset.
+_LOCAL: dict[str, str] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,13 +36,13 @@ def tune(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """This application's part of the cluster's shared folder. Where that is unset a local master gets a temporary one; a cluster's executors couldn't see it, so there it is an error."""
+    """This application's part of the cluster's shared folder. Where that is unset a local master gets a temporary one, once for each application; a cluster's executors couldn't see it, so there it is an error."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        folder = tempfile.mkdtemp(prefix="paperloom-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        application = spark.sparkContext.applicationId
+        folder = _LOCAL.get(application) or _LOCAL.setdefault(application, tempfile.mkdtemp(prefix="paperloom-"))
     return f"{folder.rstrip('/')}/paperloom-{spark.sparkContext.applicationId}"
 
 
@@ -81,17 +83,18 @@ def hot_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inn
     """
     hot_rows = HOT_ROWS if hot_rows is None else hot_rows
     counted = left.groupBy(*keys).count() if counted is None else counted
-    hot = counted.filter(F.col("count") > hot_rows).select(*keys, F.ceil(F.col("count") / hot_rows).cast("int").alias("__parts"))
+    parts, deal = (fresh(n, *left.columns, *right.columns) for n in ("__parts", "__deal"))
+    hot = counted.filter(F.col("count") > hot_rows).select(*keys, F.ceil(F.col("count") / hot_rows).cast("int").alias(parts))
     n = hot.count()
     if not n:
         return left.join(right, keys, how)
     hot = cut(hot, "hot-keys")
     if n > HOT_KEYS:
-        hot = hot.orderBy(F.desc("__parts"), *keys).limit(HOT_KEYS)
-    parts, n_parts = "__parts", F.coalesce("__parts", F.lit(1))
-    dealt = left.join(F.broadcast(hot), keys, "left").withColumn("__deal", F.pmod(F.xxhash64(*deal_by) if deal_by else F.monotonically_increasing_id(), n_parts).cast("int")).drop(parts)
-    copied = right.join(F.broadcast(hot), keys, "left").withColumn("__deal", F.explode(F.sequence(F.lit(0), n_parts - 1))).drop(parts)
-    return dealt.join(copied, [*keys, "__deal"], how).drop("__deal")
+        hot = hot.orderBy(F.desc(parts), *keys).limit(HOT_KEYS)
+    n_parts = F.coalesce(parts, F.lit(1))
+    dealt = left.join(F.broadcast(hot), keys, "left").withColumn(deal, F.pmod(F.xxhash64(*deal_by) if deal_by else F.monotonically_increasing_id(), n_parts).cast("int")).drop(parts)
+    copied = right.join(F.broadcast(hot), keys, "left").withColumn(deal, F.explode(F.sequence(F.lit(0), n_parts - 1))).drop(parts)
+    return dealt.join(copied, [*keys, deal], how).drop(deal)
 
 
 def lean(work):

@@ -91,10 +91,11 @@ def test_empty_and_wordless(spark):
     assert [(r["times"], r["taken"], r["target"]) for r in rows] == [(0, 0, 0.0)] * 2
 
 
-def test_repeated_rows_and_clashing_names(spark):
-    """A third of all rows are one row, most of one length; names that the operator uses inside pass through."""
+def test_repeated_rows_and_clashing_names(spark, monkeypatch):
+    """A third of all rows are one row, most of one length; names that the operator uses inside pass through, where keys are hot too."""
+    monkeypatch.setattr("paperloom.llm.common.HOT_ROWS", 20)
     rows = [(7, "a b c", "en", "s", 1)] * 40 + [(k, f"w{k} x", "en", "s", 1) for k in range(60)] + [(k, "p q r s", "en", "t", 1) for k in range(30)]
-    docs = frame(spark, rows).withColumns({n: F.lit("mine") for n in ("__plan_edge", "__mix_size", "__mix_hash", "key", "hash", "Taken")})
+    docs = frame(spark, rows).withColumns({n: F.lit("mine") for n in ("__parts", "__deal", "__plan_edge", "__mix_size", "__mix_hash", "key", "hash", "Taken")})
     for limit in (200_000, 0):
         got = M.mix(docs.repartition(3), broadcast_rows=limit).collect()
         assert len(got) == len(rows) and {r["__plan_edge"] for r in got} == {r["__mix_size"] for r in got} == {r["key"] for r in got} == {"mine"}
