@@ -1,32 +1,35 @@
-"""A map that keeps neighbourhoods: PaCMAP over principal components.
-
-A bounded sample, the landmarks, is laid out on the driver: pairs of near points
-attract each other, pairs of mid-near points do so at first, further ones push
-each other away, in three phases of Adam steps. Then every row is put at the
-weighted mean of the places of its nearest landmarks, in Arrow batches; a
-landmark's own weight is so great that it keeps its place. A corpus of no more
-rows than landmarks is thus laid out as a whole.
+"""A map that keeps neighbourhoods: PaCMAP's forces, in rounds over tables.
+
+Pairs are tables: near ones from the graph of neighbours, mid-near and further ones drawn
+in blocks to which rows are dealt at random. Places are a table too. A round deals the points to blocks anew
+and sends every pair the place of its other end; each task moves its block's points by STEPS steps
+of Adam, those partners that are in the block moving along, and the places are written. A point is moved by its own
+pairs, a bounded number, so neither a hub nor a crowd of copies is more work than others. Nothing but counts
+comes to the driver, and a lost executor costs one round at most.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pyarrow as pa
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import written
 from .atlas import principal_components
+from .search import knn_graph
 
-LANDMARKS = 10_000
-#: Mid-near and further pairs for each near one, candidates beyond the near ones, the seed.
-MID_NEAR, FURTHER, EXTRA, SEED = 0.5, 2.0, 50, 42
+#: Points of a block, about.
+BLOCK = 8192
+#: Mid-near and further pairs for each near one, candidates beyond the near ones, those whose distance scales, the seed.
+MID_NEAR, FURTHER, EXTRA, SCALED_BY, SEED = 0.5, 2.0, 50, (4, 6), 42
 #: Steps of the three phases and (near, mid-near, further) weights; in the first the mid-near weight falls from 1000 to 3.
 PHASES = ((100, 2.0, None, 1.0), (100, 3.0, 3.0, 1.0), (250, 1.0, 0.0, 1.0))
-#: Landmarks whose places a row's place is the mean of, and rows compared at a time.
-PLACED_BY = 10
-BLOCK = 512
+#: Steps between two exchanges of places.
+STEPS = 30
+NEAR, MID, FAR = 0, 1, 2
+
+_PLACES = "paper_id string, x double, y double, mx double, my double, vx double, vy double"
 
 
 def near_count(n: int) -> int:
@@ -34,101 +37,134 @@ def near_count(n: int) -> int:
     return 10 if n <= 10_000 else round(10 + 15 * (np.log10(n) - 4))
 
 
-def _squares(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return np.maximum((a * a).sum(axis=1)[:, None] + (b * b).sum(axis=1) - 2 * a @ b.T, 0)
-
-
-def _pairs(x: np.ndarray, rng: np.random.Generator) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Near, mid-near and further pairs of each point."""
-    n = len(x)
-    k = min(near_count(n), n - 1)
-    m, f = round(k * MID_NEAR), min(round(k * FURTHER), n - 1 - k)
-    wide = min(k + EXTRA, n - 1)
-    candidates, away = np.empty((n, wide), np.int64), np.empty((n, wide))
-    for a in range(0, n, BLOCK):
-        d = _squares(x[a : a + BLOCK], x)
-        d[np.arange(len(d)), np.arange(a, a + len(d))] = np.inf
-        c = np.argpartition(d, wide - 1, axis=1)[:, :wide]
-        c = np.take_along_axis(c, np.argsort(np.take_along_axis(d, c, axis=1), axis=1, kind="stable"), axis=1)
-        candidates[a : a + BLOCK], away[a : a + BLOCK] = c, np.take_along_axis(d, c, axis=1)
-    scale = np.maximum(np.sqrt(away[:, min(3, wide - 1) : 6]).mean(axis=1), 1e-10)
-    order = np.argsort(away / (scale[:, None] * scale[candidates]), axis=1, kind="stable")[:, :k]
-    near = np.take_along_axis(candidates, order, axis=1)
-    mid, far = np.empty((n, m), np.int64), np.empty((n, f), np.int64)
-    for a in range(0, n, BLOCK):
-        rows = np.arange(a, min(a + BLOCK, n))
-        for at in range(m):  # the second nearest of six others
-            drawn = (rows[:, None] + 1 + rng.integers(0, n - 1, (len(rows), 6))) % n
-            d = ((x[drawn] - x[rows][:, None]) ** 2).sum(axis=2)
-            mid[rows, at] = drawn[np.arange(len(rows)), np.argsort(d, axis=1, kind="stable")[:, 1]]
-        if f:
-            lot = rng.random((len(rows), n))
-            lot[np.arange(len(rows)), rows] = 2
-            np.put_along_axis(lot, near[rows], 2, axis=1)
-            far[rows] = np.argpartition(lot, f - 1, axis=1)[:, :f]
-    return [(np.repeat(np.arange(n), p.shape[1]), p.ravel()) for p in (near, mid, far)]
-
-
-def lay_out(x: np.ndarray, phases=PHASES, seed: int = SEED) -> np.ndarray:
-    """Places (n, 2) of points (n, components), whose first two components are where they begin."""
-    n = len(x)
-    begin = np.zeros((n, 2))
-    begin[:, : x.shape[1]] = (x - x.mean(axis=0))[:, :2] if n else 0
-    y = begin * 0.01
-    if n < 3:
-        return y
-    pairs = _pairs(x, np.random.default_rng(seed))
-    i, j = (np.concatenate([p[side] for p in pairs]) for side in (0, 1))
-    ends = np.cumsum([len(p[0]) for p in pairs])
-    first, second, step = np.zeros_like(y), np.zeros_like(y), 0
+def near_pairs(graph: DataFrame, k: int) -> DataFrame:
+    """graph: ``src, dst, similarity, rank`` of unit vectors, k + EXTRA of each → ``own, other``: the k nearest when distances are scaled by both ends' own."""
+    square = F.greatest(2 - 2 * F.col("similarity"), F.lit(0.0))
+    each = graph.select("src", "dst", "rank", square.alias("d"))
+    scale = each.filter(F.col("rank").between(*SCALED_BY)).groupBy("src").agg(F.greatest(F.avg(F.sqrt("d")), F.lit(1e-10)).alias("scale"))
+    both = each.join(scale, "src", "left").join(scale.select(F.col("src").alias("dst"), F.col("scale").alias("other_scale")), "dst", "left")
+    scaled = F.col("d") / (F.coalesce("scale", F.lit(1e-10)) * F.coalesce("other_scale", F.lit(1e-10)))
+    order = Window.partitionBy("src").orderBy(scaled, "rank")
+    return both.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= k).select(F.col("src").alias("own"), F.col("dst").alias("other"))
+
+
+def drawn_pairs(points: DataFrame, blocks: int, mid: int, far: int, seed: int = SEED) -> DataFrame:
+    """points: ``paper_id, a`` → ``own, other, kind``: of each point ``mid`` times the second nearest of six others, and ``far`` others, all drawn from a block of rows dealt at random."""
+
+    def draw(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("paper_id", ignore_index=True)  # a task run again draws alike
+        rng = np.random.default_rng([seed, int(key[0])])
+        n, x, ids = len(rows), np.stack(rows["a"]), rows["paper_id"].to_numpy()
+        own, other, kind = [], [], []
+        at = np.arange(n)
+        if n > 1:
+            for _ in range(mid):
+                lots = (at[:, None] + 1 + rng.integers(0, n - 1, (n, 6))) % n
+                d = np.stack([((x[lots[:, c]] - x) ** 2).sum(axis=1) for c in range(6)], axis=1)
+                own.append(at)
+                other.append(lots[at, np.argsort(d, axis=1, kind="stable")[:, 1]])
+                kind.append(np.full(n, MID))
+            for _ in range(far):
+                own.append(at)
+                other.append((at + 1 + rng.integers(0, n - 1, n)) % n)
+                kind.append(np.full(n, FAR))
+        if not own:
+            return pd.DataFrame({"own": [], "other": [], "kind": []})
+        return pd.DataFrame({"own": ids[np.concatenate(own)], "other": ids[np.concatenate(other)], "kind": np.concatenate(kind)})
+
+    dealt = points.select(F.pmod(F.xxhash64(F.lit(seed), "paper_id"), F.lit(blocks)).alias("block"), "paper_id", "a")
+    return dealt.groupBy("block").applyInPandas(draw, "own string, other string, kind int").distinct()
+
+
+def weights(step: int, phases=PHASES) -> tuple[float, float, float]:
+    """Of near, mid-near and further pairs, at a step counted from 0."""
     for steps, near, mid, far in phases:
-        for at in range(steps):
-            step += 1
-            held = 1000 * (1 - at / steps) + 3 * at / steps if mid is None else mid
-            apart = y[i] - y[j]
-            d = 1 + (apart * apart).sum(axis=1)
-            pull = np.empty(len(d))
-            pull[: ends[0]] = near * 20 / (10 + d[: ends[0]]) ** 2
-            pull[ends[0] : ends[1]] = held * 20_000 / (10_000 + d[ends[0] : ends[1]]) ** 2
-            pull[ends[1] :] = -far * 2 / (1 + d[ends[1] :]) ** 2
-            force = apart * pull[:, None]
-            slope = np.stack([np.bincount(i, force[:, c], n) - np.bincount(j, force[:, c], n) for c in (0, 1)], axis=1)
-            first, second = 0.9 * first + 0.1 * slope, 0.999 * second + 0.001 * slope**2
-            y = y - first / (1 - 0.9**step) / (np.sqrt(second / (1 - 0.999**step)) + 1e-7)
-    return y
-
-
-def place(x: np.ndarray, landmarks: np.ndarray, places: np.ndarray, by: int = PLACED_BY) -> np.ndarray:
-    """The mean of the nearest landmarks' places, weighted by the inverse square of the distance."""
-    out = np.empty((len(x), 2))
-    by = min(by, len(landmarks))
-    for a in range(0, len(x), BLOCK):
-        d = _squares(x[a : a + BLOCK], landmarks)
-        near = np.argpartition(d, by - 1, axis=1)[:, :by]
-        weight = 1 / (np.take_along_axis(d, near, axis=1) + 1e-12)
-        out[a : a + BLOCK] = (places[near] * weight[:, :, None]).sum(axis=1) / weight.sum(axis=1)[:, None]
-    return out
-
-
-def project_map(embedding: DataFrame, name: str = "map_v1", first: int = 50, landmarks: int = LANDMARKS) -> DataFrame:
-    """``paper_id, projection, x, y``: unit vectors, their first principal components, laid out by neighbourhood.
-
-    Papers without a vector have no place. The landmarks are the papers of the
-    smallest hashes of their ids; only they come to the driver, and as many are broadcast.
+        if step < steps:
+            return near, 1000 * (1 - step / steps) + 3 * step / steps if mid is None else mid, far
+        step -= steps
+    raise ValueError("past the last phase")
+
+
+def move(places: pd.DataFrame, pairs: pd.DataFrame, first: int, last: int, phases=PHASES) -> pd.DataFrame:
+    """A block's points after the steps from ``first`` to ``last``. pairs: ``own, other, kind, ox, oy``; partners outside the block stay at (ox, oy)."""
+    at = pd.Series(np.arange(len(places)), index=places["paper_id"])
+    pairs = pairs.sort_values("kind", kind="stable")
+    i, j = at[pairs["own"]].to_numpy(), at.reindex(pairs["other"]).fillna(-1).to_numpy().astype(np.int64)
+    inside, fixed = j >= 0, pairs[["ox", "oy"]].to_numpy()
+    ends = np.searchsorted(pairs["kind"].to_numpy(), [NEAR, MID, FAR], "right")
+    y, m, v = (places[c].to_numpy(copy=True) for c in (["x", "y"], ["mx", "my"], ["vx", "vy"]))
+    for step in range(first, last):
+        near, mid, far = weights(step, phases)
+        other = fixed.copy()
+        other[inside] = y[j[inside]]
+        apart = y[i] - other
+        d = 1 + (apart * apart).sum(axis=1)
+        pull = np.empty(len(d))
+        pull[: ends[0]] = near * 20 / (10 + d[: ends[0]]) ** 2
+        pull[ends[0] : ends[1]] = mid * 20_000 / (10_000 + d[ends[0] : ends[1]]) ** 2
+        pull[ends[1] :] = -far * 2 / (1 + d[ends[1] :]) ** 2
+        force = apart * pull[:, None]
+        slope = np.stack([np.bincount(i, force[:, c], len(y)) for c in (0, 1)], axis=1)
+        m, v = 0.9 * m + 0.1 * slope, 0.999 * v + 0.001 * slope**2
+        y = y - m / (1 - 0.9 ** (step + 1)) / (np.sqrt(v / (1 - 0.999 ** (step + 1))) + 1e-7)
+    return pd.DataFrame({"paper_id": places["paper_id"], "x": y[:, 0], "y": y[:, 1], "mx": m[:, 0], "my": m[:, 1], "vx": v[:, 0], "vy": v[:, 1]})
+
+
+def _mover(first: int, last: int, phases):
+    def run(held: pd.DataFrame, met: pd.DataFrame) -> pd.DataFrame:
+        if held.empty:
+            return pd.DataFrame({c.split(" ")[0]: [] for c in _PLACES.split(", ")})
+        return move(held.sort_values("paper_id", ignore_index=True), met.sort_values(["own", "other"]), first, last, phases)
+
+    return run
+
+
+def lay_out(start: DataFrame, pairs: DataFrame, blocks: int, phases=PHASES, steps: int = STEPS) -> DataFrame:
+    """start: ``paper_id, x, y``; pairs: ``own, other, kind`` → places after all phases, a table. One block exchanges nothing, so it goes through all steps at once."""
+    total = sum(p[0] for p in phases)
+    still = [F.lit(0.0).alias(c) for c in ("mx", "my", "vx", "vy")]
+    places = written(start.select("paper_id", (F.col("x") * 0.01).alias("x"), (F.col("y") * 0.01).alias("y"), *still), "places")
+    for first in range(0, total, total if blocks == 1 else steps):
+        last = min(total, first + (total if blocks == 1 else steps))
+        block = lambda c: F.pmod(F.xxhash64(F.lit(first), c), F.lit(blocks)).alias("block")  # noqa: B023, E731
+        others = places.select(F.col("paper_id").alias("other"), F.col("x").alias("ox"), F.col("y").alias("oy"))
+        sent = pairs.join(others, "other").select(block("own"), "own", "other", "kind", "ox", "oy")
+        own = places.select(block("paper_id"), "paper_id", "x", "y", "mx", "my", "vx", "vy")
+
+        places = written(own.groupBy("block").cogroup(sent.groupBy("block")).applyInPandas(_mover(first, last, phases), _PLACES), "places")
+    return places.select("paper_id", "x", "y")
+
+
+def project_map(embedding: DataFrame, name: str = "map_v1", first: int = 50, block: int = BLOCK, steps: int = STEPS) -> DataFrame:
+    """``paper_id, projection, x, y``: all papers with a vector, laid out by the neighbourhoods of their unit vectors from their first two principal components.
+
+    Mid-near pairs are judged by the first ``first`` components. Papers without a vector, or with a zero one, have no place.
     """
-    spark = embedding.sparkSession
-    schema = "paper_id string, projection string, x float, y float"
-    reduced = principal_components(embedding, first)
-    if reduced is None:
-        return spark.createDataFrame([], schema)
-    chosen = reduced.orderBy(F.xxhash64("paper_id"), "paper_id").limit(landmarks).select("a").toArrow()["a"].combine_chunks()
-    known = chosen.flatten().to_numpy(zero_copy_only=False).reshape(len(chosen), -1)
-    width = known.shape[1]
-    shared = spark.sparkContext.broadcast((known, lay_out(known)))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            xy = place(batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, width), *shared.value).astype(np.float32)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([name] * len(batch), pa.string()), pa.array(xy[:, 0]), pa.array(xy[:, 1])], names=["paper_id", "projection", "x", "y"])
-
-    return reduced.select("paper_id", "a").mapInArrow(run, schema)
+    usable = embedding.filter(F.exists("embedding", lambda x: x != 0))
+    few = usable.limit(2).count()
+    if few < 2:  # a paper alone has no components; it lies at the centre
+        return usable.select("paper_id", F.lit(name).alias("projection"), *(F.lit(0.0).cast("float").alias(c) for c in ("x", "y")))
+    reduced = principal_components(usable, first)
+    points = written(reduced.select("paper_id", "a"), "components")
+    n = points.count()
+    k = min(near_count(n), max(n - 1, 1))
+    blocks = max(1, -(-n // block))
+    near = near_pairs(knn_graph(embedding, k + EXTRA), k)
+    drawn = drawn_pairs(points, blocks, round(k * MID_NEAR), round(k * FURTHER))
+    apart = drawn.join(near, ["own", "other"], "left_anti").unionByName(drawn.filter(F.col("kind") == MID).join(near, ["own", "other"], "left_semi"))
+    pairs = written(near.withColumn("kind", F.lit(NEAR)).unionByName(apart), "pairs")
+    means = points.agg(F.avg(F.get("a", F.lit(0))).alias("mx"), F.avg(F.coalesce(F.get("a", F.lit(1)), F.lit(0.0))).alias("my"))
+    begin = points.crossJoin(F.broadcast(means)).select("paper_id", (F.get("a", F.lit(0)) - F.col("mx")).alias("x"), (F.coalesce(F.get("a", F.lit(1)), F.lit(0.0)) - F.col("my")).alias("y"))
+    places = lay_out(begin, pairs, blocks, steps=steps)
+    return places.select("paper_id", F.lit(name).alias("projection"), F.col("x").cast("float").alias("x"), F.col("y").cast("float").alias("y"))
+
+
+def kept_neighbours(graph: DataFrame, places: DataFrame, k: int = 10) -> DataFrame:
+    """``kept``: the share of the papers' k nearest (``graph``: ``src, dst, rank``) that are among the k nearest of the map, which are found exactly in blocks."""
+    # On the unit sphere's cap, far enough out that angles order as distances do.
+    scale = places.agg(F.max(F.abs("x")).alias("x"), F.max(F.abs("y")).alias("y")).first()
+    far = 100.0 * max(scale["x"] or 1.0, scale["y"] or 1.0, 1e-9)
+    lifted = places.select("paper_id", F.array(F.col("x").cast("double"), F.col("y").cast("double"), F.lit(far)).alias("embedding"))
+    near = knn_graph(lifted, k).select("src", "dst")
+    asked = graph.filter(F.col("rank") <= k)
+    return asked.join(near.withColumn("hit", F.lit(1)), ["src", "dst"], "left").agg((F.count("hit") / F.count("*")).alias("kept"))

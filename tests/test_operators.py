@@ -354,27 +354,36 @@ def test_embedding_provider(spark):
 
 
 def test_map_by_neighbourhood(spark):
-    """Planted groups stay together in the map, landmarks and others alike, and a second run gives the same places."""
-    from paperloom.operators.layout import lay_out, place, project_map
+    """Planted groups stay together in the map, in one block and in several that exchange places, and a second run gives the same places."""
+    from paperloom.operators.layout import kept_neighbours, project_map
 
     rng = np.random.default_rng(3)
     group = np.arange(180) % 3
     x = np.eye(3, 20)[group] + rng.normal(0, 0.1, (180, 20))
-    rows = [(str(k), [float(v) for v in row]) for k, row in enumerate(x)] + [("none", None)]
+    rows = [(str(k), [float(v) for v in row]) for k, row in enumerate(x)] + [("none", None), ("zero", [0.0] * 20)]
     vectors = spark.createDataFrame(rows, "paper_id string, embedding array<float>")
-    for landmarks in (10_000, 90):
-        found = project_map(vectors, "m", landmarks=landmarks).toPandas().set_index("paper_id")
+    for block, steps in ((8192, 30), (70, 150)):
+        mapped = project_map(vectors, "m", block=block, steps=steps)
+        found = mapped.toPandas().set_index("paper_id")
         assert set(found.index) == {str(k) for k in range(180)} and set(found.projection) == {"m"}
         xy = found.loc[[str(k) for k in range(180)], ["x", "y"]].to_numpy()
         away = ((xy[:, None] - xy) ** 2).sum(axis=2) + np.diag(np.full(180, np.inf))
         assert (group[np.argsort(away, axis=1)[:, :5]] == group[:, None]).mean() > 0.95
-        again = project_map(vectors, "m", landmarks=landmarks).toPandas().set_index("paper_id").loc[found.index]
-        assert np.allclose(again[["x", "y"]], found[["x", "y"]], atol=1e-3)
-    assert project_map(vectors.filter("paper_id = 'none'")).count() == 0
-    places = lay_out(x[:90])
-    assert np.allclose(place(x[:90], x[:90], places), places, atol=1e-6)
-    for n in (1, 2, 3, 5):
-        assert np.isfinite(lay_out(x[:n])).all() and lay_out(x[:n]).shape == (n, 2)
+        kept = kept_neighbours(S.knn_graph(vectors, 10), mapped).first()["kept"]
+        near = {(str(i), str(j)) for i in range(180) for j in np.argsort(away[i])[:10]}
+        want = np.mean([(r["src"], r["dst"]) in near for r in S.knn_graph(vectors, 10).collect()])
+        assert abs(kept - want) < 0.02 and kept > 0.2
+    again = project_map(vectors, "m", block=70, steps=150).toPandas().set_index("paper_id").loc[found.index]
+    assert np.allclose(again[["x", "y"]], found[["x", "y"]], atol=1e-3)
+    assert project_map(vectors.filter("paper_id IN ('none', 'zero')")).count() == 0
+
+
+@pytest.mark.parametrize("n", [1, 2, 4])
+def test_map_of_few_papers(spark, n):
+    from paperloom.operators.layout import project_map
+
+    rows = project_map(spark.createDataFrame([(str(k), [1.0, float(k), 2.0]) for k in range(n)], "paper_id string, embedding array<double>")).collect()
+    assert len(rows) == n and all(np.isfinite([r.x, r.y]).all() for r in rows)
 
 
 def test_feed_keeps_the_first_by_id(spark):
