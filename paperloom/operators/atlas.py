@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import smoothstep
+from .ranks import first_by_key
 from .requests import MOST_POINTS
 
 
@@ -22,8 +23,21 @@ def points(projection: DataFrame, paper: DataFrame, name: str, viewport: tuple[f
 
 
 def feed(found: DataFrame, limit: int = MOST_POINTS) -> DataFrame:
-    """The points by id, at most ``limit``: each task keeps its first ones, so nothing is sampled or sorted as a whole."""
-    return found.orderBy("paper_id").limit(limit)
+    """The points by id, at most ``limit``; they are never gathered in one task. Pages of it: ``ranks.page_starts`` and ``page_after``."""
+    return first_by_key(found, limit)
+
+
+def z_order(x: Column, y: Column, box: tuple[float, float, float, float]) -> Column:
+    """A place's number along a curve that fills the box (x0, y0, x1, y1) quarter by quarter: 16 bits of each axis, taken in turn."""
+    x0, y0, x1, y1 = box
+
+    def spread(v: Column, low: float, high: float) -> Column:
+        n = F.greatest(F.lit(0), F.least(F.lit(65535), F.floor((v.cast("double") - low) / (max(high - low, 1e-300)) * 65535))).cast("long")
+        for shift, mask in ((8, 0x00FF00FF), (4, 0x0F0F0F0F), (2, 0x33333333), (1, 0x55555555)):
+            n = n.bitwiseOR(F.shiftleft(n, shift)).bitwiseAND(F.lit(mask).cast("long"))
+        return n
+
+    return spread(x, x0, x1).bitwiseOR(F.shiftleft(spread(y, y0, y1), 1))
 
 
 def header(found: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import STOPWORDS
+from .ranks import quantiles, sketch_quantile
 
 
 def top_terms(docs: DataFrame, n: int = 3, most_share: float = 0.95) -> DataFrame:
@@ -30,9 +31,18 @@ def top_terms(docs: DataFrame, n: int = 3, most_share: float = 0.95) -> DataFram
 
 
 def boxes(points: DataFrame) -> DataFrame:
-    """Centre, and the 5th and 95th percentile of each axis."""
-    p = lambda c, q: F.percentile(c, F.lit(q))
-    return points.groupBy("cluster").agg(F.avg("x").alias("cx"), F.avg("y").alias("cy"), p("x", 0.05).alias("x_low"), p("x", 0.95).alias("x_high"), p("y", 0.05).alias("y_low"), p("y", 0.95).alias("y_high"), F.count("*").alias("n"))
+    """Centre, and the 5th and 95th percentile of each axis, exact; a cluster of any size is sorted over many tasks."""
+    centres = points.groupBy("cluster").agg(F.avg("x").alias("cx"), F.avg("y").alias("cy"), F.count("*").alias("n"))
+    for axis in ("x", "y"):
+        found = quantiles(points, "cluster", axis, {f"{axis}_low": 0.05, f"{axis}_high": 0.95}).withColumnRenamed("cluster", "__of")
+        centres = centres.join(found, F.col("cluster").eqNullSafe(F.col("__of")), "left").drop("__of")
+    return centres
+
+
+def sketched_boxes(kept: DataFrame) -> DataFrame:
+    """kept: ``cluster, x, y``, sketches as ``ranks.sketches`` makes and ``ranks.merged`` adds them up → the percentiles, each within the sketch's rank error."""
+    ends = {f"{axis}_{side}": sketch_quantile(F.col(axis), q) for axis in ("x", "y") for side, q in (("low", 0.05), ("high", 0.95))}
+    return kept.select("cluster", *(c.alias(n) for n, c in ends.items()))
 
 
 def font_size(n) -> tuple:

@@ -11,6 +11,7 @@ from ..functions.scoring import rubric_text, rubric_total
 from ..operators import atlas as A
 from ..operators import inventory as I
 from ..operators import labels as L
+from ..operators import ranks as K
 from ..operators import search as S
 from ..operators import upsert as U
 from ..operators.layout import project_map
@@ -475,6 +476,21 @@ def cluster_boxes(spark, sf):
     return rounded(L.boxes(rows), "cx", "cy", "x_low", "x_high", "y_low", "y_high")
 
 
+@query("cluster_boxes_sketched", "SELECT p_size AS cluster, count(*) AS n, true AS within FROM part GROUP BY p_size")
+def cluster_boxes_sketched(spark, sf):
+    """Percentiles of prices by size out of sketches, two halves merged: whether each lies within two hundredths of its rank."""
+    parts = read(spark, sf, "part").select(F.col("p_size").alias("cluster"), F.col("p_retailprice").cast("double").alias("x"), F.col("p_partkey").cast("double").alias("y"))
+    half = [K.sketches(parts.filter(F.col("y") % 2 == k), "cluster", "x", "y") for k in (0, 1)]
+    found = L.sketched_boxes(K.merged(*half, "cluster", "x", "y"))
+    ranked = parts.join(found, "cluster").groupBy("cluster").agg(F.count("*").alias("n"), *(F.count_if(F.col(a) <= F.col(f"{a}_{s}")).alias(f"{a}_{s}_to") for a in ("x", "y") for s in ("low", "high")), *(F.count_if(F.col(a) < F.col(f"{a}_{s}")).alias(f"{a}_{s}_from") for a in ("x", "y") for s in ("low", "high")))
+    good = F.lit(True)
+    for axis in ("x", "y"):
+        for side, q in (("low", 0.05), ("high", 0.95)):
+            slack = 0.02 * F.col("n") + 1
+            good = good & (F.col(f"{axis}_{side}_from") <= q * F.col("n") + slack) & (F.col(f"{axis}_{side}_to") >= q * F.col("n") - slack)
+    return ranked.select("cluster", "n", good.alias("within"))
+
+
 _TREE = "m AS (SELECT p_partkey AS cluster_id, p_size AS birth, p_size + 1 + p_partkey % 7 AS death, p_partkey % 100 AS xl, p_partkey % 100 + p_partkey % 5 AS xh, p_partkey % 37 AS yl, p_partkey % 37 + p_partkey % 3 AS yh, p_brand FROM part), o AS (SELECT * FROM m WHERE xl <= 30 AND xh >= 10 AND yl <= 15 AND yh >= 5)"
 _VIEW = (10, 5, 30, 15)
 

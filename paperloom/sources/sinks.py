@@ -8,6 +8,8 @@ from itertools import islice
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.atlas import z_order
+
 FORMATS = (".json", ".txt", ".md")
 
 
@@ -39,9 +41,17 @@ def write_snapshot(papers: DataFrame, path: str) -> None:
     papers.write.mode("errorifexists").option("compression", "zstd").parquet(path)
 
 
-def write_atlas(points: DataFrame, path: str) -> None:
-    """Projections as partitions, ranges of x sorted inside, so that a viewport skips row groups."""
-    points.repartitionByRange("projection", "x").sortWithinPartitions("projection", "x", "y").write.partitionBy("projection").parquet(path)
+def write_atlas(points: DataFrame, path: str, files: int | None = None, group_rows: int | None = None) -> None:
+    """Projections as partitions; inside, ranges of a space-filling curve over the box of all points, so a viewport in both axes skips files and row groups by their bounds.
+
+    files: how many ranges (default: the shuffle partitions). group_rows: rows of a row group, default: by Parquet's bytes.
+    """
+    low = points.agg(*(F.coalesce(f(c), F.lit(0.0)).cast("double") for f in (F.min, F.max) for c in ("x", "y"))).first()
+    sorted_by = ["projection", "__z"]
+    ordered = points.withColumn("__z", z_order(F.col("x"), F.col("y"), tuple(low)))
+    parts = files or int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    writer = ordered.repartitionByRange(parts, *sorted_by).sortWithinPartitions(*sorted_by).drop("__z").write.partitionBy("projection")
+    (writer.option("parquet.block.row.count.limit", group_rows) if group_rows else writer).parquet(path)
 
 
 def stored(spark: SparkSession, path: str, make: Callable[[], DataFrame], refresh: bool = False) -> DataFrame:
