@@ -13,6 +13,7 @@ from ..operators import inventory as I
 from ..operators import labels as L
 from ..operators import ranks as K
 from ..operators import search as S
+from ..operators import titles as N
 from ..operators import upsert as U
 from ..operators.layout import project_map
 from ..operators.pages import abstracts_of
@@ -521,6 +522,13 @@ def same_papers(spark, sf):
     return U.same_papers(rows, S.ARXIV)
 
 
+@query("near_papers", ", n AS (SELECT paper_id, source, list_distinct(list_filter(string_split(regexp_replace(lower(substr(title, 1, 60)), '[^a-z0-9]+', ' ', 'g'), ' '), lambda w: w <> '')) AS w, lower(category) AS surname FROM paper), m AS (SELECT *, len(w) AS k FROM n WHERE len(w) > 0) SELECT b.paper_id, min(a.paper_id) AS same_as FROM m b JOIN m a ON a.surname = b.surname AND 100 * len(list_intersect(a.w, b.w)) >= 30 * (a.k + b.k - len(list_intersect(a.w, b.w))) WHERE a.source = 'src0' AND b.source <> 'src0' GROUP BY b.paper_id")
+def near_papers(spark, sf):
+    """The view has no authors: its category stands for a surname; three tenths of the first sixty characters' words in common make near titles."""
+    rows = paper(spark, sf).select("paper_id", F.substring("title", 1, 60).alias("title"), F.array("category").alias("surnames"), "source")
+    return N.near_papers(rows, S.ARXIV, 30)
+
+
 _BODY = "'we study ' || repeat(md5(paper_id) || ' ', 4) || 'and more'"
 
 
