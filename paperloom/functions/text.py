@@ -106,6 +106,14 @@ def doi_link(doi: Column) -> Column:
     return F.concat(F.lit("https://doi.org/"), doi)
 
 
+def arxiv_link(paper_id: Column) -> Column:
+    return F.concat(F.lit("https://arxiv.org/abs/"), paper_id)
+
+
+def review_link(paper_id: Column) -> Column:
+    return F.concat(F.lit("https://openreview.net/forum?id="), paper_id)
+
+
 def doi_from_link(link: Column, prefix: str) -> Column:
     """What follows the prefix, one final slash dropped; null without the prefix."""
     return F.when(link.startswith(prefix), F.regexp_replace(F.substr(link, F.lit(len(prefix) + 1)), "/$", ""))

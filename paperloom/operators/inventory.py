@@ -56,3 +56,15 @@ def display_order(paper: DataFrame, order: list[str]) -> DataFrame:
     """Sources in a fixed order, unknown ones after them by name."""
     position = F.coalesce(*(F.when(F.col("source") == s, k) for k, s in enumerate(order)), F.lit(999))
     return paper.groupBy("source").agg(F.count("*").alias("n")).withColumn("pos", position).orderBy("pos", "source")
+
+
+def dry_run(papers: DataFrame) -> DataFrame:
+    """papers: ``paper_id, title, source, update_date, authors, institutions`` → ``paper_id, authors, institutions, line`` of what an ingest would take, and a
+    row without an id whose line tells how many; nothing is written. Titles over 80 characters are cut to 77 and dots; a null list counts none."""
+    title = F.when(F.length("title") > 80, F.concat(F.substring("title", 1, 77), F.lit("..."))).otherwise(F.col("title"))
+    number = lambda c: F.coalesce(F.size(F.col(c)), F.lit(0)).cast("long")
+    counted = papers.select("paper_id", "source", F.date_format("update_date", "yyyy-MM-dd").alias("day"), title.alias("shown"), *(F.when(F.col(c).isNull(), 0).otherwise(number(c)).cast("long").alias(c) for c in ("authors", "institutions")))
+    line = F.concat(F.lit("["), F.coalesce("source", F.lit("None")), F.lit("] "), F.coalesce("day", F.lit("")), F.lit(" "), F.coalesce("paper_id", F.lit("")), F.lit("  "), F.coalesce("shown", F.lit("")), F.format_string("  (%d authors, %d institutions)", "authors", "institutions"))
+    total = counted.agg(F.sum("authors").alias("authors"), F.sum("institutions").alias("institutions"), F.count("*").alias("n"))
+    last = total.select(F.lit(None).cast("string").alias("paper_id"), F.coalesce("authors", F.lit(0)).alias("authors"), F.coalesce("institutions", F.lit(0)).alias("institutions"), F.format_string("%d papers would be upserted", "n").alias("line"))
+    return counted.select("paper_id", "authors", "institutions", line.alias("line")).unionByName(last)

@@ -293,6 +293,16 @@ def dry_run_preview(spark, sf):
     return paper(spark, sf).select("paper_id", F.when(F.length("title") > 80, F.concat(F.substring("title", 1, 77), F.lit("..."))).otherwise(F.col("title")).alias("shown"))
 
 
+_SHOWN = "CASE WHEN length(title) > 80 THEN substr(title, 1, 77) || '...' ELSE title END"
+
+
+@query("dry_run_report", f", c AS (SELECT paper_id, len(string_split(title, ' ')) AS authors, CASE WHEN category = 'en' THEN 0 ELSE 1 END AS institutions, '[' || source || '] ' || strftime(update_date, '%Y-%m-%d') || ' ' || paper_id || '  ' || {_SHOWN} AS head FROM paper) SELECT paper_id, authors::BIGINT AS authors, institutions::BIGINT AS institutions, head || '  (' || authors || ' authors, ' || institutions || ' institutions)' AS line FROM c UNION ALL SELECT NULL, sum(authors)::BIGINT, sum(institutions)::BIGINT, count(*) || ' papers would be upserted' FROM c")
+def dry_run_report(spark, sf):
+    """The view has no lists: a title's words stand for authors, a category other than English for an institution."""
+    rows = paper(spark, sf).withColumns({"authors": F.split("title", " "), "institutions": F.when(F.col("category") != "en", F.array("category"))})
+    return I.dry_run(rows)
+
+
 def _scalar(name: str, sql: str, f, source=paper):
     @query(name, f"SELECT paper_id, {sql} AS value FROM paper")
     def run(spark, sf):
@@ -310,6 +320,8 @@ _scalar("safe_filename", "regexp_replace('venue/' || source || ':' || paper_id,
 _scalar("name_cache_key", "sha256(lower(trim(title)))", lambda: X.name_cache_key(F.col("title")))
 _scalar("strip_version", "regexp_replace('http://x/abs/' || paper_id || 'v2', 'v[0-9]+$', '')", lambda: X.strip_version(F.concat(F.lit("http://x/abs/"), "paper_id", F.lit("v2"))))
 _scalar("doi_link", "'https://doi.org/10.1/' || paper_id", lambda: X.doi_link(F.concat(F.lit("10.1/"), "paper_id")))
+_scalar("arxiv_link", "'https://arxiv.org/abs/' || paper_id", lambda: X.arxiv_link(F.col("paper_id")))
+_scalar("review_link", "'https://openreview.net/forum?id=' || paper_id", lambda: X.review_link(F.col("paper_id")))
 _scalar("doi_from_link", "'10.1/' || paper_id", lambda: X.doi_from_link(F.concat(F.lit("https://host/doi/10.1/"), "paper_id", F.lit("/")), "https://host/doi/"))
 _scalar("age_label", "CASE WHEN d < 30 THEN d || ' days ago' WHEN d < 365 THEN (d // 30) || ' months ago' ELSE (d // 365) || ' years ago' END".replace("d ", "(DATE '2001-08-01' - update_date) "), lambda: D.age_label(F.col("update_date"), as_of()))
 _scalar("month_year", "strftime(update_date, '%b %Y')", lambda: D.month_year(F.date_format("update_date", "yyyy-MM-dd")))

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.atlas import z_order
+from .shared import scratch
 
 FORMATS = (".json", ".txt", ".md")
 
@@ -36,6 +37,26 @@ def write_venue_years(papers: DataFrame, path: str) -> None:
     papers.write.mode("append").partitionBy("venue", "year").json(path)
 
 
+def write_conferences(notes: DataFrame, path: str) -> None:
+    """notes: ``id, document, name, year, version, date`` → a folder of JSON lines ``{name}{year}_v{version}.json`` for each conference, each note tagged
+    with its conference's name and date. One job writes all; a conference that is written again is replaced, others stay."""
+    spark = notes.sparkSession
+    tag = F.struct(F.col("name").alias("conference_name"), F.col("date").alias("conference_date"))
+    file = F.format_string("%s%d_v%d.json", "name", "year", "version")
+    tagged = notes.select(F.col("id"), F.col("document"), tag.alias("conference_metadata"), file.alias("file"))
+    half = scratch(spark, "conferences")
+    tagged.write.partitionBy("file").json(half)
+    paths = spark._jvm.org.apache.hadoop.fs.Path
+    files = paths(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    files.mkdirs(paths(path))
+    for row in tagged.select("file").distinct().collect():  # one row for each conference
+        whole = paths(f"{path}/{row['file']}")
+        files.delete(whole, True)
+        source = paths(f"{half}/file={row['file']}")
+        if not spark._jvm.org.apache.hadoop.fs.FileUtil.copy(source.getFileSystem(spark._jsc.hadoopConfiguration()), source, files, whole, True, spark._jsc.hadoopConfiguration()):
+            raise OSError(f"{row['file']} couldn't be put into place")
+
+
 def write_snapshot(papers: DataFrame, path: str) -> None:
     """A backup, compressed with zstd; the path must be new, so a table is never written over while it is read."""
     papers.write.mode("errorifexists").option("compression", "zstd").parquet(path)

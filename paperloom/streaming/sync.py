@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -14,6 +15,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from ..functions.embed import Provider, embed
 from ..operators.upsert import counts, invalidate_embeddings, replace_categories, upsert_latest
 from ..sources.buckets import BucketTable
+from ..sources.shared import written
 
 SCHEMA = "paper_id string, title string, source string, update_date date"
 
@@ -106,6 +108,27 @@ def ingest(stored: Corpus, incoming: DataFrame, provider: Provider, feed: str, e
     return Corpus(paper, categories, kept.unionByName(made)), counts(stored.paper, papers)
 
 
+def embed_committed(papers: DataFrame, provider: Provider, path: str, every: int = 10_000) -> int:
+    """Embed papers (``paper_id, abstract``) that the table under ``path`` has no vector of, about ``every`` at a time; each part counts once it is written, so a run
+    that breaks off loses one part, and the next goes on from there. Returns how many vectors were written. Failed ones stay out, for the next run."""
+    spark = papers.sparkSession
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    schema = "paper_id string, embedding array<float>"
+
+    def kept() -> DataFrame:
+        parts = [s.getPath().toString() for s in files.listStatus(folder) if files.exists(spark._jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))] if files.exists(folder) else []
+        return spark.read.schema(schema).parquet(*parts) if parts else spark.createDataFrame([], schema)
+
+    missing = written(papers.join(kept(), "paper_id", "left_anti"), "papers-to-embed")
+    parts, before = max(1, -(-missing.count() // every)), kept().count()
+    for part in range(parts):
+        some = missing.filter(F.pmod(F.xxhash64("paper_id"), F.lit(parts)) == part)
+        made = embed(some, provider).filter(F.col("embedding").isNotNull()).select("paper_id", F.col("embedding").cast("array<float>").alias("embedding"))
+        made.write.parquet(f"{path}/part-{uuid.uuid4().hex}")
+    return kept().count() - before
+
+
 def rolling_counts(papers: DataFrame, window: str = "7 days", slide: str = "1 day", late: str = "1 day") -> DataFrame:
     """Counts by source in sliding windows; works on streams and tables. papers: ``ts, source``."""
     return papers.withWatermark("ts", late).groupBy(F.window("ts", window, slide), "source").agg(F.count("*").alias("n"))
