@@ -9,6 +9,7 @@ from ..functions import text as X
 from ..functions import vectors as V
 from ..functions.scoring import rubric_text, rubric_total
 from ..operators import atlas as A
+from ..operators import density
 from ..operators import inventory as I
 from ..operators import labels as L
 from ..operators import ranks as K
@@ -519,6 +520,14 @@ def tree_slice(spark, sf):
     return L.tree_slice(_tree(spark, sf), _VIEW).select("cluster_id", "birth")
 
 
+@query("density_tree")
+def density_tree(spark, sf):
+    """Merges of a spanning forest, condensed: no SQL; held to brute force in the tests. Boxes by the first two components, members of the clusters below included."""
+    near = density.near_distances(S.knn_graph(embedding(spark, sf), 20))
+    tree = density.density_tree(density.reachability(near))
+    return rounded(density.tree_boxes(tree, projection(spark, sf)), "birth", "death", "cx", "cy", "x_low", "x_high", "y_low", "y_high")
+
+
 @query("label_page", f", {_TREE}, w AS (SELECT cluster_id, CASE WHEN cluster_id % 3 = 0 THEN p_brand END AS label FROM o) SELECT cluster_id, label, label IS NULL AND (SELECT count(*) FROM w WHERE label IS NULL) > 20 AS pending FROM w")
 def label_page(spark, sf):
     x0, y0, x1, y1 = _VIEW
