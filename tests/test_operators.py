@@ -486,3 +486,20 @@ def test_abstracts_of_a_whole_volume(spark):
     found = {r.paper_id: r.abstract for r in abstracts_of(volume, papers).collect()}
     want = {str(k): " ".join(body).format(k=k) for k in range(400)}
     assert {k: (found.get(k), v) for k, v in want.items() if found.get(k) != v} == {}
+
+
+def test_abstracts_of_titles_that_begin_alike(spark):
+    """Titles with the same first words, more than are compared one by one: places meet only those equal to them, as with each compared."""
+    from paperloom.operators import pages as P
+
+    titles = [(f"p{k}", f"The study of {k}") for k in range(40)] + [("long", "The study of 7 and of 8"), ("copy", "The study of 7"), ("short", "The study of"), ("none", "The study of nothing")]
+    body = "\n".join(["Some One", "", "Abstract", "we study " + "words " * 30, "1 Introduction", ""])
+    text = "\n".join(f"The study of {k}{' and of 8' if k == 7 else 'x' if k == 9 else ''}\n{body}" for k in range(40))
+    volume, papers = spark.createDataFrame([(1, text), (2, text)], "doc_id int, text string"), spark.createDataFrame(titles, "paper_id string, title string")
+    few, many = ({r.paper_id: r.abstract for r in P.abstracts_of(volume, papers, hot_titles=n).collect()} for n in (1000, 4))
+    assert few == many and {f"p{k}" for k in range(40)} | {"long", "copy", "short"} <= set(many)
+    under = spark.createDataFrame([(1, 3)], "doc_id int, at int")
+    places = P.title_places(spark.createDataFrame([(1, "The study of 5\nx y z\nq")], "doc_id int, text string"), under).filter("kind = 0").select("key", "rest", F.struct("at").alias("place")).distinct()
+    named = spark.createDataFrame([(f"the study of {k}", "the study of") for k in range(30)], "plain string, first string")
+    plan = P._whole_titles(named, places, 4)
+    assert {r["plain"] for r in plan.collect()} == {"the study of 5"}
