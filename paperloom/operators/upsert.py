@@ -8,24 +8,31 @@ from pyspark.sql import functions as F
 from ..functions.text import normalize_title
 
 
-def newest(rows: DataFrame) -> DataFrame:
-    """Of a batch's rows of one id the newest; equal dates by title. A row with a null id, date or title can't be stored and fails."""
-    checked = rows.withColumn("paper_id", F.when(F.col("paper_id").isNull() | F.col("update_date").isNull() | F.col("title").isNull(), F.raise_error(F.lit("a paper needs an id, a date and a title"))).otherwise(F.col("paper_id")))
-    order = Window.partitionBy("paper_id").orderBy(F.col("update_date").desc(), "title")
-    return checked.withColumn("__rn", F.row_number().over(order)).filter("__rn = 1").drop("__rn")
+def _checked(rows: DataFrame) -> DataFrame:
+    """A row with a null id, date or title can't be stored and fails."""
+    return rows.withColumn("paper_id", F.when(F.col("paper_id").isNull() | F.col("update_date").isNull() | F.col("title").isNull(), F.raise_error(F.lit("a paper needs an id, a date and a title"))).otherwise(F.col("paper_id")))
 
 
-def upsert_latest(stored: DataFrame, incoming: DataFrame) -> DataFrame:
-    """The stored rows, replaced by strictly newer incoming ones, and the new ones. One shuffle of both sides by id."""
-    both = stored.withColumn("__in", F.lit(0)).unionByName(newest(incoming).withColumn("__in", F.lit(1)))
-    order = Window.partitionBy("paper_id").orderBy(F.col("update_date").desc(), "__in")
+def newest(rows: DataFrame, *within: str) -> DataFrame:
+    """Of a batch's rows of one id the newest; equal dates by title. A row with a null id, date or title fails. ``within``: columns that follow from the id, by which rows may lie together already."""
+    order = Window.partitionBy(*within, "paper_id").orderBy(F.col("update_date").desc(), "title")
+    return _checked(rows).withColumn("__rn", F.row_number().over(order)).filter("__rn = 1").drop("__rn")
+
+
+def upsert_latest(stored: DataFrame, incoming: DataFrame, *within: str) -> DataFrame:
+    """The stored rows, replaced by strictly newer incoming ones, and the new ones. One shuffle of both sides by id: a stored row comes before an incoming one of its date, of those the first by title."""
+    both = stored.withColumn("__in", F.lit(0)).unionByName(_checked(incoming).withColumn("__in", F.lit(1)))
+    if within:
+        both = both.repartition(*within)
+    order = Window.partitionBy(*within, "paper_id").orderBy(F.col("update_date").desc(), "__in", "title")
     return both.withColumn("__rn", F.row_number().over(order)).filter("__rn = 1").drop("__rn", "__in")
 
 
 def outcomes(stored: DataFrame, incoming: DataFrame) -> DataFrame:
     """``paper_id, outcome`` of each incoming id: updated, new or skipped."""
     old = stored.select("paper_id", F.col("update_date").alias("stored_date"))
-    joined = newest(incoming).select("paper_id", "update_date").join(old, "paper_id", "left")
+    dates = _checked(incoming).groupBy("paper_id").agg(F.max("update_date").alias("update_date"))  # titles are looked at, not shuffled
+    joined = dates.join(old, "paper_id", "left")
     return joined.select("paper_id", F.when(F.col("stored_date").isNull(), "new").when(F.col("stored_date") < F.col("update_date"), "updated").otherwise("skipped").alias("outcome"))
 
 
