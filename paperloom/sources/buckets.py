@@ -16,7 +16,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from ..operators.upsert import newest, outcomes, upsert_latest
+from ..operators.upsert import newest, upsert_latest
+from .shared import written
 
 
 @dataclass(frozen=True)
@@ -64,18 +65,23 @@ class BucketTable:
         at = self.commit()
         if batch is not None and at.batches.get(writer, -1) >= batch:
             return []
-        rows = newest(incoming.select(*self.schema.names)).withColumn("bucket", self.bucket(F.col("paper_id")))
-        asked = [r["bucket"] for r in rows.select("bucket").distinct().collect()]  # one row for each bucket at most
-        dates = self.read(asked, at).select("paper_id", "update_date", "title")
-        news = outcomes(dates, rows.drop("bucket")).filter("outcome <> 'skipped'").select("paper_id", self.bucket(F.col("paper_id")).alias("bucket"))
-        changed = sorted(r["bucket"] for r in news.select("bucket").distinct().collect())
-        folders = dict(at.folders)
-        if changed:
-            kept = self.read(changed, at)
-            after = upsert_latest(kept, rows.filter(F.col("bucket").isin(*changed)).drop("bucket"))
-            folder = f"{at.number + 1}-{uuid.uuid4().hex}"
-            after.withColumn("bucket", self.bucket(F.col("paper_id"))).repartition(len(changed), "bucket").write.partitionBy("bucket").parquet(f"{self.path}/data/{folder}")
-            folders |= dict.fromkeys(changed, folder)
+        rows = incoming.select(*self.schema.names).withColumn("bucket", self.bucket(F.col("paper_id"))).repartition(self.buckets, "bucket")
+        rows = newest(rows, "bucket")
+        folder = f"{at.number + 1}-{uuid.uuid4().hex}"
+        target = f"{self.path}/data/{folder}"
+        if not at.folders:  # nothing is stored, so all is new
+            rows.write.partitionBy("bucket").parquet(target)
+            changed = sorted(int(s.getPath().getName()[7:]) for s in self._files.listStatus(self._paths(target)) if s.getPath().getName().startswith("bucket="))
+        else:
+            rows = written(rows, "bucket-batch")
+            asked = [r["bucket"] for r in rows.select("bucket").distinct().collect()]  # one row for each bucket at most
+            dates = self.read(asked, at).select("paper_id", F.col("update_date").alias("stored_date"))
+            news = rows.select("paper_id", "update_date", "bucket").join(dates, "paper_id", "left").filter("stored_date IS NULL OR stored_date < update_date")
+            changed = sorted(r["bucket"] for r in news.select("bucket").distinct().collect())
+            if changed:
+                kept = self.read(changed, at).withColumn("bucket", self.bucket(F.col("paper_id")))
+                upsert_latest(kept, rows.filter(F.col("bucket").isin(*changed)), "bucket").write.partitionBy("bucket").parquet(target)
+        folders = at.folders | dict.fromkeys(changed, folder)
         if changed or batch is not None:
             self._write(Commit(at.number + 1, folders, at.batches | ({writer: batch} if batch is not None else {})))
         return changed

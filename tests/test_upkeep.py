@@ -133,3 +133,44 @@ def test_neighbours_kept_up_equal_a_rebuild(spark, k, n):
     found, anew = upkeep(S.knn_graph(frame(vectors), k), frame(now), spark.createDataFrame([(i,) for i in changed], "paper_id string"), k)
     assert edges(found) == edges(S.knn_graph(frame(now), k))
     assert anew.count() <= len(changed) * (2 * k + 1)
+
+
+def test_views_cut_titles_before_they_join(spark, tmp_path):
+    """A query on titles shuffles no texts, and an upsert moves its rows once."""
+    from paperloom.plans import base
+
+    spark.createDataFrame([(1, "T\nbody", "s", "en")], "doc_id long, text string, source string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, day(1))], "o_orderkey long, o_orderdate date").write.parquet(str(tmp_path / "orders.parquet"))
+    titles = base.paper(spark, str(tmp_path)).select("paper_id", "title", "update_date")
+    assert tuple(titles.first()) == ("1", "T", day(1))
+    plan = titles._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Join") < plan.index("substring_index")
+    stored = papers(spark, [("a", "x", "s", day(1))])
+    moves = U.upsert_latest(stored, papers(spark, [("a", "y", "s", day(2))]))._jdf.queryExecution().executedPlan().toString()
+    assert moves.count("Exchange hashpartitioning") == 1
+
+
+def test_outcomes_shuffle_no_titles(spark):
+    stored, batch = papers(spark, [("a", "x", "s", day(1))]), papers(spark, [("a", "y", "s", day(2)), ("a", "z", "s", day(0)), ("b", "y", "s", day(2))])
+    found = U.outcomes(stored, batch)
+    assert sorted(map(tuple, found.collect())) == [("a", "updated"), ("b", "new")]
+    assert "Window" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_a_batch_is_made_once(spark, tmp_path):
+    """Its rows are read, shuffled and written once, not for each question about them."""
+    from pyspark.sql import functions as F
+
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def counted(title):
+        seen.add(1)
+        return title
+
+    table = BucketTable(spark, str(tmp_path / "t"), papers(spark, []).schema, 4)
+    for number, when in enumerate((1, 2)):
+        before = seen.value
+        table.upsert(papers(spark, [(f"p{k}", "t", "s", day(when)) for k in range(20)]).withColumn("title", counted("title")), number)
+        assert seen.value - before <= 40  # once for the null check and once for the row
+    assert state(table.read()) == sorted((f"p{k}", "t", "s", day(2)) for k in range(20))
