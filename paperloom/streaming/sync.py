@@ -98,13 +98,15 @@ def ingest(stored: Corpus, incoming: DataFrame, provider: Provider, feed: str, e
     embedding failed stay without one, for the next run.
     """
     papers = incoming.drop(set_col)
-    paper = upsert_latest(stored.paper, papers)
+    paper = written(upsert_latest(stored.paper, papers), "papers-after")
     named = incoming.select("paper_id", F.explode(set_col).alias("category")).distinct()
     categories = replace_categories(stored.categories, named)
-    kept = invalidate_embeddings(stored.embedding, stored.paper, papers).filter(F.col("embedding").isNotNull())
+    kept = written(invalidate_embeddings(stored.embedding, stored.paper, papers).filter(F.col("embedding").isNotNull()), "vectors-kept")
     of_feed = categories.filter(F.col("category").isin(*embeddable)).select("paper_id").distinct()
-    wanted = paper.filter(F.col("source") == feed).join(of_feed, "paper_id", "left_semi").unionByName(paper.filter(F.col("source") != feed))
-    made = embed(wanted.join(kept, "paper_id", "left_anti"), provider).filter(F.col("embedding").isNotNull()).select("paper_id", "embedding")
+    # What is to be embedded is told by ids and sources alone; texts are read once, for those.
+    of = paper.select("paper_id", "source").join(kept.select("paper_id"), "paper_id", "left_anti")
+    wanted = of.filter(F.col("source") == feed).join(of_feed, "paper_id", "left_semi").unionByName(of.filter(F.col("source") != feed)).select("paper_id")
+    made = embed(paper.join(wanted, "paper_id", "left_semi"), provider).filter(F.col("embedding").isNotNull()).select("paper_id", "embedding")
     return Corpus(paper, categories, kept.unionByName(made)), counts(stored.paper, papers)
 
 
