@@ -112,3 +112,23 @@ def test_horizons_share_a_scan(spark):
     for r in found.collect():
         got.setdefault(r["horizon"], set()).add(int(r["paper_id"]))
     assert got == {"5": {45, 46, 47}, "20": {30, 31, 32, 33}, "all": set(range(6))}
+
+
+def test_neighbours_are_dealt_to_a_bounded_number_of_tasks(spark, monkeypatch):
+    """Blocks don't grow with the rows up to ROW_BLOCK each, each is a task of its own, and few similarities are held at once."""
+    from paperloom.operators import neighbour_table as T
+    from paperloom.operators import search as S
+
+    rng = np.random.default_rng(5)
+    rows = spark.createDataFrame([(f"p{k}", v.tolist()) for k, v in enumerate(rng.normal(size=(900, 4)))], "paper_id string, embedding array<double>")
+    want = {(r.src, r.dst, r["rank"]) for r in S.knn_graph(rows, 3).collect()}
+    monkeypatch.setattr(S, "BLOCKS", 2)
+    monkeypatch.setattr(S, "HELD", 1000)
+    found = S.knn_graph(rows, 3)
+    assert {(r.src, r.dst, r["rank"]) for r in found.collect()} == want and len(want) == 2700
+    assert "repartition_by_id" in (plan := found._jdf.queryExecution().executedPlan().toString().lower()) or "directshuffle" in plan or "shufflepartitionid" in plan, plan
+    monkeypatch.setattr(T, "ROWS", 7)
+    floors = rows.filter("paper_id >= 'p5'").selectExpr("paper_id", "embedding", "0.9D AS floor")
+    gains = {(r.src, r.dst) for r in T._gains(floors, rows.filter("paper_id < 'p3'")).collect()}
+    m = {r.paper_id: np.array(r.embedding) / np.linalg.norm(r.embedding) for r in rows.collect()}
+    assert gains == {(a, b) for a in m for b in m if a >= "p5" and b < "p3" and m[a] @ m[b] >= 0.9 - 1e-12}
