@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 from ..sources.shared import written
 from .search import knn_graph
 
-#: Bytes of changed vectors that one scan scores, and rows scored at once.
-GROUP_BYTES = 64 << 20
+#: Bytes of changed vectors that one scan scores, and rows and changed vectors scored at once.
+GROUP_BYTES = 16 << 20
 ROWS = 1024
 #: What two computations of a similarity may differ by.
 SLACK = 1e-12
@@ -33,13 +33,16 @@ def _gains(rows: DataFrame, changed: DataFrame) -> DataFrame:
     parts = []
     for g in range(groups):
         some = changed if groups == 1 else changed.filter(F.pmod(F.xxhash64("paper_id"), F.lit(groups)) == g)
-        held = spark.sparkContext.broadcast([(r["paper_id"], np.array(r["embedding"], np.float64)) for r in some.collect()])
+        by_length: dict[int, tuple[list, list]] = {}
+        for r in some.toLocalIterator():
+            vector = np.array(r["embedding"], np.float64)
+            names, units = by_length.setdefault(len(vector), ([], []))
+            names.append(r["paper_id"])
+            units.append(vector / np.linalg.norm(vector))
+        held = spark.sparkContext.broadcast({n: (names, np.stack(units)) for n, (names, units) in by_length.items()})
 
         def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            by_length: dict[int, tuple] = {}
-            for n in {len(v) for _, v in held.value}:
-                vectors = np.stack([v for _, v in held.value if len(v) == n])
-                by_length[n] = ([i for i, v in held.value if len(v) == n], vectors / np.linalg.norm(vectors, axis=1, keepdims=True))
+            by_length = held.value
             for whole in batches:
                 for at in range(0, len(whole), ROWS):
                     batch = whole.slice(at, ROWS)
@@ -50,10 +53,12 @@ def _gains(rows: DataFrame, changed: DataFrame) -> DataFrame:
                         of, (names, units) = batch.filter(pa.array(lengths == n)), by_length[n]
                         values = of.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, n)
                         floor = of.column(2).to_numpy(zero_copy_only=False)
-                        near = (values / np.linalg.norm(values, axis=1, keepdims=True)) @ units.T
-                        row, column = np.nonzero(near >= floor[:, None] - SLACK)
-                        found = [of.column(0).take(pa.array(row)), pa.array(names, pa.string()).take(pa.array(column)), pa.array(near[row, column]), pa.array(near[row, column] > floor[row] + SLACK)]
-                        yield pa.RecordBatch.from_arrays(found, names=["src", "dst", "similarity", "sure"])
+                        scaled = values / np.linalg.norm(values, axis=1, keepdims=True)
+                        for first in range(0, len(names), ROWS):
+                            near = scaled @ units[first : first + ROWS].T
+                            row, column = np.nonzero(near >= floor[:, None] - SLACK)
+                            found = [of.column(0).take(pa.array(row)), pa.array(names[first : first + ROWS], pa.string()).take(pa.array(column)), pa.array(near[row, column]), pa.array(near[row, column] > floor[row] + SLACK)]
+                            yield pa.RecordBatch.from_arrays(found, names=["src", "dst", "similarity", "sure"])
 
         parts.append(rows.mapInArrow(run, "src string, dst string, similarity double, sure boolean"))
     found = parts[0]
