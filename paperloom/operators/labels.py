@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import STOPWORDS
+from ..sources.shared import written
 from .ranks import quantiles, sketch_quantile
 
 
@@ -13,18 +14,26 @@ def top_terms(docs: DataFrame, n: int = 3, most_share: float = 0.95) -> DataFram
     """``cluster, label``: a cluster's n bigrams of greatest class-based tf-idf, those of nearly all clusters left out.
 
     Words are of at least three letters, no stopwords, not numeric. Terms are
-    counted by (cluster, term) before anything is compared.
+    counted by (cluster, term), once, before anything is compared.
     """
-    stop = F.array(*map(F.lit, STOPWORDS))
-    words = F.filter(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"), lambda w: (F.length(w) >= 3) & ~F.array_contains(stop, w) & ~w.rlike("^[0-9]+$"))
-    pairs = F.transform(F.sequence(F.lit(1), F.size("words") - 1), lambda k: F.concat_ws(" ", F.get("words", k - 1), F.get("words", k)))
-    terms = docs.select("cluster", words.alias("words")).filter(F.size("words") > 1).select("cluster", F.explode(pairs).alias("term"))
-    counted = terms.groupBy("cluster", "term").agg(F.count("*").alias("tf"))
-    spread = counted.groupBy("term").agg(F.count("*").alias("in"), F.sum("tf").alias("all"))
+    words = F.filter(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"), lambda w: (F.length(w) >= 3) & ~w.isin(*STOPWORDS) & ~w.rlike("^[0-9]+$"))
+    n_pairs = F.greatest(F.size("words") - 1, F.lit(0))
+    pairs = F.zip_with(F.slice("words", F.lit(1), n_pairs), F.slice("words", F.lit(2), n_pairs), lambda a, b: F.concat(a, F.lit(" "), b))
+    # Exploded with nulls, as a filter on the words would be pushed down and take texts apart twice.
+    terms = docs.select("cluster", words.alias("words")).select("cluster", F.explode_outer(pairs).alias("term")).filter("term IS NOT NULL")
+    counted = written(terms.groupBy("cluster", "term").agg(F.count("*").alias("tf")), "cluster-terms")
+    of_term = Window.partitionBy("term")  # a row for each cluster at most
+    spread = counted.withColumns({"in": F.count("*").over(of_term), "all": F.sum("tf").over(of_term)})
     totals = counted.groupBy("cluster").agg(F.sum("tf").alias("size"))
     mean = totals.agg(F.avg("size").alias("mean"), F.count("*").alias("clusters"))
-    joined = counted.join(spread, "term").join(F.broadcast(mean), F.lit(True)).filter((F.col("in") <= most_share * F.col("clusters")) | (F.col("clusters") == 1))
+    joined = spread.join(F.broadcast(mean), F.lit(True)).filter((F.col("in") <= most_share * F.col("clusters")) | (F.col("clusters") == 1))
     scored = joined.join(totals, "cluster").withColumn("score", F.col("tf") / F.col("size") * F.log1p(F.col("mean") / F.col("all")))
+    scored = written(scored.select("cluster", "term", "score"), "scored-terms")
+    # The n-th of the parts' best scores is no better than the n-th of all: what lies below it needn't be sorted.
+    parts = scored.groupBy("cluster", F.pmod(F.xxhash64("term"), F.lit(32 * n)).alias("part")).agg(F.max("score").alias("score"))
+    floors = parts.withColumn("nth", F.row_number().over(Window.partitionBy("cluster").orderBy(F.col("score").desc()))).filter(F.col("nth") == n)  # 32 n rows of a cluster
+    scored = scored.join(floors.select(F.col("cluster").alias("__of"), F.col("score").alias("__floor")), F.col("cluster").eqNullSafe(F.col("__of")), "left")
+    scored = scored.filter(F.col("__floor").isNull() | (F.col("score") >= F.col("__floor")))
     order = Window.partitionBy("cluster").orderBy(F.col("score").desc(), "term")
     best = scored.withColumn("rn", F.row_number().over(order)).filter(F.col("rn") <= n)
     return best.groupBy("cluster").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rn", "term"))), lambda t: t["term"]), " · ").alias("label"))

@@ -503,3 +503,20 @@ def test_abstracts_of_titles_that_begin_alike(spark):
     named = spark.createDataFrame([(f"the study of {k}", "the study of") for k in range(30)], "plain string, first string")
     plan = P._whole_titles(named, places, 4)
     assert {r["plain"] for r in plan.collect()} == {"the study of 5"}
+
+
+def test_top_terms_read_texts_once(spark):
+    """Texts are taken apart once, and of very many terms the same ones win as by sorting all."""
+    from paperloom.operators.labels import top_terms
+
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def counted(text):
+        seen.add(1)
+        return text
+
+    docs = [(c, " ".join(f"{c}word{(k * k) % 97} tail{k}" for k in range(300)) + f" {c} best pair" * n) for c, n in (("aaa", 9), ("bbb", 5), ("ccc", 7))]
+    got = {r["cluster"]: r["label"] for r in top_terms(spark.createDataFrame(docs, "cluster string, text string").repartition(3).withColumn("text", counted("text"))).collect()}
+    assert {c: got[c].split(" · ")[:2] for c in got} == {c: [f"{c} best", f"pair {c}"] for c in ("aaa", "bbb", "ccc")}, got
+    assert seen.value == 3
