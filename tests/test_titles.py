@@ -46,3 +46,33 @@ def test_all_pairs(spark, percent, hot_rows):
 
 def test_no_papers(spark):
     assert N.near_papers(spark.createDataFrame([], PAPERS), "feed").count() == 0
+
+
+def common_words(side, sets, words=30):
+    """Sets of nine of some words that all share, and one of their own."""
+    rng = random.Random(side)
+    return {" ".join(sorted([*rng.sample([f"c{k:02d}" for k in range(words)], 9), f"{side}{i}"])) for i in range(sets)}
+
+
+@pytest.mark.parametrize("percent", [30, 60])
+def test_common_words_are_told_apart(spark, percent):
+    left, right = common_words("l", 300, 14), common_words("r", 250, 14)
+    left, right = left | {"c00", "c01 c02", "one two"}, right | {"c00", "c01 c02", "c02 c03 c04", "one two three"}
+    tables = [spark.createDataFrame([(s,) for s in side], "words string") for side in (left, right)]
+    sets = [({w: set(w.split()) for w in side}) for side in (left, right)]
+    want = sorted((a, b) for a, x in sets[0].items() for b, y in sets[1].items() if 100 * len(x & y) >= percent * len(x | y))
+    got = [tuple(r) for r in N.near_sets(*tables, percent, 40, 3).collect()]
+    assert sorted(got) == want and len(want) > 20  # each pair once
+
+
+def test_meetings_follow_the_sets(spark):
+    """Sets whose words are nearly all common meet few others at a key, however many there are."""
+    met = []
+    for sets in (200, 800):
+        numbered = N._numbered(*(spark.createDataFrame([(s,) for s in common_words(side, sets)], "words string") for side in "lr"))
+        total = 0
+        for _, rows, _ in N.levels(numbered, 80, 20_000, 5):
+            pairs = rows.groupBy("key").agg(N.F.count_if("asked").alias("a"), N.F.count_if(~N.F.col("asked")).alias("b"))
+            total += pairs.agg(N.F.sum(N.F.col("a") * N.F.col("b"))).first()[0] or 0
+        met.append(total)
+    assert met[1] <= 8 * met[0] and met[1] < 800 * 800 / 5, met
