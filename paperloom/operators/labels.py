@@ -10,30 +10,57 @@ from ..sources.shared import written
 from .ranks import quantiles, sketch_quantile
 
 
+#: Buckets that terms are dealt to by hash, and those of a cluster, for each term of its label, that are counted by term first.
+BUCKETS, FIRST = 1 << 16, 32
+
+
+def _pairs(listed: DataFrame) -> DataFrame:
+    """listed: ``cluster, words``, words joined by blanks → ``cluster, a, b, bucket`` of each two that follow one another."""
+    words = F.split("words", " ")
+    n_pairs = F.greatest(F.size(words) - 1, F.lit(0))
+    pairs = F.zip_with(F.slice(words, F.lit(1), n_pairs), F.slice(words, F.lit(2), n_pairs), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+    bucket = F.pmod(F.xxhash64("p.a", "p.b"), F.lit(BUCKETS)).cast("int")
+    return listed.select("cluster", F.explode(pairs).alias("p")).select("cluster", "p.a", "p.b", bucket.alias("bucket"))
+
+
+def _scored(listed: DataFrame, buckets: DataFrame, sizes: DataFrame, most_share: float) -> DataFrame:
+    """``cluster, term, score``, a table, of all terms of ``buckets``, a row for each and at most BUCKETS; sizes: ``cluster, size, mean, clusters``. Terms of nearly all clusters are left out."""
+    asked = _pairs(listed).join(F.broadcast(buckets), "bucket", "left_semi")
+    counted = asked.groupBy("cluster", F.concat_ws(" ", "a", "b").alias("term")).agg(F.count("*").alias("tf"))
+    of_term = Window.partitionBy("term")  # a row for each cluster at most
+    spread = counted.withColumns({"in": F.count("*").over(of_term), "all": F.sum("tf").over(of_term)}).join(sizes, "cluster")
+    kept = spread.filter((F.col("in") <= most_share * F.col("clusters")) | (F.col("clusters") == 1))
+    return written(kept.select("cluster", "term", (F.col("tf") / F.col("size") * F.log1p(F.col("mean") / F.col("all"))).alias("score")), "scored-terms")
+
+
 def top_terms(docs: DataFrame, n: int = 3, most_share: float = 0.95) -> DataFrame:
     """``cluster, label``: a cluster's n bigrams of greatest class-based tf-idf, those of nearly all clusters left out.
 
-    Words are of at least three letters, no stopwords, not numeric. Terms are
-    counted by (cluster, term), once, before anything is compared.
+    Words are of at least three letters, no stopwords, not numeric. Most terms are rare, so
+    terms aren't counted one by one at first but by (cluster, bucket). A term is no more often in its cluster than its bucket, nor less
+    often in all than in its cluster, which bounds its score. The terms of each cluster's most promising buckets are counted, which gives a
+    floor for the n-th best score; then those of all other buckets whose bound reaches it. Where no term stands out these are all, so the result is exact.
     """
     words = F.filter(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"), lambda w: (F.length(w) >= 3) & ~w.isin(*STOPWORDS) & ~w.rlike("^[0-9]+$"))
-    n_pairs = F.greatest(F.size("words") - 1, F.lit(0))
-    pairs = F.zip_with(F.slice("words", F.lit(1), n_pairs), F.slice("words", F.lit(2), n_pairs), lambda a, b: F.concat(a, F.lit(" "), b))
-    # Exploded with nulls, as a filter on the words would be pushed down and take texts apart twice.
-    terms = docs.select("cluster", words.alias("words")).select("cluster", F.explode_outer(pairs).alias("term")).filter("term IS NOT NULL")
-    counted = written(terms.groupBy("cluster", "term").agg(F.count("*").alias("tf")), "cluster-terms")
-    of_term = Window.partitionBy("term")  # a row for each cluster at most
-    spread = counted.withColumns({"in": F.count("*").over(of_term), "all": F.sum("tf").over(of_term)})
-    totals = counted.groupBy("cluster").agg(F.sum("tf").alias("size"))
-    mean = totals.agg(F.avg("size").alias("mean"), F.count("*").alias("clusters"))
-    joined = spread.join(F.broadcast(mean), F.lit(True)).filter((F.col("in") <= most_share * F.col("clusters")) | (F.col("clusters") == 1))
-    scored = joined.join(totals, "cluster").withColumn("score", F.col("tf") / F.col("size") * F.log1p(F.col("mean") / F.col("all")))
-    scored = written(scored.select("cluster", "term", "score"), "scored-terms")
-    # The n-th of the parts' best scores is no better than the n-th of all: what lies below it needn't be sorted.
+    listed = written(docs.select("cluster", F.array_join(words, " ").alias("words")), "cluster-words", compression="zstd")
+    held = written(_pairs(listed).groupBy("cluster", "bucket").agg(F.count("*").alias("most")), "cluster-buckets")
+    sizes = held.groupBy("cluster").agg(F.sum("most").alias("size"))
+    sizes = written(sizes.crossJoin(F.broadcast(sizes.agg(F.avg("size").alias("mean"), F.count("*").alias("clusters")))), "cluster-sizes")
+    held = held.withColumn("all", F.sum("most").over(Window.partitionBy("bucket"))).join(sizes, "cluster")
+    score = lambda everywhere: F.col("most") / F.col("size") * F.log1p(F.col("mean") / F.col(everywhere))
+    promising = Window.partitionBy("cluster").orderBy(score("all").desc(), "bucket")  # BUCKETS rows at most
+    first = written(held.withColumn("rn", F.row_number().over(promising)).filter(F.col("rn") <= FIRST * n).select("bucket").distinct(), "first-buckets")
+    scored = _scored(listed, first, sizes, most_share)
+    # The n-th of the parts' best scores is no better than the n-th of all: what lies below it needn't be counted or sorted.
     parts = scored.groupBy("cluster", F.pmod(F.xxhash64("term"), F.lit(32 * n)).alias("part")).agg(F.max("score").alias("score"))
     floors = parts.withColumn("nth", F.row_number().over(Window.partitionBy("cluster").orderBy(F.col("score").desc()))).filter(F.col("nth") == n)  # 32 n rows of a cluster
-    scored = scored.join(floors.select(F.col("cluster").alias("__of"), F.col("score").alias("__floor")), F.col("cluster").eqNullSafe(F.col("__of")), "left")
-    scored = scored.filter(F.col("__floor").isNull() | (F.col("score") >= F.col("__floor")))
+    floors = written(floors.select("cluster", F.col("score").alias("floor")), "floors")
+    # The bound is computed otherwise than the score, so it may be off in its last digits.
+    reach = F.col("floor").isNull() | (score("most") >= F.col("floor") * (1 - 1e-9))
+    others = written(held.join(floors, "cluster", "left").filter(reach).select("bucket").distinct().join(first, "bucket", "left_anti"), "other-buckets")
+    if others.limit(1).count():
+        scored = scored.unionByName(_scored(listed, others, sizes, most_share))
+    scored = scored.join(floors, "cluster", "left").filter(F.col("floor").isNull() | (F.col("score") >= F.col("floor")))
     order = Window.partitionBy("cluster").orderBy(F.col("score").desc(), "term")
     best = scored.withColumn("rn", F.row_number().over(order)).filter(F.col("rn") <= n)
     return best.groupBy("cluster").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rn", "term"))), lambda t: t["term"]), " · ").alias("label"))

@@ -552,3 +552,33 @@ def test_ndjson_as_its_sql(spark, tmp_path):
     assert sorted(got, key=str) == sorted(want, key=str)
     assert any('"y":-0.000000' in line and '"x":0.007812,' in line for _, line in got)
     assert [json.loads(line)["title"] for _, line in sorted(got, key=str)[:5]] == titles
+
+
+@pytest.mark.parametrize("buckets, first", [(1 << 16, 32), (64, 1), (3, 1)])
+def test_top_terms_count_only_what_may_win(spark, monkeypatch, buckets, first):
+    """Labels by brute force, whether or not rare terms share the buckets of common ones; terms whose bucket can't win aren't counted."""
+    import math
+    from collections import Counter
+
+    from paperloom.operators import labels as L
+
+    rng, tables = np.random.default_rng(5), {}
+    docs = [(f"c{k % 4}", " ".join(f"w{a}x" for a in rng.integers(0, 300, 200)) + f" common pair own{k % 4} best" * 4) for k in range(40)] + [(None, "own0 best " * 9), ("empty", None), ("small", "own0 best")]
+    real = L.written
+    monkeypatch.setattr(L, "written", lambda df, label, **options: tables.setdefault((label, len(tables)), real(df, label, **options)))
+    monkeypatch.setattr(L, "BUCKETS", buckets)
+    monkeypatch.setattr(L, "FIRST", first)
+    got = {r["cluster"]: r["label"] for r in L.top_terms(spark.createDataFrame(docs, "cluster string, text string")).collect()}
+    tf = Counter((c, f"{a} {b}") for c, text in docs if text for a, b in zip(text.split(), text.split()[1:]))
+    size, everywhere, held = Counter(), Counter(), Counter()
+    for (c, t), k in tf.items():
+        size[c] += k
+        everywhere[t] += k
+        held[t] += 1
+    mean, want = sum(size.values()) / len(size), {}
+    for c in {c for c, _ in tf if c}:
+        ranked = sorted((-k / size[c] * math.log1p(mean / everywhere[t]), t) for (of, t), k in tf.items() if of == c and held[t] <= 0.95 * len(size))
+        want[c] = " · ".join(t for _, t in ranked[:3])
+    assert got == want
+    if first == 32:
+        assert sum(d.count() for (label, _), d in tables.items() if label == "scored-terms") < len(tf) / 5
