@@ -582,3 +582,51 @@ def test_top_terms_count_only_what_may_win(spark, monkeypatch, buckets, first):
     assert got == want
     if first == 32:
         assert sum(d.count() for (label, _), d in tables.items() if label == "scored-terms") < len(tf) / 5
+
+
+def test_map_computes_neighbours_once(spark, monkeypatch):
+    from paperloom.operators import layout
+
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def counted(number):
+        seen.add(1)
+        return number
+
+    real, rng = layout.knn_graph, np.random.default_rng(6)
+    monkeypatch.setattr(layout, "knn_graph", lambda *args: real(*args).withColumn("src", counted("src")))
+    monkeypatch.setattr(layout, "PHASES", ((1, 2.0, None, 1.0),))
+    vectors = spark.createDataFrame([(f"p{k}", [float(x) for x in rng.normal(size=6)]) for k in range(30)], "paper_id string, embedding array<float>")
+    assert layout.project_map(vectors).count() == 30
+    assert seen.value == 30 * 29
+
+
+def test_map_rounds_exchange_all_places(spark):
+    """Blocks that exchange places after each step move the points as if all lay in one."""
+    from paperloom.operators import layout
+
+    rng, n, blocks, phases = np.random.default_rng(7), 90, 4, ((3, 2.0, None, 1.0), (2, 3.0, 3.0, 1.0), (3, 1.0, 0.0, 1.0))
+    x = rng.normal(size=(n, 5))
+    points = spark.createDataFrame([(k, [float(v) for v in x[k]], float(x[k, 0]), float(x[k, 1])) for k in range(n)], "number int, a array<double>, x double, y double")
+    near = {(k, int(j)) for k in range(n) for j in rng.choice(np.delete(np.arange(n), k), 3, replace=False)} | {(k, 0) for k in range(1, n)}  # 0 is a hub
+    made = layout.homes(points, spark.createDataFrame(sorted(near), "own int, other int"), blocks, 2, 4)
+    pairs = []
+    for r in made.filter("from = -1").collect():
+        counts, others = (np.frombuffer(r[c], np.int32) for c in "ab")
+        at = np.repeat(np.arange(len(counts)), counts)
+        pairs += [(int(p // 3 * blocks + r["to"]), int(o), int(p % 3)) for p, o in zip(at, others)]
+    assert len(pairs) == len(set(pairs)) and {p[:2] for p in pairs if p[2] == layout.NEAR} == near
+    assert not near & {p[:2] for p in pairs if p[2] == layout.FAR} and all(a != b for a, b, _ in pairs)
+    assert {p[0] for p in pairs if p[2] == layout.MID} == {p[0] for p in pairs if p[2] == layout.FAR} == set(range(n))
+    y, m, v = x[:, :2] * 0.01, np.zeros((n, 2)), np.zeros((n, 2))
+    for step in range(8):
+        slope = np.zeros((n, 2))
+        for i, j, kind in pairs:
+            d = 1 + ((y[i] - y[j]) ** 2).sum()
+            near_w, mid_w, far_w = layout.weights(step, phases)
+            slope[i] += (y[i] - y[j]) * (near_w * 20 / (10 + d) ** 2, mid_w * 20_000 / (10_000 + d) ** 2, -far_w * 2 / (1 + d) ** 2)[kind]
+        m, v = 0.9 * m + 0.1 * slope, 0.999 * v + 0.001 * slope**2
+        y = y - m / (1 - 0.9 ** (step + 1)) / (np.sqrt(v / (1 - 0.999 ** (step + 1))) + 1e-7)
+    got = {r["number"]: (r["x"], r["y"]) for r in layout.lay_out(made, blocks, phases, steps=1).collect()}
+    assert np.allclose([got[k] for k in range(n)], y, atol=1e-6)
