@@ -61,7 +61,8 @@ def drawn(x: np.ndarray, mid: int, far: int, rng: np.random.Generator) -> tuple[
     if n > 1:
         for _ in range(mid):
             lots = (at[:, None] + 1 + rng.integers(0, n - 1, (n, 6))) % n
-            d = np.stack([((x[lots[:, c]] - x) ** 2).sum(axis=1) for c in range(6)], axis=1)
+            apart = (x[lots[:, c]] - x for c in range(6))
+            d = np.stack([np.einsum("ij,ij->i", a, a) for a in apart], axis=1)
             codes.append((MID * n + at) * n + lots[at, np.argsort(d, axis=1, kind="stable")[:, 1]])
         for _ in range(far):
             codes.append((FAR * n + at) * n + (at + 1 + rng.integers(0, n - 1, n)) % n)

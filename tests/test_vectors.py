@@ -132,3 +132,32 @@ def test_neighbours_are_dealt_to_a_bounded_number_of_tasks(spark, monkeypatch):
     gains = {(r.src, r.dst) for r in T._gains(floors, rows.filter("paper_id < 'p3'")).collect()}
     m = {r.paper_id: np.array(r.embedding) / np.linalg.norm(r.embedding) for r in rows.collect()}
     assert gains == {(a, b) for a in m for b in m if a >= "p5" and b < "p3" and m[a] @ m[b] >= 0.9 - 1e-12}
+
+
+@pytest.mark.parametrize("held", [1, 40, 333, 5000, 1 << 20])
+@pytest.mark.parametrize("take", [1, 6, 200])
+def test_nearest_columns_by_tiles(held, take):
+    """The greatest of each row with all ties, however few are held at once; crowds of copies too."""
+    from paperloom.operators.search import nearest_columns
+
+    rng = np.random.default_rng(8)
+    matrix = np.round(rng.normal(size=(150, 3)))
+    matrix[40:110] = matrix[40]
+    asked = np.vstack([np.round(rng.normal(size=(24, 3))), matrix[40:41]])
+    near = asked @ matrix.T
+    n = min(take, near.shape[1])
+    floor = np.sort(near, axis=1)[:, -n]
+    want = {(i, j): near[i, j] for i, j in zip(*np.nonzero(near >= floor[:, None] - 1e-12))}
+    found = [(int(i), int(j), v) for rows in nearest_columns(asked, matrix, take, held) for i, j, v in zip(*rows)]
+    assert len(found) == len(want) and {(i, j): v for i, j, v in found} == want
+
+
+def test_few_numbers_are_sorted_whole(monkeypatch):
+    """Of a large block only its first tile, and then what may be among the nearest."""
+    from paperloom.operators import search as S
+
+    sorted_whole, real = [], np.partition
+    monkeypatch.setattr(S.np, "partition", lambda values, *args, **kwargs: sorted_whole.append(values.size) or real(values, *args, **kwargs))
+    rng = np.random.default_rng(9)
+    list(S.nearest_columns(rng.normal(size=(64, 8)), rng.normal(size=(20_000, 8)), 10, 64 * 1000))
+    assert sum(sorted_whole) < 64 * 20_000 / 8
